@@ -1 +1,4 @@
+"""Registered queries over the driver's tables, and the same rows as SQL."""
 
+QUERIES: dict = {}
+ORACLES: dict = {}
