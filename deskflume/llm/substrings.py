@@ -124,6 +124,7 @@ def remove_repeats(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     and kept (stretches of text with their original offsets, in order)."""
     spans = repeated_spans(docs, doc_id, text).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "words", "first_id"))).alias("removed"))
     key = fresh(docs.columns, "sd_id")
+    docs = docs.drop("removed", "kept")
     joined = docs.withColumn(key, F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))).join(spans.withColumnRenamed("id", key), key, "left").drop(key)
     empty = F.array().cast("array<struct<start:int,end:int,words:int,first_id:bigint>>")
     removed = F.coalesce("removed", empty)

@@ -130,7 +130,8 @@ def with_neighbours(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     rows = docs.select(F.col(doc_id).alias("doc_id"), key.alias("key"), body.alias("text"))
     prevs = predecessors(rows.select("doc_id", "key", F.char_length("text").alias("n_chars")))
     base = rows.withColumn("fp", fingerprint(F.col("text"))).repartition(n, "key")
-    once = Window.partitionBy("key").orderBy(F.xxhash64("text"))
+    # doc_id stays in this branch so that both read one and the same exchange.
+    once = Window.partitionBy("key").orderBy(F.xxhash64("text"), "doc_id")
     sent = base.withColumn("rank", F.row_number().over(once)).where("rank = 1").join(prevs.withColumnRenamed("key", "own"), F.col("key") == F.col("own"))
     sent = sent.select(F.col("prev_key").alias("key"), F.substring("text", F.lit(1), half(F.col("prev_n"))).alias("head"), F.col("fp").alias("next_fp"))
     size = F.char_length("text")
