@@ -1,4 +1,6 @@
 """Registered queries over the driver's tables, and the same rows as SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import desk, knowledge
+
+QUERIES = desk.QUERIES | knowledge.QUERIES
+ORACLES = desk.ORACLES | knowledge.ORACLES
