@@ -30,7 +30,7 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), budget=1.5, max_repeats=2) -> DataFrame:
-    """(mx_none, mx_src, source_size, source_rows, target) of each source: weighted shares of
+    """(mx_none, mx_src, source_size, source_rows, all_rows, target) of each source: weighted shares of
     ``budget`` times all words, no target above ``max_repeats`` times its source, excess reshared.
 
     The reshare has a closed form: sources sorted by cap over weight fill up in that order, and
@@ -51,7 +51,7 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), budget=1.5, max_repeats=
         .withColumn("open_w", F.sum(F.when(~F.col("full"), F.col("w"))).over(everything))
     )
     target = F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * F.col("spare") / F.col("open_w"))
-    return per.select("mx_none", "mx_src", "source_size", "source_rows", target.alias("target"))
+    return per.select("mx_none", "mx_src", "source_size", "source_rows", F.sum("source_rows").over(everything).alias("all_rows"), target.alias("target"))
 
 
 def schedule(docs: DataFrame, doc_id="doc_id", source="source", size="size", seed="mix", **shares) -> DataFrame:
@@ -72,7 +72,12 @@ def schedule(docs: DataFrame, doc_id="doc_id", source="source", size="size", see
     # An order-preserving bucket of the shuffle key: its leading 32 bits, scaled to the source's number of buckets.
     lead = F.conv(F.substring("mx_key", 1, 8), 16, 10).cast("long")
     buckets = F.ceil(F.col("source_rows") / F.lit(BUCKET_ROWS)).cast("long")
-    placed = keyed.join(targets, keys).withColumn("mx_bucket", F.shiftright(lead * buckets, 32))
+    # Sources with more than a partition's share of all rows, at most as many as there are partitions,
+    # are broadcast, so their rows stay where they are; the others meet their targets in a shuffle.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot, cold = (targets.where(F.expr(f"{sign} (source_rows * {n} > all_rows)")).drop("all_rows") for sign in ("", "NOT"))
+    apart = keyed.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    placed = keyed.join(F.broadcast(hot), keys).unionByName(apart).withColumn("mx_bucket", F.shiftright(lead * buckets, 32))
     by_bucket = Window.partitionBy(*keys).orderBy("mx_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy(*keys, "mx_bucket").agg(F.sum("mx_size").alias("mx_sum")).select(*keys, "mx_bucket", F.coalesce(F.sum("mx_sum").over(by_bucket), F.lit(0)).alias("mx_offset"))
     queue = Window.partitionBy(*keys, "mx_bucket").orderBy("mx_key", doc_id, "mx_size").rowsBetween(Window.unboundedPreceding, 0)
@@ -98,7 +103,9 @@ def mixture(docs: DataFrame, doc_id="doc_id", source="source", text="text", **sh
     least half of it, in the order of virtual finish times."""
     names = docs.columns
     inner = docs.select(F.struct(*names).alias("mx_row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("mx_text"))
-    timed = schedule(inner.withColumn("size", word_count(F.col("mx_text"))).drop("mx_text"), **shares)
+    # Stored with the sizes, so that the passes of the schedule read these and not the texts.
+    inner = stored(inner.withColumn("size", word_count(F.col("mx_text"))).drop("mx_text"), shared_folder(docs.sparkSession), "sized")
+    timed = schedule(inner, **shares)
     repeated = timed.where("copies > 0").withColumn("mx_pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     finish = F.col("virtual_finish") + F.col("mx_pass") * F.col("source_size") / F.col("target")
     return repeated.orderBy(finish, "doc_id").select("mx_row.*")
