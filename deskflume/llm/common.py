@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space that separates words (0x20 and 0x09-0x0D), as a regular-expression class body.
 BLANKS = r"\x20\x09-\x0D"
@@ -40,3 +41,17 @@ def fresh(taken, base: str) -> str:
     while name.lower() in used:
         name += "_"
     return name
+
+
+def joined_by_rows(left: DataFrame, right: DataFrame, key: str, rows: str, total: int) -> DataFrame:
+    """Inner join; ``right`` has one row a key, whose column ``rows`` counts its rows among the
+    ``total`` of ``left``.
+
+    Keys with more than a partition's share of all rows are fewer than there are partitions, so
+    they are broadcast at any input and their rows stay where they are; the rest is shuffled.
+    """
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    frequent = F.col(rows) * n > total
+    hot, cold = right.where(frequent).drop(rows), right.where(~frequent).drop(rows)
+    apart = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(F.broadcast(hot), key).unionByName(apart.join(cold, key))

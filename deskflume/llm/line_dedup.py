@@ -9,7 +9,8 @@ with their document: the exact check counts documents and picks the smallest doc
 Scale: the filters have a fixed size (``BITS``), so what is collected and broadcast is 32 MB at any
 input; a corpus with many more lines than bits only weakens the pruning - more lines are shuffled
 for the exact check, the result stays the same. No group is ever gathered: a repeated line is
-found from the minimum and maximum of its doc_ids, which are partially aggregated.
+found from the minimum and maximum of its doc_ids, which are partially aggregated, and the very
+frequent ones, fewer than there are partitions, go back to their documents by broadcast.
 
 Defined results: null or empty text is one empty line; a line's key is the line without ASCII
 white space at its ends, A-Z in lower case; keys under 10 code points always stay; a line repeated
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import documents, shared_folder, stored
+from .common import documents, joined_by_rows, shared_folder, stored
 
 BITS = 1 << 28
 MIN_CHARS = 10
@@ -121,8 +122,9 @@ def dedup_lines(docs: DataFrame, doc_id="doc_id", text="text", carry=None) -> Da
     base = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST)).alias("ld_id"), F.col(text).alias("ld_text"))
     shared = spark.sparkContext.broadcast(twice_filter(base, "ld_text"))
     suspects = stored(base.mapInArrow(_suspects(shared), "ld_id long, ld_key binary"), folder, "suspects")
-    firsts = suspects.groupBy("ld_key").agg(F.min("ld_id").alias("first"), F.max("ld_id").alias("last")).where("first < last")
-    drops = suspects.join(firsts, "ld_key").where("ld_id > first").groupBy("ld_id").agg(F.collect_set("ld_key").alias("ld_drop"))
+    firsts = suspects.groupBy("ld_key").agg(F.min("ld_id").alias("first"), F.max("ld_id").alias("last"), F.count("*").alias("ld_rows")).where("first < last").drop("last")
+    repeats = joined_by_rows(suspects, firsts, "ld_key", "ld_rows", suspects.count())
+    drops = repeats.where("ld_id > first").groupBy("ld_id").agg(F.collect_set("ld_key").alias("ld_drop"))
     rows = docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.coalesce(F.col(doc_id), F.lit(LAST)).alias("ld_id"), F.col(text).alias("ld_text"))
     joined = rows.join(drops, "ld_id", "left").select("row", "ld_text", "ld_drop")
     kind = rows.select("row").schema["row"].dataType.simpleString()
