@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import documents, shared_folder, stored
+from .common import documents, joined_by_rows, shared_folder, stored
 from .components import connected
 
 K = 64
@@ -253,9 +253,12 @@ def near_classes(docs: DataFrame, doc_id="doc_id", text="text", width=5, percent
         links = links.union(edges(blocks, "links-across"))
 
     labels = connected(links, folder, "all")
-    reps = real.groupBy("digest").agg(F.min("id").alias("rep"))
-    named = reps.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
-    joined = sketches.select("id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")
+    reps = real.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    named = reps.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"), "copies")
+    named = stored(named, folder, "classes")
+    of_class = joined_by_rows(real.select("digest", "id", "n"), named, "digest", "copies", real.count()).select("id", "n", "component")
+    alone = sketches.where("n = 0 OR id IS NULL").select("id", "n", F.lit(None).cast("long").alias("component"))
+    joined = of_class.union(alone)
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
 

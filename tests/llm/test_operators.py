@@ -9,7 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from deskflume.llm import bpe, lang_id, line_dedup, lm_score, media, mixing, near_dups, secret_scan, substrings, winnow
-from deskflume.llm.common import shared_folder
+from deskflume.llm.common import joined_by_rows, shared_folder
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, label string, removed string, score string"
@@ -211,6 +211,15 @@ def test_lines_against_brute_force(docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_join_deals_frequent_keys_by_broadcast(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 700).cast("long").alias("k"), "id")
+    counts = rows.groupBy("k").agg(F.count("*").alias("rows"), F.min("id").alias("first")).where("k <> 5")
+    got = joined_by_rows(rows, counts, "k", "rows", rows.count())
+    assert got.columns == ["k", "id", "first"]
+    want = rows.join(counts.drop("rows"), "k")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_secret_base_spans_and_entropy(spark):
     uuid = "123e4567-e89b-42d3-a456-426614174000"
     strong = "q7Zt0Lw9XbK2mVf4Rg8Yc1Pd6Hs3Nj5u"
