@@ -218,7 +218,8 @@ def near_classes(docs: DataFrame, doc_id="doc_id", text="text", width=5, percent
     posts = stored(postings(classes), folder, "postings")
     member = stored(memberships(posts), folder, "members")
     chunks = F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("chunks")
-    sizes = member.groupBy("centre").agg(chunks)
+    sizes = member.groupBy("centre").agg(chunks, F.count("*").alias("rows"))
+    total = member.count()
 
     # The texts of all members: a filter of fixed size spares the others the shuffle.
     needed = member.select(F.col("rep").alias("id")).distinct()
@@ -232,18 +233,18 @@ def near_classes(docs: DataFrame, doc_id="doc_id", text="text", width=5, percent
         dealt = full.repartition(n, "centre", "k").sortWithinPartitions("centre", "k")
         return stored(dealt.mapInArrow(_compare(width, percent), "a long, b long"), folder, name)
 
-    dealt = member.join(sizes, "centre").withColumn("k", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("long"))
+    dealt = joined_by_rows(member, sizes, "centre", "rows", total).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("long"))
     inside = dealt.where("rep <> centre").union(dealt.where("rep = centre").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1))))
     links = edges(inside.select("centre", "k", F.col("rep").alias("id"), F.col("rep").alias("part"), F.lit(False).alias("outside")), "links")
 
-    large = sizes.where("chunks > 1")
-    if not large.isEmpty():
+    if not sizes.where("chunks > 1").isEmpty():
+        large = sizes.where("chunks > 1").select("centre", "rows")
         labels = connected(links, folder, "inside")
         named = dealt.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("part", F.coalesce("label", "rep")).drop("label").where("chunks > 1")
-        heads = named.where("rep = centre").select("centre", F.col("part").alias("head"))
-        named = stored(named.join(heads, "centre").withColumn("outside", F.col("part") != F.col("head")), folder, "named")
-        outs = named.where("outside").groupBy("centre").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("outs"))
-        named = named.join(outs, "centre")
+        heads = named.where("rep = centre").select("centre", F.col("part").alias("head")).join(large, "centre")
+        named = stored(joined_by_rows(named, heads, "centre", "rows", total).withColumn("outside", F.col("part") != F.col("head")), folder, "named")
+        outs = named.where("outside").groupBy("centre").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("outs")).join(large, "centre")
+        named = joined_by_rows(named, outs, "centre", "rows", total)
         # Block (i, j): outsiders of chunk i against members of chunk j.
         j = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("j")
         i = F.explode(F.sequence(F.lit(0).cast("long"), F.col("outs").cast("long") - 1)).alias("i")
