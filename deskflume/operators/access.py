@@ -50,3 +50,23 @@ def readable(library: DataFrame, sources: DataFrame, grants: DataFrame, groups:
 
 def per_collection(library: DataFrame, ids: DataFrame) -> DataFrame:
     return library.join(ids, "id", "left_semi").groupBy("collection").agg(F.count("*").alias("readable")).where("readable > 0")
+
+
+#: What can be wrong with a draft's citations, in the order of the checks.
+REFUSALS = ("GONE", "SOURCE_OFF", "DARK", "CHUNK_GONE")
+
+
+def citation_check(citations: DataFrame, lib: DataFrame, sources: DataFrame, may_read: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(draft, refusal) of drafts with citations (draft, doc, chunk): the first check that any citation
+    fails, null if all hold. A null chunk cites the whole document."""
+    off = sources.where(F.col("state").isin("DISABLED", "PURGED")).select("source_id", F.lit(True).alias("off"))
+    known = lib.select(F.col("id").alias("doc"), "gone", "source_id").join(off, "source_id", "left")
+    rows = (
+        citations.join(known, "doc", "left")
+        .join(may_read.select(F.col("id").alias("doc"), F.lit(True).alias("open")), "doc", "left")
+        .join(chunks.select("doc", "chunk", F.lit(True).alias("held")), ["doc", "chunk"], "left")
+    )
+    fails = (F.col("gone"), F.col("off"), F.col("open").isNull(), F.col("chunk").isNotNull() & F.col("held").isNull())
+    rank = F.coalesce(*[F.when(bad, F.lit(k)) for k, bad in enumerate(fails)])
+    worst = rows.groupBy("draft").agg(F.min(rank).alias("rank"))
+    return worst.select("draft", F.get(F.array(*map(F.lit, REFUSALS)), F.col("rank")).alias("refusal"))

@@ -1,5 +1,6 @@
 """Knowledge, catalogue, graph and synchronisation queries."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import facts as K
@@ -124,11 +125,29 @@ def tier_drift(spark, sf):
 
 
 def minhash_pairs(spark, sf):
-    """Estimated against exact similarity of part names' word sets, within a brand."""
+    """Estimated against exact similarity of the word sets of each part's name and the next one's in its brand."""
     p = table(spark, sf, "part").select("p_partkey", "p_brand", F.array_distinct(F.split("p_name", "[ #]")).alias("w"))
     p = p.withColumn("sig", C.minhash(F.col("w"), 32))
-    a, b = (p.select(F.col("p_partkey").alias(k), "p_brand", F.col("w").alias(f"w{k}"), F.col("sig").alias(f"s{k}")).where("p_partkey <= 200") for k in "ab")
-    return a.join(b, "p_brand").where("a < b").select("a", "b", F.round(C.jaccard(F.col("wa"), F.col("wb")), 6).alias("exact"), C.estimated_jaccard(F.col("sa"), F.col("sb")).alias("estimate"))
+    after = F.lead(F.struct("p_partkey", "w", "sig")).over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    pairs = p.withColumn("next", after).where("next IS NOT NULL")
+    return pairs.select(F.col("p_partkey").alias("a"), F.col("next.p_partkey").alias("b"), F.round(C.jaccard(F.col("w"), F.col("next.w")), 6).alias("exact"), C.estimated_jaccard(F.col("sig"), F.col("next.sig")).alias("estimate"))
+
+
+def citations(spark, sf):
+    """Orders as drafts' citations: three or so a draft, of documents and chunks by arithmetic."""
+    k = F.col("o_orderkey")
+    return table(spark, sf, "orders").select(F.floor(k / 3).alias("draft"), (k % 211).alias("doc"), F.when(k % 4 > 0, k % 4 - 1).alias("chunk"))
+
+
+def citation_check(spark, sf):
+    lib, sources, _, _ = access_args(spark, sf)
+    pieces = F.greatest(F.ceil(F.char_length("text") / 400), F.lit(1))
+    chunks = lib.select(F.col("id").alias("doc"), F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("chunk"))
+    return A.citation_check(citations(spark, sf), lib, sources, readable(spark, sf, AGENT), chunks)
+
+
+def name_affinity(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.round(C.name_affinity(F.col("p_name"), F.col("p_type")), 6).alias("affinity"))
 
 
 QUERIES = {
@@ -161,6 +180,8 @@ QUERIES = {
     "U5_undirected_edges": lambda s, d: C.undirected(table(s, d, "orders").select((F.col("o_custkey") % 50).alias("a"), (F.col("o_orderkey") % 50).alias("b"), F.col("o_orderstatus").alias("kind"), F.col("o_totalprice").alias("weight"))),
     "G3_two_hops": two_hops,
     "Fh4_minhash_pairs": minhash_pairs,
+    "J20_citation_check": citation_check,
+    "Fs9_name_affinity": name_affinity,
     "R2_sync_changes": sync_changes,
     "S20_sync_upsert": sync_upsert,
     "R12_ticket_numbers": lambda s, d: R.numbered(table(s, d, "customer").select("c_custkey"), ["c_custkey"], 1000),
@@ -229,6 +250,9 @@ ORACLES = {
       e AS (SELECT a, b, weight FROM (SELECT a, b, weight FROM e0 UNION ALL SELECT b, a, weight FROM e0) WHERE b % 7 <> 0),
       h1 AS (SELECT b AS id, max(weight) AS c FROM e WHERE a IN (1, 2, 3) GROUP BY b), h2 AS (SELECT e.b AS id, max(weight * c) AS c FROM e JOIN h1 ON h1.id = e.a GROUP BY e.b)
       SELECT id, round(max(g), 6)::DOUBLE AS graph FROM (SELECT id, c * 0.6::DOUBLE AS g FROM h1 UNION ALL SELECT id, c * 0.36::DOUBLE FROM h2) GROUP BY id""",
+    "J20_citation_check": f"""WITH {_ACCESS}, c AS (SELECT o_orderkey // 3 AS draft, o_orderkey % 211 AS doc, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 4 - 1 END AS chunk FROM orders),
+      r AS (SELECT draft, CASE WHEN l.gone THEN 0 WHEN l.source_id = 3 THEN 1 WHEN doc NOT IN (SELECT id FROM by_agent) THEN 2 WHEN chunk > 0 AND chunk >= ceil(coalesce(length(l.text), 0) / 400.0) THEN 3 END AS k FROM c LEFT JOIN library l ON l.id = c.doc)
+      SELECT draft, ['GONE', 'SOURCE_OFF', 'DARK', 'CHUNK_GONE'][min(k) + 1] AS refusal FROM r GROUP BY draft""",
     "R2_sync_changes": f"SELECT CASE WHEN o.key IS NULL THEN 'added' WHEN n.key IS NULL THEN 'gone' WHEN o.version = n.version THEN 'unchanged' ELSE 'changed' END AS change, count(*)::BIGINT AS n FROM {_snap(OLD, 0)} o FULL JOIN {_snap(NEW, _MOVED)} n ON o.key = n.key GROUP BY 1",
     "S20_sync_upsert": f"SELECT key, version FROM {_snap(NEW, _MOVED)}",
     "R12_ticket_numbers": "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey)::BIGINT + 1000 AS number FROM customer",

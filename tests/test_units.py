@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from deskflume.functions import facts, text
 from deskflume.operators import access, catalog, desk, search
+from deskflume.plans import QUERIES
 from deskflume.sources import snapshots
 from deskflume.streaming import runs
 from deskflume.tables import NOW
@@ -71,6 +72,39 @@ def test_minhash_error(spark):
     assert abs(got - 700 / 1300) < 0.15 and zeros == [0] * 128
 
 
+def test_name_affinity(spark):
+    pairs = [("MARTHA", "marhta", 0.961111), ("dwayne", "duane", 0.84), ("abc", "xyz", 0.0), ("", "a", 0.0), ("Id", "Id", 1.0), (None, "a", None), ("dixon", "dicksonx", 0.813333), ("a", "a", 1.0)]
+    rows = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string, want double")
+    got = rows.select("k", F.round(catalog.name_affinity(F.col("a"), F.col("b")), 6).alias("got"), "want").collect()
+    assert len(got) == len(pairs) and all(r.got == r.want for r in got), got
+
+
+def plain_affinity(a, b):
+    if a == b:
+        return 1.0
+    a, b = a.lower(), b.lower()
+    reach, used, left = max(max(len(a), len(b)) // 2 - 1, 0), set(), []
+    for i, c in enumerate(a):
+        at = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if j not in used and b[j] == c), None)
+        if at is not None:
+            used.add(at)
+            left.append(c)
+    if not left:
+        return 0.0
+    m, right = len(left), [b[j] for j in sorted(used)]
+    base = (m / len(a) + m / len(b) + (m - sum(p != q for p, q in zip(left, right, strict=True)) / 2) / m) / 3
+    prefix = next((k for k in range(4) if a[k : k + 1] != b[k : k + 1] or not a[k : k + 1]), 4)
+    return base if base < 0.7 else base + prefix * 0.1 * (1 - base)
+
+
+def test_name_affinity_query_against_brute_force(spark):
+    """DuckDB's function rounds half transpositions down, so it is no oracle here."""
+    sf = "/root/testdata/sf0.001"
+    names = {r.p_partkey: plain_affinity(r.p_name, r.p_type) for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    got = {r.p_partkey: r.affinity for r in QUERIES["Fs9_name_affinity"](spark, sf).collect()}
+    assert got.keys() == names.keys() and all(abs(got[k] - names[k]) < 1e-6 for k in names)
+
+
 def test_crawls(spark):
     stored = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "key long, text string, version string")
     crawl = spark.createDataFrame([(2, "c", "z"), (3, "d", "w")], "key long, text string, version string")
