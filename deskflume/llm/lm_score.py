@@ -1,32 +1,41 @@
 """Operator 8: language-model scoring by cross-entropy difference.
 
-Two n-gram models are counted, one on target documents and one on all documents (the background).
-They match in everything but their text: one vocabulary of ``SYMBOLS`` character symbols, order
-``ORDER``, the same interpolated smoothing, and the background's counts are scaled to the size of
-the target's. A document's score is the mean over its tokens (characters, in lower case) of the
-loss under the target model minus the loss under the background model, in bits: the lower, the
-more it resembles the target.
-
-Scale: counting is one pass over all text; tasks send sparse counts, which are summed in a shuffle
-that grows with the input. A model cannot have more than SYMBOLS ** ORDER (2.56 million) numbers,
-so the tables are collected and broadcast at 10 MB each. Target documents are found by a Bloom
-filter of fixed size over their ids, then an exact semi-join of the few that pass. Scoring is one
-pass without a shuffle.
-
-Defined results: null and empty texts have no tokens and null losses and score; without target
-text all scores are null; repeated rows are counted and scored each; other columns are ignored; an
-empty table gives no rows.
+Words (runs of letters and digits in lower case; each other mark and each character of a script
+without spaces is one of its own) and pairs of neighbouring words are counted in the target
+documents and in all documents (the background). The vocabulary of either order is every n-gram of
+the corpus, whatever its number. Both models add one to each count over that vocabulary, and the
+background's counts are scaled to the size of the target's. A document's score is the mean over its
+n-grams of the loss under the target model minus the loss under the background model, in bits: the
+lower, the more it resembles the target.
+
+Scale: n-grams travel as 64-bit hashes. Tasks send their counts added up, which are summed in a
+shuffle and stored as a Parquet table that grows with the corpus. A pass over the texts looks up the
+frequent n-grams in a broadcast table: those with at least 1 / HOT of their order's occurrences,
+hence at most HOT an order at any input. All others are joined with the stored table, and the
+losses are summed by row. Target documents are found by a Bloom filter of fixed size over their
+ids, then an exact semi-join of the few that pass.
+
+``counts``, ``losses``, ``models`` and ``score`` are a model of fixed size on SYMBOLS character
+symbols; op8 does not use them.
+
+Defined results: null and empty texts, and texts of white space, have no tokens and null losses and
+score; without target text all scores are null; repeated rows are counted and scored each; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import documents
+from .common import documents, shared_folder, stored
 
 SYMBOLS = 40
 ORDER = 4
@@ -42,6 +51,16 @@ _ASCII[[9, 11, 12, 13, 32]] = 28
 _ASCII[10] = 29
 _ASCII[[46, 44, 39]] = [30, 31, 32]
 SHARED = SYMBOLS - 34
+#: A word, a character of a script without spaces between words, or any other mark.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+TOKEN = re.compile(rf"[{_UNSPACED}]|(?:(?![{_UNSPACED}])\w)+|\S")
+WORD_ORDERS = 2
+#: At most so many n-grams of an order are broadcast.
+HOT = 50_000
+#: N-grams that a task holds at once, and words whose hashes it remembers.
+HELD, REMEMBERED = 2_000_000, 300_000
+#: Rows that are scored at once.
+ROWS = 500
 
 
 def grams(text: str) -> np.ndarray:
@@ -127,8 +146,123 @@ def labelled(docs: DataFrame, ids: DataFrame, doc_id="doc_id") -> DataFrame:
     return docs.where(may(F.col(doc_id))).join(ids, doc_id, "left_semi")
 
 
+class Hasher:
+    """Hashes of the n-grams of texts: one array an order, each as long as the text has tokens."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def __call__(self, text: str | None) -> list[np.ndarray]:
+        tokens = TOKEN.findall(text.lower()) if text else []
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known = self.known
+        for w in tokens:
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        words = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+        out = [words]
+        for back in range(1, WORD_ORDERS):
+            before = np.zeros(len(words), np.uint64)  # 0 stands before a text
+            before[back:] = words[: len(words) - back]
+            mixed = (out[-1] ^ (out[-1] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + before
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            out.append(mixed ^ (mixed >> np.uint64(32)))
+        return out
+
+
+def _sums(held: list[list[np.ndarray]]):
+    for k, own in enumerate(held):
+        if own:
+            at, n = np.unique(np.concatenate(own), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k + 1, np.int32)), pa.array(at.view(np.int64)), pa.array(n)], names=["size", "gram", "n"])
+
+
+def _count_words(batches):
+    hashes, held, n = Hasher(), [[] for _ in range(WORD_ORDERS)], 0
+    for b in batches:
+        for t in b.column(0).to_pylist():
+            for k, own in enumerate(hashes(t)):
+                if len(own):
+                    held[k].append(own)
+                    n += len(own)
+            if n > HELD:
+                yield from _sums(held)
+                held, n = [[] for _ in range(WORD_ORDERS)], 0
+    yield from _sums(held)
+
+
+def word_counts(target: DataFrame, background: DataFrame, text="text") -> DataFrame:
+    """(size, gram, near, every): occurrences of each n-gram in the target and in the background."""
+    kinds = "size int, gram long, n long"
+    near = target.select(text).mapInArrow(_count_words, kinds).select("size", "gram", F.col("n").alias("near"), F.lit(0).cast("long").alias("every"))
+    every = background.select(text).mapInArrow(_count_words, kinds).select("size", "gram", F.lit(0).cast("long").alias("near"), F.col("n").alias("every"))
+    return near.union(every).groupBy("size", "gram").agg(F.sum("near").alias("near"), F.sum("every").alias("every"))
+
+
+def word_score(docs: DataFrame, counted: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score) by the stored table of word_counts."""
+    spark = docs.sparkSession
+    kind = docs.select(F.col(doc_id).alias("doc_id")).schema[0].dataType.simpleString()
+    totals = {r["size"]: r for r in counted.groupBy("size").agg(F.sum("near").alias("near"), F.sum("every").alias("every"), F.count("*").alias("grams")).collect()}  # one row an order
+    if not totals or not all(r["near"] for r in totals.values()):
+        sizes = F.udf(lambda t: len(TOKEN.findall(t.lower())) if t else 0, "long")
+        nothing = F.lit(None).cast("double")
+        return docs.select(F.col(doc_id).alias("doc_id"), sizes(F.col(text)).alias("n_tokens"), nothing.alias("target_loss"), nothing.alias("background_loss"), nothing.alias("score"))
+
+    def of(value):
+        return F.element_at(F.create_map(*[F.lit(x) for k, r in totals.items() for x in (k, float(value(r)))]), F.col("size"))
+
+    room = of(lambda r: r["near"] + r["grams"])
+    scale = of(lambda r: r["near"] / r["every"] if r["every"] else 0.0)
+    table = counted.select("size", "gram", "every", (-F.log2((F.col("near") + 1) / room)).alias("a"), (-F.log2((F.col("every") * scale + 1) / room)).alias("b"))
+    hot = F.col("every") * HOT >= of(lambda r: max(r["every"], 1))
+    found = [table.where(hot & (F.col("size") == k)).select("gram", "a", "b").orderBy("gram").toArrow() for k in range(1, WORD_ORDERS + 1)]
+    frequent = spark.sparkContext.broadcast([tuple(t[c].to_numpy() for c in ("gram", "a", "b")) for t in found])
+
+    def run(batches):
+        hashes, row = Hasher(), TaskContext.get().partitionId() << 40
+        for b in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
+            sizes, grams, rows, times = [np.zeros(b.num_rows, np.int32)], [row + np.arange(b.num_rows)], [row + np.arange(b.num_rows)], [np.zeros(b.num_rows, np.int64)]
+            tokens, near, every = (np.zeros(b.num_rows, d) for d in (np.int64, float, float))
+            for j, t in enumerate(b.column(1).to_pylist()):
+                for k, own in enumerate(hashes(t)):
+                    tokens[j] = len(own)
+                    at, n = np.unique(own.view(np.int64), return_counts=True)
+                    keys, a, c = frequent.value[k]
+                    if len(keys) and len(at):
+                        place = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
+                        known = keys[place] == at
+                        near[j] += n[known] @ a[place[known]]
+                        every[j] += n[known] @ c[place[known]]
+                        at, n = at[~known], n[~known]
+                    sizes.append(np.full(len(at), k + 1, np.int32))
+                    grams.append(at)
+                    rows.append(np.full(len(at), row + j))
+                    times.append(n)
+            row += b.num_rows
+            rest = sum(map(len, sizes)) - b.num_rows
+            # the first rows are the documents with what the frequent n-grams add, the others their other n-grams
+            ids = pa.concat_arrays([b.column(0), pa.nulls(rest, b.column(0).type)])
+            own = [pa.concat_arrays([pa.array(v), pa.nulls(rest, pa.array(v).type)]) for v in (tokens, near, every)]
+            columns = [ids, *own, *(pa.array(np.concatenate(v)) for v in (rows, sizes, grams, times))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "near", "every", "row", "size", "gram", "n"])
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(run, f"doc_id {kind}, n_tokens long, near double, every double, row long, size int, gram long, n long")
+    unseen = -F.log2(1 / room)
+    joined = rows.join(table.where(~hot).select("size", "gram", "a", "b"), ["size", "gram"], "left")
+
+    def loss(own, looked_up):
+        return F.sum(F.coalesce(F.col(own), F.col("n") * F.coalesce(F.col(looked_up), unseen)))
+
+    sums = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), loss("near", "a").alias("near"), loss("every", "b").alias("every"))
+    grams = F.when(F.col("n_tokens") > 0, F.col("n_tokens") * WORD_ORDERS)
+    return sums.select("doc_id", "n_tokens", (F.col("near") / grams).alias("target_loss"), (F.col("every") / grams).alias("background_loss"), ((F.col("near") - F.col("every")) / grams).alias("score"))
+
+
 def op8(spark, sf_dir):
     """All documents against those labelled as good."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
-    return score(docs, models(labelled(docs, good), docs))
+    counted = stored(word_counts(labelled(docs, good), docs), shared_folder(spark), "word-counts")
+    return word_score(docs, counted)

@@ -280,6 +280,43 @@ def test_lm_counts_and_odd_rows(docs, none):
     assert lm_score.score(none, None).count() == 0
 
 
+def test_lm_words_against_plain_counts(spark, none, monkeypatch):
+    from collections import Counter
+
+    # words outside ASCII, figures, and words that differ beyond four characters have counts of their own
+    rows = [(1, "красный дом 2024"), (2, "красный сад 2025"), (3, "漢字仮名"), (4, "漢字漢字 internationally"), (5, "internationalise"), (5, "internationalise"), (None, None), (7, " \n"), (8, "красный дом 2024 the the")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm_score, "HOT", 10)  # some n-grams are frequent, the others are joined
+
+    def grams(t):
+        w = re.findall("[漢字仮名]|[^\\s漢字仮名]+", t or "")
+        return [[(x,) for x in w], list(zip([None, *w[:-1]], w))]
+
+    def plain(of, order):
+        return Counter(g for i, t in rows if of(i) for g in grams(t)[order])
+
+    target = {1, 4}
+    near, every = ([plain(of, k) for k in (0, 1)] for of in (lambda i: i in target, lambda i: True))
+    counted = lm_score.stored(lm_score.word_counts(docs.where("doc_id in (1, 4)"), docs), shared_folder(spark), "counts")
+    assert counted.count() == sum(map(len, every))
+    want = []
+    for i, t in rows:
+        a = b = 0.0
+        for k, own in enumerate(grams(t)):
+            n, m, room = sum(near[k].values()), sum(every[k].values()), sum(near[k].values()) + len(every[k])
+            a -= sum(math.log2((near[k][g] + 1) / room) for g in own)
+            b -= sum(math.log2((every[k][g] * n / m + 1) / room) for g in own)
+        tokens = len(grams(t)[0])
+        want.append((i, tokens, *((round(v / tokens / 2, 9) for v in (a, b, a - b)) if tokens else [None] * 3)))
+    got = [(r[0], r[1], *(None if v is None else round(v, 9) for v in r[2:])) for r in lm_score.word_score(docs, counted).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    by_id = {r[0]: r[4] for r in got}
+    assert by_id[1] < by_id[2] and by_id[4] < by_id[3]
+    nobody = lm_score.word_counts(none, docs)
+    assert all(r.score is None for r in lm_score.word_score(docs, nobody).collect())
+    assert lm_score.word_score(none, counted).count() == 0
+
+
 def test_mix_meets_targets(docs, none, spark):
     rows = mixing.mix_report(spark.read.parquet(f"{SF}/documents.parquet").drop("n_chars")).collect()
     by_target = {}
