@@ -4,10 +4,13 @@ A document is cut into units: lines, and inside a line paragraphs that begin whe
 neighbouring words is smallest among ``REACH`` words to either side. Such a border depends on the
 words around it alone, so a passage that several documents share is cut alike in all of them,
 wherever it stands in their lines. Units are normalised (A-Z lower-cased, white space squeezed) and
-digests of those with at least ``MIN_WORDS`` words are grouped globally. The earliest occurrence,
-by document and then place, stays; all others are removed. What stays keeps its original offsets.
+digests of those with at least ``MIN_WORDS`` words are grouped globally. Beside these parts, whole
+lines and blocks of lines between blank ones are units too, with any number of words, from
+``MIN_BYTES`` bytes on (four Chinese characters). The earliest occurrence, by document and then
+place, stays; all others are removed. What stays keeps its original offsets.
 
 Cutting at line ends alone finds none of the passages that stand inside lines, hence the paragraphs.
+The ends of such a passage, up to its first and from its last border, stay.
 
 Scale: one pass finds the units, which travel as 128-bit digests with their places (no text).
 Digests are grouped with partial aggregation, so a unit that a third of all documents hold is one
@@ -15,7 +18,8 @@ row from each task; the join back is an ordinary equi-join with the repeated dig
 skewed side Spark splits. Removed spans are grouped by document, a bounded list for each.
 
 Defined results: null and empty texts have no units; a unit repeated inside its first document is
-removed there as well; rows without doc_id come last; rows of one doc_id with equal places count
+removed there as well; a unit inside another that is removed is listed among the repeated spans,
+but not in ``removed``; rows without doc_id come last; rows of one doc_id with equal places count
 once and lose the same spans; other columns are kept, but for ``removed`` and ``kept``, which are
 replaced; an empty table gives no rows.
 """
@@ -32,6 +36,8 @@ from .common import documents, fresh, shared_folder, stored
 
 REACH = 5
 MIN_WORDS = 6
+#: Least size of whole lines and blocks.
+MIN_BYTES = 10
 LAST = (1 << 63) - 1
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -81,8 +87,9 @@ def unit_starts(hashes: np.ndarray, fresh_line: np.ndarray) -> np.ndarray:
     return np.flatnonzero(least | fresh_line)
 
 
-def units(text: str) -> list[tuple[bytes, int, int, int]]:
-    """(digest, start, end, words) of the units of at least MIN_WORDS words; offsets in code points."""
+def units(text: str, whole: bool = True) -> list[tuple[bytes, int, int, int]]:
+    """(digest, start, end, words) of the parts of at least MIN_WORDS words and, with ``whole``, of
+    the lines and blocks of at least MIN_BYTES bytes; offsets in code points."""
     raw = text.encode()
     data = np.frombuffer(raw, np.uint8)
     starts, ends = word_spans(data)
@@ -90,29 +97,37 @@ def units(text: str) -> list[tuple[bytes, int, int, int]]:
         return []
     hashes = word_hashes(data, starts, ends)
     lines = np.cumsum(data == 10)[starts]
-    first = unit_starts(hashes, np.concatenate([[True], lines[1:] != lines[:-1]]))
-    after = np.concatenate([first[1:], [len(starts)]])
+    fresh_line = np.concatenate([[True], lines[1:] != lines[:-1]])
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     own = hashes.tobytes()
-    return [
-        (xxhash.xxh3_128_digest(own[8 * a : 8 * b]), int(chars[starts[a]]), int(chars[ends[b - 1]]), b - a)
-        for a, b in zip(first.tolist(), after.tolist(), strict=True)
-        if b - a >= MIN_WORDS
-    ]
 
+    def spans(first):
+        return zip(first.tolist(), [*first[1:].tolist(), len(starts)], strict=True)
 
-def _units(batches):
-    for b in batches:
-        rows = [(i, *u) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for u in units(t)]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "digest", "start", "end", "words"])
+    found = {(a, b) for a, b in spans(unit_starts(hashes, fresh_line)) if b - a >= MIN_WORDS}
+    if whole:
+        fresh_block = np.concatenate([[True], lines[1:] > lines[:-1] + 1])
+        size = np.concatenate([[0], np.cumsum(ends - starts + 1)])  # with the blank after each word
+        found |= {(a, b) for first in (fresh_line, fresh_block) for a, b in spans(np.flatnonzero(first)) if size[b] - size[a] > MIN_BYTES}
+    return [(xxhash.xxh3_128_digest(own[8 * a : 8 * b]), int(chars[starts[a]]), int(chars[ends[b - 1]]), b - a) for a, b in sorted(found)]
 
 
-def repeated_spans(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
-    """(id, start, end, words, first_id): every repeated unit but its earliest occurrence; a null id is LAST."""
+def _units(whole: bool):
+    def run(batches):
+        for b in batches:
+            rows = [(i, *u) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for u in units(t, whole)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "digest", "start", "end", "words"])
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, doc_id="doc_id", text="text", whole: bool = False) -> DataFrame:
+    """(id, start, end, words, first_id): every repeated unit but its earliest occurrence; a null id is LAST.
+    ``whole``: whole lines and blocks as well."""
     base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("text"))
-    found = stored(base.mapInArrow(_units, "id long, digest binary, start int, end int, words int"), shared_folder(docs.sparkSession), "units")
+    found = stored(base.mapInArrow(_units(whole), "id long, digest binary, start int, end int, words int"), shared_folder(docs.sparkSession), "units")
     place = F.struct("id", "start")
     groups = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("digest", "first")
     later = found.join(groups, "digest").where(place > F.col("first"))
@@ -122,11 +137,16 @@ def repeated_spans(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
 def remove_repeats(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """``docs`` with two more columns: removed (spans with the document that keeps each, in order)
     and kept (stretches of text with their original offsets, in order)."""
-    spans = repeated_spans(docs, doc_id, text).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "words", "first_id"))).alias("removed"))
+    held = F.sort_array(F.collect_list(F.struct("start", (-F.col("end")).alias("back"), "end", "words", "first_id")))
+    spans = repeated_spans(docs, doc_id, text, True).groupBy("id").agg(held.alias("removed"))
+    kind = "array<struct<start:int,end:int,words:int,first_id:bigint>>"
+    bare = F.transform("removed", lambda x: F.struct(x["start"], x["end"], x["words"], x["first_id"]).cast(kind[6:-1]))
+    outer = F.aggregate(bare, F.array().cast(kind), lambda out, x: F.when(x["end"] > F.coalesce(F.try_element_at(out, F.lit(-1))["end"], F.lit(-1)), F.concat(out, F.array(x))).otherwise(out))
+    spans = spans.withColumn("removed", outer)
     key = fresh(docs.columns, "sd_id")
     docs = docs.drop("removed", "kept")
     joined = docs.withColumn(key, F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))).join(spans.withColumnRenamed("id", key), key, "left").drop(key)
-    empty = F.array().cast("array<struct<start:int,end:int,words:int,first_id:bigint>>")
+    empty = F.array().cast(kind)
     removed = F.coalesce("removed", empty)
     ends = F.concat(F.array(F.lit(0)), F.transform(removed, lambda x: x["end"]))
     starts = F.concat(F.transform(removed, lambda x: x["start"]), F.array(F.char_length(F.coalesce(F.col(text), F.lit("")))))
@@ -137,5 +157,5 @@ def remove_repeats(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
 
 def op4(spark, sf_dir):
     """One row a removed span of each document."""
-    spans = repeated_spans(documents(spark, sf_dir))
+    spans = repeated_spans(documents(spark, sf_dir), whole=True)
     return spans.select(F.col("id").alias("doc_id"), F.col("start").alias("span_start"), F.col("end").alias("span_end"), "words", F.col("first_id").alias("first_doc_id"))

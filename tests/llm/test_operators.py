@@ -165,6 +165,18 @@ def test_substrings_against_brute_force(spark):
     assert {tuple(r) for r in substrings.op4(spark, SF).collect()} == want
 
 
+def test_substrings_whole_lines(spark):
+    line, han = "All rights reserved.", "同じ行がもう一度ここに"
+    long = prose(6, 40)
+    rows = [(1, f"{line}\n{han}\nfirst own words\n\n{{\nx = 10;\n}}\n\n{long}"), (2, f"second own words\n  ALL rights  reserved.\n{long}\n\n{{\nx = 10;\n}}\n\n{han}"), (3, "}\nthird")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in substrings.remove_repeats(docs).collect()}
+    assert got[1].removed == [] and got[3].removed == []
+    gone = [rows[1][1][s.start : s.end] for s in got[2].removed]
+    assert gone == ["ALL rights  reserved.", long, "{\nx = 10;\n}", han]
+    assert "".join(k.text for k in got[2].kept).split()[:3] == ["second", "own", "words"]
+
+
 def test_media_round_trip(spark, docs, none):
     got = media.described(media.media_table(docs, shared_folder(spark))).collect()
     assert len(got) == len(ODD)
