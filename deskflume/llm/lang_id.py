@@ -234,7 +234,11 @@ def op1(spark, sf_dir):
 
 
 def reject(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents of no recognised language; learns from the documents themselves."""
+    """``docs`` without the documents of no recognised language; learns from the documents themselves.
+    With nothing to learn from, only those of null text or text without letters go."""
+    model = fit(docs.select("doc_id", "text", "lang"))
+    if not model[0]:
+        return docs.where(F.udf(lambda t: bool(stretches(t)), "boolean")(F.col("text")))
     name = fresh(docs.columns, "language")
-    marked = predict(docs, fit(docs.select("doc_id", "text", "lang")), into=name)
+    marked = predict(docs, model, into=name)
     return marked.where(F.col(name)["lang_pred"] != "und").drop(name)

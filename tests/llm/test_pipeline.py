@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -29,6 +30,20 @@ def test_stages_one_by_one(spark):
     assert corpus_pipeline.run(spark, SF).count() == len(want)
 
 
+def test_unlabelled_documents_stay(spark):
+    """With no labelled row to learn from, the language stage drops only what has no letters."""
+    from deskflume.llm.lang_id import held_out
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(-1, None, None, "s", 0), (-2, "12 34 !", "en", "s", 7), (None, "Слова есть", "ru", "s", 10)], docs.schema)
+    lettered = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    unlabelled = docs.union(odd).selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "source", "n_chars")
+    only_held_out = docs.union(odd).withColumn("lang", F.when(held_out(F.col("doc_id")), F.col("lang")))
+    for rows in (unlabelled, only_held_out):
+        got = corpus_pipeline.STAGES[0][1](spark, rows, SF)
+        assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == lettered | {None}
+
+
 @pytest.mark.parametrize("name", ["op3_minhash_near_dedup", "op6_line_dedup", "op9_source_mix"])
 def test_sql_gives_the_same_rows(spark, name):
     from deskflume.llm.queries import ORACLES, QUERIES
