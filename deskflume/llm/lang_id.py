@@ -5,15 +5,22 @@ by expectation maximisation; the probability of a word is the sum over all its s
 pieces, by the forward algorithm, and a document's is the product over its words. Only letters
 count; case does not.
 
+The forward pass pushes from each place of a word to the ends of the pieces that begin there. It
+follows only beginnings of pieces, so most substrings are never looked at, and keeps as many
+places as the longest piece has characters, rescaled as it goes: words of any length are summed
+whole.
+
 Scale: training takes about ``SAMPLE`` documents of each language (a bound, chosen by a hash of the
 id; all of them where there are fewer) and gathers distinct words with their counts; what comes
 back to the driver is one number for each language and piece. Scoring is one pass over the text
-without a shuffle. A task computes each distinct word once (forgotten beyond ``KNOWN_WORDS``).
-
-Defined results: ``und`` with score 0 for null text and text without letters; with no labelled
-document to learn from, ``und`` for all; ties go to the first language in code-point order; other
-columns are ignored; a row counts as held out by its id alone (null ids are held out); repeated
-rows are predicted alike; an empty table gives no rows.
+without a shuffle. A task splits ``ROWS`` texts at a time and computes each distinct word once
+(forgotten beyond ``KNOWN_WORDS``).
+
+Defined results: ``und`` with score 0 for null text and text without letters (number signs such as
+a half or a Roman numeral are none); with no labelled document to learn from, ``und`` for all; ties
+go to the first language in code-point order; other columns are ignored, and kept by ``predict``
+(one of the name of its result is replaced) and ``reject``; a row counts as held out by its id
+alone (null ids are held out); repeated rows are predicted alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,20 +37,22 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fresh
+from .common import documents, fresh, shared_folder, stored
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: Documents of each language in training, about.
 SAMPLE = 3000
 ROUNDS = 2
 FOLDS = 5
-#: Longest piece, and longest stretch of a word, in characters.
-PIECE = 10
-STRETCH = 24
 #: Added to each piece's expected count; probability of a character outside the vocabulary.
 PRIOR, UNKNOWN = 0.05, 1e-9
-KNOWN_WORDS = 500_000
-BLOCK = 8192
+#: Texts that are split at once; words whose scores a task remembers.
+ROWS = 100
+KNOWN_WORDS = 200_000
+#: Characters of the words that are summed side by side.
+BLOCK = 100_000
+#: Places between two rescalings: UNKNOWN ** RESCALE is far from underflow.
+RESCALE = 16
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
 
@@ -52,15 +61,15 @@ def pieces(path: str) -> list[str]:
     """Lower-case pieces of letters, with or without the mark of a word's start."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     every = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return sorted({x for x in every if len(x) <= PIECE and x == x.lower() and (x == START or x.lstrip(START).isalpha())})
+    return sorted({x for x in every if x == x.lower() and (x == START or x.lstrip(START).isalpha())})
 
 
 def stretches(text: str | None) -> list[str]:
-    """Words of letters in lower case behind the start mark; very long ones in several stretches."""
-    words = [START + w for w in LETTERS.findall((text or "").lower())]
-    if any(len(w) > STRETCH for w in words):
-        words = [w[i : i + STRETCH] for w in words for i in range(0, len(w), STRETCH)]
-    return words
+    """Words of letters in lower case behind the start mark."""
+    words = LETTERS.findall((text or "").lower())
+    if not all(map(str.isalpha, words)):  # number signs that are word characters
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
+    return [START + w for w in words]
 
 
 class Segmenter:
@@ -69,82 +78,95 @@ class Segmenter:
     FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, vocabulary: list[str]):
-        self.hashes = np.array([self._hash(x) for x in vocabulary], np.uint64)
-        self.order = np.argsort(self.hashes)
-        self.hashes = self.hashes[self.order]
-        self.lengths = {len(x) for x in vocabulary}
         self.n = len(vocabulary)
-
-    def _hash(self, piece: str) -> np.uint64:
-        h = np.zeros(1, np.uint64)
-        for c in piece:
-            h = (h + np.uint64(ord(c) + 1)) * self.FACTOR
-        return h[0]
-
-    def _places(self, block: np.ndarray):
-        """(start, end, piece numbers; n where no piece fits) for all substrings of the block's words."""
-        width = block.shape[1]
-        h = np.zeros(block.shape, np.uint64)
-        for size in range(1, min(PIECE, width) + 1):
-            m = width - size + 1
-            h = (h[:, :m] + block[:, size - 1 :] + np.uint64(1)) * self.FACTOR
-            if size not in self.lengths:
-                continue
-            for i in range(m):
-                at = np.searchsorted(self.hashes, h[:, i])
-                at[at == self.n] = 0
-                yield i, i + size, np.where(self.hashes[at] == h[:, i], self.order[at], self.n)
+        self.longest = max(map(len, vocabulary), default=1)
+        number, begins = {}, set()
+        for k, piece in enumerate(vocabulary):
+            h = 0
+            for c in piece:
+                h = (h + ord(c) + 1) * int(self.FACTOR) & 0xFFFFFFFFFFFFFFFF
+                begins.add(h)
+            number[h] = k
+        self.begins = np.array(sorted(begins) or [0], np.uint64)
+        #: The piece that each beginning is, or n.
+        self.piece = np.array([number.get(int(h), self.n) for h in self.begins], np.int64)
 
     def blocks(self, words: list[str]):
         """(numbers of words, code points) by word length."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         for size in np.unique(sizes):
             own = np.flatnonzero(sizes == size)
-            for lo in range(0, len(own), BLOCK):
-                at = own[lo : lo + BLOCK]
+            rows = max(1, BLOCK // int(size))
+            for lo in range(0, len(own), rows):
+                at = own[lo : lo + rows]
                 flat = "".join([words[i] for i in at])
                 yield at, np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(len(at), size)
 
-    def _by_end(self, block):
-        places: dict[int, list] = {}
-        for i, j, found in self._places(block):
-            places.setdefault(j, []).append((i, found))
-        return places
-
-    def _forward(self, block, table, places):
-        """alpha[:, j]: the probability of the first j characters. table: a row a piece and a last one of zeros."""
+    def _from(self, block: np.ndarray, i: int):
+        """(end, rows, piece numbers) of the pieces that begin at place i."""
+        rows, h = np.arange(len(block)), np.zeros(len(block), np.uint64)
+        for j in range(i, min(i + self.longest, block.shape[1])):
+            h = (h + block[rows, j] + np.uint64(1)) * self.FACTOR
+            at = np.searchsorted(self.begins, h)
+            at[at == len(self.begins)] = 0
+            known = self.begins[at] == h
+            rows, h, found = rows[known], h[known], self.piece[at[known]]
+            if not len(rows):
+                return
+            whole = found < self.n
+            if whole.any():
+                yield j + 1, rows[whole], found[whole]
+
+    def _forward(self, block, table, keep=None):
+        """Log probabilities of the words. keep: a list that gets (alpha, log scale, steps) of each place."""
         n, width = block.shape
-        alpha = np.zeros((width + 1, n, table.shape[1]))
-        alpha[0] = 1
-        for j in range(1, width + 1):
-            for i, found in places.get(j, ()):
-                if (found < self.n).any():
-                    alpha[j] += alpha[i] * table[found]
-            alpha[j] += alpha[j - 1] * UNKNOWN
-        return alpha
+        log = np.zeros((n, table.shape[1]))
+        ahead = {0: np.ones((n, table.shape[1]))}
+        for i in range(width):
+            here = ahead.pop(i)
+            if i and i % RESCALE == 0:
+                log = log + np.log(here)
+                for k in ahead:
+                    ahead[k] = ahead[k] / here
+                here = np.ones_like(here)
+            steps = list(self._from(block, i))
+            for j, rows, found in steps:
+                ahead.setdefault(j, np.zeros_like(here))[rows] += here[rows] * table[found]
+            if i + 1 in ahead:
+                ahead[i + 1] += here * UNKNOWN
+            else:
+                ahead[i + 1] = here * UNKNOWN
+            if keep is not None:
+                keep.append((here, log, steps))
+        return log + np.log(ahead[width])
 
     def log_probabilities(self, words: list[str], table: np.ndarray) -> np.ndarray:
+        """table: a row a piece and a last one of zeros."""
         out = np.empty((len(words), table.shape[1]))
         for at, block in self.blocks(words):
-            out[at] = np.log(self._forward(block, table, self._by_end(block))[-1])
+            out[at] = self._forward(block, table)
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece: counts has a row a word, a column a language."""
         out = np.zeros((self.n + 1, table.shape[1]))
         for at, block in self.blocks(words):
-            places = self._by_end(block)
-            alpha = self._forward(block, table, places)
+            keep: list = []
+            total = self._forward(block, table, keep)
             width = block.shape[1]
-            beta = np.zeros_like(alpha)
-            beta[width] = counts[at] / alpha[width]
-            for j in range(width, 0, -1):
-                for i, found in places.get(j, ()):
-                    if (found < self.n).any():
-                        flow = table[found] * beta[j]
-                        np.add.at(out, found, flow * alpha[i])
-                        beta[i] += flow
-                beta[j - 1] += beta[j] * UNKNOWN
+            # beta[j]: what follows place j, over the word's probability, on the scale of alpha at j
+            behind = {width: (counts[at], total)}
+            for i in range(width - 1, -1, -1):
+                here, log, steps = keep.pop()
+                beta, scale = behind[i + 1]
+                beta = beta * UNKNOWN * np.exp(log - scale)
+                for j, rows, found in steps:
+                    after, scale = behind[j]
+                    flow = table[found] * after[rows] * np.exp(log[rows] - scale[rows])
+                    np.add.at(out, found, flow * here[rows])
+                    beta[rows] += flow
+                behind[i] = (beta, log)
+                behind.pop(i + self.longest, None)
         return out[:-1]
 
 
@@ -174,15 +196,17 @@ def fit(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", vocabulary:
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(c)), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
 
     counted = chosen.mapInArrow(count, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
-    words = counted.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n")).persist()  # at most one entry a language
+    words = counted.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"))  # at most one entry a language
+    words = stored(words, shared_folder(spark), "training-words")
     table = np.full((len(vocab) + 1, len(langs)), 1 / len(vocab))
     table[-1] = 0
+    segmenter = spark.sparkContext.broadcast(Segmenter(vocab))
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(table)
 
         def expect(batches, shared=shared):
-            seg, total = Segmenter(vocab), np.zeros((len(vocab), len(langs)))
-            for b in batches:
+            seg, total = segmenter.value, np.zeros((len(vocab), len(langs)))
+            for b in (whole.slice(k, 5000) for whole in batches for k in range(0, whole.num_rows, 5000)):
                 counts = np.array([[dict(n or ()).get(k, 0) for k in langs] for n in b.column(1).to_pylist()], float).reshape(-1, len(langs))
                 total += seg.expected(b.column(0).to_pylist(), counts, shared.value)
             at = np.flatnonzero(total.any(axis=1))
@@ -193,34 +217,36 @@ def fit(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", vocabulary:
         counts = np.full((len(vocab), len(langs)), PRIOR)
         counts[sums["piece"].to_numpy(np.int64)] += sums.drop(columns="piece").to_numpy(float)
         table = np.vstack([counts / counts.sum(axis=0), np.zeros(len(langs))])
-    words.unpersist()
     return langs, table
 
 
 def predict(docs: DataFrame, model, text="text", into="language", vocabulary: str = VOCABULARY) -> DataFrame:
     """``docs`` with one more column, a struct of lang_pred and score (the posterior probability)."""
     langs, table = model
-    vocab = pieces(vocabulary)
+    segmenter = docs.sparkSession.sparkContext.broadcast(Segmenter(pieces(vocabulary)))
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(texts_by_batch: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        seg, known, scores = Segmenter(vocab), {}, np.empty((0, len(langs)))
+        seg, known, scores = segmenter.value, {}, np.empty((0, len(langs)))
         for texts in texts_by_batch:
-            if len(known) > KNOWN_WORDS:
-                known, scores = {}, scores[:0]
-            split = [stretches(t) for t in texts]
-            unseen = list({w for own in split for w in own if w not in known})
-            known.update(zip(unseen, range(len(known), len(known) + len(unseen)), strict=True))
-            if langs:
-                scores = np.vstack([scores, seg.log_probabilities(unseen, shared.value)])
             out = []
-            for own in split:
-                if not own or not langs:
-                    out.append(("und", 0.0))
-                    continue
-                total = scores[np.fromiter(map(known.__getitem__, own), np.int64, len(own))].sum(axis=0)
-                best = int(total.argmax())
-                out.append((langs[best], float(1 / np.exp(total - total[best]).sum())))
+            for lo in range(0, len(texts), ROWS):
+                split = [stretches(t) for t in texts.iloc[lo : lo + ROWS]]
+                unseen = list({w for own in split for w in own if w not in known}) if langs else []
+                if len(known) + len(unseen) > KNOWN_WORDS:
+                    known, unseen = {}, list({w for own in split for w in own})
+                n = len(known)
+                known.update(zip(unseen, range(n, n + len(unseen)), strict=True))
+                if len(known) > len(scores):
+                    scores = np.concatenate([scores, np.empty((len(known), len(langs)))])
+                scores[n : len(known)] = seg.log_probabilities(unseen, shared.value)
+                for own in split:
+                    if not own or not langs:
+                        out.append(("und", 0.0))
+                        continue
+                    total = scores[np.fromiter(map(known.__getitem__, own), np.int64, len(own))].sum(axis=0)
+                    best = int(total.argmax())
+                    out.append((langs[best], float(1 / np.exp(total - total[best]).sum())))
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
     language = F.pandas_udf(run, "lang_pred string, score double")

@@ -64,6 +64,54 @@ def test_language_sums_all_segmentations():
 
     words = ["▁ab", "▁abab", "▁b", "▁zab"]
     assert np.allclose(seg.log_probabilities(words, table)[:, 0], [math.log(total(w)) for w in words])
+    # words of any length are summed whole, beyond the range of a double as well
+    for w in ("▁" + "ab" * 30, "▁" + "z" * 60 + "ab" * 300):
+        sums = [0.0]
+        for j in range(1, len(w) + 1):
+            terms = [sums[i] + math.log(p[w[i:j]]) for i in range(max(0, j - 2), j) if w[i:j] in p] + [sums[j - 1] + math.log(1e-9)]
+            sums.append(max(terms) + math.log(sum(math.exp(x - max(terms)) for x in terms)))
+        assert math.isclose(seg.log_probabilities([w], table)[0, 0], sums[-1], rel_tol=1e-9)
+        uses = seg.expected([w], np.ones((1, 1)), table)[:, 0]
+        step = 1e-6
+        for k, v in enumerate(vocab):  # expected uses are derivatives of the log probability
+            more = table.copy()
+            more[k] *= 1 + step
+            slope = (seg.log_probabilities([w], more)[0, 0] - sums[-1]) / math.log(1 + step)
+            assert math.isclose(uses[k], slope, rel_tol=1e-3, abs_tol=1e-3), (w, v)
+
+
+def test_language_letters_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "½ ² ① Ⅷ 12", "en", "x"), (2, "ⅷ½and a half", "en", "y"), (3, "w" * 3000, "en", "z")], "doc_id long, text string, lang string, language string")
+    got = {r.doc_id: r for r in lang_id.predict(docs, lang_id.fit(docs)).collect()}
+    assert got[1].language.lang_pred == "und" and got[1].language.score == 0
+    assert got[2].language.lang_pred == got[3].language.lang_pred == "en"
+    assert lang_id.stretches("ⅷ½and a ½half") == ["▁and", "▁a", "▁half"]
+    kept = lang_id.reject(docs)
+    assert kept.columns == docs.columns and {(r.doc_id, r.language) for r in kept.collect()} == {(2, "y"), (3, "z")}
+
+
+def test_language_prediction_is_the_plain_product(spark):
+    """Scores of whole texts from the fitted table, by plain loops."""
+    import numpy as np
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    langs, table = lang_id.fit(docs)
+    number = {x: k for k, x in enumerate(lang_id.pieces(lang_id.VOCABULARY))}
+    assert langs == sorted(langs) and np.allclose(table.sum(axis=0), 1)
+
+    def plain(w):
+        sums = [np.ones(len(langs))]
+        for j in range(1, len(w) + 1):
+            sums.append(sums[-1] * 1e-9 + sum(sums[i] * table[number[w[i:j]]] for i in range(max(0, j - 20), j) if w[i:j] in number))
+        return np.log(sums[-1])
+
+    some = docs.where("doc_id % 40 = 3 and length(text) < 3000")
+    for r in lang_id.predict(some, (langs, table)).collect():
+        words = ["▁" + w for w in re.sub(r"[\W\d_]", " ", r.text.lower()).split()]
+        if words:
+            total = sum(plain(w) for w in words)
+            assert r.language.lang_pred == langs[int(total.argmax())]
+            assert math.isclose(r.language.score, 1 / np.exp(total - total.max()).sum(), rel_tol=1e-6)
 
 
 def test_language_odd_rows(docs, none):
