@@ -47,8 +47,8 @@ FOLDS = 5
 #: Added to each piece's expected count; probability of a character outside the vocabulary.
 PRIOR, UNKNOWN = 0.05, 1e-9
 #: Texts that are split at once; words whose scores a task remembers.
-ROWS = 100
-KNOWN_WORDS = 200_000
+ROWS = 400
+KNOWN_WORDS = 300_000
 #: Characters of the words that are summed side by side.
 BLOCK = 100_000
 #: Places between two rescalings: UNKNOWN ** RESCALE is far from underflow.
