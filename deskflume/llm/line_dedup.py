@@ -10,7 +10,9 @@ Scale: the filters have a fixed size (``BITS``), so what is collected and broadc
 input; a corpus with many more lines than bits only weakens the pruning - more lines are shuffled
 for the exact check, the result stays the same. No group is ever gathered: a repeated line is
 found from the minimum and maximum of its doc_ids, which are partially aggregated, and the very
-frequent ones, fewer than there are partitions, go back to their documents by broadcast.
+frequent ones, fewer than there are partitions, go back to their documents by broadcast. What to
+drop meets a row by its doc_id and the hash of its text, so rows without doc_id, and those that
+share one, are spread.
 
 Defined results: null or empty text is one empty line; a line's key is the line without ASCII
 white space at its ends, A-Z in lower case; keys under 10 code points always stay; a line repeated
@@ -81,16 +83,17 @@ def _suspects(shared):
     def run(batches):
         bits = np.frombuffer(shared.value, np.uint8)
         for b in batches:
-            ids, keys = [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids, rows, keys = [], [], []
+            for doc, row, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 own = list({k for k in map(line_key, lines_of(text)) if k is not None})
                 if not own:
                     continue
                 h = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
                 for i in np.flatnonzero(bloom.holds(bits, h, BITS)):
                     ids.append(doc)
+                    rows.append(row)
                     keys.append(xxhash.xxh3_128_digest(own[i]))
-            yield bloom.batch(["ld_id", "ld_key"], (ids, pa.int64()), (keys, pa.binary()))
+            yield bloom.batch(["ld_id", "ld_hash", "ld_key"], (ids, pa.int64()), (rows, pa.int64()), (keys, pa.binary()))
 
     return run
 
@@ -119,14 +122,15 @@ def dedup_lines(docs: DataFrame, doc_id="doc_id", text="text", carry=None) -> Da
     (before), n_dropped, kept_sha256."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    base = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST)).alias("ld_id"), F.col(text).alias("ld_text"))
+    own = [F.coalesce(F.col(doc_id), F.lit(LAST)).alias("ld_id"), F.xxhash64(F.col(text)).alias("ld_hash"), F.col(text).alias("ld_text")]
+    base = docs.select(*own)
     shared = spark.sparkContext.broadcast(twice_filter(base, "ld_text"))
-    suspects = stored(base.mapInArrow(_suspects(shared), "ld_id long, ld_key binary"), folder, "suspects")
+    suspects = stored(base.mapInArrow(_suspects(shared), "ld_id long, ld_hash long, ld_key binary"), folder, "suspects")
     firsts = suspects.groupBy("ld_key").agg(F.min("ld_id").alias("first"), F.max("ld_id").alias("last"), F.count("*").alias("ld_rows")).where("first < last").drop("last")
     repeats = joined_by_rows(suspects, firsts, "ld_key", "ld_rows", suspects.count())
-    drops = repeats.where("ld_id > first").groupBy("ld_id").agg(F.collect_set("ld_key").alias("ld_drop"))
-    rows = docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.coalesce(F.col(doc_id), F.lit(LAST)).alias("ld_id"), F.col(text).alias("ld_text"))
-    joined = rows.join(drops, "ld_id", "left").select("row", "ld_text", "ld_drop")
+    drops = repeats.where("ld_id > first").groupBy("ld_id", "ld_hash").agg(F.collect_set("ld_key").alias("ld_drop"))  # at most the lines of one text
+    rows = docs.select(F.struct(*(carry or docs.columns)).alias("row"), *own)
+    joined = rows.join(drops, ["ld_id", "ld_hash"], "left").select("row", "ld_text", "ld_drop")
     kind = rows.select("row").schema["row"].dataType.simpleString()
     return joined.mapInArrow(_strip(1), f"row {kind}, kept_text string, n_lines long, n_dropped long, kept_sha256 string")
 

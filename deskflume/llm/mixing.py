@@ -7,7 +7,10 @@ there; the document in service at that moment contributes the words already serv
 
 Scale: the text is read once for its size. Cumulative words inside a source are two-level (sums
 per bucket of the shuffle order, then inside a bucket), so a source that holds a third of all rows
-is spread over as many buckets as its row count asks for and never meets in one task.
+is spread over as many buckets as its row count asks for and never meets in one task. Rows without
+doc_id take their place in the shuffle by a hash of their text, so they are spread as well. The
+mixed corpus schedules narrow rows (ids, sizes, a 128-bit hash of the row); whole rows then meet
+their places by that hash in one shuffle, equal rows as one, and are range-sorted in another.
 
 Defined results: null or blank text has size 0 and is never taken; a null source is a source of its
 own, ranked last; a source without words has target 0; repeated rows queue one after another; an
@@ -54,8 +57,9 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), budget=1.5, max_repeats=
     return per.select("mx_none", "mx_src", "source_size", "source_rows", F.sum("source_rows").over(everything).alias("all_rows"), target.alias("target"))
 
 
-def schedule(docs: DataFrame, doc_id="doc_id", source="source", size="size", seed="mix", **shares) -> DataFrame:
-    """``docs`` (with a column of sizes) plus source_size, target, taken, copies, virtual_finish.
+def schedule(docs: DataFrame, doc_id="doc_id", source="source", size="size", tie="tie", seed="mix", **shares) -> DataFrame:
+    """``docs`` (with columns of sizes and of hashes that order rows without doc_id) plus source_size,
+    target, taken, copies, virtual_finish.
 
     ``docs`` is read twice: once for sums, once for the schedule. taken: words the mix takes, over
     all passes; copies: passes that take at least half of the document; virtual_finish: of its
@@ -65,7 +69,7 @@ def schedule(docs: DataFrame, doc_id="doc_id", source="source", size="size", see
         "mx_none": F.col(source).isNull().cast("int"),
         "mx_src": F.coalesce(F.col(source).cast("string"), F.lit("")),
         "mx_size": F.coalesce(F.col(size), F.lit(0)).cast("long"),
-        "mx_key": F.md5(F.concat_ws("|", F.lit(seed), F.col(doc_id).cast("string")).cast("binary")),
+        "mx_key": F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("none "), F.col(tie).cast("string")))).cast("binary")),
     })
     keys, passes = ["mx_none", "mx_src"], int(shares.get("max_repeats", 2))
     targets = source_targets(keyed, **shares)
@@ -80,7 +84,7 @@ def schedule(docs: DataFrame, doc_id="doc_id", source="source", size="size", see
     placed = keyed.join(F.broadcast(hot), keys).unionByName(apart).withColumn("mx_bucket", F.shiftright(lead * buckets, 32))
     by_bucket = Window.partitionBy(*keys).orderBy("mx_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy(*keys, "mx_bucket").agg(F.sum("mx_size").alias("mx_sum")).select(*keys, "mx_bucket", F.coalesce(F.sum("mx_sum").over(by_bucket), F.lit(0)).alias("mx_offset"))
-    queue = Window.partitionBy(*keys, "mx_bucket").orderBy("mx_key", doc_id, "mx_size").rowsBetween(Window.unboundedPreceding, 0)
+    queue = Window.partitionBy(*keys, "mx_bucket").orderBy("mx_key", doc_id, "mx_size", tie).rowsBetween(Window.unboundedPreceding, 0)
     end = F.col("mx_offset") + F.sum("mx_size").over(queue)
     timed = placed.join(offsets, [*keys, "mx_bucket"]).withColumn("mx_end", end)
     cut = F.floor(F.col("target") + 0.5)  # virtual time 1, in words of the source
@@ -93,22 +97,33 @@ def schedule(docs: DataFrame, doc_id="doc_id", source="source", size="size", see
 
 
 def sized(docs: DataFrame, folder: str, doc_id="doc_id", source="source", text="text") -> DataFrame:
-    """(doc_id, source, size) of all documents, stored: the only pass over the text."""
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    """(doc_id, source, size, tie) of all documents, stored: the only pass over the text."""
+    tie = F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text)))
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), tie.alias("tie"))
     return stored(narrow, folder, "sizes")
 
 
+def _hashable(docs: DataFrame) -> list[Column]:
+    """What tells rows of ``docs`` apart by hash: which columns are null, and the columns, nested ones as JSON."""
+    columns = [F.col(f"`{x.name}`") for x in docs.schema]
+    nested = ["<" in x.dataType.simpleString() for x in docs.schema]
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in columns])
+    return [nulls, *(F.to_json(F.struct(c), {"ignoreNullFields": "false"}) if deep else c for c, deep in zip(columns, nested, strict=True))]
+
+
 def mixture(docs: DataFrame, doc_id="doc_id", source="source", text="text", **shares) -> DataFrame:
     """The mixed corpus: rows of ``docs`` with ``docs``' columns, each as often as the mix takes at
-    least half of it, in the order of virtual finish times."""
-    names = docs.columns
-    inner = docs.select(F.struct(*names).alias("mx_row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("mx_text"))
-    # Stored with the sizes, so that the passes of the schedule read these and not the texts.
-    inner = stored(inner.withColumn("size", word_count(F.col("mx_text"))).drop("mx_text"), shared_folder(docs.sparkSession), "sized")
-    timed = schedule(inner, **shares)
-    repeated = timed.where("copies > 0").withColumn("mx_pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    least half of it, in the order of virtual finish times. ``docs`` is read twice."""
+    own = _hashable(docs)
+    keys = [F.xxhash64(*own).alias("mx_k"), F.xxhash64(F.lit(1), *own).alias("mx_l")]
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *keys)
+    narrow = stored(narrow.withColumn("tie", F.col("mx_k")), shared_folder(docs.sparkSession), "sized")
+    repeated = schedule(narrow, **shares).where("copies > 0").withColumn("mx_pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     finish = F.col("virtual_finish") + F.col("mx_pass") * F.col("source_size") / F.col("target")
-    return repeated.orderBy(finish, "doc_id").select("mx_row.*")
+    places = repeated.select("mx_k", "mx_l", finish.alias("mx_finish"), "doc_id")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mx_row"), *keys)
+    whole = whole.groupBy("mx_k", "mx_l").agg(F.first("mx_row").alias("mx_row"))  # equal rows are one
+    return whole.join(places, ["mx_k", "mx_l"]).orderBy("mx_finish", "doc_id", "mx_k").select("mx_row.*")
 
 
 def mix_report(docs: DataFrame, **shares) -> DataFrame:

@@ -391,6 +391,75 @@ def test_mix_meets_targets(docs, none, spark):
     assert mixing.mix_report(none).count() == 0 and mixing.mixture(none).count() == 0
 
 
+def shares(sizes, weights=(5, 2, 1), budget=1.5, repeats=2):
+    """Targets by water filling, round by round."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    target, left, open_ = {}, budget * sum(sizes.values()), list(names)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if repeats * sizes[s] <= level * weight[s]]
+        if not full:
+            target |= {s: level * weight[s] for s in open_}
+            break
+        for s in full:
+            target[s] = repeats * sizes[s]
+            left -= target[s]
+            open_.remove(s)
+    return target
+
+
+def queue(rows, key):
+    """Weighted fair queueing by plain loops over (source, words, row): (row, taken, [finish of each kept pass])."""
+    sizes = {}
+    for s, n, _ in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    target = shares(sizes)
+    out = []
+    for s in sizes:
+        served, own = 0, sorted((r for r in rows if r[0] == s), key=lambda r: key(r[2]))
+        taken, finish = [0] * len(own), [[] for _ in own]
+        for _ in range(2):
+            for k, (_, n, _) in enumerate(own):
+                got = max(0, min(n, math.floor(target[s] + 0.5) - served))
+                served += n
+                taken[k] += got
+                if got > 0 and 2 * got >= n:
+                    finish[k].append(served / target[s])
+        out += [(r[2], t, f, target[s]) for r, t, f in zip(own, taken, finish, strict=True)]
+    return out
+
+
+def test_mix_against_a_plain_queue(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), r) for r in docs.collect()]
+    want = queue(rows, lambda r: hashlib.md5(f"mix|{r.doc_id}".encode()).hexdigest())
+    got = {r.doc_id: r for r in mixing.mix_report(docs).collect()}
+    for r, taken, _, target in want:
+        assert got[r.doc_id].taken == taken and math.isclose(got[r.doc_id].target, target)
+    # the global cut: the schedule truncated at virtual time 1, and the total is the budget
+    assert abs(sum(r.taken for r in got.values()) - 1.5 * sum(n for _, n, _ in rows)) <= len({s for s, _, _ in rows})
+    order = sorted((f, r.doc_id) for r, _, fs, _ in want for f in fs)
+    assert all(f <= 1 + 1e-3 for f, _ in order[:-20])
+    mixed = mixing.mixture(docs).collect()
+    assert [r.doc_id for r in mixed] == [i for _, i in order]
+    by_id = {r.doc_id: r for _, _, r in rows}
+    assert all(by_id[r.doc_id] == r for r in mixed)
+
+
+def test_mix_of_rows_without_ids(spark):
+    kind = "doc_id long, text string, source string, mx_row string, tie map<string,int>"
+    rows = [(None, "same words here", "a", "x", {"k": 1})] * 3 + [(None, "w " * k, "a", None, None) for k in range(1, 40)] + [(5, "five", "b", "y", None), (5, "five", "b", "y", None)]
+    docs = spark.createDataFrame(rows, kind)
+    mixed = mixing.mixture(docs).collect()
+    assert mixing.mixture(docs).columns == docs.columns
+    assert {r.text for r in mixed} <= {t for _, t, *_ in rows} and len(mixed) > len(rows)
+    again = mixing.mixture(docs.repartition(5)).collect()
+    assert list(map(str, mixed)) == list(map(str, again))
+    total = sum(len(t.split()) for _, t, *_ in rows)
+    assert abs(sum(r.taken for r in mixing.mix_report(docs.drop("tie")).collect()) - 1.5 * total) <= 2
+
+
 def winnowed(text):
     """(hash, position) of window minima with rightmost ties, from the operator's own gram hashes."""
     out = []
