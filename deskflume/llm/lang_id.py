@@ -30,7 +30,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
@@ -47,10 +46,10 @@ FOLDS = 5
 #: Added to each piece's expected count; probability of a character outside the vocabulary.
 PRIOR, UNKNOWN = 0.05, 1e-9
 #: Texts that are split at once; words whose scores a task remembers.
-ROWS = 400
-KNOWN_WORDS = 300_000
+ROWS = 100
+KNOWN_WORDS = 100_000
 #: Characters of the words that are summed side by side.
-BLOCK = 100_000
+BLOCK = 200_000
 #: Places between two rescalings: UNKNOWN ** RESCALE is far from underflow.
 RESCALE = 16
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -92,19 +91,21 @@ class Segmenter:
         self.piece = np.array([number.get(int(h), self.n) for h in self.begins], np.int64)
 
     def blocks(self, words: list[str]):
-        """(numbers of words, code points) by word length."""
+        """(numbers of words, code points, how many words are longer than each place), longest words first."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        for size in np.unique(sizes):
-            own = np.flatnonzero(sizes == size)
-            rows = max(1, BLOCK // int(size))
-            for lo in range(0, len(own), rows):
-                at = own[lo : lo + rows]
-                flat = "".join([words[i] for i in at])
-                yield at, np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(len(at), size)
-
-    def _from(self, block: np.ndarray, i: int):
-        """(end, rows, piece numbers) of the pieces that begin at place i."""
-        rows, h = np.arange(len(block)), np.zeros(len(block), np.uint64)
+        order, lo = np.argsort(-sizes, kind="stable"), 0
+        while lo < len(order):
+            width = int(sizes[order[lo]])
+            at = order[lo : lo + max(1, BLOCK // max(width, 1))]
+            lo += len(at)
+            block = np.full((len(at), width), 0xFFFFFFFF, np.uint64)  # no character: no piece reaches past a word
+            flat = "".join([words[i] for i in at]).encode("utf-32-le", "surrogatepass")
+            block[np.arange(width) < sizes[at][:, None]] = np.frombuffer(flat, np.uint32)
+            yield at, block, np.searchsorted(-sizes[at], -np.arange(width + 1), "left")
+
+    def _from(self, block: np.ndarray, i: int, n: int):
+        """(end, rows, piece numbers) of the pieces that begin at place i of the first n words."""
+        rows, h = np.arange(n), np.zeros(n, np.uint64)
         for j in range(i, min(i + self.longest, block.shape[1])):
             h = (h + block[rows, j] + np.uint64(1)) * self.FACTOR
             at = np.searchsorted(self.begins, h)
@@ -117,49 +118,55 @@ class Segmenter:
             if whole.any():
                 yield j + 1, rows[whole], found[whole]
 
-    def _forward(self, block, table, keep=None):
+    def _forward(self, block, longer, table, keep=None):
         """Log probabilities of the words. keep: a list that gets (alpha, log scale, steps) of each place."""
-        n, width = block.shape
-        log = np.zeros((n, table.shape[1]))
-        ahead = {0: np.ones((n, table.shape[1]))}
-        for i in range(width):
-            here = ahead.pop(i)
+        out = np.zeros((len(block), table.shape[1]))
+        log = np.zeros_like(out)
+        ahead = {0: np.ones_like(out)}
+        for i in range(block.shape[1]):
+            n = longer[i]  # the words that go on at this place; alpha of the others is final
+            here, log = ahead.pop(i)[:n], log[:n]
             if i and i % RESCALE == 0:
                 log = log + np.log(here)
                 for k in ahead:
-                    ahead[k] = ahead[k] / here
+                    ahead[k] = ahead[k][:n] / here
                 here = np.ones_like(here)
-            steps = list(self._from(block, i))
+            steps = list(self._from(block, i, n))
             for j, rows, found in steps:
-                ahead.setdefault(j, np.zeros_like(here))[rows] += here[rows] * table[found]
-            if i + 1 in ahead:
-                ahead[i + 1] += here * UNKNOWN
-            else:
-                ahead[i + 1] = here * UNKNOWN
+                if j not in ahead:
+                    ahead[j] = np.zeros_like(here)
+                ahead[j][rows] += here[rows] * table[found]
+            if i + 1 not in ahead:
+                ahead[i + 1] = np.zeros_like(here)
+            ahead[i + 1][:n] += here * UNKNOWN
+            ended = slice(longer[i + 1], n)
+            out[ended] = log[ended] + np.log(ahead[i + 1][ended])
             if keep is not None:
                 keep.append((here, log, steps))
-        return log + np.log(ahead[width])
+        return out
 
     def log_probabilities(self, words: list[str], table: np.ndarray) -> np.ndarray:
         """table: a row a piece and a last one of zeros."""
         out = np.empty((len(words), table.shape[1]))
-        for at, block in self.blocks(words):
-            out[at] = self._forward(block, table)
+        for at, block, longer in self.blocks(words):
+            out[at] = self._forward(block, longer, table)
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece: counts has a row a word, a column a language."""
         out = np.zeros((self.n + 1, table.shape[1]))
-        for at, block in self.blocks(words):
+        for at, block, longer in self.blocks(words):
             keep: list = []
-            total = self._forward(block, table, keep)
-            width = block.shape[1]
-            # beta[j]: what follows place j, over the word's probability, on the scale of alpha at j
-            behind = {width: (counts[at], total)}
-            for i in range(width - 1, -1, -1):
+            total = self._forward(block, longer, table, keep)
+            # What follows a place, over the word's probability, with the log scale that alpha has there.
+            behind: dict = {}
+            for i in range(block.shape[1] - 1, -1, -1):
                 here, log, steps = keep.pop()
-                beta, scale = behind[i + 1]
-                beta = beta * UNKNOWN * np.exp(log - scale)
+                n = longer[i]
+                going, scale = behind.get(i + 1, (counts[:0], total[:0]))
+                ended = slice(longer[i + 1], n)
+                behind[i + 1] = np.concatenate([going, counts[at[ended]]]), np.concatenate([scale, total[ended]])
+                beta = behind[i + 1][0] * UNKNOWN * np.exp(log - behind[i + 1][1])
                 for j, rows, found in steps:
                     after, scale = behind[j]
                     flow = table[found] * after[rows] * np.exp(log[rows] - scale[rows])
@@ -226,12 +233,12 @@ def predict(docs: DataFrame, model, text="text", into="language", vocabulary: st
     segmenter = docs.sparkSession.sparkContext.broadcast(Segmenter(pieces(vocabulary)))
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
-    def run(texts_by_batch: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         seg, known, scores = segmenter.value, {}, np.empty((0, len(langs)))
-        for texts in texts_by_batch:
-            out = []
+        for texts in batches:
+            names, sure = [], []
             for lo in range(0, len(texts), ROWS):
-                split = [stretches(t) for t in texts.iloc[lo : lo + ROWS]]
+                split = [stretches(t) for t in texts.slice(lo, ROWS).to_pylist()]
                 unseen = list({w for own in split for w in own if w not in known}) if langs else []
                 if len(known) + len(unseen) > KNOWN_WORDS:
                     known, unseen = {}, list({w for own in split for w in own})
@@ -242,14 +249,16 @@ def predict(docs: DataFrame, model, text="text", into="language", vocabulary: st
                 scores[n : len(known)] = seg.log_probabilities(unseen, shared.value)
                 for own in split:
                     if not own or not langs:
-                        out.append(("und", 0.0))
+                        names.append("und")
+                        sure.append(0.0)
                         continue
                     total = scores[np.fromiter(map(known.__getitem__, own), np.int64, len(own))].sum(axis=0)
                     best = int(total.argmax())
-                    out.append((langs[best], float(1 / np.exp(total - total[best]).sum())))
-            yield pd.DataFrame(out, columns=["lang_pred", "score"])
+                    names.append(langs[best])
+                    sure.append(float(1 / np.exp(total - total[best]).sum()))
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(sure, pa.float64())], ["lang_pred", "score"])
 
-    language = F.pandas_udf(run, "lang_pred string, score double")
+    language = F.arrow_udf(run, "lang_pred string, score double")
     return docs.withColumn(into, language(F.col(text)))
 
 
