@@ -7,23 +7,26 @@ a hash of the word (a packed row for each chunk and part of the hash space), so
 comes to one place and is encoded there once; packed ids go back to the chunk, where documents are
 put together again by position.
 Decoding joins ids with the token-byte table (as many rows as the vocabulary has, so it is
-broadcast).
+broadcast); ``round_trip`` does so in the tasks that put the documents together.
 
 Scale: a word is at most once in a chunk's dictionary, so the most frequent word has no more rows
 than there are chunks and no part is hot. Tasks hold one chunk or the words of one part (cleared
-beyond ``KNOWN_WORDS``). No temporary table is written. Chunks are named by a digest of their
+beyond ``KNOWN_WORDS``, which only costs time). No temporary table is written; a lost executor
+costs the chunks, of about a million words each, that its tasks had built. Chunks are named by a digest of their
 content, and a chunk whose ids are missing raises an error: it would mean that ``docs`` gave other
 rows when it was read the second time (store such a table first).
 
 Defined results: null text is the empty text, which has no tokens; special tokens' strings are
-ordinary text; rows of one doc_id and those without are encoded each on its own; other columns are
-ignored; an empty table gives no rows.
+ordinary text; rows of one doc_id and those without are encoded each on its own; ``encode`` ignores
+other columns, ``decode`` keeps them but for one named ``decoded``, which is replaced; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from array import array
 from itertools import pairwise
 
 import numpy as np
@@ -43,7 +46,7 @@ CHUNK_TOKENS = 1 << 20
 CUT = re.compile(r"(?<=\S)(?= )")
 #: Words of documents in one row of a chunk.
 BLOCK_TOKENS = 1 << 17
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 400_000
 ROWS = "chunk long, kind int, part int, doc_ids array<long>, lengths array<int>, body binary"
 PARTS, WORDS, IDS, DOCS = range(4)
 
@@ -168,18 +171,22 @@ def _encoder(vocabulary: dict[bytes, int], pattern: str):
 
     def run(batches):
         bpe = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=vocabulary, special_tokens={})
-        at, known = None, {}
+        at = known = starts = flat = None
         for b in batches:
             for row in b.to_pylist():
                 if row["part"] != at or len(known) > KNOWN_WORDS:
-                    at, known = row["part"], {}
+                    at, known, starts, flat = row["part"], {}, array("q", [0]), array("I")
                 words = unpack_words(row["body"])
-                fresh = [w for w in words if w not in known]
-                known.update((w, bpe.encode_ordinary(w.decode())) for w in fresh)
-                found = [known[w] for w in words]
-                sizes = np.fromiter(map(len, found), np.uint32, len(found))
-                flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-                yield _batch([(row["chunk"], IDS, row["part"], None, [len(found)], pack(np.concatenate([sizes, flat])))])
+                for w in words:
+                    if w not in known:
+                        known[w] = len(known)
+                        flat.extend(bpe.encode_ordinary(w.decode()))
+                        starts.append(len(flat))
+                found = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                begin = np.array(starts, np.int64)
+                sizes = np.diff(begin)[found]
+                ids = _gather(begin[found], sizes, np.array(flat, np.uint32))
+                yield _batch([(row["chunk"], IDS, row["part"], None, [len(found)], pack(np.concatenate([sizes.astype(np.uint32), ids])))])
 
     return run
 
@@ -191,8 +198,8 @@ def _gather(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarr
     return flat[at + np.repeat(starts - (ends - sizes), sizes)]
 
 
-def _reassemble():
-    """Rows come sorted by (chunk, kind, part): the part of each slot, the ids of each part, the documents."""
+def _reassemble(then):
+    """Rows come sorted by (chunk, kind, part): the part of each slot, the ids of each part, the documents. then: what is done to each batch."""
 
     def run(batches):
         chunk = order = sizes = starts = flat = None
@@ -227,7 +234,7 @@ def _reassemble():
                     cuts = np.cumsum(np.array(row["lengths"], np.int64))
                     offsets = np.concatenate([[0], np.where(cuts > 0, ends[np.maximum(cuts, 1) - 1], 0)]) if len(ends) else np.zeros(len(cuts) + 1)
                     lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens))
-                    yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), lists], names=["doc_id", "ids"])
+                    yield then(pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), lists], names=["doc_id", "ids"]))
 
     return run
 
@@ -242,6 +249,16 @@ def _by_part(order: np.ndarray):
 
 def encode(docs: DataFrame, doc_id="doc_id", text="text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, ids array<int>): the token ids of each whole text."""
+    return _encoded(docs, doc_id, text, vocabulary, pattern, lambda b: b, "doc_id long, ids array<int>")
+
+
+def round_trip(docs: DataFrame, doc_id="doc_id", text="text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """(doc_id, ids, decoded): ``decode(encode(docs))``, decoded where the documents are put together."""
+    table = _token_bytes(docs.sparkSession, vocabulary)
+    return _encoded(docs, doc_id, text, vocabulary, pattern, lambda b: b.append_column("decoded", _bytes_of(b.column(1), table.value)), "doc_id long, ids array<int>, decoded binary")
+
+
+def _encoded(docs, doc_id, text, vocabulary, pattern, then, schema) -> DataFrame:
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = 2 * n
@@ -255,34 +272,39 @@ def encode(docs: DataFrame, doc_id="doc_id", text="text", vocabulary: str = VOCA
     ids = words.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, ROWS)
     both = ids.union(chunked(base, parts, True))
     dealt = both.repartition(n, "chunk").sortWithinPartitions("chunk", "kind", "part")
-    return dealt.mapInArrow(_reassemble(), "doc_id long, ids array<int>")
+    return dealt.mapInArrow(_reassemble(then), schema)
+
+
+def _token_bytes(spark, vocabulary: str):
+    """The token-byte table, broadcast."""
+    return spark.sparkContext.broadcast({i: token for token, i in ranks(vocabulary).items()})
+
+
+def _bytes_of(lists: pa.Array, table: dict[int, bytes]) -> pa.Array:
+    look, out = table.__getitem__, []
+    for own in lists:
+        own = own.values
+        out.append(None if own is None else b"".join(map(look, own.to_numpy(zero_copy_only=False).tolist())))
+    return pa.array(out, pa.binary())
 
 
 def decode(encoded: DataFrame, ids="ids", vocabulary: str = VOCABULARY) -> DataFrame:
     """``encoded`` with a binary column ``decoded``: each id's bytes from the token-byte table, in
     order. Null ids give null; an id outside the table raises an error."""
-    spark = encoded.sparkSession
-    by_id = {i: token for token, i in ranks(vocabulary).items()}
-    table = spark.sparkContext.broadcast(by_id)
-    names = encoded.columns
+    table = _token_bytes(encoded.sparkSession, vocabulary)
+    encoded = encoded.select(*[F.col(f"`{c}`") for c in encoded.columns if c.lower() != "decoded" or c == ids])
+    names, at = encoded.columns, encoded.columns.index(ids)
     schema = encoded.select("*", F.lit(b"").alias("decoded")).schema
-    at = names.index(ids)
 
     def run(batches):
-        look = table.value.__getitem__
         for b in batches:
-            lists = b.column(at)
-            out = []
-            for i in range(b.num_rows):
-                own = lists[i].values
-                out.append(None if own is None else b"".join(map(look, own.to_numpy(zero_copy_only=False).tolist())))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, _bytes_of(b.column(at), table.value)], names=[*names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
 
 
 def op2(spark, sf_dir):
-    return digests(decode(encode(documents(spark, sf_dir))))
+    return digests(round_trip(documents(spark, sf_dir)))
 
 
 def digests(decoded: DataFrame) -> DataFrame:

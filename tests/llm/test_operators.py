@@ -137,6 +137,11 @@ def test_bpe_matches_the_library_and_round_trips(spark, docs, none):
     want = sorted((str(r.doc_id), enc.encode_ordinary(r.text or ""), (r.text or "").encode()) for r in every.collect())
     assert sorted((str(r.doc_id), list(r.ids), bytes(r.decoded)) for r in got) == want
     assert bpe.decode(bpe.encode(none)).count() == 0
+    fused = bpe.round_trip(every).collect()
+    assert sorted((str(r.doc_id), list(r.ids), bytes(r.decoded)) for r in fused) == want
+    own = bpe.encode(every).withColumn("Decoded", F.lit("x")).withColumn("other", F.lit(1))
+    assert bpe.decode(own).columns == ["doc_id", "ids", "other", "decoded"]
+    assert {bytes(r.decoded) for r in bpe.decode(own).collect()} == {t for _, _, t in want}
 
 
 def test_bpe_query(spark):
