@@ -36,7 +36,7 @@ def mix(spark, docs, sf_dir):
 
 def tokens(spark, docs, sf_dir):
     """Token ids of each document of the mix, decoded again."""
-    return bpe.digests(bpe.decode(bpe.encode(docs)))
+    return bpe.digests(bpe.round_trip(docs))
 
 
 STAGES = [("language ID", language), ("line dedup", lines), ("near dedup", near_copies), ("source mix", mix), ("byte-level BPE", tokens)]
