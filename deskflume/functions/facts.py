@@ -1,57 +1,114 @@
-"""Typed facts in text: amounts, dates, codes, durations, addresses, as one exploded table.
+"""Typed facts in text: dates, amounts, durations, codes, addresses, links, quantities.
 
-Patterns are found with built-in functions; overlaps are resolved by length, then by the order of
-KINDS, then by place.
+Patterns are found with built-in functions, and overlaps are resolved inside the row: the longest
+span first, then by the order of KINDS, then by place; at most MOST facts of a text stay, in order.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_AMOUNT = r"(?:[0-9]{1,3}(?:[.,][0-9]{3})+(?:[.,][0-9]{1,2})?|[0-9]+(?:[.,][0-9]{1,2})?)"
+_CODE = "(?:USD|EUR|GBP|CHF|JPY|CAD|AUD|MXN)"
+#: Names of months in two languages; units of time in seconds; units of quantities; signs of currencies.
+MONTHS = ("january|enero", "february|febrero", "march|marzo", "april|abril", "may|mayo", "june|junio", "july|julio", "august|agosto", "september|septiembre", "october|octubre", "november|noviembre", "december|diciembre")
+SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800, "segundo": 1, "minuto": 60, "hora": 3600, "día": 86400, "semana": 604800}
+UNITS = ("kg", "mg", "g", "lb", "km", "cm", "mm", "m", "ml", "l", "kWh", "kW", "MW", "W", "V", "A", "TB", "GB", "MB", "KB", "GHz", "MHz", "%")
+SIGNS = {"$": "USD", "€": "EUR", "£": "GBP"}
+_MONTH = "(?:" + "|".join(MONTHS) + ")"
 #: kind: pattern. Order is precedence.
 KINDS = {
-    "URL": r"https?://[^\x20\x09-\x0D<>\"')]+",
+    "URL": r"https?://[^\x20\x09-\x0D<>\"')]*[^\x20\x09-\x0D<>\"').,;:!?]",
     "EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "IDENTIFIER": r"[A-Z]{2,6}-[0-9]{2,4}-[0-9]{2,8}",
-    "MONEY": r"(?:USD|EUR|GBP) [0-9]+(?:\.[0-9]{2})?",
-    "DATE": r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    "DURATION": r"[0-9]+ (?:days|day|hours|hour|minutes|minute|weeks|week)",
+    "IDENTIFIER": r"\b[A-Z]{2,6}-[0-9]{2,4}-[0-9]{2,8}\b",
+    "MONEY": rf"(?<![\w.])(?:(?:{_CODE}|[$€£])\x20?{_AMOUNT}(?:\x20?(?:k|m|bn))?|{_AMOUNT}\x20?(?:{_CODE}|[€£]))(?!\w)",
+    "DATE": rf"(?i)\b(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}|[0-9]{{1,2}}\x20(?:de\x20)?{_MONTH}\x20(?:de\x20)?[0-9]{{4}}|{_MONTH}\x20[0-9]{{1,2}},\x20[0-9]{{4}}|Q[1-4]\x20[0-9]{{4}})\b",
+    "DURATION": rf"\b(?:[0-9]+\x20(?:{'|'.join(SECONDS)})s?|P[0-9]+[DW]|PT[0-9]+[HMS])\b",
+    "QUANTITY": rf"(?<![\w.,])[0-9]+(?:\.[0-9]+)?\x20?(?:{'|'.join(UNITS)})(?![\w%])",
 }
-SECONDS = {"week": 604800, "day": 86400, "hour": 3600, "minute": 60}
+MOST = 64
 
 
 def _places(text: Column, kind: str) -> Column:
-    """Array of (kind, precedence, start, length, text): the n-th match begins after n gaps and n - 1 matches."""
+    """Array of (length, precedence, start, text): a running sum of gaps and matches gives the places."""
     pattern = KINDS[kind]
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    steps = F.arrays_zip(hits.alias("hit"), F.slice(F.split(text, pattern, -1), 1, F.size(hits)).alias("gap"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<back:int,precedence:int,start:int,text:string>>").alias("found"))
 
-    def place(hit, i):
-        before = F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice(hits, 1, i), F.lit(0), lambda a, h: a + F.length(h))
-        return F.struct(F.lit(kind).alias("kind"), F.lit(list(KINDS).index(kind)).alias("precedence"), before.alias("start"), F.length(hit).alias("length"), hit.alias("text"))
+    def step(acc, x):
+        start = acc["at"] + F.length(x["gap"])
+        fact = F.struct((-F.length(x["hit"])).alias("back"), F.lit(list(KINDS).index(kind)).alias("precedence"), start.alias("start"), x["hit"].alias("text"))
+        return F.struct((start + F.length(x["hit"])).alias("at"), F.array_append(acc["found"], fact).alias("found"))
 
-    return F.transform(hits, place)
+    return F.when(text.rlike(pattern), F.aggregate(steps, begin, step, lambda acc: acc["found"]))
+
+
+def _look(values: dict) -> Column:
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+
+
+def minor_units(text: Column) -> Column:
+    """The amount in hundredths: a last separator before one or two digits is the decimal one; k, m and bn multiply."""
+    amount = F.regexp_extract(text, _AMOUNT, 0)
+    cents = F.rpad(F.regexp_extract(amount, r"[.,]([0-9]{1,2})$", 1), 2, "0")
+    whole = F.regexp_replace(F.regexp_replace(amount, r"[.,][0-9]{1,2}$", ""), "[.,]", "")
+    times = F.coalesce(F.get(F.array(_look({"k": 1000, "m": 1_000_000, "bn": 1_000_000_000})), F.lit(0))[F.regexp_extract(text, r"(k|m|bn)$", 1)], F.lit(1))
+    return (whole.try_cast("long") * 100 + cents.try_cast("long")) * times
+
+
+def iso_day(text: Column) -> Column:
+    """The day as yyyy-mm-dd (d/m/y unless only m/d/y is a day), a quarter as yyyy-Qn; null for no such day."""
+    low = F.lower(text)
+    number = F.lit(None).cast("int")
+    for k, names in enumerate(MONTHS, 1):
+        number = F.when(low.rlike(rf"\b(?:{names})\b"), F.lit(k)).otherwise(number)
+    year = F.regexp_extract(low, "([0-9]{4})", 1).cast("int")
+    a, b = (F.regexp_extract(low, r"^([0-9]{1,2})/([0-9]{1,2})/", g).try_cast("int") for g in (1, 2))
+    day, month = F.when(b > 12, b).otherwise(a), F.when(b > 12, a).otherwise(b)
+    slashed = F.format_string("%04d-%02d-%02d", year, month, day)
+    return (
+        F.when(low.startswith("q"), F.concat(F.substring(low, 4, 4), F.lit("-"), F.upper(F.substring(low, 1, 2))))
+        .when(low.rlike("^[0-9]{4}-"), F.try_to_date(low, "yyyy-MM-dd").cast("string"))
+        .when(low.contains("/"), F.try_to_date(slashed, "yyyy-MM-dd").cast("string"))
+        .otherwise(F.try_to_date(F.format_string("%04d-%02d-%02d", year, number, F.regexp_extract(low, r"\b([0-9]{1,2})\b", 1).try_cast("int")), "yyyy-MM-dd").cast("string"))
+    )
 
 
 def normalised(kind: Column, text: Column) -> Column:
-    seconds = F.create_map(*[F.lit(x) for kv in SECONDS.items() for x in kv])
-    unit = F.regexp_extract(text, r" ([a-z]+?)s?$", 1)
+    sign = F.get(F.array(_look(SIGNS)), F.lit(0))[F.regexp_extract(text, "([$€£])", 1)]
+    code = F.coalesce(F.nullif(F.regexp_extract(text, _CODE, 0), F.lit("")), sign)
+    seconds = F.get(F.array(_look(SECONDS)), F.lit(0))[F.regexp_extract(text, r" (\p{L}+?)s?$", 1)]
+    iso = F.get(F.array(_look({"D": 86400, "W": 604800, "H": 3600, "M": 60, "S": 1})), F.lit(0))[F.substring(text, -1, 1)]
+    number = F.regexp_extract(text, r"[0-9]+(?:\.[0-9]+)?", 0)
     return (
-        F.when(kind == "MONEY", F.concat(F.substring(text, 1, 3), F.lit(":"), F.format_string("%.0f", F.round(F.regexp_extract(text, r"[0-9.]+$", 0).try_cast("double") * 100))))
-        .when(kind == "DURATION", F.concat((F.regexp_extract(text, r"^[0-9]+", 0).try_cast("long") * seconds[unit]).cast("string"), F.lit("s")))
+        F.when(kind == "MONEY", F.concat(code, F.lit(":"), minor_units(text).cast("string")))
+        .when(kind == "DURATION", F.concat((number.try_cast("long") * F.coalesce(seconds, iso)).cast("string"), F.lit("s")))
+        .when(kind == "DATE", iso_day(text))
+        .when(kind == "QUANTITY", F.concat(number, F.lit(":"), F.regexp_extract(text, r"([A-Za-z%]+)$", 1)))
         .when(kind.isin("EMAIL", "IDENTIFIER"), F.lower(text))
-        .when(kind == "URL", F.regexp_replace(text, r"[.,;:!?]+$", ""))
         .otherwise(text)
     )
 
 
+def resolved(text: Column) -> Column:
+    """Facts without overlaps, in order of place: array of (back, precedence, start, text)."""
+    every = F.array_sort(F.flatten(F.array_compact(F.array(*[_places(text, k) for k in KINDS]))))
+
+    def step(kept, x):
+        meets = F.exists(kept, lambda y: (y["start"] < x["start"] - x["back"]) & (x["start"] < y["start"] - y["back"]))
+        return F.when(meets, kept).otherwise(F.array_append(kept, x))
+
+    kept = F.aggregate(every, F.array().cast("array<struct<back:int,precedence:int,start:int,text:string>>"), step)
+    return F.slice(F.array_sort(kept, lambda a, b: a["start"] - b["start"]), 1, MOST)
+
+
 def facts(docs: DataFrame, text="text") -> DataFrame:
-    """(id, kind, start, text, norm): facts of each text without overlaps."""
-    every = docs.select("id", F.explode(F.concat(*[_places(F.col(text), k) for k in KINDS])).alias("f")).select("id", "f.*")
-    mine = Window.partitionBy("id").orderBy("start", F.desc("length"), "precedence")
-    # What starts inside an earlier, longer fact goes; facts nest, so the furthest end so far decides.
-    end = F.max(F.col("start") + F.col("length")).over(mine.rowsBetween(Window.unboundedPreceding, -1))
-    kept = every.withColumn("busy", F.coalesce(end, F.lit(0))).where(F.col("start") >= F.col("busy"))
-    return kept.select("id", "kind", "start", "text", normalised(F.col("kind"), F.col("text")).alias("norm"))
+    """(id, kind, start, text, norm, assumed) of each text's facts; no shuffle. assumed: a date in figures that could be read in two ways."""
+    kinds = F.array(*map(F.lit, KINDS))
+    found = docs.where(F.col(text).rlike("[0-9@]|://")).select("id", F.explode(resolved(F.col(text))).alias("f"))
+    rows = found.select("id", F.get(kinds, F.col("f.precedence")).alias("kind"), F.col("f.start").alias("start"), F.col("f.text").alias("text"))
+    a, b = (F.regexp_extract("text", r"^([0-9]{1,2})/([0-9]{1,2})/", g).try_cast("int") for g in (1, 2))
+    return rows.withColumn("norm", normalised(F.col("kind"), F.col("text"))).withColumn("assumed", F.coalesce((a <= 12) & (b <= 12) & (a != b), F.lit(False)))
 
 
 def matching(facts: DataFrame, filters: list[tuple[str, str]]) -> DataFrame:

@@ -73,6 +73,21 @@ def rendered_orders(spark, sf):
     return o.select(F.col("o_orderkey").alias("id"), text.alias("text"))
 
 
+def rendered_parts(spark, sf, what):
+    """Parts as sentences with facts in several shapes; the key decides the values."""
+    k = F.col("p_partkey").cast("int")
+    day, month, year = k % 28 + 1, k % 12 + 1, k % 30 + 1995
+    names = F.array(*[F.lit(m.split("|")[0].title()) for m in K.MONTHS])
+    name = F.get(names, month - 1)
+    shapes = {
+        "date": F.format_string("on %04d-%02d-%02d or %d/%d/%d, %d %s %d, %s %d, %d, by Q%d %d.", year, month, day, day, month, year, day, name, year, name, day, year, k % 4 + 1, year),
+        "money": F.format_string("pay $%d,%03d.50 or EUR %d,25, then %d.%03d,75 EUR, £%dk; CODE%d", k % 900 + 1, k % 1000, k % 90, k % 900 + 1, k % 1000, k % 70 + 1, k),
+        "duration": F.format_string("%d days, PT%dH, P%dW, %d semanas and 1 minute", k % 50 + 2, k % 20 + 1, k % 5 + 1, k % 9 + 2),
+        "quantity": F.format_string("%d kg, %d.5 GB, %d%% and %dkWh but not v%d.%dm", k % 50, k % 16, k % 100, k % 70, k, k),
+    }
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), shapes[what].alias("text"))
+
+
 def two_hops(spark, sf):
     edges = table(spark, sf, "orders").select((F.col("o_custkey") % 500).alias("a"), (F.col("o_orderkey") % 500).alias("b"), ((F.col("o_orderkey") % 10 + 1) / 10).alias("weight")).where("a <> b")
     edges = edges.groupBy("a", "b").agg(F.max("weight").alias("weight"))
@@ -166,7 +181,12 @@ QUERIES = {
     "W3_hash_sample": sampled,
     "C8_facts": lambda s, d: K.facts(rendered_orders(s, d)).select("id", "kind", "norm"),
     "J4_fact_filters": lambda s, d: K.matching(K.facts(rendered_orders(s, d)), [("DURATION", "864000s"), ("EMAIL", "buyer7@example.org")]),
-    "A25_fact_rarity": lambda s, d: K.rarity(K.facts(rendered_orders(s, d)).where("kind = 'DURATION'"), table(s, d, "orders").count(), 0.02),
+    "A25_fact_rarity": lambda s, d: K.rarity(K.facts(rendered_orders(s, d)), table(s, d, "orders").count()),
+    "C1_dates": lambda s, d: K.facts(rendered_parts(s, d, "date")).where("kind = 'DATE'").select("id", "norm", "assumed"),
+    "C2_money": lambda s, d: K.facts(rendered_parts(s, d, "money")).where("kind = 'MONEY'").select("id", "norm"),
+    "C3_durations": lambda s, d: K.facts(rendered_parts(s, d, "duration")).where("kind = 'DURATION'").select("id", "norm"),
+    "C7_quantities": lambda s, d: K.facts(rendered_parts(s, d, "quantity")).where("kind = 'QUANTITY'").select("id", "norm"),
+    "C8_document_facts": lambda s, d: K.facts(words(s, d)).select("id", "kind", "start", "norm"),
     "E1_markdown_chunks": lambda s, d: words(s, d).select("id", F.explode(T.markdown_chunks("text")).alias("c")).select("id", "c.*"),
     "E9_html_text": lambda s, d: table(s, d, "pages").select("page_id", T.html_text("html").alias("text"), T.title(F.col("html")).alias("title")),
     "A20_column_shapes": lambda s, d: C.column_shapes(table(s, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")),
@@ -199,7 +219,7 @@ by_agent AS (SELECT id FROM library WHERE id IN (SELECT id FROM readable) AND co
 _COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 _NEAR = f"SELECT e.vec_id, round({_COS}, 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q WHERE e.vec_id <> 3 ORDER BY similarity DESC, vec_id"
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
-_KEYWORDS = rf"""kw AS (SELECT doc_id AS id, term, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9-]{{2,}}')) AS term FROM documents) WHERE term NOT IN ({_STOP}) GROUP BY ALL),
+_KEYWORDS = rf"""kw AS (SELECT doc_id AS id, term, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{{L}}[\p{{L}}\p{{N}}-]{{2,}}')) AS term FROM documents) WHERE term NOT IN ({_STOP}) GROUP BY ALL),
 top AS (SELECT id, term, n FROM kw QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, term) <= 8)"""
 _FACTS = """facts AS (SELECT id, unnest([{'kind': 'IDENTIFIER', 'norm': format('inv-2024-{:05d}', id)}, {'kind': 'MONEY', 'norm': format('USD:{:d}', price * 100)}, {'kind': 'DATE', 'norm': day},
   {'kind': 'DURATION', 'norm': format('{:d}s', (id % 60 + 2) * 86400)}, {'kind': 'EMAIL', 'norm': format('buyer{:d}@example.org', c)}], recursive := true) FROM
@@ -217,6 +237,9 @@ _SHAPES = " UNION ALL ".join(
     for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
 )
 
+_TYPE_NAMES = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in R.TYPES.items()) + "}"
+_TYPES = rf"WITH e AS (SELECT page_id, lower(regexp_extract(url, '[^/]\.([A-Za-z0-9]+)$', 1)) AS extension FROM pages) SELECT page_id, extension, coalesce({_TYPE_NAMES}[extension], 'application/octet-stream') AS content_type FROM e"
+
 ORACLES = {
     "T1_hybrid_search": rf"""WITH {_ACCESS}, near AS ({_NEAR} LIMIT 50), w AS (SELECT id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM library WHERE id IN (SELECT id FROM readable)),
       kr AS (SELECT id, share / (share + 0.1::DOUBLE) AS rank FROM (SELECT id, len(list_filter(w, lambda x: x IN ('the', 'and')))::DOUBLE / len(w) AS share FROM w WHERE list_contains(w, 'the') AND list_contains(w, 'and')))
@@ -228,12 +251,24 @@ ORACLES = {
     "A16_readable_per_collection": f"WITH {_ACCESS} SELECT collection, count(*)::BIGINT AS readable FROM library WHERE id IN (SELECT id FROM readable) GROUP BY collection",
     "Fs1_keywords": f"WITH {_KEYWORDS} SELECT * FROM top",
     "A23_keyword_profile": f"WITH {_KEYWORDS} SELECT term, count(DISTINCT id)::BIGINT AS documents FROM top GROUP BY term ORDER BY documents DESC, term LIMIT 12",
+    "Fs2_entities": rf"""WITH e AS (SELECT doc_id AS id, list_concat(regexp_extract_all(text, '{T.ENTITIES[0]}'), regexp_extract_all(text, '{T.ENTITIES[1]}'),
+      list_filter(regexp_extract_all(text, '{T.ENTITIES[2]}'), lambda x: lower(split_part(x, ' ', 1)) NOT IN ({_STOP}))) AS e FROM documents),
+      f AS (SELECT id, array_to_string(list_filter(e, lambda x, i: list_position(e, x) = i)[1:16], '|') AS entities FROM e) SELECT * FROM f WHERE entities <> ''""",
+    "Fs6_squeeze": r"WITH f AS (SELECT doc_id AS id, trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')) AS t FROM documents) SELECT id, CASE WHEN length(t) > 80 THEN rtrim(left(t, 79)) || '…' ELSE t END AS head FROM f",
+    "Fs16_content_types": _TYPES,
     "E6_furniture": r"WITH l AS (SELECT lang AS grp, doc_id AS id, unnest(string_split(text, chr(10))) AS line FROM documents), t AS (SELECT grp, count(DISTINCT id) AS total FROM l GROUP BY grp) SELECT grp, line, count(DISTINCT id)::BIGINT AS documents FROM l JOIN t USING (grp) WHERE length(line) BETWEEN 1 AND 120 GROUP BY grp, line, total HAVING count(DISTINCT id) >= 2 AND count(DISTINCT id) > 0.01 * total",
     "T11_char_budget": f"WITH {LIBRARY_SQL} SELECT id, collection, sum(length(text)) OVER (PARTITION BY collection ORDER BY id)::BIGINT AS upto FROM library QUALIFY upto <= 20000",
     "W3_hash_sample": "SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY sha256(doc_id::VARCHAR), doc_id)::INT AS place FROM documents QUALIFY place <= 2",
     "C8_facts": f"WITH {_FACTS} SELECT id, kind, norm FROM facts",
-    "J4_fact_filters": f"WITH {_FACTS} SELECT id FROM facts WHERE kind = 'DURATION' AND norm = '864000s' AND id IN (SELECT id FROM facts WHERE kind = 'EMAIL' AND norm = 'buyer7@example.org')",
-    "A25_fact_rarity": f"WITH {_FACTS} SELECT kind, norm, count(DISTINCT id)::BIGINT AS documents FROM facts WHERE kind = 'DURATION' GROUP BY ALL HAVING count(DISTINCT id) <= 0.02 * (SELECT count(*) FROM orders)",
+    "J4_fact_filters": f"WITH {_FACTS} SELECT id FROM facts GROUP BY id HAVING bool_or(kind = 'DURATION' AND norm = '864000s') AND bool_or(kind = 'EMAIL' AND norm = 'buyer7@example.org')",
+    "A25_fact_rarity": f"WITH {_FACTS} SELECT kind, norm, count(DISTINCT id)::BIGINT AS documents FROM facts GROUP BY ALL HAVING count(DISTINCT id) <= 0.2 * (SELECT count(*) FROM orders)",
+    "C1_dates": """WITH p AS (SELECT p_partkey AS id, p_partkey::INT % 28 + 1 AS d, p_partkey::INT % 12 + 1 AS m, p_partkey::INT % 30 + 1995 AS y, p_partkey::INT % 4 + 1 AS q FROM part), t AS (SELECT *, format('{:04d}-{:02d}-{:02d}', y, m, d) AS day FROM p)
+      SELECT id, day AS norm, false AS assumed FROM t UNION ALL SELECT id, day, d <= 12 AND d <> m FROM t UNION ALL SELECT id, day, false FROM t UNION ALL SELECT id, day, false FROM t UNION ALL SELECT id, format('{:04d}-Q{:d}', y, q), false FROM t""",
+    "C2_money": """WITH k AS (SELECT p_partkey AS id, p_partkey::BIGINT AS k FROM part)
+      SELECT id, 'USD:' || (((k % 900 + 1) * 1000 + k % 1000) * 100 + 50) AS norm FROM k UNION ALL SELECT id, 'EUR:' || (k % 90 * 100 + 25) FROM k UNION ALL SELECT id, 'EUR:' || (((k % 900 + 1) * 1000 + k % 1000) * 100 + 75) FROM k UNION ALL SELECT id, 'GBP:' || (k % 70 + 1) * 100000 FROM k""",
+    "C3_durations": """WITH k AS (SELECT p_partkey AS id, p_partkey AS k FROM part)
+      SELECT id, unnest([(k % 50 + 2) * 86400 || 's', (k % 20 + 1) * 3600 || 's', (k % 5 + 1) * 604800 || 's', (k % 9 + 2) * 604800 || 's', '60s']) AS norm FROM k""",
+    "C7_quantities": """WITH k AS (SELECT p_partkey AS id, p_partkey AS k FROM part) SELECT id, unnest([k % 50 || ':kg', k % 16 || '.5:GB', k % 100 || ':%', k % 70 || ':kWh']) AS norm FROM k""",
     "A20_column_shapes": _SHAPES,
     "A21_frequent_values": "SELECT l_returnflag AS value, count(*)::BIGINT AS n FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1 HAVING count(*) >= 5 ORDER BY n DESC, value LIMIT 3",
     "A22_prefix_rollup": "WITH k AS (SELECT string_split(regexp_replace(url, '^https?://', ''), '/') AS p, length(html)::BIGINT AS size FROM pages) SELECT prefix, count(*)::BIGINT AS objects, sum(size)::BIGINT AS bytes FROM (SELECT unnest(list_distinct([array_to_string(p[1:i], '/') for i in range(1, greatest(len(p) - 1, 1) + 1)])) AS prefix, size FROM k) GROUP BY prefix",
