@@ -14,11 +14,16 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def similarities(vectors: DataFrame, every: DataFrame, query_id: int) -> DataFrame:
+    """(vec_id, similarity) of all ``vectors`` but the query's to the query vector, one broadcast row of ``every``."""
+    query = every.where(F.col("vec_id") == query_id).select(F.col("embedding").alias("q")).limit(1)
+    scored = vectors.where(F.col("vec_id") != query_id).crossJoin(F.broadcast(query))
+    return scored.select("vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+
+
 def nearest(vectors: DataFrame, query_id: int, k: int) -> DataFrame:
-    """The ``k`` vectors most like the given one, by exact cosine; the query vector is one row."""
-    query = vectors.where(F.col("vec_id") == query_id).select(F.col("embedding").alias("q"))
-    scored = vectors.where(F.col("vec_id") != query_id).crossJoin(F.broadcast(query.limit(1)))
-    return scored.select("vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("similarity")).orderBy(F.desc("similarity"), "vec_id").limit(k)
+    """The ``k`` vectors most like the given one, by exact cosine."""
+    return similarities(vectors, vectors, query_id).orderBy(F.desc("similarity"), "vec_id").limit(k)
 
 
 def keyword_rank(docs: DataFrame, terms: list[str], text="text") -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, and the same rows as SQL."""
 
-from . import desk, knowledge
+from . import desk, knowledge, rest
 
-QUERIES = desk.QUERIES | knowledge.QUERIES
-ORACLES = desk.ORACLES | knowledge.ORACLES
+QUERIES = desk.QUERIES | knowledge.QUERIES | rest.QUERIES
+ORACLES = desk.ORACLES | knowledge.ORACLES | rest.ORACLES

@@ -41,9 +41,10 @@ def per_collection(spark, sf):
 
 
 def hybrid(spark, sf):
-    """Readable texts with both terms, blended with the vectors nearest to vector 3."""
+    """Readable texts with both terms, blended with the similarity of every readable vector to vector 3."""
     lib = library(spark, sf).join(readable(spark, sf), "id", "left_semi")
-    near = S.nearest(table(spark, sf, "embeddings"), 3, 50).withColumnRenamed("vec_id", "id").join(lib.select("id"), "id", "left_semi")
+    vectors = table(spark, sf, "embeddings")
+    near = S.similarities(vectors.join(lib.select(F.col("id").alias("vec_id")), "vec_id", "left_semi"), vectors, 3).withColumnRenamed("vec_id", "id")
     return S.blend(S.keyword_rank(lib, ["the", "and"]), near, 10)
 
 
@@ -89,10 +90,11 @@ def rendered_parts(spark, sf, what):
 
 
 def two_hops(spark, sf):
-    edges = table(spark, sf, "orders").select((F.col("o_custkey") % 500).alias("a"), (F.col("o_orderkey") % 500).alias("b"), ((F.col("o_orderkey") % 10 + 1) / 10).alias("weight")).where("a <> b")
-    edges = edges.groupBy("a", "b").agg(F.max("weight").alias("weight"))
-    ids = spark.range(500).where("id % 7 <> 0")
-    return G.two_hops(spark.range(3).select((F.col("id") + 1).alias("id")), edges, ids)
+    """From three parts to the suppliers that share line items with them, and on to those' parts."""
+    supplier = (-F.col("l_suppkey")).alias("b")  # suppliers and parts are nodes of one graph
+    edges = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), supplier, F.col("l_discount").alias("weight")).groupBy("a", "b").agg(F.max("weight").alias("weight"))
+    parts, suppliers = table(spark, sf, "part").select(F.col("p_partkey").alias("id")), table(spark, sf, "supplier").select((-F.col("s_suppkey")).alias("id"))
+    return G.two_hops(spark.range(3).select((F.col("id") + 1).alias("id")), edges, parts.union(suppliers).where("id % 7 <> 0"))
 
 
 def snapshot(spark, sf, keep, shift):
@@ -151,7 +153,8 @@ def minhash_pairs(spark, sf):
 def citations(spark, sf):
     """Orders as drafts' citations: three or so a draft, of documents and chunks by arithmetic."""
     k = F.col("o_orderkey")
-    return table(spark, sf, "orders").select(F.floor(k / 3).alias("draft"), (k % 211).alias("doc"), F.when(k % 4 > 0, k % 4 - 1).alias("chunk"))
+    documents = table(spark, sf, "documents").count()
+    return table(spark, sf, "orders").select(F.floor(k / 3).alias("draft"), (k % documents).alias("doc"), F.when(k % 4 > 0, k % 4 - 1).alias("chunk"))
 
 
 def citation_check(spark, sf):
@@ -197,7 +200,7 @@ QUERIES = {
     "Fm8_interval_overlap": lambda s, d: table(s, d, "part").select("p_partkey", F.round(C.interval_overlap(F.col("p_size"), F.col("p_size") + 10, F.lit(20), F.lit(35)), 6).alias("overlap")),
     "J15_keyword_edges": keyword_edges,
     "J15_benchmark_overlap": benchmark_overlap,
-    "U5_undirected_edges": lambda s, d: C.undirected(table(s, d, "orders").select((F.col("o_custkey") % 50).alias("a"), (F.col("o_orderkey") % 50).alias("b"), F.col("o_orderstatus").alias("kind"), F.col("o_totalprice").alias("weight"))),
+    "U5_undirected_edges": lambda s, d: C.undirected(table(s, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_returnflag").alias("kind"), F.col("l_extendedprice").alias("weight"))),
     "G3_two_hops": two_hops,
     "Fh4_minhash_pairs": minhash_pairs,
     "J20_citation_check": citation_check,
@@ -241,7 +244,7 @@ _TYPE_NAMES = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in R.TYPES.items()) +
 _TYPES = rf"WITH e AS (SELECT page_id, lower(regexp_extract(url, '[^/]\.([A-Za-z0-9]+)$', 1)) AS extension FROM pages) SELECT page_id, extension, coalesce({_TYPE_NAMES}[extension], 'application/octet-stream') AS content_type FROM e"
 
 ORACLES = {
-    "T1_hybrid_search": rf"""WITH {_ACCESS}, near AS ({_NEAR} LIMIT 50), w AS (SELECT id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM library WHERE id IN (SELECT id FROM readable)),
+    "T1_hybrid_search": rf"""WITH {_ACCESS}, near AS ({_NEAR}), w AS (SELECT id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM library WHERE id IN (SELECT id FROM readable)),
       kr AS (SELECT id, share / (share + 0.1::DOUBLE) AS rank FROM (SELECT id, len(list_filter(w, lambda x: x IN ('the', 'and')))::DOUBLE / len(w) AS share FROM w WHERE list_contains(w, 'the') AND list_contains(w, 'and')))
       SELECT id, round(0.5 * coalesce(rank, 0) + 0.5 * coalesce(similarity, 0), 6)::DOUBLE AS score FROM kr FULL JOIN (SELECT vec_id AS id, similarity FROM near WHERE vec_id IN (SELECT id FROM readable)) USING (id) ORDER BY score DESC, id LIMIT 10""",
     "Fm1_nearest_vectors": f"{_NEAR} LIMIT 10",
@@ -280,12 +283,12 @@ ORACLES = {
     "J15_benchmark_overlap": r"""WITH d AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+')) AS w FROM documents), i AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+')) AS w FROM benchmark),
       j AS (SELECT * FROM i WHERE length(w) >= 8), n AS (SELECT item_id, count(*) AS n FROM j GROUP BY 1)
       SELECT doc_id, item_id, count(*)::BIGINT AS common, round(count(*)::DOUBLE / n, 6) AS containment FROM d JOIN j USING (w) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING 2 * count(*) >= n""",
-    "U5_undirected_edges": "SELECT least(o_custkey % 50, o_orderkey % 50) AS a, greatest(o_custkey % 50, o_orderkey % 50) AS b, o_orderstatus AS kind, max(o_totalprice) AS weight FROM orders GROUP BY ALL",
-    "G3_two_hops": """WITH e0 AS (SELECT o_custkey % 500 AS a, o_orderkey % 500 AS b, max((o_orderkey % 10 + 1) / 10.0::DOUBLE) AS weight FROM orders WHERE o_custkey % 500 <> o_orderkey % 500 GROUP BY ALL),
-      e AS (SELECT a, b, weight FROM (SELECT a, b, weight FROM e0 UNION ALL SELECT b, a, weight FROM e0) WHERE b % 7 <> 0),
+    "U5_undirected_edges": "SELECT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b, l_returnflag AS kind, max(l_extendedprice) AS weight FROM lineitem GROUP BY ALL",
+    "G3_two_hops": """WITH e0 AS (SELECT l_partkey AS a, -l_suppkey AS b, max(l_discount) AS weight FROM lineitem GROUP BY ALL),
+      e AS (SELECT a, b, weight FROM (SELECT a, b, weight FROM e0 UNION ALL SELECT b, a, weight FROM e0) WHERE weight > 0 AND b % 7 <> 0),
       h1 AS (SELECT b AS id, max(weight) AS c FROM e WHERE a IN (1, 2, 3) GROUP BY b), h2 AS (SELECT e.b AS id, max(weight * c) AS c FROM e JOIN h1 ON h1.id = e.a GROUP BY e.b)
       SELECT id, round(max(g), 6)::DOUBLE AS graph FROM (SELECT id, c * 0.6::DOUBLE AS g FROM h1 UNION ALL SELECT id, c * 0.36::DOUBLE FROM h2) GROUP BY id""",
-    "J20_citation_check": f"""WITH {_ACCESS}, c AS (SELECT o_orderkey // 3 AS draft, o_orderkey % 211 AS doc, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 4 - 1 END AS chunk FROM orders),
+    "J20_citation_check": f"""WITH {_ACCESS}, c AS (SELECT o_orderkey // 3 AS draft, o_orderkey % (SELECT count(*) FROM documents) AS doc, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 4 - 1 END AS chunk FROM orders),
       r AS (SELECT draft, CASE WHEN l.gone THEN 0 WHEN l.source_id = 3 THEN 1 WHEN doc NOT IN (SELECT id FROM by_agent) THEN 2 WHEN chunk > 0 AND chunk >= ceil(coalesce(length(l.text), 0) / 400.0) THEN 3 END AS k FROM c LEFT JOIN library l ON l.id = c.doc)
       SELECT draft, ['GONE', 'SOURCE_OFF', 'DARK', 'CHUNK_GONE'][min(k) + 1] AS refusal FROM r GROUP BY draft""",
     "R2_sync_changes": f"SELECT CASE WHEN o.key IS NULL THEN 'added' WHEN n.key IS NULL THEN 'gone' WHEN o.version = n.version THEN 'unchanged' ELSE 'changed' END AS change, count(*)::BIGINT AS n FROM {_snap(OLD, 0)} o FULL JOIN {_snap(NEW, _MOVED)} n ON o.key = n.key GROUP BY 1",
