@@ -326,23 +326,10 @@ def test_lm_scores_separate_labels(spark):
     assert sum(good) / len(good) < sum(bad) / len(bad)
 
 
-def test_lm_counts_and_odd_rows(docs, none):
-    import numpy as np
-
-    want = np.zeros(lm_score.SIZE)
-    for _, t in ODD:
-        ids = [0] * (lm_score.ORDER - 1)
-        for c in (t or "").lower():
-            o = ord(c)
-            ids.append(int(lm_score._ASCII[o]) if o < 128 else 34 + o % lm_score.SHARED)
-            want[sum(x * lm_score.SYMBOLS**k for k, x in enumerate(reversed(ids[-lm_score.ORDER :])))] += 1
-    assert (lm_score.counts(docs) == want).all()
-    losses = lm_score.losses(want).reshape(-1, lm_score.SYMBOLS)
-    assert np.allclose((2.0**-losses).sum(axis=1), 1, atol=1e-4)
-    got = lm_score.score(docs, lm_score.models(docs.where("doc_id > 8"), docs)).collect()
-    assert len(got) == len(ODD) and all((r.score is None) == (r.n_tokens == 0) for r in got)
-    assert lm_score.models(none, docs) is None and all(r.score is None for r in lm_score.score(docs, None).collect())
-    assert lm_score.score(none, None).count() == 0
+def test_lm_odd_rows(docs):
+    got = lm_score.word_score(docs.withColumn("target", F.col("doc_id") > 8)).collect()
+    want = [len(lm_score.TOKEN.findall((t or "").lower())) for _, t in ODD]
+    assert sorted(r.n_tokens for r in got) == sorted(want) and all((r.score is None) == (r.n_tokens == 0) for r in got)
 
 
 def test_lm_words_against_plain_counts(spark, none, monkeypatch):
@@ -350,50 +337,63 @@ def test_lm_words_against_plain_counts(spark, none, monkeypatch):
 
     # words outside ASCII, figures, and words that differ beyond four characters have counts of their own
     rows = [(1, "красный дом 2024"), (2, "красный сад 2025"), (3, "漢字仮名"), (4, "漢字漢字 internationally"), (5, "internationalise"), (5, "internationalise"), (None, None), (7, " \n"), (8, "красный дом 2024 the the")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    monkeypatch.setattr(lm_score, "HOT", 10)  # some n-grams are frequent, the others are joined
+    docs = spark.createDataFrame([(i, t, i in (1, 4)) for i, t in rows], "doc_id long, text string, target boolean").repartition(3)
+    monkeypatch.setattr(lm_score, "PART_CHARS", 5)  # many parts
+
+    def words(t):
+        return re.findall("[漢字仮名]|[^\\s漢字仮名]+", t or "")
+
+    def plain(of):
+        own = [words(t) for i, t in rows if of(i)]
+        return Counter(w for x in own for w in x), Counter(v for x in own for v in [None, *x[:-1]][: len(x)]), Counter(g for x in own for g in zip([None, *x[:-1]], x))
 
-    def grams(t):
-        w = re.findall("[漢字仮名]|[^\\s漢字仮名]+", t or "")
-        return [[(x,) for x in w], list(zip([None, *w[:-1]], w))]
+    (c1, c0, c2), (e1, e0, e2) = plain(lambda i: i in (1, 4)), plain(lambda i: True)
+    n, m, k = sum(c1.values()), sum(e1.values()), lm_score.STRENGTH
+    vocabulary = list(e1)
 
-    def plain(of, order):
-        return Counter(g for i, t in rows if of(i) for g in grams(t)[order])
+    def models(v, w):
+        b = e1[w] / m
+        t = (c1[w] + k * b) / (n + k)
+        return (c2[v, w] + k * t) / (c0[v] + k), (n / m * e2[v, w] + k * b) / (n / m * e0[v] + k)
 
-    target = {1, 4}
-    near, every = ([plain(of, k) for k in (0, 1)] for of in (lambda i: i in target, lambda i: True))
-    counted = lm_score.stored(lm_score.word_counts(docs.where("doc_id in (1, 4)"), docs), shared_folder(spark), "counts")
-    assert counted.count() == sum(map(len, every))
+    for v in (None, "красный", "漢"):  # distributions over one vocabulary
+        assert math.isclose(sum(models(v, w)[0] for w in vocabulary), 1) and math.isclose(sum(models(v, w)[1] for w in vocabulary), 1)
     want = []
     for i, t in rows:
-        a = b = 0.0
-        for k, own in enumerate(grams(t)):
-            n, m, room = sum(near[k].values()), sum(every[k].values()), sum(near[k].values()) + len(every[k])
-            a -= sum(math.log2((near[k][g] + 1) / room) for g in own)
-            b -= sum(math.log2((every[k][g] * n / m + 1) / room) for g in own)
-        tokens = len(grams(t)[0])
-        want.append((i, tokens, *((round(v / tokens / 2, 9) for v in (a, b, a - b)) if tokens else [None] * 3)))
-    got = [(r[0], r[1], *(None if v is None else round(v, 9) for v in r[2:])) for r in lm_score.word_score(docs, counted).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
-    by_id = {r[0]: r[4] for r in got}
+        own = words(t)
+        both = [models(v, w) for v, w in zip([None, *own[:-1]], own)]
+        a, b = (-sum(math.log2(x[j]) for x in both) / max(len(own), 1) for j in (0, 1))
+        want.append((i, len(own), *((round(x, 9) for x in (a, b, a - b)) if own else [None] * 3)))
+
+    def got(frame):
+        return sorted(((r[0], r[1], *(None if v is None else round(v, 9) for v in r[2:])) for r in lm_score.word_score(frame).collect()), key=str)
+
+    assert got(docs) == sorted(want, key=str)
+    monkeypatch.setattr(lm_score, "CHUNK_TOKENS", 4)  # and many chunks
+    assert got(docs) == sorted(want, key=str)
+    by_id = {r[0]: r[4] for r in want}
     assert by_id[1] < by_id[2] and by_id[4] < by_id[3]
-    nobody = lm_score.word_counts(none, docs)
-    assert all(r.score is None for r in lm_score.word_score(docs, nobody).collect())
-    assert lm_score.word_score(none, counted).count() == 0
-
-
-def test_mix_meets_targets(docs, none, spark):
-    rows = mixing.mix_report(spark.read.parquet(f"{SF}/documents.parquet").drop("n_chars")).collect()
-    by_target = {}
-    for r in rows:
-        assert 0 <= r.taken <= 2 * r.size
-        by_target.setdefault((r.target, r.source_size), []).append(r.taken)
-    for (target, _), taken in by_target.items():
-        assert abs(sum(taken) / target - round(sum(taken) / target)) < 0.01 or len(taken) > 10
-    got = mixing.mix_report(docs).collect()
-    assert len(got) == len(ODD) and all(r.taken <= 2 * r.size for r in got)
-    assert mixing.mixture(docs).columns == docs.columns
-    assert mixing.mix_report(none).count() == 0 and mixing.mixture(none).count() == 0
+    assert all(r.score is None for r in lm_score.word_score(docs.withColumn("target", F.lit(None).cast("boolean"))).collect())
+    named = docs.selectExpr("CAST(doc_id AS STRING) AS doc_id", "text", "doc_id AS lm_id", "target")
+    assert {r.doc_id for r in lm_score.word_score(named).collect()} == {str(i) if i else None for i, _ in rows}
+    assert lm_score.word_score(none.withColumn("target", F.lit(True))).count() == 0
+
+
+def test_lm_target_rows(spark):
+    docs = spark.createDataFrame([(1, "a", True), (1, "b", True), (2, "c", True), (None, "d", True)], "doc_id long, lm_may string, lm_id boolean")
+    ids = spark.createDataFrame([(1,), (1,), (5,), (None,)], "doc_id long")
+    got = lm_score.with_target(docs, ids)
+    assert got.columns == [*docs.columns, "target"]
+    assert sorted((str(r.doc_id), r.lm_may, r.target) for r in got.collect()) == [("1", "a", True), ("1", "b", True), ("2", "c", False), ("None", "d", False)]
+
+
+def test_lm_separates_documents_that_were_not_fitted(spark):
+    """Of the good documents, those of even id make the target; the others score below the bad ones."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    good = labels.where("quality = 1 AND doc_id % 2 = 0").select("doc_id")
+    got = lm_score.word_score(lm_score.with_target(docs.select("doc_id", "text"), good)).join(labels, "doc_id").where("doc_id % 2 = 1").collect()
+    ok, bad = ([r.score for r in got if r.quality == q] for q in (1, 0))
+    assert len(ok) > 20 and len(bad) > 20 and sum(ok) / len(ok) < sum(bad) / len(bad)
 
 
 def shares(sizes, weights=(5, 2, 1), budget=1.5, repeats=2):
