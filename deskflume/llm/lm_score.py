@@ -20,7 +20,8 @@ the sums; what travels grows with the corpus, and a frequent n-gram is at most o
 chunk, so no part is hot. Answers meet the documents of their chunk, which carry word numbers, by
 the chunk's name. There are as many parts as keep a part at some ``PART_CHARS`` characters of text,
 at any input. Documents are read three times (totals, n-grams, scores). Target documents are found
-by a Bloom filter of fixed size over their ids, then an exact semi-join of the few that pass.
+by a broadcast of their ids, if these are no more than ``BROADCAST_IDS``, else by a Bloom filter of
+fixed size and an exact join of the rows that pass.
 
 Defined results: null and empty texts, and texts of white space, have no tokens and null losses and
 score; without target text all scores are null; repeated rows are counted and scored each; other
@@ -47,17 +48,20 @@ STRENGTH = 5.0
 #: A word, a character of a script without spaces between words, or any other mark.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 TOKEN = re.compile(rf"[{_UNSPACED}]|(?:(?![{_UNSPACED}])\w)+|\S")
-CHUNK_TOKENS = 1 << 19
+CHUNK_TOKENS = 1 << 20
 #: Characters of text, about, whose n-grams one part holds at most.
 PART_CHARS = 16_000_000
+#: So many ids of target documents are broadcast (some 20 MB).
+BROADCAST_IDS = 1_000_000
 ROWS = "chunk long, part int, kind int, n int, target int, doc_ids binary, body binary"
 REQUEST, ANSWER, WORDS, DOCS = range(4)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays behind their lengths and kinds, compressed."""
+    """Arrays behind their lengths and sizes, byte by byte of their numbers (high bytes are mostly zero), compressed."""
     head = np.array([len(arrays), *(x for a in arrays for x in (len(a), a.itemsize))], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(planes))
 
 
 def _unpack(body: bytes) -> list[np.ndarray]:
@@ -66,7 +70,8 @@ def _unpack(body: bytes) -> list[np.ndarray]:
     head = np.frombuffer(raw, np.int64, 2 * k, 8).reshape(k, 2).tolist()
     out, at = [], 8 + 16 * k
     for n, size in head:
-        out.append(np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[size], n, at))
+        planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view({1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[size]).ravel())
         at += n * size
     return out
 
@@ -178,7 +183,7 @@ def _chunked(docs: DataFrame, parts: int, want_docs: bool) -> DataFrame:
         part = _part_of(grams.sorted, parts)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield _row(name, int(part[a]), REQUEST, b - a, 0, None, _pack(grams.sorted[a:b], _small(near[a:b]), _small(every[a:b])))
+            yield _row(name, int(part[a]), REQUEST, b - a, 0, None, _pack(np.diff(grams.sorted[a:b], prepend=np.uint64(0)), _small(near[a:b]), _small(every[a:b])))
 
     def run(batches):
         chunk, ids = _Chunk(), []
@@ -204,7 +209,7 @@ def _answer(batches):
     def answers(held):
         if not held:
             return
-        hashes = np.concatenate([h[1][0] for h in held])
+        hashes = np.concatenate([np.cumsum(h[1][0], dtype=np.uint64) for h in held])  # sent as differences
         _, at = np.unique(hashes, return_inverse=True)
         near = np.bincount(at, np.concatenate([h[1][1] for h in held]))[at].astype(np.int64)
         every = np.bincount(at, np.concatenate([h[1][2] for h in held]))[at].astype(np.int64)
@@ -294,14 +299,19 @@ def word_score(docs: DataFrame, doc_id="doc_id", text="text", target="target") -
     return dealt.mapInArrow(_losses(to_arrow_type(kind), near, every), f"doc_id {kind.simpleString()}, n_tokens long, target_loss double, background_loss double, score double")
 
 
-def with_target(docs: DataFrame, ids: DataFrame, doc_id="doc_id", into="target") -> DataFrame:
+def with_target(docs: DataFrame, ids: DataFrame, doc_id="doc_id", into="target", most: int = BROADCAST_IDS) -> DataFrame:
     """``docs`` with a boolean: whether ``ids`` (one column of the name of doc_id) has the row's id.
-    A Bloom filter spares most rows the join."""
+    At most ``most`` ids are broadcast; with more, a Bloom filter spares most rows the shuffle."""
     name, key = fresh(docs.columns, "lm_may"), fresh(docs.columns, "lm_id")
-    marked = docs.withColumn(name, bloom.membership(ids, doc_id)(F.col(doc_id)))
     sure = ids.select(F.col(doc_id).alias(key)).distinct()
-    unsure = marked.where(name).join(sure, F.col(doc_id) == F.col(key), "left").withColumn(into, F.col(key).isNotNull()).drop(key)
-    return marked.where(~F.col(name)).withColumn(into, F.lit(False)).unionByName(unsure).drop(name)
+
+    def exact(rows, right):
+        return rows.join(right, F.col(doc_id) == F.col(key), "left").withColumn(into, F.col(key).isNotNull()).drop(key)
+
+    if sure.count() <= most:
+        return exact(docs, F.broadcast(sure))
+    marked = docs.withColumn(name, bloom.membership(ids, doc_id)(F.col(doc_id)))
+    return marked.where(~F.col(name)).withColumn(into, F.lit(False)).unionByName(exact(marked.where(name), sure)).drop(name)
 
 
 def op8(spark, sf_dir):

@@ -382,9 +382,10 @@ def test_lm_words_against_plain_counts(spark, none, monkeypatch):
 def test_lm_target_rows(spark):
     docs = spark.createDataFrame([(1, "a", True), (1, "b", True), (2, "c", True), (None, "d", True)], "doc_id long, lm_may string, lm_id boolean")
     ids = spark.createDataFrame([(1,), (1,), (5,), (None,)], "doc_id long")
-    got = lm_score.with_target(docs, ids)
-    assert got.columns == [*docs.columns, "target"]
-    assert sorted((str(r.doc_id), r.lm_may, r.target) for r in got.collect()) == [("1", "a", True), ("1", "b", True), ("2", "c", False), ("None", "d", False)]
+    for most in (0, 10):
+        got = lm_score.with_target(docs, ids, most=most)
+        assert got.columns == [*docs.columns, "target"]
+        assert sorted((str(r.doc_id), r.lm_may, r.target) for r in got.collect()) == [("1", "a", True), ("1", "b", True), ("2", "c", False), ("None", "d", False)]
 
 
 def test_lm_separates_documents_that_were_not_fitted(spark):
