@@ -2,12 +2,13 @@
 
 Base kinds are leftmost non-overlapping matches of three patterns. The method adds spans of kind
 ``entropy``: in candidate strings (runs of ``MIN_RUN`` or more characters of the base-64 and
-identifier alphabets) a window of ``WINDOW`` characters slides, and its Shannon entropy is kept up
-to date from the counts of the character that enters and the one that leaves. A candidate belongs
-to the class of hexadecimal or of mixed characters, each with a threshold of its own. The span
-runs from the first window above the threshold to the end of the last. Candidates on the allow
-list (plain words, UUIDs, counting sequences, placeholders) and those that overlap a base span are
-suppressed.
+identifier alphabets) a window of ``WINDOW`` characters slides. A candidate belongs to the class of
+hexadecimal or of mixed characters, each with its symbols and a threshold of its own. The counts of
+the class's symbols in the window are carried from step to step; the symbol that enters and the one
+that leaves change two of them and the entropy by their terms. The span runs from the first window
+above the threshold to the end of the last. Candidates on the allow list (plain words, numbers,
+UUIDs, counting sequences, placeholders) are suppressed. Spans of other kinds do not matter: what a
+base pattern finds and is random as well is reported twice.
 
 Scale: one pass, no shuffle; a cheap test decides whether a text is looked at closely at all, and
 work on a text grows with its candidates.
@@ -36,15 +37,19 @@ BASE = {
 WORDS = r"(?i)password|passwd|secret|token|api_?key"
 MIN_RUN = 20
 WINDOW = 20
-CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}"
-#: class: what all its characters match, least entropy in bits a character.
-CLASSES = {"hexadecimal": (r"^[0-9A-Fa-f]+$", 3.0), "mixed": (r"^.*$", 3.7)}
+CANDIDATE = rf"[A-Za-z0-9+/_-]{{{MIN_RUN},}}={{0,2}}"
+#: class: its symbols, least entropy in bits a character. A candidate is of the first class that has all its characters.
+CLASSES = {
+    "hexadecimal": ("0123456789ABCDEFabcdef", 3.0),
+    "mixed": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", 3.7),
+}
 ALLOW = (
-    r"^[A-Za-z=_+/-]*$",  # words without a digit
     r"^[0-9=_+/-]*$",  # numbers
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)example|sample|dummy|placeholder|changeme|xxxx|0123456789|abcdefgh",
 )
+#: Strings of these alone are words: in lower or upper case, capitalised, and what joins them.
+WORD_PARTS = "[A-Z]?[a-z]{2,}|[A-Z]{2,}|[=_+/-]"
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
@@ -83,39 +88,45 @@ def _part(count: Column) -> Column:
     return F.when(count > 1, count * F.log2(count.cast("double"))).otherwise(0.0)
 
 
-def _times(window: Column, char: Column) -> Column:
-    return F.char_length(window) - F.char_length(F.replace(window, char))
+def entropy_span(run: Column, least: Column, symbols: str = CLASSES["mixed"][0]) -> Column:
+    """(first, last) end positions of the windows of ``run`` above the threshold, (0, 0) without any.
 
+    H = log2(W) - sum(c * log2(c)) / W: a step changes the sum for two symbols only."""
+    begin = F.struct(F.lit(0.0).alias("sum"), F.array_repeat(F.lit(0), len(symbols)).alias("counts"), F.lit(0).alias("first"), F.lit(0).alias("last"))
 
-def entropy_span(run: Column, least: Column) -> Column:
-    """(first, last) end positions of the windows of ``run`` above the threshold, (0, 0) without any.
+    def place(i):
+        return F.instr(F.lit(symbols), F.substring(run, i, 1)) - 1
 
-    H = log2(W) - sum(c * log2(c)) / W: a step changes the sum for two characters only."""
-    begin = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+    def count(acc, at):
+        return F.get(acc["counts"], at)
 
     def step(acc, i):
-        enters = F.substring(run, i, 1)
-        before = F.substring(run, F.greatest(i - WINDOW, F.lit(1)), F.least(i - 1, F.lit(WINDOW)))  # at most WINDOW characters
-        n_in = _times(before, enters)
-        leaves = F.substring(run, i - WINDOW, 1)
-        n_out = _times(before, leaves) + (enters == leaves).cast("int")
+        full, enters, leaves = i > WINDOW, place(i), place(i - WINDOW)
+        n_in, n_out = count(acc, enters), count(acc, leaves) + (enters == leaves).cast("int")
         grown = acc["sum"] + _part(n_in + 1) - _part(n_in)
-        total = F.when(i > WINDOW, grown + _part(n_out - 1) - _part(n_out)).otherwise(grown)
+        total = F.when(full, grown + _part(n_out - 1) - _part(n_out)).otherwise(grown)
+        counts = F.transform(acc["counts"], lambda c, k: c + (k == enters).cast("int") - (full & (k == leaves)).cast("int"))
         high = (i >= WINDOW) & (F.log2(F.lit(float(WINDOW))) - total / WINDOW >= least)
-        return F.struct(total.alias("sum"), F.when(high & (acc["first"] == 0), i).otherwise(acc["first"]).alias("first"), F.when(high, i).otherwise(acc["last"]).alias("last"))
+        return F.struct(total.alias("sum"), counts.alias("counts"), F.when(high & (acc["first"] == 0), i).otherwise(acc["first"]).alias("first"), F.when(high, i).otherwise(acc["last"]).alias("last"))
 
     return F.aggregate(F.sequence(F.lit(1), F.char_length(run)), begin, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
+def allowed(run: Column) -> Column:
+    known = F.exists(F.array(*map(F.lit, ALLOW)), lambda a: F.regexp_like(run, a))
+    return known | (F.regexp_replace(run, WORD_PARTS, "") == "")
+
+
 def entropy_spans(text: Column, long_run: Column) -> Column:
     runs = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     placed = F.arrays_zip(runs.alias("run"), located(text, CANDIDATE, 0).alias("at"))
-    wanted = F.filter(placed, lambda x: ~F.exists(F.array(*map(F.lit, ALLOW)), lambda a: F.regexp_like(x["run"], a)))
-    pattern, hexadecimal = CLASSES["hexadecimal"]
+    wanted = F.filter(placed, lambda x: ~allowed(x["run"]))
+    (narrow, least), (wide, other) = CLASSES.values()
 
     def scored(x):
-        least = F.when(F.regexp_like(x["run"], F.lit(pattern)), hexadecimal).otherwise(CLASSES["mixed"][1])
-        return F.struct(x["at"]["start"].alias("start"), entropy_span(x["run"], least).alias("hit"))
+        hexadecimal = F.translate(x["run"], narrow, "") == ""
+        hit = F.when(hexadecimal, entropy_span(x["run"], F.lit(least), narrow)).otherwise(entropy_span(x["run"], F.lit(other), wide))
+        return F.struct(x["at"]["start"].alias("start"), hit.alias("hit"))
 
     high = F.filter(F.transform(wanted, scored), lambda x: x["hit"]["last"] > 0)
     spans = F.transform(high, lambda x: F.struct((x["start"] + x["hit"]["first"] - WINDOW).alias("start"), F.lit(KINDS.index("entropy")).alias("rank"), (x["start"] + x["hit"]["last"]).alias("end")))
@@ -129,8 +140,7 @@ def scan_secrets(docs: DataFrame, text="text") -> DataFrame:
     found = docs.withColumn(name, F.coalesce(F.col(text), F.lit(""))).withColumn(run, F.col(name).rlike(CANDIDATE))
     base = F.array_sort(F.concat(*[base_spans(F.col(name), k, F.col(run)) for k in BASE]))
     found = found.withColumn("secrets", F.struct(base.alias("base"), entropy_spans(F.col(name), F.col(run)).alias("added")))
-    added = F.filter(F.col("secrets.added"), lambda x: ~F.exists(F.col("secrets.base"), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    return found.withColumn("secrets", F.struct(F.col("secrets.base").alias("base"), F.array_sort(F.concat(F.col("secrets.base"), added)).alias("all"))).drop(name, run)
+    return found.withColumn("secrets", F.struct(F.col("secrets.base").alias("base"), F.array_sort(F.concat("secrets.base", "secrets.added")).alias("all"))).drop(name, run)
 
 
 def joined(spans: Column) -> Column:
