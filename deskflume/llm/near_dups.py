@@ -9,14 +9,14 @@ documents hold them. A document that shares fewer than MIN_MATCH values with any
 the m values that it shares, only the m - MIN_MATCH + 1 rarest are posted: two documents with
 MIN_MATCH collisions meet in one of these prefixes, so the long lists at the end are skipped.
 
-No list is expanded into pairs. Members of a list are dealt to the list's centre, the member that
-shares most values with others. Groups of a centre are split into chunks; inside a chunk all
-members and the centre are compared exactly, and only a spanning forest of the links leaves the
-task. In groups of several chunks, members that did not reach the centre's component are then
+No list is expanded into rows of pairs. Members of a list are dealt to the list's centre, the member
+that shares most values with others. Groups of a centre are split into chunks; inside a chunk the
+coordinates at which members collide are counted, pairs with MIN_MATCH or more of them are compared
+exactly, and only a spanning forest of the links leaves the task. In groups of several chunks, members that did not reach the centre's component are then
 compared with all other chunks, block by block, so no link between components is lost.
 
 A collision threshold of 38 in 64 misses a pair at similarity 0.8 with a probability of about
-2e-5, less above. Exact copies (equal shingle sets) are one class from the start.
+4e-5 (binomial), less above. Exact copies (equal shingle sets) are one class from the start.
 
 Defined results: null, empty or blank text has no shingles and links to nothing; fewer words than a
 shingle make one shingle of the whole; rows of one doc_id with different texts are separate classes
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import documents, joined_by_rows, shared_folder, stored
+from .common import documents, fresh, joined_by_rows, shared_folder, stored
 from .components import connected
 
 K = 64
@@ -149,6 +149,18 @@ def linked(left, right, percent: int) -> np.ndarray:
     return (common > 0) & (100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common))
 
 
+def collisions(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """At how many coordinates each left signature has the value of each right one: for each
+    coordinate, a list of the right ones under their values; empty ones are skipped."""
+    out = np.zeros((len(left), len(right)), np.uint8)
+    for k in range(K):
+        values, at = np.unique(right[:, k], return_inverse=True)
+        place = np.minimum(np.searchsorted(values, left[:, k]), len(values) - 1)
+        rows = np.flatnonzero(values[place] == left[:, k])
+        out[rows] += at[None, :] == place[rows, None]
+    return out
+
+
 def _forest(ids: np.ndarray, start: np.ndarray, pairs) -> list[tuple[int, int]]:
     """Links that join different parts; ``start``: the part that each id is in already."""
     above: dict[int, int] = {}
@@ -174,16 +186,28 @@ def _compare(width: int, percent: int):
     With no member outside, all members of a group are compared; else those outside with the rest.
     """
 
+    salts, factors = constants(K, 2, np.uint32), constants(K, 3, np.uint32)
+
+    def matches(sets, sigs, left, right):
+        """Pairs (i of left, j of right) with MIN_MATCH collisions, confirmed on their sets."""
+        enough = collisions(sigs[left], sigs[right]) >= MIN_MATCH
+        a, b = np.flatnonzero(enough.any(axis=1)), np.flatnonzero(enough.any(axis=0))
+        if not len(a):
+            return np.empty((0, 2), np.int64)
+        sure = linked([sets[left[i]] for i in a], [sets[right[j]] for j in b], percent) & enough[np.ix_(a, b)]
+        found = np.argwhere(sure)
+        return np.stack([left[a[found[:, 0]]], right[b[found[:, 1]]]], axis=1)
+
     def group(rows, known):
         ids, part, out = (np.array([r[i] for r in rows]) for i in range(3))
         sets = [shingle_hashes(r[3], width, known) for r in rows]
+        sigs = np.stack([signature(s, salts, factors) for s in sets])
         o = np.flatnonzero(out)
         if len(o):
-            m = np.flatnonzero(~out)
-            found = np.argwhere(linked([sets[i] for i in o], [sets[i] for i in m], percent) & (part[o][:, None] != part[m][None, :]))
-            return _forest(ids, part, ((o[i], m[j]) for i, j in found))
-        found = np.argwhere(np.triu(linked(sets, sets, percent), 1))
-        return _forest(ids, part, found)
+            found = matches(sets, sigs, o, np.flatnonzero(~out))
+            return _forest(ids, part, (p for p in found if part[p[0]] != part[p[1]]))
+        every = np.arange(len(rows))
+        return _forest(ids, part, (p for p in matches(sets, sigs, every, every) if p[0] < p[1]))
 
     def run(batches):
         known, key, rows = _WordHashes(), None, []
@@ -266,13 +290,12 @@ def near_classes(docs: DataFrame, doc_id="doc_id", text="text", width=5, percent
 
 def near_dedup(docs: DataFrame, doc_id="doc_id", text="text", **how) -> DataFrame:
     """``docs`` without the documents that a smaller doc_id of their component represents."""
-    gone = near_classes(docs, doc_id, text, **how).where("NOT kept").select(F.col("doc_id").alias("nd_gone")).distinct()
+    names = {c: fresh(docs.columns, f"nd_{c}") for c in ("may", "gone")}
+    gone = near_classes(docs, doc_id, text, **how).where("NOT kept").select(F.col("doc_id").alias(names["gone"])).distinct()
     gone = stored(gone, shared_folder(docs.sparkSession), "gone")
-    may = bloom.membership(gone, "nd_gone")
-    name = "nd_may"
-    marked = docs.withColumn(name, may(F.col(doc_id)))
-    unsure = marked.where(name).join(gone, F.col(doc_id) == F.col("nd_gone"), "left_anti")
-    return marked.where(~F.col(name)).union(unsure).drop(name)
+    marked = docs.withColumn(names["may"], bloom.membership(gone, names["gone"])(F.col(doc_id)))
+    unsure = marked.where(names["may"]).join(gone, F.col(doc_id) == F.col(names["gone"]), "left_anti")
+    return marked.where(~F.col(names["may"])).union(unsure).drop(names["may"])
 
 
 def op3(spark, sf_dir):
