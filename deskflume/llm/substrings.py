@@ -19,8 +19,9 @@ skewed side Spark splits. Removed spans are grouped by document, a bounded list
 
 Defined results: null and empty texts have no units; a unit repeated inside its first document is
 removed there as well; a unit inside another that is removed is listed among the repeated spans,
-but not in ``removed``; rows without doc_id come last; rows of one doc_id with equal places count
-once and lose the same spans; other columns are kept, but for ``removed`` and ``kept``, which are
+but not in ``removed``; rows without doc_id come last; rows of one doc_id, and those without, are
+told apart by a hash of their text, in whose order they follow each other, so each loses its own
+spans only, and equal ones count once and lose the same; other columns are kept, but for ``removed`` and ``kept``, which are
 replaced; an empty table gives no rows.
 """
 
@@ -115,10 +116,10 @@ def units(text: str, whole: bool = True) -> list[tuple[bytes, int, int, int]]:
 def _units(whole: bool):
     def run(batches):
         for b in batches:
-            rows = [(i, *u) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for u in units(t, whole)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "digest", "start", "end", "words"])
+            rows = [(i, h, *u) for i, h, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) if t for u in units(t, whole)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "hash", "digest", "start", "end", "words"])
 
     return run
 
@@ -126,26 +127,31 @@ def _units(whole: bool):
 def repeated_spans(docs: DataFrame, doc_id="doc_id", text="text", whole: bool = False) -> DataFrame:
     """(id, start, end, words, first_id): every repeated unit but its earliest occurrence; a null id is LAST.
     ``whole``: whole lines and blocks as well."""
-    base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("text"))
-    found = stored(base.mapInArrow(_units(whole), "id long, digest binary, start int, end int, words int"), shared_folder(docs.sparkSession), "units")
-    place = F.struct("id", "start")
+    return _later(docs, doc_id, text, whole).drop("hash").distinct()
+
+
+def _later(docs, doc_id, text, whole) -> DataFrame:
+    """Repeated spans with the hash of the text that they stand in."""
+    base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
+    found = stored(base.mapInArrow(_units(whole), "id long, hash long, digest binary, start int, end int, words int"), shared_folder(docs.sparkSession), "units")
+    place = F.struct("id", "hash", "start")
     groups = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("digest", "first")
     later = found.join(groups, "digest").where(place > F.col("first"))
-    return later.select("id", "start", "end", "words", F.col("first.id").alias("first_id")).distinct()
+    return later.select("id", "hash", "start", "end", "words", F.col("first.id").alias("first_id")).distinct()
 
 
 def remove_repeats(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """``docs`` with two more columns: removed (spans with the document that keeps each, in order)
     and kept (stretches of text with their original offsets, in order)."""
     held = F.sort_array(F.collect_list(F.struct("start", (-F.col("end")).alias("back"), "end", "words", "first_id")))
-    spans = repeated_spans(docs, doc_id, text, True).groupBy("id").agg(held.alias("removed"))
+    spans = _later(docs, doc_id, text, True).groupBy("id", "hash").agg(held.alias("removed"))  # the spans of one text
     kind = "array<struct<start:int,end:int,words:int,first_id:bigint>>"
     bare = F.transform("removed", lambda x: F.struct(x["start"], x["end"], x["words"], x["first_id"]).cast(kind[6:-1]))
     outer = F.aggregate(bare, F.array().cast(kind), lambda out, x: F.when(x["end"] > F.coalesce(F.try_element_at(out, F.lit(-1))["end"], F.lit(-1)), F.concat(out, F.array(x))).otherwise(out))
     spans = spans.withColumn("removed", outer)
-    key = fresh(docs.columns, "sd_id")
-    docs = docs.drop("removed", "kept")
-    joined = docs.withColumn(key, F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))).join(spans.withColumnRenamed("id", key), key, "left").drop(key)
+    key, mark = fresh(docs.columns, "sd_id"), fresh(docs.columns, "sd_hash")
+    own = docs.drop("removed", "kept").withColumns({key: F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), mark: F.xxhash64(F.col(text))})
+    joined = own.join(spans.withColumnsRenamed({"id": key, "hash": mark}), [key, mark], "left").drop(key, mark)
     empty = F.array().cast(kind)
     removed = F.coalesce("removed", empty)
     ends = F.concat(F.array(F.lit(0)), F.transform(removed, lambda x: x["end"]))
