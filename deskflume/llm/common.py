@@ -15,10 +15,12 @@ BLANKS = r"\x20\x09-\x0D"
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (tests in one JVM) a temporary folder takes its place.
+    Where the setting is absent and the master is local (tests in one JVM) a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="deskflume-")
     return f"{base.rstrip('/')}/deskflume-{uuid.uuid4().hex}"
 

@@ -15,7 +15,8 @@ store they open; it is the shared one. Payloads are compressed by PNG itself, wi
 
 Defined results: null text is the empty payload, padded to 64 zero bytes; rows of one doc_id are
 members of their own; a null doc_id stays null; equal payloads are equal media with equal features;
-other columns are ignored; an empty table gives an archive folder without archives and no rows.
+other columns are ignored; an empty table gives an archive folder without archives and no rows; a second write to a folder adds
+to the first (one writer at a time).
 """
 
 from __future__ import annotations
@@ -165,6 +166,9 @@ class _Writer(DataSourceArrowWriter):
         store, folder = fs.FileSystem.from_uri(self.uri)
         store.create_dir(folder, recursive=True)
         archives = sorted(a for m in messages if m is not None for a in m.archives)
+        if store.get_file_info(f"{folder}/{MANIFEST}").type == fs.FileType.File:  # appended to what is there
+            with store.open_input_stream(f"{folder}/{MANIFEST}") as source:
+                archives = sorted(archives + json.loads(source.read()))
         with store.open_output_stream(f"{folder}/{MANIFEST}") as out:
             out.write(json.dumps(archives).encode())
 

@@ -190,6 +190,29 @@ def test_near_dups_odd_rows(docs, none):
     assert near_dups.near_dedup(none).count() == 0
 
 
+def test_near_dedup_keeps_columns_of_its_own_names(spark):
+    docs = spark.createDataFrame([(i, prose(3, 60) + (" x" if i else ""), "m", i) for i in range(3)] + [(None, prose(3, 60), "m", 9)], "doc_id long, text string, nd_may string, nd_gone long")
+    kept = near_dups.near_dedup(docs)
+    assert kept.columns == docs.columns and sorted((str(r.doc_id), r.nd_may, r.nd_gone) for r in kept.collect()) == [("0", "m", 0), ("None", "m", 9)]
+
+
+def test_collisions_are_counted():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a, b = (rng.integers(0, 3, (n, near_dups.K)).astype(np.uint32) for n in (5, 7))
+    assert (near_dups.collisions(a, b) == (a[:, None, :] == b[None, :, :]).sum(axis=2)).all()
+
+
+def test_substrings_of_rows_without_ids(spark):
+    first = prose(3, 30)
+    docs = spark.createDataFrame([(1, first), (None, first + "\nown tail"), (None, "a text of its own\n" + prose(8, 30)), (2, "line of two one\n" + prose(5, 20)), (2, prose(7, 25))], "doc_id long, text string")
+    got = substrings.remove_repeats(docs).collect()
+    assert {r.text for r in got if r.removed} == {first + "\nown tail"}
+    for r in got:
+        assert all(r.text[k.start : k.start + len(k.text)] == k.text for k in r.kept)
+
+
 def test_substrings_catch_shared_passages(docs, none):
     spans = substrings.repeated_spans(docs).collect()
     texts = {i: t for i, t in ODD}
@@ -199,8 +222,7 @@ def test_substrings_catch_shared_passages(docs, none):
     assert not any(s.id in (1, 2, 3, 5, 10, 11) for s in spans)
     cleaned = {r.doc_id: r for r in substrings.remove_repeats(docs).collect()}
     for r in cleaned.values():
-        t = texts.get(r.doc_id) or ""
-        assert all(t[k.start : k.start + len(k.text)] == k.text for k in r.kept) or r.doc_id is None
+        assert all(r.text[k.start : k.start + len(k.text)] == k.text for k in r.kept)
     assert len(cleaned[9].removed) and cleaned[7].removed == []
     assert substrings.remove_repeats(none).count() == 0
 
@@ -243,6 +265,23 @@ def test_media_round_trip(spark, docs, none):
     assert media.described(media.media_table(none, shared_folder(spark))).count() == 0
 
 
+def test_media_query_and_second_write(spark):
+    rows = {r.doc_id: r for r in media.op5(spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        raw = (r.text or "").encode()
+        padded = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        x = rows[r.doc_id]
+        assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(raw), len(padded), sha(padded), zlib.crc32(padded[-64:]))
+        mean, deviation, levels, _ = x.feature.split(";")
+        m = sum(padded) / len(padded)
+        assert math.isclose(float(mean), m, abs_tol=1e-4) and math.isclose(float(deviation), math.sqrt(sum((v - m) ** 2 for v in padded) / len(padded)), abs_tol=1e-3)
+        assert all(math.isclose(float(v), sum(b // 32 == k for b in padded) / len(padded), abs_tol=1e-4) for k, v in enumerate(levels.split(",")))
+    folder = shared_folder(spark)
+    for i in (1, 2):
+        back = media.media_table(spark.createDataFrame([(i, f"text {i}")], "doc_id long, text string"), folder)
+    assert sorted((r.member, r.n_bytes) for r in back.collect()) == [(1, 6), (2, 6)]
+
+
 def test_media_damaged_member_is_reported_alone(spark, docs):
     folder = shared_folder(spark)
     media.media_table(docs.coalesce(1), folder)
@@ -303,8 +342,35 @@ def test_secret_base_spans_and_entropy(spark):
         want = sorted((m.start(), r, m.end()) for r, (p, g, least) in enumerate(patterns.values()) for m in p.finditer(t or "") if len(m.group(g)) >= least)
         assert [tuple(s) for s in got[k].secrets.base] == want
     added = {k: [texts[k][s.start : s.end] for s in r.secrets.all if s.rank == 3] for k, r in got.items()}
-    assert added[5] == [strong, strong] and added[7] == [strong]
-    assert not any(added[k] for k in (0, 1, 2, 3, 4, 6, 8, 9))
+    assert added[5] == [strong, strong] and added[6] == added[7] == [strong] and added[4] == ["0a1b2c3d4e5f" * 3]
+    assert not any(added[k] for k in (0, 1, 2, 3, 8, 9))
+
+
+def test_secret_query_against_plain_scans(spark):
+    """op7 itself: base digest, counts, and spans by the entropy of every window."""
+    patterns = ((re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6), (re.compile(r"AKIA[A-Z0-9]+"), 0, 20), (re.compile(r"[0-9a-f]+"), 0, 24))
+    names = ("assign", "access", "hex", "entropy")
+
+    def entropy(w):
+        return -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w))
+
+    def added(t):
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", t):
+            run = m.group()
+            plain = any(re.search(a, run) for a in secret_scan.ALLOW) or not re.sub("[A-Z]?[a-z]{2,}|[A-Z]{2,}|[=_+/-]", "", run)
+            least = 3.0 if re.fullmatch("[0-9a-fA-F]+", run) else 3.7
+            high = [i for i in range(20, len(run) + 1) if entropy(run[i - 20 : i]) >= least - 1e-12]
+            if high and not plain:
+                yield m.start() + high[0] - 20, 3, m.start() + high[-1]
+
+    texts = dict(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect())
+    got = {r.doc_id: r for r in secret_scan.op7(spark, "/root/testdata/sf0.01").collect()}
+    assert got.keys() == texts.keys() and any("entropy" in r.spans for r in got.values())
+    for i, t in texts.items():
+        base = sorted((m.start(), k, m.end()) for k, (p, g, least) in enumerate(patterns) for m in p.finditer(t or "") if len(m.group(g)) >= least)
+        shown = [",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans) for spans in (base, sorted(base + list(added(t or ""))))]
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == j for _, k, _ in base) for j in range(3))
+        assert got[i].base_sha256 == sha(shown[0]) and got[i].spans == shown[1]
 
 
 def test_entropy_is_that_of_the_windows(spark):
