@@ -123,3 +123,46 @@ def hashed_vector(text: Column, size: int, padded: int) -> Column:
 def page_pieces(text: Column, n: int) -> Column:
     """The text in pieces of at most ``n`` characters, cut behind blank lines where a piece holds one."""
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)(?:.{{1,{n - 2}}}\n\n)|.{{1,{n}}}"), F.lit(0)), F.trim), lambda p: p != "")
+
+
+def locator(sheet: Column, cells: Column, page: Column, page_end: Column, lines: Column) -> Column:
+    """Where a passage stands, for readers: a sheet with its cells, a page or a span of pages, or lines."""
+    span = F.when(page_end > page, F.concat(F.lit("-"), page_end)).otherwise("")
+    on_sheet = F.concat_ws(" ", F.lit("sheet"), sheet, F.nullif(cells, F.lit("")))
+    return F.when(sheet != "", on_sheet).when(page >= 1, F.concat(F.lit("page "), page, span)).when(lines != "", F.concat(F.lit("lines "), lines)).otherwise("location unknown")
+
+
+def draft_query(text: Column, stopwords: tuple[str, ...]) -> Column:
+    """The first 12 distinct words of the first 400 characters that are no stop words."""
+    words = F.regexp_extract_all(F.lower(F.substring(F.coalesce(text, F.lit("")), 1, 400)), F.lit("[a-z0-9][a-z0-9-]{2,}"), F.lit(0))
+    return F.array_join(F.slice(F.array_distinct(F.filter(words, lambda w: ~w.isin(*stopwords))), 1, 12), " ")
+
+
+def external_entity(xml: Column) -> Column:
+    """Whether the first 4096 characters declare an entity that stands elsewhere."""
+    head = F.substring(xml, 1, 4096)
+    return head.rlike("(?i)<!DOCTYPE") & head.rlike("(?i)<!ENTITY[^>]*SYSTEM")
+
+
+def strings_only(text: Column) -> Column:
+    """The strings of a JSON list; none where it is no list."""
+    parsed = F.try_parse_json(text)
+    items = F.try_variant_get(parsed, "$", "array<variant>")
+    strings = F.filter(items, lambda v: F.schema_of_variant(v) == "STRING")
+    return F.coalesce(F.transform(strings, lambda v: F.try_variant_get(v, "$", "string")), F.array().cast("array<string>"))
+
+
+def presence(listed: Column, read: Column) -> Column:
+    """Of a table: gone from the catalogue, listed but not readable any more, or neither."""
+    return F.when(~listed, "DROPPED").when(~read, "UNREADABLE").otherwise("OK")
+
+
+def assumption_note(kind: Column, text: Column, day: Column) -> Column:
+    """What an assumed fact rests on: the order of day and month, the currency, or the document's day."""
+    figures = text.rlike(r"^[0-9]{1,2} *[./-] *[0-9]{1,2} *[./-] *[0-9]{2,4}$")
+    return (
+        F.when(kind == "MONEY", "Currency assumed: defaultCurrency.")
+        .when((kind == "DATE") & figures, "Day/month order assumed: dateOrder = DMY.")
+        .when(kind == "DATE", F.concat(F.lit("Relative to the document's day, "), day, F.lit(".")))
+        .otherwise("Assumed by a default rule.")
+    )

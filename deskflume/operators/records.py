@@ -125,3 +125,23 @@ def objects_below(objects: DataFrame, key="key", size="size") -> DataFrame:
     per = objects.select(F.explode(F.array_distinct(above)).alias("prefix"), ext.alias("ext"), F.col(size).alias("size")).groupBy("prefix", "ext").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     histogram = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ext", "n"))), lambda x: F.concat(x["ext"], F.lit("="), x["n"])), ",")
     return per.groupBy("prefix").agg(F.sum("n").alias("objects"), F.sum("bytes").alias("bytes"), histogram.alias("extensions"))
+
+
+def group_hash(rows: DataFrame, key: str, line: Column) -> DataFrame:
+    """(key, hash): SHA-256 of a group's lines, sorted; for groups that fit a row, as the tools of a server do."""
+    return rows.groupBy(key).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("hash"))
+
+
+def scan_counters(tickets: DataFrame, at: Column) -> DataFrame:
+    """One row: open tickets looked at, those past a due time, and those of them that a higher level gets."""
+    late = (F.col("resolution_due") < at) | (F.col("first_response").isNull() & (F.col("response_due") < at))
+    rows = tickets.where("status <> 'RESOLVED'").select("priority", late.alias("late"))
+    return rows.agg(F.count("*").alias("scanned"), F.count_if("late").alias("breached"), F.count_if(F.col("late") & (F.col("priority") != "LOW")).alias("escalated"))
+
+
+def whole(rows: DataFrame, most: int) -> DataFrame:
+    """``rows``, if there are any and no more than ``most``; else an error, as an empty or cut crawl would delete what it lacks."""
+    n = rows.limit(most + 1).count()
+    if not 0 < n <= most:
+        raise ValueError("the crawl found nothing" if n == 0 else f"the crawl found more than {most} rows")
+    return rows

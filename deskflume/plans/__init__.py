@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, and the same rows as SQL."""
 
-from . import desk, knowledge, rest
+from . import desk, edges, knowledge, more, rest
 
-QUERIES = desk.QUERIES | knowledge.QUERIES | rest.QUERIES
-ORACLES = desk.ORACLES | knowledge.ORACLES | rest.ORACLES
+QUERIES = desk.QUERIES | knowledge.QUERIES | rest.QUERIES | edges.QUERIES | more.QUERIES
+ORACLES = desk.ORACLES | knowledge.ORACLES | rest.ORACLES | edges.ORACLES | more.ORACLES
