@@ -9,13 +9,19 @@ lines and blocks of lines between blank ones are units too, with any number of w
 ``MIN_BYTES`` bytes on (four Chinese characters). The earliest occurrence, by document and then
 place, stays; all others are removed. What stays keeps its original offsets.
 
+One part of nine words can be alike by chance in two documents that share nothing else. So a part of a
+line goes only where repeated units follow each other without a gap over ``RUN`` words or more; whole
+lines and blocks need no such company. Of passages of 51 words inside lines 95 % are found by this,
+of those of 60 words 99 %.
+
 Cutting at line ends alone finds none of the passages that stand inside lines, hence the paragraphs.
 The ends of such a passage, up to its first and from its last border, stay.
 
 Scale: one pass finds the units, which travel as 128-bit digests with their places (no text).
 Digests are grouped with partial aggregation, so a unit that a third of all documents hold is one
 row from each task; the join back is an ordinary equi-join with the repeated digests only, whose
-skewed side Spark splits. Removed spans are grouped by document, a bounded list for each.
+skewed side Spark splits. Runs and removed spans are grouped by document, a bounded list for each;
+equal rows are merged before.
 
 Defined results: null and empty texts have no units; a unit repeated inside its first document is
 removed there as well; a unit inside another that is removed is listed among the repeated spans,
@@ -30,7 +36,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, fresh, shared_folder, stored
@@ -39,6 +45,8 @@ REACH = 5
 MIN_WORDS = 6
 #: Least size of whole lines and blocks.
 MIN_BYTES = 10
+#: Least number of words in a stretch of repeated units for parts of lines to go.
+RUN = 16
 LAST = (1 << 63) - 1
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -88,9 +96,10 @@ def unit_starts(hashes: np.ndarray, fresh_line: np.ndarray) -> np.ndarray:
     return np.flatnonzero(least | fresh_line)
 
 
-def units(text: str, whole: bool = True) -> list[tuple[bytes, int, int, int]]:
-    """(digest, start, end, words) of the parts of at least MIN_WORDS words and, with ``whole``, of
-    the lines and blocks of at least MIN_BYTES bytes; offsets in code points."""
+def units(text: str, whole: bool = True) -> list[tuple[bytes, int, int, int, int, bool]]:
+    """(digest, start, end, words, at, entire) of the parts of at least MIN_WORDS words and, with
+    ``whole``, of the lines and blocks of at least MIN_BYTES bytes, which are ``entire``; offsets in
+    code points, ``at`` in words."""
     raw = text.encode()
     data = np.frombuffer(raw, np.uint8)
     starts, ends = word_spans(data)
@@ -105,39 +114,51 @@ def units(text: str, whole: bool = True) -> list[tuple[bytes, int, int, int]]:
     def spans(first):
         return zip(first.tolist(), [*first[1:].tolist(), len(starts)], strict=True)
 
-    found = {(a, b) for a, b in spans(unit_starts(hashes, fresh_line)) if b - a >= MIN_WORDS}
+    parts = {(a, b) for a, b in spans(unit_starts(hashes, fresh_line)) if b - a >= MIN_WORDS}
+    entire = set()
     if whole:
         fresh_block = np.concatenate([[True], lines[1:] > lines[:-1] + 1])
         size = np.concatenate([[0], np.cumsum(ends - starts + 1)])  # with the blank after each word
-        found |= {(a, b) for first in (fresh_line, fresh_block) for a, b in spans(np.flatnonzero(first)) if size[b] - size[a] > MIN_BYTES}
-    return [(xxhash.xxh3_128_digest(own[8 * a : 8 * b]), int(chars[starts[a]]), int(chars[ends[b - 1]]), b - a) for a, b in sorted(found)]
+        entire = {(a, b) for first in (fresh_line, fresh_block) for a, b in spans(np.flatnonzero(first)) if size[b] - size[a] > MIN_BYTES}
+    return [(xxhash.xxh3_128_digest(own[8 * a : 8 * b]), int(chars[starts[a]]), int(chars[ends[b - 1]]), b - a, a, (a, b) in entire) for a, b in sorted(parts | entire)]
 
 
 def _units(whole: bool):
     def run(batches):
         for b in batches:
             rows = [(i, h, *u) for i, h, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) if t for u in units(t, whole)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "hash", "digest", "start", "end", "words"])
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "hash", "digest", "start", "end", "words", "at", "entire"])
 
     return run
 
 
 def repeated_spans(docs: DataFrame, doc_id="doc_id", text="text", whole: bool = False) -> DataFrame:
     """(id, start, end, words, first_id): every repeated unit but its earliest occurrence; a null id is LAST.
-    ``whole``: whole lines and blocks as well."""
+    ``whole``: whole lines and blocks as well. Parts of lines as far as they stand in a run of RUN words."""
     return _later(docs, doc_id, text, whole).drop("hash").distinct()
 
 
 def _later(docs, doc_id, text, whole) -> DataFrame:
     """Repeated spans with the hash of the text that they stand in."""
     base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
-    found = stored(base.mapInArrow(_units(whole), "id long, hash long, digest binary, start int, end int, words int"), shared_folder(docs.sparkSession), "units")
+    found = stored(base.mapInArrow(_units(whole), "id long, hash long, digest binary, start int, end int, words int, at int, entire boolean"), shared_folder(docs.sparkSession), "units")
     place = F.struct("id", "hash", "start")
     groups = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("digest", "first")
     later = found.join(groups, "digest").where(place > F.col("first"))
-    return later.select("id", "hash", "start", "end", "words", F.col("first.id").alias("first_id")).distinct()
+    return _runs(later.select("id", "hash", "start", "end", "words", "at", "entire", F.col("first.id").alias("first_id")).distinct()).drop("at", "entire")
+
+
+def _runs(spans: DataFrame) -> DataFrame:
+    """``spans`` without the parts of lines whose run of repeated units has fewer than RUN words."""
+    text = Window.partitionBy("id", "hash")
+    ordered = text.orderBy("at", "words")
+    upto = F.max(F.col("at") + F.col("words")).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = spans.withColumn("apart", F.coalesce(F.col("at") > upto, F.lit(True))).withColumn("run", F.sum(F.col("apart").cast("int")).over(ordered))
+    run = Window.partitionBy("id", "hash", "run")
+    covered = F.max(F.col("at") + F.col("words")).over(run) - F.min("at").over(run)
+    return numbered.withColumn("covered", covered).where(F.col("entire") | (F.col("covered") >= RUN)).drop("apart", "run", "covered")
 
 
 def remove_repeats(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:

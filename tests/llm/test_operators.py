@@ -231,15 +231,35 @@ def test_substrings_against_brute_force(spark):
     rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
     seen, want = {}, set()
     for i, t in rows:
-        for digest, a, b, n in substrings.units(t):
+        later = []
+        for digest, a, b, n, at, entire in substrings.units(t):
             if digest in seen:
-                want.add((i, a, b, n, seen[digest]))
+                later.append((i, a, b, n, seen[digest], at, entire))
             else:
                 seen[digest] = i
-            assert len(t[a:b].split()) == n
+            assert len(t[a:b].split()) == n and len(t[:a].split()) == at
+        gone = {k for *_, n, _, at, _ in later for k in range(at, at + n)}
+        for *row, at, entire in later:
+            low, high = at, at
+            while low - 1 in gone:
+                low -= 1
+            while high in gone:
+                high += 1
+            if entire or high - low >= substrings.RUN:
+                want.add(tuple(row))
     assert {tuple(r) for r in substrings.op4(spark, SF).collect()} == want
 
 
+def test_substrings_short_parts_stay(spark):
+    """A sentence that two lines share by chance stays; a passage of 51 words inside a line goes."""
+    chance, passage = prose(21, 14), prose(22, 51)
+    around = [prose(k, 40) for k in range(23, 29)]
+    rows = [(1, f"{around[0]} {chance} {around[1]}"), (2, f"{around[2]} {chance} {around[3]}"), (3, f"{around[4]} {passage} {around[5]}"), (4, f"{around[0][:90]} own {passage} {around[3][:90]} own")]
+    got = {r.doc_id: r.removed for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not got[1] and not got[2] and not got[3]
+    assert sum(s.words for s in got[4]) >= substrings.RUN and all(s.first_id == 3 for s in got[4])
+
+
 def test_substrings_whole_lines(spark):
     line, han = "All rights reserved.", "同じ行がもう一度ここに"
     long = prose(6, 40)
