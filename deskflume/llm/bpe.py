@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, lean
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -163,7 +163,7 @@ def chunked(docs: DataFrame, parts: int, want_docs: bool) -> DataFrame:
         if chunk.docs:
             yield _batch(chunk.rows(parts, want_docs))
 
-    return docs.mapInArrow(run, ROWS)
+    return docs.mapInArrow(lean(run), ROWS)
 
 
 def _encoder(vocabulary: dict[bytes, int], pattern: str):
@@ -269,10 +269,10 @@ def _encoded(docs, doc_id, text, vocabulary, pattern, then, schema) -> DataFrame
         yield from _encoder(table.value, pattern)(batches)
 
     words = chunked(base, parts, False)
-    ids = words.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, ROWS)
+    ids = words.repartition(n, "part").sortWithinPartitions("part").mapInArrow(lean(run), ROWS)
     both = ids.union(chunked(base, parts, True))
     dealt = both.repartition(n, "chunk").sortWithinPartitions("chunk", "kind", "part")
-    return dealt.mapInArrow(_reassemble(then), schema)
+    return dealt.mapInArrow(lean(_reassemble(then)), schema)
 
 
 def _token_bytes(spark, vocabulary: str):

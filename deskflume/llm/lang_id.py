@@ -36,7 +36,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, shared_folder, stored
+from .common import documents, fresh, lean, release_memory, shared_folder, stored
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: Documents of each language in training, about.
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", vocabulary:
         for k, c in totals.items():
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(c)), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
 
-    counted = chosen.mapInArrow(count, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    counted = chosen.mapInArrow(lean(count), "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
     words = counted.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"))  # at most one entry a language
     words = stored(words, shared_folder(spark), "training-words")
     table = np.full((len(vocab) + 1, len(langs)), 1 / len(vocab))
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", vocabulary:
             at = np.flatnonzero(total.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].tolist(), pa.list_(pa.float64()))], names=["piece", "uses"])
 
-        uses = words.mapInArrow(expect, "piece long, uses array<double>")
+        uses = words.mapInArrow(lean(expect), "piece long, uses array<double>")
         sums = uses.groupBy("piece").agg(*[F.sum(F.col("uses")[k]).alias(str(k)) for k in range(len(langs))]).toPandas()
         counts = np.full((len(vocab), len(langs)), PRIOR)
         counts[sums["piece"].to_numpy(np.int64)] += sums.drop(columns="piece").to_numpy(float)
@@ -257,6 +257,8 @@ def predict(docs: DataFrame, model, text="text", into="language", vocabulary: st
                     names.append(langs[best])
                     sure.append(float(1 / np.exp(total - total[best]).sum()))
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(sure, pa.float64())], ["lang_pred", "score"])
+        known = scores = split = unseen = None
+        release_memory()
 
     language = F.arrow_udf(run, "lang_pred string, score double")
     return docs.withColumn(into, language(F.col(text)))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import documents, joined_by_rows, shared_folder, stored
+from .common import documents, joined_by_rows, lean, shared_folder, stored
 
 BITS = 1 << 28
 MIN_CHARS = 10
@@ -76,7 +76,7 @@ def _seen(batches):
 
 def twice_filter(docs: DataFrame, text: str) -> bytes:
     """The filter of hashes seen twice, BITS / 8 bytes."""
-    return bloom.second_filter(docs.select(text).mapInArrow(_seen, bloom.ROWS), BITS)
+    return bloom.second_filter(docs.select(text).mapInArrow(lean(_seen), bloom.ROWS), BITS)
 
 
 def _suspects(shared):
@@ -125,14 +125,14 @@ def dedup_lines(docs: DataFrame, doc_id="doc_id", text="text", carry=None) -> Da
     own = [F.coalesce(F.col(doc_id), F.lit(LAST)).alias("ld_id"), F.xxhash64(F.col(text)).alias("ld_hash"), F.col(text).alias("ld_text")]
     base = docs.select(*own)
     shared = spark.sparkContext.broadcast(twice_filter(base, "ld_text"))
-    suspects = stored(base.mapInArrow(_suspects(shared), "ld_id long, ld_hash long, ld_key binary"), folder, "suspects")
+    suspects = stored(base.mapInArrow(lean(_suspects(shared)), "ld_id long, ld_hash long, ld_key binary"), folder, "suspects")
     firsts = suspects.groupBy("ld_key").agg(F.min("ld_id").alias("first"), F.max("ld_id").alias("last"), F.count("*").alias("ld_rows")).where("first < last").drop("last")
     repeats = joined_by_rows(suspects, firsts, "ld_key", "ld_rows", suspects.count())
     drops = repeats.where("ld_id > first").groupBy("ld_id", "ld_hash").agg(F.collect_set("ld_key").alias("ld_drop"))  # at most the lines of one text
     rows = docs.select(F.struct(*(carry or docs.columns)).alias("row"), *own)
     joined = rows.join(drops, ["ld_id", "ld_hash"], "left").select("row", "ld_text", "ld_drop")
     kind = rows.select("row").schema["row"].dataType.simpleString()
-    return joined.mapInArrow(_strip(1), f"row {kind}, kept_text string, n_lines long, n_dropped long, kept_sha256 string")
+    return joined.mapInArrow(lean(_strip(1)), f"row {kind}, kept_text string, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def op6(spark, sf_dir):

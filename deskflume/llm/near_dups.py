@@ -32,20 +32,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import documents, fresh, joined_by_rows, shared_folder, stored
+from .common import documents, fresh, joined_by_rows, lean, shared_folder, stored
 from .components import connected
 
 K = 64
 MIN_MATCH = 38
 #: Members of a centre's group that are compared in one task at once.
 CHUNK = 256
+#: Words whose hashes a task remembers.
+KNOWN_WORDS = 1 << 17
 #: Shingles of a chunk that are multiplied at once.
 COLUMNS = 4096
 
 
 class _WordHashes(dict):
     def __missing__(self, word):
-        if len(self) > 1_000_000:
+        if len(self) > KNOWN_WORDS:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -93,7 +95,7 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, K * len(ns) + 1, K), pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), lists], names=["id", "n", "digest", "signature"])
 
-    return docs.mapInArrow(run, "id long, n long, digest binary, signature array<int>")
+    return docs.mapInArrow(lean(run), "id long, n long, digest binary, signature array<int>")
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -255,7 +257,7 @@ def near_classes(docs: DataFrame, doc_id="doc_id", text="text", width=5, percent
         """rows: centre, k, id, part, outside."""
         full = rows.join(texts, "id").select("centre", "k", "id", "part", "outside", "text")
         dealt = full.repartition(n, "centre", "k").sortWithinPartitions("centre", "k")
-        return stored(dealt.mapInArrow(_compare(width, percent), "a long, b long"), folder, name)
+        return stored(dealt.mapInArrow(lean(_compare(width, percent)), "a long, b long"), folder, name)
 
     dealt = joined_by_rows(member, sizes, "centre", "rows", total).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("long"))
     inside = dealt.where("rep <> centre").union(dealt.where("rep = centre").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1))))
