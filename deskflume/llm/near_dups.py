@@ -19,8 +19,10 @@ A collision threshold of 38 in 64 misses a pair at similarity 0.8 with a probabi
 4e-5 (binomial), less above. Exact copies (equal shingle sets) are one class from the start.
 
 Defined results: null, empty or blank text has no shingles and links to nothing; fewer words than a
-shingle make one shingle of the whole; rows of one doc_id with different texts are separate classes
-that may share the id; a null doc_id gets a null component; other columns are ignored.
+shingle make one shingle of the whole; rows of one doc_id with different texts are documents of
+their own (each is linked by its own text; of those that are near copies of each other ``near_dedup``
+keeps one); repeated rows of the document that stays all stay; a null doc_id gets a null component and
+stays; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -80,7 +82,7 @@ def signature(shingles: np.ndarray, salts: np.ndarray, factors: np.ndarray) -> n
 
 
 def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n, digest, signature) of ``docs`` (id, text)."""
+    """(id, hash, n, digest, signature) of ``docs`` (id, text, hash)."""
 
     def run(batches):
         known, salts, factors = _WordHashes(), constants(K, 2, np.uint32), constants(K, 3, np.uint32)
@@ -93,9 +95,9 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
                 sigs.append(signature(s, salts, factors))
             flat = np.concatenate(sigs).view(np.int32) if sigs else np.empty(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, K * len(ns) + 1, K), pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), lists], names=["id", "n", "digest", "signature"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), lists], names=["id", "hash", "n", "digest", "signature"])
 
-    return docs.mapInArrow(lean(run), "id long, n long, digest binary, signature array<int>")
+    return docs.mapInArrow(lean(run), "id long, hash long, n long, digest binary, signature array<int>")
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -234,13 +236,24 @@ def _compare(width: int, percent: int):
 
 def near_classes(docs: DataFrame, doc_id="doc_id", text="text", width=5, percent=80) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept."""
+    return _classified(docs, doc_id, text, width, percent).drop("hash", "first")
+
+
+def _classified(docs: DataFrame, doc_id="doc_id", text="text", width=5, percent=80) -> DataFrame:
+    """``near_classes`` with hash, the xxhash64 of the text, as (doc_id, hash) names a document, and
+    first: whether it is the smallest of its component.
+
+    Classes (equal shingle sets) are numbered, so that the same doc_id in two of them does no harm;
+    a class is read from the text of its smallest (doc_id, hash).
+    """
     spark = docs.sparkSession
     folder = shared_folder(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("hash"))
     sketches = stored(sketched(base, width), folder, "sketches")
     real = sketches.where("n > 0 AND id IS NOT NULL")
-    classes = real.groupBy("digest").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"))
+    grouped = real.groupBy("digest").agg(F.min(F.struct("id", "hash")).alias("of"), F.first("signature").alias("signature"), F.count("*").alias("copies"))
+    classes = stored(grouped.select("digest", "of.id", "of.hash", "signature", "copies", F.monotonically_increasing_id().alias("rep")), folder, "classes")
     posts = stored(postings(classes), folder, "postings")
     member = stored(memberships(posts), folder, "members")
     chunks = F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("chunks")
@@ -248,20 +261,20 @@ def near_classes(docs: DataFrame, doc_id="doc_id", text="text", width=5, percent
     total = member.count()
 
     # The texts of all members: a filter of fixed size spares the others the shuffle.
-    needed = member.select(F.col("rep").alias("id")).distinct()
+    needed = stored(member.select("rep").distinct().join(classes.select("rep", "id", "hash"), "rep"), folder, "needed")
     may = bloom.membership(needed, "id")
-    texts = base.where(may(F.col("id"))).join(needed, "id", "left_semi")
+    texts = base.where(may(F.col("id"))).join(needed, ["id", "hash"]).select("rep", "text").dropDuplicates(["rep"])
     texts = stored(texts, folder, "texts")
 
     def edges(rows: DataFrame, name: str) -> DataFrame:
-        """rows: centre, k, id, part, outside."""
-        full = rows.join(texts, "id").select("centre", "k", "id", "part", "outside", "text")
+        """rows: centre, k, rep, part, outside."""
+        full = rows.join(texts, "rep").select("centre", "k", "rep", "part", "outside", "text")
         dealt = full.repartition(n, "centre", "k").sortWithinPartitions("centre", "k")
         return stored(dealt.mapInArrow(lean(_compare(width, percent)), "a long, b long"), folder, name)
 
     dealt = joined_by_rows(member, sizes, "centre", "rows", total).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("long"))
     inside = dealt.where("rep <> centre").union(dealt.where("rep = centre").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1))))
-    links = edges(inside.select("centre", "k", F.col("rep").alias("id"), F.col("rep").alias("part"), F.lit(False).alias("outside")), "links")
+    links = edges(inside.select("centre", "k", "rep", F.col("rep").alias("part"), F.lit(False).alias("outside")), "links")
 
     if not sizes.where("chunks > 1").isEmpty():
         large = sizes.where("chunks > 1").select("centre", "rows")
@@ -276,27 +289,30 @@ def near_classes(docs: DataFrame, doc_id="doc_id", text="text", width=5, percent
         i = F.explode(F.sequence(F.lit(0).cast("long"), F.col("outs").cast("long") - 1)).alias("i")
         left = named.where("outside").select("centre", "chunks", "rep", "part", F.pmod(F.xxhash64("rep"), F.col("outs")).cast("long").alias("i"), j, F.lit(True).alias("outside"))
         right = named.select("centre", "chunks", "rep", "part", i, F.col("k").alias("j"), F.lit(False).alias("outside"))
-        blocks = left.union(right.select(left.columns)).select("centre", (F.col("i") * F.col("chunks") + F.col("j")).alias("k"), F.col("rep").alias("id"), "part", "outside")
+        blocks = left.union(right.select(left.columns)).select("centre", (F.col("i") * F.col("chunks") + F.col("j")).alias("k"), "rep", "part", "outside")
         links = links.union(edges(blocks, "links-across"))
 
     labels = connected(links, folder, "all")
-    reps = real.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    named = reps.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"), "copies")
-    named = stored(named, folder, "classes")
-    of_class = joined_by_rows(real.select("digest", "id", "n"), named, "digest", "copies", real.count()).select("id", "n", "component")
-    alone = sketches.where("n = 0 OR id IS NULL").select("id", "n", F.lit(None).cast("long").alias("component"))
-    joined = of_class.union(alone)
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
+    linked_classes = stored(labels.withColumnRenamed("v", "rep").join(classes.select("rep", F.struct("id", "hash").alias("of")), "rep"), folder, "labels")
+    smallest = linked_classes.groupBy("label").agg(F.min("of").alias("component"), F.count("*").alias("rows"))
+    components = joined_by_rows(linked_classes.select("label", "rep"), smallest, "label", "rows", linked_classes.count()).select("rep", "component")
+    own = F.struct("id", "hash")
+    named = classes.join(components, "rep", "left").select("digest", F.coalesce("component", own).alias("component"), "copies")
+    named = stored(named, folder, "components")
+    of_class = joined_by_rows(real.select("digest", "id", "hash", "n"), named, "digest", "copies", real.count()).select("id", "hash", "n", "component")
+    alone = sketches.where("n = 0 OR id IS NULL").select("id", "hash", "n", own.alias("component"))
+    kept = F.col("id").isNull() | (F.col("id") == F.col("component.id"))
+    return of_class.union(alone).select(F.col("id").alias("doc_id"), "hash", F.col("n").alias("n_shingles"), F.col("component.id").alias("component_id"), kept.alias("kept"), (kept & (F.col("hash") == F.col("component.hash"))).alias("first"))
 
 
 def near_dedup(docs: DataFrame, doc_id="doc_id", text="text", **how) -> DataFrame:
     """``docs`` without the documents that a smaller doc_id of their component represents."""
-    names = {c: fresh(docs.columns, f"nd_{c}") for c in ("may", "gone")}
-    gone = near_classes(docs, doc_id, text, **how).where("NOT kept").select(F.col("doc_id").alias(names["gone"])).distinct()
-    gone = stored(gone, shared_folder(docs.sparkSession), "gone")
-    marked = docs.withColumn(names["may"], bloom.membership(gone, names["gone"])(F.col(doc_id)))
-    unsure = marked.where(names["may"]).join(gone, F.col(doc_id) == F.col(names["gone"]), "left_anti")
+    names = {c: fresh(docs.columns, f"nd_{c}") for c in ("may", "id", "hash", "key")}
+    gone = _classified(docs, doc_id, text, **how).where("NOT first").select(F.col("doc_id").alias(names["id"]), F.col("hash").alias(names["hash"])).distinct()
+    gone = stored(gone.withColumn(names["key"], F.xxhash64(names["id"], names["hash"])), shared_folder(docs.sparkSession), "gone")
+    own = [F.col(doc_id).cast("long"), F.xxhash64(F.col(text))]
+    marked = docs.withColumn(names["may"], bloom.membership(gone, names["key"])(F.xxhash64(*own)))
+    unsure = marked.where(names["may"]).join(gone, (own[0] == F.col(names["id"])) & (own[1] == F.col(names["hash"])), "left_anti")
     return marked.where(~F.col(names["may"])).union(unsure).drop(names["may"])
 
 

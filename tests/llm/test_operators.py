@@ -190,6 +190,18 @@ def test_near_dups_odd_rows(docs, none):
     assert near_dups.near_dedup(none).count() == 0
 
 
+def test_near_dedup_of_rows_that_share_an_id(spark, monkeypatch):
+    p, o = prose(3, 60), prose(8, 60)
+    docs = spark.createDataFrame([(1, p), (5, p + " x"), (5, o), (7, o), (5, "short one"), (8, prose(4, 50)), (8, prose(4, 50) + " y"), (9, prose(6, 50)), (9, prose(6, 50))], "doc_id long, text string")
+    for chunk in (256, 2):
+        monkeypatch.setattr(near_dups, "CHUNK", chunk)
+        kept = [(r.doc_id, r.text) for r in near_dups.near_dedup(docs).collect()]
+        assert sorted(i for i, _ in kept) == [1, 5, 5, 8, 9, 9]
+        assert {(1, p), (5, o), (5, "short one"), (9, prose(6, 50))} < set(kept)
+        got = {(r.doc_id, r.component_id, r.kept) for r in near_dups.near_classes(docs).collect()}
+        assert got == {(1, 1, True), (5, 1, False), (5, 5, True), (7, 5, False), (8, 8, True), (9, 9, True)}
+
+
 def test_near_dedup_keeps_columns_of_its_own_names(spark):
     docs = spark.createDataFrame([(i, prose(3, 60) + (" x" if i else ""), "m", i) for i in range(3)] + [(None, prose(3, 60), "m", 9)], "doc_id long, text string, nd_may string, nd_gone long")
     kept = near_dups.near_dedup(docs)
