@@ -1,6 +1,6 @@
 """Queries of the numbered operators, with production parameters over whole tables."""
 
-from . import bpe, lang_id, line_dedup, lm_score, media, mixing, near_dups, secret_scan, substrings, winnow
+from . import bpe, lang_id, line_dedup, lm_score, media, merkle, mixing, near_dups, secret_scan, substrings, url_filter, winnow
 from .common import documents
 
 
@@ -19,5 +19,7 @@ QUERIES = {
     "op8_lm_score": lm_score.op8,
     "op9_source_mix": op9,
     "op10_winnowing": winnow.op10,
+    "op11_merkle_manifest": merkle.op11,
+    "op12_url_filter": url_filter.op12,
 }
-ORACLES = {"op3_minhash_near_dedup": near_dups.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op9_source_mix": mixing.ORACLE}
+ORACLES = {"op3_minhash_near_dedup": near_dups.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op9_source_mix": mixing.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_url_filter": url_filter.ORACLE}
