@@ -1,6 +1,6 @@
 """Queries of the numbered operators, with production parameters over whole tables."""
 
-from . import bpe, lang_id, line_dedup, lm_score, media, merkle, mixing, near_dups, secret_scan, substrings, url_filter, winnow
+from . import alignment, bpe, lang_id, line_dedup, lm_score, media, merkle, mixing, near_dups, secret_scan, substrings, url_filter, winnow
 from .common import documents
 
 
@@ -21,5 +21,6 @@ QUERIES = {
     "op10_winnowing": winnow.op10,
     "op11_merkle_manifest": merkle.op11,
     "op12_url_filter": url_filter.op12,
+    "op13_token_alignment": alignment.op13,
 }
 ORACLES = {"op3_minhash_near_dedup": near_dups.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op9_source_mix": mixing.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_url_filter": url_filter.ORACLE}
