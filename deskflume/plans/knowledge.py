@@ -89,16 +89,27 @@ def rendered_orders(spark, sf):
 def rendered_parts(spark, sf, what):
     """Parts as sentences with facts in several shapes; the key decides the values."""
     k = F.col("p_partkey").cast("int")
-    day, month, year = k % 28 + 1, k % 12 + 1, k % 30 + 1995
-    names = F.array(*[F.lit(m.split("|")[0].title()) for m in K.MONTHS])
-    name = F.get(names, month - 1)
+    d, m, y = k % 28 + 1, k % 12 + 1, k % 30 + 1995
+    english, spanish = (F.get(F.array(*map(F.lit, names)), m - 1) for names in K.MONTHS)
+    dates = "on %04d-%02d-%02d; %d.%d.%d or %d/%d/%d; %dth %s %d; %s %d, %d; %d de %s de %d; in %s %d, Q%d %d, yesterday."
     shapes = {
-        "date": F.format_string("on %04d-%02d-%02d or %d/%d/%d, %d %s %d, %s %d, %d, by Q%d %d.", year, month, day, day, month, year, day, name, year, name, day, year, k % 4 + 1, year),
-        "money": F.format_string("pay $%d,%03d.50 or EUR %d,25, then %d.%03d,75 EUR, £%dk; CODE%d", k % 900 + 1, k % 1000, k % 90, k % 900 + 1, k % 1000, k % 70 + 1, k),
-        "duration": F.format_string("%d days, PT%dH, P%dW, %d semanas and 1 minute", k % 50 + 2, k % 20 + 1, k % 5 + 1, k % 9 + 2),
-        "quantity": F.format_string("%d kg, %d.5 GB, %d%% and %dkWh but not v%d.%dm", k % 50, k % 16, k % 100, k % 70, k, k),
+        "date": F.format_string(dates, y, m, d, d, m, y + 40, m, d, y + 80, d, english, y + 120, F.initcap(english), d, y + 160, d, spanish, y + 200, english, y + 240, k % 4 + 1, y + 280),
+        "money": F.format_string("pay $%d,%03d.50 or €%d,25, then EUR %d.%03d,75, CLP$%d.%03d, JPY %d and %d.5 GBP; CODE%d, 5 XXX", k % 900 + 1, k % 1000, k % 90, k % 900 + 1, k % 1000, k % 900 + 1, k % 1000, k % 5000, k % 70, k),
+        "duration": F.format_string("%d days, PT%dH30M, P%dW2D, %d semanas y %dm; 2 months", k % 50 + 2, k % 20 + 1, k % 5 + 1, k % 9 + 2, k % 55),
+        "quantity": F.format_string("%d kg, %d.50 GB, %d%% and %d,5 km but not v%d.%dm or %d kwh", k % 50, k % 16, k % 100, k % 70, k, k, k),
     }
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), shapes[what].alias("text"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), shapes[what].alias("text"), F.date_add(F.lit("2024-01-01").cast("date"), k % 365).alias("day"))
+
+
+def part_dates(spark, sf):
+    return K.facts(rendered_parts(spark, sf, "date"), day="day").where("kind = 'DATE'")
+
+
+def order_months(spark, sf):
+    """The months, thirty years on, that orders were made in, as windows of days."""
+    month = F.add_months(F.trunc("o_orderdate", "month"), 360)
+    months = table(spark, sf, "orders").select(month.alias("m")).distinct()
+    return months.select(F.date_format("m", "yyyy-MM").alias("window"), (F.unix_date("m").cast("long") * K.DAY).alias("ts"), (F.unix_date(F.add_months("m", 1)).cast("long") * K.DAY).alias("ts_end"))
 
 
 def two_hops(spark, sf):
@@ -195,13 +206,14 @@ QUERIES = {
     "T11_char_budget": top_keyword_budget,
     "W3_hash_sample": sampled,
     "C8_facts": lambda s, d: K.facts(rendered_orders(s, d)).select("id", "kind", "norm"),
-    "J4_fact_filters": lambda s, d: K.matching(K.facts(rendered_orders(s, d)), [("DURATION", "864000s"), ("EMAIL", "buyer7@example.org")]),
+    "J4_fact_filters": lambda s, d: K.matching(K.facts(rendered_orders(s, d)), [("DURATION", "P10D"), ("EMAIL", "buyer7@example.org")]),
     "A25_fact_rarity": lambda s, d: K.rarity(K.facts(rendered_orders(s, d)), table(s, d, "orders").count()),
-    "C1_dates": lambda s, d: K.facts(rendered_parts(s, d, "date")).where("kind = 'DATE'").select("id", "norm", "assumed"),
-    "C2_money": lambda s, d: K.facts(rendered_parts(s, d, "money")).where("kind = 'MONEY'").select("id", "norm"),
-    "C3_durations": lambda s, d: K.facts(rendered_parts(s, d, "duration")).where("kind = 'DURATION'").select("id", "norm"),
-    "C7_quantities": lambda s, d: K.facts(rendered_parts(s, d, "quantity")).where("kind = 'QUANTITY'").select("id", "norm"),
-    "C8_document_facts": lambda s, d: K.facts(words(s, d)).select("id", "kind", "start", "norm"),
+    "C1_dates": lambda s, d: part_dates(s, d).select("id", "norm", "ts", "ts_end", "confidence"),
+    "C2_money": lambda s, d: K.facts(rendered_parts(s, d, "money")).where("kind = 'MONEY'").select("id", "norm", F.col("num").cast("long").alias("num"), "unit", "confidence"),
+    "C3_durations": lambda s, d: K.facts(rendered_parts(s, d, "duration")).where("kind = 'DURATION'").select("id", "norm", F.col("num").cast("long").alias("num")),
+    "C7_quantities": lambda s, d: K.facts(rendered_parts(s, d, "quantity")).where("kind = 'QUANTITY'").select("id", "norm", F.col("num").cast("double").alias("num"), "unit"),
+    "C8_document_facts": lambda s, d: K.facts(words(s, d)).select("id", "kind", "start", "length", "norm", "confidence"),
+    "P10_fact_windows": lambda s, d: K.overlapping(part_dates(s, d), order_months(s, d)),
     "E1_markdown_chunks": lambda s, d: words(s, d).select("id", F.explode(T.markdown_chunks("text")).alias("c")).select("id", "c.*"),
     "E9_html_text": lambda s, d: table(s, d, "pages").select("page_id", T.html_text("html").alias("text"), T.title(F.col("html")).alias("title")),
     "A20_column_shapes": lambda s, d: C.column_shapes(table(s, d, "customer").drop("c_acctbal")),
@@ -236,9 +248,23 @@ _NEAR = f"SELECT e.vec_id, round({_COS}, 6) AS similarity FROM embeddings e, (SE
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 _KEYWORDS = rf"""kw AS (SELECT doc_id AS id, term, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{{L}}[\p{{L}}\p{{N}}-]{{2,}}')) AS term FROM documents) WHERE term NOT IN ({_STOP}) GROUP BY ALL),
 top AS (SELECT id, term, n FROM kw QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, term) <= 8)"""
-_FACTS = """facts AS (SELECT id, unnest([{'kind': 'IDENTIFIER', 'norm': format('inv-2024-{:05d}', id)}, {'kind': 'MONEY', 'norm': format('USD:{:d}', price * 100)}, {'kind': 'DATE', 'norm': day},
-  {'kind': 'DURATION', 'norm': format('{:d}s', (id % 60 + 2) * 86400)}, {'kind': 'EMAIL', 'norm': format('buyer{:d}@example.org', c)}], recursive := true) FROM
-  (SELECT o_orderkey AS id, floor(o_totalprice)::BIGINT AS price, strftime(o_orderdate, '%Y-%m-%d') AS day, o_custkey AS c FROM orders))"""
+_FACTS = """facts AS (SELECT id, unnest([{'kind': 'IDENTIFIER', 'norm': format('inv2024{:05d}', id)}, {'kind': 'MONEY', 'norm': format('USD:{:d}', price * 100)}, {'kind': 'DATE', 'norm': day || '/' || next},
+  {'kind': 'DURATION', 'norm': format('P{:d}D', id % 60 + 2)}, {'kind': 'EMAIL', 'norm': format('buyer{:d}@example.org', c)}], recursive := true) FROM
+  (SELECT o_orderkey AS id, floor(o_totalprice)::BIGINT AS price, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d') AS next, o_custkey AS c FROM orders))"""
+
+_PART_DATES = """k AS (SELECT p_partkey AS id, p_partkey::INT AS k, p_partkey::INT % 28 + 1 AS d, p_partkey::INT % 12 + 1 AS m, p_partkey::INT % 30 + 1995 AS y FROM part),
+spans AS (
+  SELECT id, unnest([
+    {'lo': make_date(y, m, d), 'hi': make_date(y, m, d) + INTERVAL 1 DAY, 'confidence': 'EXACT'},
+    {'lo': make_date(y + 40, m, d), 'hi': make_date(y + 40, m, d) + INTERVAL 1 DAY, 'confidence': CASE WHEN d > 12 THEN 'EXACT' ELSE 'ASSUMED' END},
+    {'lo': CASE WHEN d > 12 THEN make_date(y + 80, m, d) ELSE make_date(y + 80, d, m) END, 'hi': CASE WHEN d > 12 THEN make_date(y + 80, m, d) ELSE make_date(y + 80, d, m) END + INTERVAL 1 DAY, 'confidence': CASE WHEN d > 12 THEN 'EXACT' ELSE 'ASSUMED' END},
+    {'lo': make_date(y + 120, m, d), 'hi': make_date(y + 120, m, d) + INTERVAL 1 DAY, 'confidence': 'EXACT'},
+    {'lo': make_date(y + 160, m, d), 'hi': make_date(y + 160, m, d) + INTERVAL 1 DAY, 'confidence': 'EXACT'},
+    {'lo': make_date(y + 200, m, d), 'hi': make_date(y + 200, m, d) + INTERVAL 1 DAY, 'confidence': 'EXACT'},
+    {'lo': make_date(y + 240, m, 1), 'hi': make_date(y + 240, m, 1) + INTERVAL 1 MONTH, 'confidence': 'EXACT'},
+    {'lo': make_date(y + 280, k % 4 * 3 + 1, 1), 'hi': make_date(y + 280, k % 4 * 3 + 1, 1) + INTERVAL 3 MONTH, 'confidence': 'EXACT'},
+    {'lo': DATE '2024-01-01' + k % 365 - 1, 'hi': (DATE '2024-01-01' + k % 365)::TIMESTAMP, 'confidence': 'ASSUMED'}], recursive := true) FROM k),
+dated AS (SELECT id, strftime(lo, '%Y-%m-%d') || '/' || strftime(hi, '%Y-%m-%d') AS norm, epoch_ms(lo::TIMESTAMP) AS ts, epoch_ms(hi::TIMESTAMP) AS ts_end, confidence FROM spans)"""
 
 
 def _snap(keep, shift):
@@ -275,15 +301,21 @@ ORACLES = {
     "T11_char_budget": f"WITH {LIBRARY_SQL} SELECT id, collection, sum(length(text)) OVER (PARTITION BY collection ORDER BY id)::BIGINT AS upto FROM library QUALIFY upto <= 20000",
     "W3_hash_sample": "SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY sha256(doc_id::VARCHAR), doc_id)::INT AS place FROM documents QUALIFY place <= 2",
     "C8_facts": f"WITH {_FACTS} SELECT id, kind, norm FROM facts",
-    "J4_fact_filters": f"WITH {_FACTS} SELECT id FROM facts GROUP BY id HAVING bool_or(kind = 'DURATION' AND norm = '864000s') AND bool_or(kind = 'EMAIL' AND norm = 'buyer7@example.org')",
+    "J4_fact_filters": f"WITH {_FACTS} SELECT id FROM facts GROUP BY id HAVING bool_or(kind = 'DURATION' AND norm = 'P10D') AND bool_or(kind = 'EMAIL' AND norm = 'buyer7@example.org')",
     "A25_fact_rarity": f"WITH {_FACTS} SELECT kind, norm, count(DISTINCT id)::BIGINT AS documents FROM facts GROUP BY ALL HAVING count(DISTINCT id) <= 0.2 * (SELECT count(*) FROM orders)",
-    "C1_dates": """WITH p AS (SELECT p_partkey AS id, p_partkey::INT % 28 + 1 AS d, p_partkey::INT % 12 + 1 AS m, p_partkey::INT % 30 + 1995 AS y, p_partkey::INT % 4 + 1 AS q FROM part), t AS (SELECT *, format('{:04d}-{:02d}-{:02d}', y, m, d) AS day FROM p)
-      SELECT id, day AS norm, false AS assumed FROM t UNION ALL SELECT id, day, d <= 12 AND d <> m FROM t UNION ALL SELECT id, day, false FROM t UNION ALL SELECT id, day, false FROM t UNION ALL SELECT id, format('{:04d}-Q{:d}', y, q), false FROM t""",
+    "C1_dates": f"WITH {_PART_DATES} SELECT id, norm, ts, ts_end, confidence FROM dated",
     "C2_money": """WITH k AS (SELECT p_partkey AS id, p_partkey::BIGINT AS k FROM part)
-      SELECT id, 'USD:' || (((k % 900 + 1) * 1000 + k % 1000) * 100 + 50) AS norm FROM k UNION ALL SELECT id, 'EUR:' || (k % 90 * 100 + 25) FROM k UNION ALL SELECT id, 'EUR:' || (((k % 900 + 1) * 1000 + k % 1000) * 100 + 75) FROM k UNION ALL SELECT id, 'GBP:' || (k % 70 + 1) * 100000 FROM k""",
-    "C3_durations": """WITH k AS (SELECT p_partkey AS id, p_partkey AS k FROM part)
-      SELECT id, unnest([(k % 50 + 2) * 86400 || 's', (k % 20 + 1) * 3600 || 's', (k % 5 + 1) * 604800 || 's', (k % 9 + 2) * 604800 || 's', '60s']) AS norm FROM k""",
-    "C7_quantities": """WITH k AS (SELECT p_partkey AS id, p_partkey AS k FROM part) SELECT id, unnest([k % 50 || ':kg', k % 16 || '.5:GB', k % 100 || ':%', k % 70 || ':kWh']) AS norm FROM k""",
+      SELECT id, unit || ':' || num AS norm, num, unit, confidence FROM (SELECT id, unnest([
+        {'unit': 'USD', 'num': ((k % 900 + 1) * 1000 + k % 1000) * 100 + 50, 'confidence': 'ASSUMED'}, {'unit': 'EUR', 'num': k % 90 * 100 + 25, 'confidence': 'EXACT'},
+        {'unit': 'EUR', 'num': ((k % 900 + 1) * 1000 + k % 1000) * 100 + 75, 'confidence': 'EXACT'}, {'unit': 'CLP', 'num': (k % 900 + 1) * 1000 + k % 1000, 'confidence': 'EXACT'},
+        {'unit': 'JPY', 'num': k % 5000, 'confidence': 'EXACT'}, {'unit': 'GBP', 'num': k % 70 * 100 + 50, 'confidence': 'EXACT'}], recursive := true) FROM k)""",
+    "C3_durations": """WITH k AS (SELECT p_partkey AS id, p_partkey::BIGINT AS k FROM part)
+      SELECT id, unnest([{'norm': 'P' || (k % 50 + 2) || 'D', 'num': (k % 50 + 2) * 86400}, {'norm': 'PT' || (k % 20 + 1) || 'H30M', 'num': (k % 20 + 1) * 3600 + 1800},
+        {'norm': 'P' || (k % 5 + 1) || 'W2D', 'num': (k % 5 + 1) * 604800 + 172800}, {'norm': 'P' || (k % 9 + 2) || 'W', 'num': (k % 9 + 2) * 604800}, {'norm': 'PT' || k % 55 || 'M', 'num': k % 55 * 60}], recursive := true) FROM k""",
+    "C7_quantities": """WITH k AS (SELECT p_partkey AS id, p_partkey::BIGINT AS k FROM part)
+      SELECT id, n::VARCHAR || ':' || unit AS norm, n::DOUBLE AS num, unit FROM (SELECT id, unnest([{'n': (k % 50)::VARCHAR, 'unit': 'kg'}, {'n': (k % 16) || '.5', 'unit': 'gb'}, {'n': (k % 100)::VARCHAR, 'unit': '%'}, {'n': ((k % 70 * 10) + 5)::VARCHAR, 'unit': 'km'}], recursive := true) FROM k)""",
+    "P10_fact_windows": f"""WITH {_PART_DATES}, months AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE + INTERVAL 30 YEAR AS m FROM orders)
+      SELECT DISTINCT id, strftime(m, '%Y-%m') AS window FROM dated JOIN months ON ts < epoch_ms(m + INTERVAL 1 MONTH) AND ts_end > epoch_ms(m)""",
     "A20_column_shapes": _SHAPES,
     "A21_frequent_values": "SELECT l_returnflag AS value, count(*)::BIGINT AS n FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1 HAVING count(*) >= 5 ORDER BY n DESC, value LIMIT 3",
     "A22_prefix_rollup": "WITH k AS (SELECT string_split(regexp_replace(url, '^https?://', ''), '/') AS p, length(html)::BIGINT AS size FROM pages) SELECT prefix, count(*)::BIGINT AS objects, sum(size)::BIGINT AS bytes FROM (SELECT unnest(list_distinct([array_to_string(p[1:i], '/') for i in range(1, greatest(len(p) - 1, 1) + 1)])) AS prefix, size FROM k) GROUP BY prefix",

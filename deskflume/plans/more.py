@@ -37,8 +37,9 @@ def locators(s, d):
 
 
 def notes(s, d):
-    found = K.facts(rendered_parts(s, d, "date")).where("kind = 'DATE' AND assumed")
-    return found.select("id", V.assumption_note(C("kind"), C("text"), F.lit("2024-01-01")).alias("note"))
+    rows = rendered_parts(s, d, "date")
+    found = K.facts(rows, day="day").where("confidence = 'ASSUMED'").join(rows.select("id", "day"), "id")
+    return found.select("id", V.assumption_note(C("kind"), C("text"), C("day").cast("string")).alias("note"))
 
 
 def policies(s, d):
@@ -74,7 +75,7 @@ QUERIES = {
     "Fs15_locators": locators,
     "Fs20_draft_query": lambda s, d: table(s, d, "documents").select("doc_id", V.draft_query(C("text"), T.STOPWORDS).alias("query")),
     "Fs22_line_hash": lambda s, d: R.group_hash(table(s, d, "lineitem"), "l_orderkey", F.concat_ws(":", "l_linenumber", "l_partkey", "l_returnflag")),
-    "Fd3_magnitudes": lambda s, d: table(s, d, "part").select("p_partkey", K.minor_units(F.concat(F.lit("$"), C("p_size"), F.get(F.array(F.lit("k"), F.lit("m"), F.lit("")), (C("p_partkey") % 3).cast("int")))).alias("cents")),
+    "Fd3_magnitudes": lambda s, d: table(s, d, "part").select("p_partkey", K.expand_magnitude(F.concat("p_size", F.lit("."), C("p_partkey") % 1000), F.get(F.array(*map(F.lit, (3, 6, 0, 2))), (C("p_partkey") % 4).cast("int"))).alias("figures")),
     "C10_notes": notes,
     "X9_policies": policies,
     "Fj1_fields": lambda s, d: events(s, d).select("event_id", F.get_json_object("props", "$.k").alias("k"), F.coalesce(F.get_json_object("props", "$.none"), F.lit("")).alias("none")),
@@ -139,8 +140,10 @@ ORACLES = {
       f AS (SELECT doc_id, t, min(i) AS i FROM u WHERE t NOT IN ({_STOP}) GROUP BY doc_id, t QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) <= 12)
       SELECT doc_id, coalesce(string_agg(t, ' ' ORDER BY i), '') AS query FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id""",
     "Fs22_line_hash": "WITH l AS (SELECT l_orderkey, l_linenumber || ':' || l_partkey || ':' || l_returnflag AS x FROM lineitem) SELECT l_orderkey, sha256(string_agg(x, chr(10) ORDER BY x)) AS hash FROM l GROUP BY l_orderkey",
-    "Fd3_magnitudes": "SELECT p_partkey, p_size::BIGINT * 100 * CASE p_partkey % 3 WHEN 0 THEN 1000 WHEN 1 THEN 1000000 ELSE 1 END AS cents FROM part",
-    "C10_notes": "WITH p AS (SELECT p_partkey AS id, p_partkey % 28 + 1 AS d, p_partkey % 12 + 1 AS m FROM part) SELECT id, 'Day/month order assumed: dateOrder = DMY.' AS note FROM p WHERE d <= 12 AND d <> m",
+    "Fd3_magnitudes": """WITH k AS (SELECT p_partkey, p_size::VARCHAR AS whole, (p_partkey % 1000)::VARCHAR AS rest, [3, 6, 0, 2][p_partkey % 4 + 1] AS zeros FROM part)
+      SELECT p_partkey, CASE WHEN length(rest) <= zeros THEN whole || rest || repeat('0', zeros - length(rest)) END AS figures FROM k""",
+    "C10_notes": """WITH p AS (SELECT p_partkey AS id, p_partkey % 28 + 1 AS d, (DATE '2024-01-01' + (p_partkey % 365)::INT)::VARCHAR AS day FROM part)
+      SELECT id, 'Day/month order assumed: dateOrder = DMY.' AS note FROM p CROSS JOIN range(2) WHERE d <= 12 UNION ALL SELECT id, 'Relative to the document''s day, ' || day || '.' FROM p""",
     "X9_policies": "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'low' ELSE 'high' END AS risk, event_type NOT IN ('click', 'view') AS approval FROM events",
     "Fj1_fields": "SELECT event_id, json_extract_string(props, '$.k') AS k, '' AS \"none\" FROM events",
     "Fj2_string_lists": "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'a' || p_partkey || ',b' END AS strings FROM part",

@@ -87,7 +87,7 @@ QUERIES = {
     "P7_distinct_from": lambda s, d: library(s, d).where(~C("source_id").eqNullSafe(C("collection"))).select("id"),
     "P8_library_filter": lambda s, d: library(s, d).where(C("visibility").isin("PUBLIC", "STAFF") & C("source_id").isNull() & F.contains(F.lower("text"), F.lit("thend"))).select("id"),
     "P10_intervals_meet": lambda s, d: tickets(s, d).where((C("created") < now()) & (F.coalesce("resolved", now()) > now() - F.expr("INTERVAL 3 DAYS"))).select("id"),
-    "P11_numeric_facts": lambda s, d: K.facts(rendered_parts(s, d, "quantity")).where("kind = 'QUANTITY' AND split_part(norm, ':', 2) = 'kg' AND CAST(split_part(norm, ':', 1) AS DOUBLE) BETWEEN 10 AND 20").select("id"),
+    "P11_numeric_facts": lambda s, d: K.facts(rendered_parts(s, d, "quantity")).where("kind = 'QUANTITY' AND unit = 'kg' AND num BETWEEN 10 AND 20").select("id"),
     "P15_redacted": lambda s, d: tickets(s, d).join(customers(s, d), "requester").select("id", F.when(C("requester") == 7, C("name")).otherwise("another requester (withheld)").alias("name")),
     "P17_row_floor": lambda s, d: library(s, d).where((C("owner") == 7) | C("visibility").isin("PUBLIC", "STAFF")).select("id"),
     "P17_no_principal": lambda s, d: library(s, d).where((C("owner") == F.lit(None).cast("long")) | (F.lit(None).cast("long").isNotNull() & C("visibility").isin("PUBLIC", "STAFF"))).groupBy().agg(F.count("*").alias("n")),

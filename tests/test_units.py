@@ -32,10 +32,67 @@ def test_chunks_and_pages(spark):
     assert one(spark, text.html_text, "<title>t</title><script>x<y</script><p>a &amp;&nbsp;b<br>c</p>", None) == ["t\na & b\nc", None]
 
 
-def test_facts_prefer_long_spans(spark):
-    rows = spark.createDataFrame([(1, "See https://x.org/INV-2024-113, or INV-2024-114 by 2024-05-06. USD 12.50 in 2 weeks"), (2, None), (3, "")], "id long, text string")
-    got = {(r.kind, r.norm, r.start) for r in facts.facts(rows).collect()}
-    assert got == {("URL", "https://x.org/INV-2024-113", 4), ("IDENTIFIER", "inv-2024-114", 35), ("DATE", "2024-05-06", 51), ("MONEY", "USD:1250", 63), ("DURATION", "1209600s", 76)}
+GOLDEN = [
+    ("See https://X.org:443/INV-2024-113?a=1#b, or INV-2024-114 by 2024-05-06.", [("URL", 4, "https://x.org/INV-2024-113"), ("IDENTIFIER", 45, "inv2024114"), ("DATE", 61, "2024-05-06/2024-05-07")]),
+    ("12.03.2024, March 2024, 3rd of May 2021, 3rd May 2021, 31/02/2024, 2024-02-30", [("DATE", 0, "2024-03-12/2024-03-13"), ("DATE", 12, "2024-03-01/2024-04-01"), ("DATE", 31, "2021-05-01/2021-06-01"), ("DATE", 41, "2021-05-03/2021-05-04"), ("DATE", 55, "2024-03-02/2024-03-03")]),
+    ("Q4 2023 und q1 2024, 29 de febrero de 2024, Yesterday, next week", [("DATE", 0, "2023-10-01/2024-01-01"), ("DATE", 12, "2024-01-01/2024-04-01"), ("DATE", 21, "2024-02-29/2024-03-01"), ("DATE", 44, "2026-01-14/2026-01-15"), ("DATE", 55, "2026-01-22/2026-01-23")]),
+    ("JPY 500, 12,345.678 kg, $1,234.5, 1.234 CLP, R$ -3,10 and $5 again $5.00", [("MONEY", 0, "JPY:500"), ("QUANTITY", 12, "345.678:kg"), ("MONEY", 24, "USD:123450"), ("MONEY", 34, "CLP:1234"), ("MONEY", 45, "BRL:-310"), ("MONEY", 58, "USD:500")]),
+    ("5 months, 2 weeks, 3 DÍAS, 1h 30m, PT1H30M P0D P2W, 90 secs", [("DURATION", 10, "P2W"), ("DURATION", 19, "P3D"), ("DURATION", 27, "PT1H"), ("DURATION", 30, "PT30M"), ("DURATION", 35, "PT1H30M"), ("DURATION", 47, "P2W"), ("DURATION", 52, "PT90S")]),
+    ("a@b.co-x@y.zz .q@w.org @no.de x@y #12 #1 SR00123 a-1 case_4821 007,50 % 3 °C", [("EMAIL", 0, "a@b.co"), ("EMAIL", 6, "-x@y.zz"), ("EMAIL", 15, "q@w.org"), ("IDENTIFIER", 34, "12"), ("IDENTIFIER", 41, "sr00123"), ("IDENTIFIER", 53, "case4821"), ("QUANTITY", 63, "750:%"), ("QUANTITY", 72, "3:°c")]),
+    (None, []), ("", []), ("no facts here, 42 and 3.14", []),
+]
+
+
+def test_facts_of_each_kind(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(GOLDEN)], "id long, text string")
+    got = {}
+    for r in facts.facts(rows, day="2026-01-15").collect():
+        got.setdefault(r.id, []).append((r.kind, r.start, r.norm))
+        assert GOLDEN[r.id][0][r.start : r.start + r.length] == r.text
+        assert (r.ts is None) == (r.kind != "DATE") and (r.num is None) == (r.kind not in ("MONEY", "DURATION", "QUANTITY"))
+    assert [got.get(i, []) for i in range(len(GOLDEN))] == [want for _, want in GOLDEN]
+
+
+def test_facts_resolve_like_all_pairs(spark):
+    """What stands among the candidates, against a loop over all pairs; and at most the first 64."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id AS id", "text").union(spark.createDataFrame([(-1, "see INV-1 " * 100), (-2, "1-2-2024.5 kg 12.5.2024 h " * 3)], "id long, text string"))
+    rows = docs.select("id", facts.candidates(F.col("text")).alias("found"))
+    rows = rows.select("id", facts.meanings(F.col("found"), F.lit("1970-01-01").cast("date")).alias("f")).collect()
+    want = {}
+    for r in rows:
+        seen, own, kept = set(), [], []
+        for f in r.f:
+            if f.key is None or f.key not in seen:
+                seen.add(f.key)
+                own.append(f)
+        for f in sorted(own, key=lambda f: (-f.length, facts.KINDS.index(f.kind), f.start)):
+            if all(k.start + k.length <= f.start or f.start + f.length <= k.start for k in kept):
+                kept.append(f)
+        want[r.id] = [(f.kind, f.start, f.norm) for f in sorted(kept, key=lambda f: f.start)][:64]
+    got = {i: [] for i in want}
+    for r in facts.facts(docs).collect():
+        got[r.id].append((r.kind, r.start, r.norm))
+    assert got == want and len(got[-1]) == 64
+
+
+@pytest.mark.parametrize("text_", ["$1 1 USD €2 99 " * 7000, "a." * 50_000, "1" * 100_000, "a@" * 50_000, "3 kg " * 20_000, "INV-1 " * 17_000])
+def test_facts_are_linear_in_the_text(spark, text_):
+    import time
+
+    rows = spark.createDataFrame([(1, text_)], "id long, text string")
+    began = time.time()
+    assert facts.facts(rows).count() <= 64
+    assert time.time() - began < 20  # seconds, most of them the start of a job; a quadratic scan takes minutes
+
+
+def test_windows_of_dates(spark):
+    day = facts.DAY
+    spans = [(1, 0, 1), (1, 0, 1), (1, 20, 80), (2, 31, 32), (3, 5, 5), (4, 58, 59)]
+    found = spark.createDataFrame([(i, "DATE", a * day, b * day) for i, a, b in spans] + [(9, "MONEY", None, None)], "id long, kind string, ts long, ts_end long")
+    windows = [("jan", 0, 31), ("feb", 31, 59), ("long", -400, 400), ("none", 3, 3), ("mid", 10, 45)]
+    got = facts.overlapping(found, spark.createDataFrame([(w, a * day, b * day) for w, a, b in windows], "window string, ts long, ts_end long")).collect()
+    assert sorted(map(tuple, got)) == sorted({(i, w) for i, a, b in spans for w, c, e in windows if a < b and c < e and a < e and c < b})
 
 
 def test_no_grant_no_rows(spark):
