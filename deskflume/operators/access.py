@@ -1,7 +1,7 @@
 """Entitlement: which documents a person, or an agent on a person's behalf, may read.
 
-Every rule is a filter, a semi-join or a set operation on ids, so it is applied before anything is
-scored. Grants are rows of (target: DOCUMENT, COLLECTION or SOURCE; target_id; subject: USER, GROUP
+Every rule is a flag on the library's rows, joined from the grants that concern the reader, so the
+library is read once and the rules are applied before anything is scored. Grants are rows of (target: DOCUMENT, COLLECTION or SOURCE; target_id; subject: USER, GROUP
 or AGENT; subject_id); whether they allow reading or managing does not matter here.
 """
 
@@ -9,43 +9,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _granted(library: DataFrame, grants: DataFrame) -> DataFrame:
-    """Ids of documents that the grants reach, directly or through their collection."""
-    one = library.join(grants.where("target = 'DOCUMENT'"), F.col("id") == F.col("target_id"), "left_semi").select("id")
-    many = library.join(grants.where("target = 'COLLECTION'"), F.col("collection") == F.col("target_id"), "left_semi").select("id")
-    return one.union(many)
-
-
 def human_grants(grants: DataFrame, groups: DataFrame, user: int) -> DataFrame:
     mine = groups.where(F.col("user_id") == user).select(F.col("group_id").alias("subject_id"))
     return grants.where((F.col("subject") == "USER") & (F.col("subject_id") == user)).unionByName(grants.where("subject = 'GROUP'").join(mine, "subject_id", "left_semi"))
 
 
+def _marked(library: DataFrame, grants: DataFrame, names: dict[str, str]) -> DataFrame:
+    """``library`` with a boolean column for each target of ``names``: whether a grant reaches the row by it."""
+    keys = {"DOCUMENT": "id", "COLLECTION": "collection", "SOURCE": "source_id"}
+    for target, name in names.items():
+        reached = grants.where(F.col("target") == target).select(F.col("target_id").alias(keys[target])).distinct().withColumn(name, F.lit(True))
+        library = library.join(reached, keys[target], "left")
+    return library
+
+
+def _judged(library: DataFrame, sources: DataFrame | None, grants: DataFrame, groups: DataFrame, user: int, staff: bool, agent: int | None) -> DataFrame:
+    """Ids and sources with booleans may (entitled) and under (below the ceiling of the source): one pass over the library."""
+    seen = ["PUBLIC", "STAFF"] if staff else ["PUBLIC"]
+    rows = _marked(library.drop("text"), human_grants(grants, groups, user), {"DOCUMENT": "h_doc", "COLLECTION": "h_col", "SOURCE": "h_src"})
+    may = (F.col("owner") == user) | F.col("visibility").isin(*seen) | F.col("h_doc").isNotNull() | F.col("h_col").isNotNull()
+    under = ~F.col("gone") & F.col("h_src").isNotNull()
+    if agent is not None:
+        rows = _marked(rows, grants.where((F.col("subject") == "AGENT") & (F.col("subject_id") == agent)), {"DOCUMENT": "a_doc", "COLLECTION": "a_col", "SOURCE": "a_src"})
+        may = may & (F.col("a_doc").isNotNull() | F.col("a_col").isNotNull())
+        under = under & F.col("a_src").isNotNull()
+    if sources is not None:
+        rows = rows.join(sources.where("state IN ('DISABLED', 'PURGED')").select("source_id", F.lit(True).alias("off")), "source_id", "left")
+        under = under & F.col("off").isNull()
+    return rows.select("id", may.alias("may"), (F.col("source_id").isNull() | under).alias("under"))
+
+
 def entitled(library: DataFrame, grants: DataFrame, groups: DataFrame, user: int, staff: bool, agent: int | None = None) -> DataFrame:
     """Ids by ownership, visibility and grants; for an agent, those that it is granted as well."""
-    seen = ["PUBLIC", "STAFF"] if staff else ["PUBLIC"]
-    own = library.where((F.col("owner") == user) | F.col("visibility").isin(*seen)).select("id")
-    human = own.union(_granted(library, human_grants(grants, groups, user))).distinct()
-    if agent is None:
-        return human
-    return human.intersect(_granted(library, grants.where((F.col("subject") == "AGENT") & (F.col("subject_id") == agent))))
+    return _judged(library, None, grants, groups, user, staff, agent).where("may").select("id").distinct()
 
 
 def readable(library: DataFrame, sources: DataFrame, grants: DataFrame, groups: DataFrame, user: int, staff: bool, agent: int | None = None) -> DataFrame:
     """Entitled ids under the ceiling of their data source: a document from a source must not be
     gone, its source not be disabled or purged, and the source granted to the person (and agent)."""
-    allowed = library.join(entitled(library, grants, groups, user, staff, agent), "id", "left_semi")
-    free = allowed.where("source_id IS NULL").select("id")
-    bound = allowed.where("source_id IS NOT NULL AND NOT gone")
-    bound = bound.join(sources.where("state IN ('DISABLED', 'PURGED')"), "source_id", "left_anti")
-
-    def granted(rows, who):
-        return rows.join(who.where("target = 'SOURCE'").select(F.col("target_id").alias("source_id")), "source_id", "left_semi")
-
-    bound = granted(bound, human_grants(grants, groups, user))
-    if agent is not None:
-        bound = granted(bound, grants.where((F.col("subject") == "AGENT") & (F.col("subject_id") == agent)))
-    return free.union(bound.select("id"))
+    return _judged(library, sources, grants, groups, user, staff, agent).where("may AND under").select("id")
 
 
 def per_collection(library: DataFrame, ids: DataFrame) -> DataFrame:

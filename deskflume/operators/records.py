@@ -60,7 +60,7 @@ def route_scores(chunks: DataFrame, floor: float = 0.15) -> DataFrame:
 
 def routed(scores: DataFrame, k: int) -> DataFrame:
     """The first ``k`` (at most 25) documents: entity hits first, then by score, then by id; with the number of all."""
-    score = F.round(0.6 * F.col("best_rank") + 0.4 * F.col("best_vec") + F.least(F.col("sections"), F.lit(3)) * 0.05, 6)
+    score = F.round(0.5 * F.col("best_rank") + 0.5 * F.col("best_vec") + F.least(F.col("sections"), F.lit(3)) * 0.05, 6)
     total = scores.agg(F.count("*").alias("total"))
     ranked = scores.select("doc", "entity_hit", score.alias("score")).orderBy(F.desc_nulls_last("entity_hit"), F.desc("score"), "doc").limit(min(k, 25))
     return ranked.join(F.broadcast(total))  # one row

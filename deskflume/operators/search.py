@@ -3,7 +3,9 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = r"[^\x20\x09-\x0D]+"
+WORD = r"[\p{L}\p{N}]+"
+#: Fixed value: what a hit weighs.
+WEIGHT = 0.1
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,15 +28,76 @@ def nearest(vectors: DataFrame, query_id: int, k: int) -> DataFrame:
     return similarities(vectors, vectors, query_id).orderBy(F.desc("similarity"), "vec_id").limit(k)
 
 
+def words_of(text: Column) -> Column:
+    """Lower-cased runs of letters and figures; a word's place is its number, from 1."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
+def cover_density(hits: Column, terms: int) -> Column:
+    """Rank of one text by covers: stretches from one hit to another that hold every term and no
+    shorter such stretch. A cover counts WEIGHT over one more than the words in it that are no hits.
+
+    hits: array of (place, term), by place, term from 1 to ``terms``. One fold: at each hit the latest
+    places of all terms give the shortest stretch that ends there; it is a cover if it begins behind
+    the last one's beginning. Texts without a cover rank 0."""
+    none = F.array_repeat(F.lit(-1), terms)
+    begin = F.struct(none.alias("places"), none.alias("numbers"), F.lit(0).alias("n"), F.lit(-1).alias("low"), F.lit(0.0).alias("rank"))
+
+    def step(acc, x):
+        def put(old, value):
+            return F.transform(old, lambda v, i: F.when(i + 1 == x["term"], value).otherwise(v))
+
+        new = F.struct(put(acc["places"], x["place"]).alias("places"), put(acc["numbers"], acc["n"]).alias("numbers"))
+        first, number = F.array_min(new["places"]), F.array_min(new["numbers"])
+        cover = number > acc["low"]
+        noise = (x["place"] - first) - (acc["n"] - number)
+        rank = acc["rank"] + F.when(cover, F.lit(WEIGHT) / (noise + 1)).otherwise(0.0)
+        return F.struct(new["places"].alias("places"), new["numbers"].alias("numbers"), (acc["n"] + 1).alias("n"), F.when(cover, number).otherwise(acc["low"]).alias("low"), rank.alias("rank"))
+
+    return F.aggregate(hits, begin, step, lambda acc: acc["rank"])
+
+
+def bounded(rank: Column) -> Column:
+    """A rank between 0 and 1."""
+    return rank / (rank + 1)
+
+
+def term_hits(text: Column, terms: list[str]) -> Column:
+    """Array of (place, term) of a text's words that are terms, by place."""
+    known = F.array(*map(F.lit, terms))
+    placed = F.transform(words_of(text), lambda w, i: F.struct((i + 1).alias("place"), F.array_position(known, w).cast("int").alias("term")))
+    return F.filter(placed, lambda x: x["term"] > 0)
+
+
 def keyword_rank(docs: DataFrame, terms: list[str], text="text") -> DataFrame:
-    """(id, rank) of texts that hold every term: a density rank, matches by length, between 0 and 1.
-    Not the cover-density rank of a database; it orders by how much of the text the terms make up."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    held = docs.select("id", words.alias("words")).withColumns({"hits": F.size(F.filter("words", lambda w: w.isin(*terms))), "n": F.size("words")})
-    every = [F.array_contains("words", t) for t in terms]
-    found = held.where(F.reduce(F.array(*every), F.lit(True), lambda a, x: a & x))
-    share = F.col("hits") / F.col("n")
-    return found.select("id", (share / (share + 0.1)).alias("rank"))
+    """(id, rank) of texts that hold every term, by cover density. Nothing is shuffled."""
+    terms = list(dict.fromkeys(t.lower() for t in terms))
+    some = F.reduce(F.array(*[F.contains(F.lower(text), F.lit(t)) for t in terms]), F.lit(True), lambda a, x: a & x)
+    ranked = docs.where(some).select("id", cover_density(term_hits(F.col(text), terms), len(terms)).alias("rank"))
+    return ranked.where("rank > 0")
+
+
+def ranked_covers(docs: DataFrame, questions: DataFrame, text="text") -> DataFrame:
+    """(question, id, rank) for many questions (question, terms) at once: texts that hold every term.
+
+    Postings (id, term, places) of the words that some question has are joined with the questions'
+    terms. A question meets a text through its rarest term, so a term that most texts hold brings no pair of
+    its own; the text's postings then join the pairs."""
+    asked = questions.select("question", F.array_distinct("terms").alias("terms"), F.size(F.array_distinct("terms")).alias("n")).where("n > 0")
+    own = asked.select("question", "n", F.posexplode("terms").alias("at", "term"))
+    vocabulary = own.select("term").distinct()
+    places = docs.select("id", F.posexplode(words_of(F.col(text))).alias("place", "term")).join(vocabulary, "term", "left_semi")
+    postings = places.groupBy("id", "term").agg(F.sort_array(F.collect_list(F.col("place") + 1)).alias("places"))  # places of one word in one text
+    spread = own.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term", "left")
+    rarest = spread.groupBy("question").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r")).select("question", F.col("r.term").alias("term"))
+    pairs = rarest.join(postings.select("id", "term"), "term").select("question", "id")
+    met = pairs.join(own, "question").join(postings, ["id", "term"])
+    term = F.col("at") + 1
+    hits = F.transform("places", lambda p: F.struct(p.alias("place"), term.alias("term")))
+    whole = met.groupBy("question", "id", "n").agg(F.count("*").alias("held"), F.sort_array(F.flatten(F.collect_list(hits))).alias("hits")).where("held = n")
+    sizes = [r.n for r in asked.select("n").distinct().collect()]  # lengths of questions: a few numbers
+    rank = F.coalesce(*[F.when(F.col("n") == n, cover_density(F.col("hits"), n)) for n in sorted(sizes)]) if sizes else F.lit(0.0)
+    return whole.select("question", "id", rank.alias("rank"))
 
 
 def blend(keyword: DataFrame, vector: DataFrame, k: int) -> DataFrame:

@@ -106,8 +106,8 @@ def part_dates(spark, sf):
 
 
 def order_months(spark, sf):
-    """The months, thirty years on, that orders were made in, as windows of days."""
-    month = F.add_months(F.trunc("o_orderdate", "month"), 360)
+    """The months that orders were made in, as windows of days."""
+    month = F.trunc("o_orderdate", "month")
     months = table(spark, sf, "orders").select(month.alias("m")).distinct()
     return months.select(F.date_format("m", "yyyy-MM").alias("window"), (F.unix_date("m").cast("long") * K.DAY).alias("ts"), (F.unix_date(F.add_months("m", 1)).cast("long") * K.DAY).alias("ts_end"))
 
@@ -282,8 +282,11 @@ _TYPE_NAMES = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in R.TYPES.items()) +
 _TYPES = rf"WITH e AS (SELECT page_id, lower(regexp_extract(url, '[^/]\.([A-Za-z0-9]+)$', 1)) AS extension FROM pages) SELECT page_id, extension, coalesce({_TYPE_NAMES}[extension], 'application/octet-stream') AS content_type FROM e"
 
 ORACLES = {
-    "T1_hybrid_search": rf"""WITH {_ACCESS}, near AS ({_NEAR}), w AS (SELECT id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM library WHERE id IN (SELECT id FROM readable)),
-      kr AS (SELECT id, share / (share + 0.1::DOUBLE) AS rank FROM (SELECT id, len(list_filter(w, lambda x: x IN ('the', 'and')))::DOUBLE / len(w) AS share FROM w WHERE list_contains(w, 'the') AND list_contains(w, 'and')))
+    "T1_hybrid_search": rf"""WITH {_ACCESS}, near AS ({_NEAR}), words AS (SELECT id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM library WHERE id IN (SELECT id FROM readable)),
+      occ AS (SELECT id, w, pos, row_number() OVER (PARTITION BY id ORDER BY pos) AS i FROM (SELECT id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM words) WHERE w IN ('the', 'and')),
+      ends AS (SELECT *, max(CASE WHEN w = 'the' THEN i END) OVER up AS ti, max(CASE WHEN w = 'the' THEN pos END) OVER up AS tp, max(CASE WHEN w = 'and' THEN i END) OVER up AS ai, max(CASE WHEN w = 'and' THEN pos END) OVER up AS ap FROM occ WINDOW up AS (PARTITION BY id ORDER BY pos)),
+      begun AS (SELECT *, least(ti, ai) AS b, least(tp, ap) AS p, lag(least(ti, ai)) OVER (PARTITION BY id ORDER BY pos) AS before FROM ends WHERE ti IS NOT NULL AND ai IS NOT NULL),
+      kr AS (SELECT id, sum(0.1::DOUBLE / (1 + (pos - p) - (i - b))) AS rank FROM begun WHERE before IS NULL OR b > before GROUP BY id)
       SELECT id, round(0.5 * coalesce(rank, 0) + 0.5 * coalesce(similarity, 0), 6)::DOUBLE AS score FROM kr FULL JOIN (SELECT vec_id AS id, similarity FROM near WHERE vec_id IN (SELECT id FROM readable)) USING (id) ORDER BY score DESC, id LIMIT 10""",
     "Fm1_nearest_vectors": f"{_NEAR} LIMIT 10",
     "G6_entitled": f"WITH {_ACCESS} SELECT id FROM entitled",
@@ -314,7 +317,7 @@ ORACLES = {
         {'norm': 'P' || (k % 5 + 1) || 'W2D', 'num': (k % 5 + 1) * 604800 + 172800}, {'norm': 'P' || (k % 9 + 2) || 'W', 'num': (k % 9 + 2) * 604800}, {'norm': 'PT' || k % 55 || 'M', 'num': k % 55 * 60}], recursive := true) FROM k""",
     "C7_quantities": """WITH k AS (SELECT p_partkey AS id, p_partkey::BIGINT AS k FROM part)
       SELECT id, n::VARCHAR || ':' || unit AS norm, n::DOUBLE AS num, unit FROM (SELECT id, unnest([{'n': (k % 50)::VARCHAR, 'unit': 'kg'}, {'n': (k % 16) || '.5', 'unit': 'gb'}, {'n': (k % 100)::VARCHAR, 'unit': '%'}, {'n': ((k % 70 * 10) + 5)::VARCHAR, 'unit': 'km'}], recursive := true) FROM k)""",
-    "P10_fact_windows": f"""WITH {_PART_DATES}, months AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE + INTERVAL 30 YEAR AS m FROM orders)
+    "P10_fact_windows": f"""WITH {_PART_DATES}, months AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS m FROM orders)
       SELECT DISTINCT id, strftime(m, '%Y-%m') AS window FROM dated JOIN months ON ts < epoch_ms(m + INTERVAL 1 MONTH) AND ts_end > epoch_ms(m)""",
     "A20_column_shapes": _SHAPES,
     "A21_frequent_values": "SELECT l_returnflag AS value, count(*)::BIGINT AS n FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1 HAVING count(*) >= 5 ORDER BY n DESC, value LIMIT 3",

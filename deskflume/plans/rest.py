@@ -207,7 +207,7 @@ ORACLES = {
     "W5_best_guess": f"WITH {_GUESS} SELECT * FROM b",
     "W7_first_group": f"WITH {_PROFILES}, c AS (SELECT id, made, unnest(categories) AS category FROM p) SELECT category, id FROM c QUALIFY row_number() OVER (PARTITION BY category ORDER BY made, id) = 1",
     "W12_rolling_log": "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC)::INT AS place FROM events QUALIFY place <= 20",
-    "T2_routed": f"WITH {_SCORES} SELECT doc, entity_hit, round(0.6::DOUBLE * best_rank + 0.4::DOUBLE * best_vec + least(sections, 3) * 0.05::DOUBLE, 6) AS score, (SELECT count(*) FROM s)::BIGINT AS total FROM s ORDER BY entity_hit DESC NULLS LAST, score DESC, doc LIMIT 25",
+    "T2_routed": f"WITH {_SCORES} SELECT doc, entity_hit, round(0.5::DOUBLE * best_rank + 0.5::DOUBLE * best_vec + least(sections, 3) * 0.05::DOUBLE, 6) AS score, (SELECT count(*) FROM s)::BIGINT AS total FROM s ORDER BY entity_hit DESC NULLS LAST, score DESC, doc LIMIT 25",
     "T5_listed": f"WITH {TICKETS_SQL} SELECT id, status FROM tickets ORDER BY id DESC LIMIT 200",
     "T7_next_page": "SELECT l_orderkey, l_linenumber, l_quantity, l_partkey FROM lineitem WHERE (l_orderkey, l_linenumber) > (40, 1) ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity LIMIT 3",
     "T8_admitted": "SELECT p_partkey, p_size % 2 = 0 AS sampled FROM part ORDER BY sampled, p_partkey LIMIT 40",

@@ -206,3 +206,71 @@ def test_stream_keeps_latest_and_ledger_caps(spark, tmp_path):
     stream.writeStream.format("memory").queryName("ledger").outputMode("update").option("checkpointLocation", str(tmp_path / "ledger")).trigger(availableNow=True).start().awaitTermination(120)
     got = {r.action: r.granted for r in spark.table("ledger").groupBy("action").agg(F.max("granted").alias("granted")).collect()}
     assert got == {"find": 6, "probe": 0, "open": 2}
+
+
+def plain_covers(words, terms):
+    """Every stretch that holds all terms and no shorter such stretch."""
+    hits = [i for i, w in enumerate(words) if w in terms]
+    full = [(a, b) for k, a in enumerate(hits) for b in hits[k:] if set(terms) <= set(words[a : b + 1])]
+    least = [(a, b) for a, b in full if not any((c, e) != (a, b) and a <= c and e <= b for c, e in full)]
+    return sum(0.1 / (1 + sum(w not in terms for w in words[a : b + 1])) for a, b in least)
+
+
+def test_cover_rank_against_all_stretches(spark):
+    import random
+
+    random.seed(3)
+    texts = [" ".join(random.choice(["a1", "b", "c", "x", "y", "é"]) for _ in range(random.randrange(1, 40))) for _ in range(60)] + ["", "a1", "b A1, c! a1-b", "c b a1"]
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(99, None)], "id long, text string")
+    for terms in (["a1"], ["a1", "b"], ["b", "a1", "é", "B"]):
+        known = list(dict.fromkeys(t.lower() for t in terms))
+        want = {i: plain_covers(__import__("re").findall(r"[^\W_]+", t.lower()), known) for i, t in enumerate(texts)}
+        got = {r.id: r["rank"] for r in search.keyword_rank(rows, terms).collect()}
+        assert got.keys() == {i for i, v in want.items() if v} and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+    asked = spark.createDataFrame([(1, ["a1", "b"]), (2, ["é"]), (3, ["nowhere", "b"]), (4, [])], "question long, terms array<string>")
+    got = {(r.question, r.id): r["rank"] for r in search.ranked_covers(rows, asked).collect()}
+    want = {(q, i): plain_covers(__import__("re").findall(r"[^\W_]+", t.lower()), ts) for q, ts in ((1, ["a1", "b"]), (2, ["é"])) for i, t in enumerate(texts)}
+    assert got.keys() == {k for k, v in want.items() if v} and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_route_walks_and_duplicates(spark):
+    """Against plain loops over all walks."""
+    import random
+
+    from deskflume.operators import route
+
+    random.seed(8)
+    n = 30
+    ids = list(range(1, n + 1))
+    kinds = [*route.FACTORS, route.TEMPORAL, "NEAR_DUPLICATE", "OTHER"]
+    edges = [(random.choice(ids), random.choice([*ids, 77]), random.choice(kinds), random.choice([0.0, 0.3, 0.7, 1.0])) for _ in range(70)]
+    members = [(i, random.choice([1, 2, None])) for i in ids]
+    chunks = [(random.choice(ids[:12]), k % 4, random.choice([0.1, 0.2, 0.6]), random.choice([None, 0.5]), random.random() < 0.1) for k in range(20)]
+    frames = (
+        spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(chunks, "doc long, section int, lex double, vec double, entity boolean"),
+        spark.createDataFrame(edges, "a long, b long, kind string, weight double"), spark.createDataFrame([m for m in members if m[1]] + [(77, 1)], "id long, source long"),
+    )
+    got = route.route(*frames, 25).collect()
+
+    own = {i: [c for c in chunks if c[0] == i] for i in ids}
+    lex = {i: max((c[2] for c in own[i]), default=None) for i in ids}
+    pre0 = {i: 0.5 * max((c[3] or 0 for c in own[i]), default=0) + 0.5 * (lex[i] or 0) + 0.05 * min(3, len({c[1] for c in own[i] if c[2] >= 0.15})) for i in ids}
+    near = [(a, b) for a, b, k, _ in edges if k == "NEAR_DUPLICATE"]
+    peers = {i: [b for a, b in near if a == i] + [a for a, b in near if b == i] for i in ids}
+    dup = {i: any(p in pre0 and (pre0[p], -p) > (pre0[i], -i) for p in peers[i]) for i in ids}
+    hit = {i: any(c[4] for c in own[i]) for i in ids}
+    source = dict(members)
+    walks = [(s, s, 0, 1.0) for s in ids if lex[s] or hit[s] or dup[s]]
+    walks += [(s, i, 1, 0.3) for s, *_ in walks for i in ids if i != s and source[i] and source[i] == source[s]]
+    graph = dict.fromkeys(ids, 0.0)
+    while walks:
+        seed, at, hop, carried = walks.pop()
+        if hop:
+            graph[at] = max(graph[at], carried * 0.6**hop)
+        for a, b, k, w in edges if hop < 2 else ():
+            for x, y in ((a, b), (b, a)):
+                if x == at and y in pre0 and y not in (seed, at) and w > 0:
+                    walks.append((seed, y, hop + 1, carried * ((1 + w) if k == route.TEMPORAL else w * route.FACTORS.get(k, 0))))
+    score = {i: round(pre0[i] + 0.2 * graph[i] - 0.5 * dup[i], 6) for i in ids}
+    want = sorted(ids, key=lambda i: (not hit[i], -score[i], i))[:25]
+    assert [r.id for r in got] == want and all(abs(r.score - score[r.id]) < 2e-6 and abs(r.graph - graph[r.id]) < 2e-6 and r.dup == dup[r.id] and r.entitled == n for r in got)
