@@ -1,18 +1,21 @@
 """Operator 13: alignment of two tokenizers' tokens over the same bytes.
 
 Python only tokenises: a task cuts texts into words at spaces after a visible character, which no token
-of either vocabulary reaches over (checked when the vocabularies are read), keeps the tokens of the
-distinct words that it has met, and puts out ids and byte ends of both sides. All else is done by Spark's
-higher-order functions inside the row: ``array_intersect`` of the ends gives where both sides cut, and
-``transform`` and ``sequence`` over these build the groups; ``array_union`` of the ends gives the
-places where a pair of overlapping tokens (a link) begins. A token is found from a byte by an array with
-its number for each byte (``array_repeat``, ``flatten``), so the work is linear in the text.
-
-How often a pair of ids is linked is counted over the corpus with partial sums, so a pair that all
-texts hold is a row a task. The counts (at most the product of the vocabularies, mostly far fewer) go
-back to the links by broadcast where ``SMALL`` pairs hold them all, counted first; else the links are
-shuffled by pair, and pairs with more than a partition's share are broadcast. ``aligned`` is stored once
-in the shared folder; links come back to texts by a number of the stored row, not by doc_id.
+of either vocabulary reaches over (checked when the vocabularies are read), and packs texts into blocks of
+about ``BLOCK_WORDS`` words. A block has the tokens (ids and byte ends of both sides) of its distinct words
+once, and its texts as the words' numbers.
+
+All else is done by Spark's higher-order functions inside the block's row. For each distinct word,
+``array_intersect`` of the ends counts the groups; the ends of both sides, each with its side and number, are merged
+into one sorted array, in which an entry's place tells how many tokens of the other side ended before: so
+``transform`` over it gives links and groups in time linear in the word. As both sides cut at words,
+a text's groups are its words' groups one after another, and its counts are sums over its words.
+
+How often a pair of ids is linked is summed over the corpus from the distinct words of blocks and their
+uses. The counts (at most the product of the vocabularies, mostly far fewer) go back to the words' links by
+broadcast where ``SMALL`` pairs hold them all, counted first; else the links are shuffled by pair, and pairs with
+more than a partition's share are broadcast. Sums of words go back to their block, and from there to texts.
+Blocks are stored once in the shared folder; a lost executor costs the blocks that its tasks had read.
 
 Defined results: a text that is null or empty, or that a side does not give back byte by byte (U+2581 in
 it), has no tokens; special tokens' strings are ordinary text; rows of one doc_id and those without are
@@ -22,7 +25,7 @@ aligned each; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import json
-import re
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -30,18 +33,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import CUT, Slots
 from .common import documents, joined_by_rows, lean, shared_folder, stored
 
 LEFT = public_tokenizers.path("byte_bpe_50k.json")
 RIGHT = public_tokenizers.path("piece_bpe_32k.model")
 #: Pairs of ids up to which their counts are broadcast.
 SMALL = 1 << 20
-CUT = re.compile(r"(?<=\S)(?= )")
-#: Distinct words that a task remembers, and those it tokenises at once.
-KNOWN_WORDS = 200_000
-#: Characters of texts that are put out in one batch.
-BATCH_CHARS = 1 << 20
-TOKENS = "doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
+#: Words of texts in a block; a longer text is a block of its own.
+BLOCK_WORDS = 1 << 18
+#: Distinct words that a task remembers.
+KNOWN_WORDS = 400_000
+SIDES = ("a_ids", "a_ends", "b_ids", "b_ends")
+BLOCKS = "doc_ids array<long>, texts array<array<int>>, uses array<int>, " + ", ".join(f"{c} array<array<int>>" for c in SIDES)
 SPACE = "▁"
 
 
@@ -58,115 +62,135 @@ class Pair:
 
     def __init__(self, left: bytes, right: bytes):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.left = Tokenizer.from_str(left.decode())
-        self.left.encode_special_tokens = True
+        letters, model = byte_alphabet(), json.loads(left)
+        added = {x["id"] for x in model["added_tokens"]}
+        names = {i: t for t, i in model["model"]["vocab"].items()}
+        self.left_bytes = [b"" if i in added or i not in names else bytes(letters[c] for c in names[i]) for i in range(max(names) + 1)]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["model"]["merges"]]
+        made = [model["model"]["vocab"].get(x + y, -1) for x, y in merges]
+        if made == sorted(made) and -1 not in made and len(set(made)) == len(made):  # merges in the order of ids: ranks give the same tokens, faster
+            ranks = {t: i for i, t in enumerate(self.left_bytes) if t}
+            encoding = tiktoken.Encoding("left", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.encode_left = lambda words: list(map(encoding.encode_ordinary, words))
+        else:
+            tokenizer = Tokenizer.from_str(left.decode())
+            tokenizer.encode_special_tokens = True
+            self.encode_left = lambda words: [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
         self.right = sentencepiece.SentencePieceProcessor(model_proto=right)
-        letters = byte_alphabet()
-        added = {x["id"] for x in json.loads(left)["added_tokens"]}
-        size = self.left.get_vocab_size()
-        names = [self.left.id_to_token(i) or "" for i in range(size)]
-        self.left_bytes = [b"" if i in added else bytes(letters[c] for c in t) for i, t in enumerate(names)]
         self.right_bytes = []
         for i in range(self.right.get_piece_size()):
             p = self.right.id_to_piece(i)
             self.right_bytes.append(bytes([int(p[3:5], 16)]) if self.right.is_byte(i) else p.replace(SPACE, " ").encode())
             if SPACE in p.lstrip(SPACE):
                 raise ValueError("a piece reaches over a space: words cannot be tokenised on their own")
+        self.tables = (self.left_bytes, self.right_bytes)
 
-    def words(self, words: list[str]):
-        """(ids, byte lengths) of both sides for words that begin with a space; None where bytes differ."""
-        a = [e.ids for e in self.left.encode_batch(words, add_special_tokens=False)]
+    def encode(self, words: list[str]):
+        """Token ids of both sides for words that begin with a space."""
         alone = [self.right.piece_to_id(SPACE)]  # a space at the end; the library has no token for empty text
-        b = [x if len(w) > 1 else alone for w, x in zip(words, self.right.encode([w[1:] for w in words], num_threads=1), strict=True)]
-        for w, x, y in zip(words, a, b, strict=True):
-            p, q = [self.left_bytes[i] for i in x], [self.right_bytes[i] for i in y]
-            same = b"".join(p) == b"".join(q) == w.encode()
-            yield (x, [len(t) for t in p], y, [len(t) for t in q]) if same else None
+        right = self.right.encode([w[1:] for w in words], num_threads=1)
+        return self.encode_left(words), [x if len(w) > 1 else alone for w, x in zip(words, right, strict=True)]
+
+
+def _runs(flat, counts: np.ndarray, kind) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat, kind))
 
 
 class _Words:
-    """Numbers of words; tokens of word k lie at flat[s][starts[s][k] : starts[s][k + 1]] of each side s."""
+    """Numbers of the words that a task has met, with their tokens one after another.
+
+    A text cut at its spaces is its words where each is cut off from the next (``Slots`` refuses others);
+    texts with other runs of white space are cut by the rule."""
 
     def __init__(self, pair: Pair):
-        self.pair = pair
+        self.pair, self.lengths = pair, [np.array(list(map(len, t)), np.int32) for t in pair.tables]
         self.clear()
 
     def clear(self):
-        self.number: dict[str, int] = {}
+        self.words: list[str] = []
+        self.spaced, self.plain = Slots(self.words, " "), Slots(self.words, "")
         self.good = np.empty(0, bool)
         self.starts = [np.zeros(1, np.int64) for _ in range(2)]
-        self.ids, self.sizes = ([np.empty(0, np.int32) for _ in range(2)] for _ in range(2))
-
-    def add(self, words: list[str]) -> None:
-        found = list(self.pair.words(words))
-        for w in words:
-            self.number[w] = len(self.number)
-        self.good = np.concatenate([self.good, np.array([f is not None for f in found], bool)])
+        self.ids, self.ends = ([np.empty(0, np.int32) for _ in range(2)] for _ in range(2))
+
+    def numbers(self, text: str) -> np.ndarray:
+        """The words of a space and the text."""
+        pieces = text.split(" ")
+        try:
+            return np.fromiter(map(self.spaced.__getitem__, pieces), np.int64, len(pieces))
+        except LookupError:
+            own = CUT.split(" " + text)
+            return np.fromiter(map(self.plain.__getitem__, own), np.int64, len(own))
+
+    def tokenise(self) -> None:
+        """The tokens of the words that are new."""
+        words = self.words[len(self.good) :]
+        if not words:
+            return
+        raw = [w.encode() for w in words]
+        good = np.ones(len(words), bool)
+        for s, found in enumerate(self.pair.encode(words)):
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
+            table, last = self.pair.tables[s], np.cumsum(counts)
+            if b"".join(map(table.__getitem__, flat.tolist())) != b"".join(raw) or (counts == 0).any():
+                good &= np.array([b"".join(map(table.__getitem__, x)) == w for x, w in zip(found, raw, strict=True)], bool)
+            upto = np.cumsum(self.lengths[s][flat], dtype=np.int64)
+            before = np.where(last - counts > 0, upto[np.maximum(last - counts, 1) - 1], 0) if len(upto) else np.zeros(len(counts), np.int64)
+            good &= np.where(counts > 0, upto[np.maximum(last, 1) - 1] - before if len(upto) else 0, 0) == np.fromiter(map(len, raw), np.int64, len(raw))
+            self.starts[s] = np.concatenate([self.starts[s], self.starts[s][-1] + last])
+            self.ids[s] = np.concatenate([self.ids[s], flat])
+            self.ends[s] = np.concatenate([self.ends[s], (upto - np.repeat(before, counts)).astype(np.int32)])
+        self.good = np.concatenate([self.good, good])
+
+    def block(self, ids: list, texts: list[np.ndarray]) -> pa.RecordBatch:
+        """One row of BLOCKS; texts: their words' numbers."""
+        self.tokenise()
+        texts = [t if self.good[t].all() else t[:0] for t in texts]
+        sizes = np.array([len(t) for t in texts], np.int64)
+        used, number, uses = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+        columns = [_runs(ids, [len(ids)], pa.int64()), _lists(_runs(number.astype(np.int32), sizes, pa.int32())), _runs(uses.astype(np.int32), [len(used)], pa.int32())]
         for s in range(2):
-            own = [([], []) if f is None else (f[2 * s], f[2 * s + 1]) for f in found]
-            counts = np.array([len(x) for x, _ in own], np.int64)
-            self.starts[s] = np.concatenate([self.starts[s], self.starts[s][-1] + np.cumsum(counts)])
-            self.ids[s] = np.concatenate([self.ids[s], np.array([i for x, _ in own for i in x], np.int32)])
-            self.sizes[s] = np.concatenate([self.sizes[s], np.array([i for _, x in own for i in x], np.int32)])
+            counts = self.starts[s][used + 1] - self.starts[s][used]
+            last = np.cumsum(counts)
+            at = np.arange(last[-1] if len(last) else 0) + np.repeat(self.starts[s][used] - (last - counts), counts)
+            columns += [_lists(_runs(x[s][at], counts, pa.int32())) for x in (self.ids, self.ends)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_ids", "texts", "uses", *SIDES])
 
-    def tokens(self, at: np.ndarray, s: int):
-        """Ids and ends of the words with the numbers ``at``, one after another."""
-        begin, counts = self.starts[s][at], self.starts[s][at + 1] - self.starts[s][at]
-        ends = np.cumsum(counts)
-        flat = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - counts), counts)
-        return self.ids[s][flat], np.cumsum(self.sizes[s][flat], dtype=np.int64).astype(np.int32)
+
+def _lists(inner: pa.ListArray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(inner)], pa.int32()), inner)
 
 
 def tokenised(docs: DataFrame, doc_id="doc_id", text="text", left=LEFT, right=RIGHT) -> DataFrame:
-    """(doc_id, a_ids, a_ends, b_ids, b_ends): tokens of both sides over a space and the text, and the byte
-    where each ends; empty where a text has none."""
+    """BLOCKS of ``docs``: each text, as a space and the text, is an array of word numbers (none where it has
+    no tokens); words have ids of both sides and the byte of the word where each token ends."""
     models = []
     for path in (left, right):
         with open(path, "rb") as f:
             models.append(f.read())
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
-    def batch(ids, columns):
-        lists = []
-        for own in columns:
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-            lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own) if own else np.empty(0, np.int32), pa.int32())))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], names=["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
-
-    nothing = np.empty(0, np.int32)
-
     def run(batches):
-        words = _Words(Pair(*shared.value))
-
-        def one(text):
-            own = CUT.split(" " + text)
-            new = [w for w in dict.fromkeys(own) if w not in words.number]
-            if new:
-                if len(words.number) > KNOWN_WORDS:
-                    words.clear()
-                    new = list(dict.fromkeys(own))
-                words.add(new)
-            at = np.fromiter(map(words.number.__getitem__, own), np.int64, len(own))
-            if not words.good[at].all():
-                return [nothing] * 4
-            return [x for s in range(2) for x in words.tokens(at, s)]
-
-        ids, columns, chars = [], [[], [], [], []], 0
+        words, ids, texts, held = _Words(Pair(*shared.value)), [], [], 0
         for b in batches:
             for i in range(b.num_rows):
                 text = b.column(1)[i].as_py()
+                texts.append(words.numbers(text) if text else np.empty(0, np.int64))
                 ids.append(b.column(0)[i].as_py())
-                for column, x in zip(columns, one(text) if text else [nothing] * 4, strict=True):
-                    column.append(x)
-                chars += len(text or "") + 64
-                if chars > BATCH_CHARS:
-                    yield batch(ids, columns)
-                    ids, columns, chars = [], [[], [], [], []], 0
-        yield batch(ids, columns)
+                held += len(texts[-1])
+                if held >= BLOCK_WORDS:
+                    yield words.block(ids, texts)
+                    ids, texts, held = [], [], 0
+                    if len(words.words) > KNOWN_WORDS:
+                        words.clear()
+        if ids:
+            yield words.block(ids, texts)
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(lean(run), TOKENS)
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(lean(run), BLOCKS)
 
 
 def _let(value: Column, body) -> Column:
@@ -174,61 +198,99 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _by_byte(ends: Column) -> Column:
-    """For each byte, the number of the token that holds it."""
-    return F.flatten(F.transform(ends, lambda e, k: F.array_repeat(k, e - F.when(k > 0, ends[k - 1]).otherwise(0))))
+def _merged(x: Column) -> Column:
+    """Ends of both sides in order, the left first where both end: end * 2^33 + side * 2^32 + number."""
+
+    def placed(ends, side):
+        return F.transform(ends, lambda e, k: F.shiftleft(e.cast("long"), 33) + (k + side * (1 << 32)))
+
+    return F.sort_array(F.concat(placed(x["a_ends"], 0), placed(x["b_ends"], 1)))
+
+
+def _word(x: Column) -> Column:
+    """Of a word's tokens: groups as ``a1,a2|b1;a3|b2``, links as a * 2^32 + b, counts."""
 
+    def built(merged):
+        def number(v):
+            return v.bitwiseAND(0xFFFFFFFF).cast("int")
 
-def _groups(a_ids: Column, b_ids: Column, shared: Column, a_at: Column, b_at: Column) -> Column:
-    """``a1,a2|b1;a3|b2``: tokens between neighbouring places where both sides end."""
+        def right(v):
+            return v.bitwiseAND(1 << 32) != 0
 
-    def side(ids, at, k):
-        last = at[shared[k] - 1]
-        first = F.when(k > 0, at[shared[k - 1] - 1] + 1).otherwise(0)
-        return F.array_join(F.slice(ids, first + 1, last - first + 1).cast("array<string>"), ",")
+        def end(v):
+            return F.shiftright(v, 33)
 
-    numbers = F.sequence(F.lit(0), F.size(shared) - 1)
-    return F.array_join(F.transform(numbers, lambda k: F.concat(side(a_ids, a_at, k), F.lit("|"), side(b_ids, b_at, k))), ";")
+        def link(v, m):
+            k = number(v)
+            tied = (m > 0) & (end(F.get(merged, m - 1)) == end(v))
+            pair = F.when(~right(v), F.shiftleft(x["a_ids"][k].cast("long"), 32) + x["b_ids"][m - k]).when(~tied, F.shiftleft(x["a_ids"][m - k].cast("long"), 32) + x["b_ids"][k])
+            return pair
 
+        def side(ids, is_right, step):
+            def shown(v, m):
+                shared = F.coalesce(end(F.get(merged, m + step)) == end(v), F.lit(False))
+                return F.when(right(v) == is_right, F.concat(ids[number(v)].cast("string"), F.when(shared, "\n").otherwise(","))).otherwise("")
 
-def _links(a_ids: Column, b_ids: Column, places: Column, a_at: Column, b_at: Column) -> Column:
-    """Pairs of overlapping tokens as a * 2^32 + b: one ends at each place where a side ends."""
-    return F.transform(places, lambda e: F.shiftleft(a_ids[a_at[e - 1]].cast("long"), 32) + b_ids[b_at[e - 1]])
+            return F.split(F.array_join(F.transform(merged, shown), ""), "\n")
+
+        several = F.zip_with(side(x["a_ids"], False, 1), side(x["b_ids"], True, -1), lambda a, b: F.when(a != "", F.concat(a, F.lit("|"), b)))
+        whole = F.concat(F.array_join(x["a_ids"].cast("array<string>"), ","), F.lit("|"), F.array_join(x["b_ids"].cast("array<string>"), ","))
+        groups = F.when(n_shared == 1, whole).otherwise(F.array_join(several, ";"))
+        return F.struct(groups.alias("groups"), F.array_compact(F.transform(merged, link)).alias("links"))
+
+    n_a, n_b, n_shared = F.size(x["a_ids"]), F.size(x["b_ids"]), F.size(F.array_intersect(x["a_ends"], x["b_ends"]))
+    one = F.struct(F.concat(x["a_ids"][0].cast("string"), F.lit("|"), x["b_ids"][0].cast("string")).alias("groups"), F.array(F.shiftleft(x["a_ids"][0].cast("long"), 32) + x["b_ids"][0]).alias("links"))
+    value = F.when((n_a == 1) & (n_b == 1), one).otherwise(_let(_merged(x), built))
+    counts = F.array(*[n.cast("long") for n in (n_a, n_b, n_shared)])
+    return F.struct(counts.alias("counts"), value.alias("value"))
 
 
 def aligned(docs: DataFrame, **how) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, groups, links) of each text."""
+    """Blocks: texts (array of doc_id, words, n_a, n_b, n_groups, n_links, groups_sha256) and words (array of uses and links)."""
     t = tokenised(docs, **how)
-    a_ids, b_ids, a_ends, b_ends = (F.col(c) for c in ("a_ids", "b_ids", "a_ends", "b_ends"))
-    shared = F.array_intersect(a_ends, b_ends)
+    words = F.transform(F.arrays_zip("a_ids", "a_ends", "b_ids", "b_ends"), _word)
+
+    def text_of(ws):
+        def shown(at, i):
+            sums = F.aggregate(at, F.array(*[F.lit(0).cast("long")] * 4), lambda s, w: F.zip_with(s, ws[w]["counts"], lambda a, b: a + b))
+            groups = F.array_join(F.transform(at, lambda w: ws[w]["groups"]), ";")
+            return F.struct(F.col("doc_ids")[i].alias("doc_id"), at.alias("words"), sums.alias("sums"), F.when(F.size(at) > 0, F.sha2(groups, 256)).otherwise("").alias("groups_sha256"))
+
+        return F.transform("texts", shown)
 
-    def built(at):
-        groups = _let(shared, lambda s: _groups(a_ids, b_ids, s, at["a"], at["b"]))
-        links = _links(a_ids, b_ids, F.array_union(a_ends, b_ends), at["a"], at["b"])
-        return F.struct(groups.alias("groups"), links.alias("links"))
+    def block(ws):
+        flat = F.transform(ws, lambda w: F.struct(F.array_append(w["counts"], F.size(w["value"]["links"]).cast("long")).alias("counts"), w["value"]["groups"].alias("groups")))
+        links = F.transform(ws, lambda w, i: F.struct(F.col("uses")[i].alias("uses"), w["value"]["links"].alias("links")))
+        return F.struct(_let(flat, text_of).alias("texts"), links.alias("words"))
 
-    value = F.when(F.size(a_ids) > 0, _let(F.struct(_by_byte(a_ends).alias("a"), _by_byte(b_ends).alias("b")), built))
-    sizes = [F.size(x).cast("long").alias(n) for x, n in ((a_ids, "n_a"), (b_ids, "n_b"), (shared, "n_groups"))]
-    return t.select("doc_id", *sizes, value.alias("built")).select("doc_id", "n_a", "n_b", "n_groups", F.coalesce("built.groups", F.lit("")).alias("groups"), F.coalesce("built.links", F.array().cast("array<long>")).alias("links"))
+    return t.select(_let(words, block).alias("x")).select("x.texts", "x.words")
 
 
 def alignment(docs: DataFrame, **how) -> DataFrame:
     """One row a text: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     folder = shared_folder(docs.sparkSession)
-    found = aligned(docs, **how)
-    sha = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
-    rows = stored(found.select("doc_id", "n_a", "n_b", "n_groups", sha.alias("groups_sha256"), "links", F.monotonically_increasing_id().alias("row")), folder, "aligned")
-    each = rows.select("row", F.explode("links").alias("pair"))
-    counts = stored(each.groupBy("pair").agg(F.count("*").alias("n")).withColumn("b", F.col("pair").bitwiseAND(0xFFFFFFFF)), folder, "counts")
+    blocks = stored(aligned(docs, **how).withColumn("block", F.monotonically_increasing_id()), folder, "blocks")
+    words = blocks.select("block", F.posexplode("words").alias("word", "w"))
+    each = words.select("block", "word", "w.uses", F.explode("w.links").alias("pair"))
+    counts = stored(each.groupBy("pair").agg(F.sum("uses").alias("n"), F.count("*").alias("rows")).withColumn("b", F.col("pair").bitwiseAND(0xFFFFFFFF)), folder, "counts")
     most = counts.groupBy("b").agg(F.max("n").alias("most"))
-    known = stored(counts.join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best")), folder, "pairs")
+    known = stored(counts.join(most, "b").select("pair", "n", "rows", (F.col("n") == F.col("most")).cast("long").alias("best")), folder, "pairs")
     if known.count() <= SMALL:
-        met = each.join(F.broadcast(known), "pair")
+        met = each.join(F.broadcast(known.drop("rows")), "pair")
     else:
-        met = joined_by_rows(each, known.withColumn("rows", F.col("n")), "pair", "rows", known.agg(F.sum("n")).first()[0])
-    sums = met.groupBy("row").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    zero = F.lit(0).cast("long")
-    return rows.join(sums, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"), "groups_sha256")
+        met = joined_by_rows(each, known, "pair", "rows", known.agg(F.sum("rows")).first()[0])
+    sums = met.groupBy("block", "word").agg(F.sum("best").alias("best"), F.sum("n").alias("n"))
+    of_block = sums.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("word", "best", "n"))).alias("sums"))  # the distinct words of a block
+    texts = blocks.select("block", "texts").join(of_block, "block", "left")
+
+    def shown(best, n):
+        return F.transform("texts", lambda t: F.struct(
+            t["doc_id"].alias("doc_id"), *[t["sums"][k].alias(c) for k, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))],
+            *[F.aggregate(t["words"], F.lit(0).cast("long"), lambda s, w: s + x[w]).alias(c) for x, c in ((best, "n_best"), (n, "count_sum"))], t["groups_sha256"].alias("groups_sha256"),
+        ))
+
+    rows = _let(F.struct(F.col("sums.best").alias("best"), F.col("sums.n").alias("n")), lambda x: shown(x["best"], x["n"]))
+    return texts.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def op13(spark, sf_dir):

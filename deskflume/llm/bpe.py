@@ -79,7 +79,7 @@ def unpack_words(body: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in pairwise([4 + 4 * n, *ends])]
 
 
-class _Slots(dict):
+class Slots(dict):
     """Numbers of the words that follow a space; refuses a piece that is not cut off from its surroundings."""
 
     def __init__(self, words: list[str], prefix: str):
@@ -102,7 +102,7 @@ class _Chunk:
 
     def __init__(self):
         self.words: list[str] = []
-        self.spaced, self.plain = _Slots(self.words, " "), _Slots(self.words, "")
+        self.spaced, self.plain = Slots(self.words, " "), Slots(self.words, "")
         self.ids, self.docs, self.tokens = [], [], 0
 
     def add(self, doc_id: int | None, text: str) -> None:

@@ -53,7 +53,7 @@ def plain(texts):
 def test_alignment_against_plain_loops(spark, monkeypatch, small, known):
     monkeypatch.setattr(alignment, "SMALL", small)
     monkeypatch.setattr(alignment, "KNOWN_WORDS", known)
-    monkeypatch.setattr(alignment, "BATCH_CHARS", 3000)
+    monkeypatch.setattr(alignment, "BLOCK_WORDS", 1000 if small > 0 else 1 << 19)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     rows += [(1, t) for t in ODD] + [(None, "of no id"), (None, "of no id"), (1, "of no id")]
     docs = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], "doc_id long, text string, row string, links string, pair string").repartition(4)
