@@ -41,7 +41,7 @@ RIGHT = public_tokenizers.path("piece_bpe_32k.model")
 #: Pairs of ids up to which their counts are broadcast.
 SMALL = 1 << 20
 #: Words of texts in a block; a longer text is a block of its own.
-BLOCK_WORDS = 1 << 18
+BLOCK_WORDS = 1 << 19
 #: Distinct words that a task remembers.
 KNOWN_WORDS = 400_000
 SIDES = ("a_ids", "a_ends", "b_ids", "b_ends")
@@ -210,37 +210,43 @@ def _merged(x: Column) -> Column:
 def _word(x: Column) -> Column:
     """Of a word's tokens: groups as ``a1,a2|b1;a3|b2``, links as a * 2^32 + b, counts."""
 
-    def built(merged):
-        def number(v):
-            return v.bitwiseAND(0xFFFFFFFF).cast("int")
+    def entry(merged):
+        """Of each end a link, or below 0 where both sides end: the numbers of both tokens, instead of a second link."""
 
-        def right(v):
-            return v.bitwiseAND(1 << 32) != 0
+        def one(v, m):
+            k, right = v.bitwiseAND(0xFFFFFFFF).cast("int"), v.bitwiseAND(1 << 32) != 0
+            tied = F.shiftright(v, 33) == F.shiftright(F.get(merged, m - 1), 33)
+            return (
+                F.when(~right, F.shiftleft(x["a_ids"][k].cast("long"), 32) + x["b_ids"][m - k])
+                .when(tied, -1 - (F.shiftleft((m - k - 1).cast("long"), 32) + k))
+                .otherwise(F.shiftleft(x["a_ids"][m - k].cast("long"), 32) + x["b_ids"][k])
+            )
 
-        def end(v):
-            return F.shiftright(v, 33)
+        return F.transform(merged, one)
 
-        def link(v, m):
-            k = number(v)
-            tied = (m > 0) & (end(F.get(merged, m - 1)) == end(v))
-            pair = F.when(~right(v), F.shiftleft(x["a_ids"][k].cast("long"), 32) + x["b_ids"][m - k]).when(~tied, F.shiftleft(x["a_ids"][m - k].cast("long"), 32) + x["b_ids"][k])
-            return pair
+    def built(entries):
+        def groups(at):
+            """at: places where both sides end, and both sides' ids as text."""
 
-        def side(ids, is_right, step):
-            def shown(v, m):
-                shared = F.coalesce(end(F.get(merged, m + step)) == end(v), F.lit(False))
-                return F.when(right(v) == is_right, F.concat(ids[number(v)].cast("string"), F.when(shared, "\n").otherwise(","))).otherwise("")
+            def side(ids, g, place):
+                last = place(at["both"][g])
+                first = F.when(g > 0, place(at["both"][g - 1]) + 1).otherwise(0)
+                return F.when(last == first, ids[last]).otherwise(F.array_join(F.slice(ids, first + 1, last - first + 1), ","))
 
-            return F.split(F.array_join(F.transform(merged, shown), ""), "\n")
+            def left(t):
+                return F.shiftright(-1 - t, 32).cast("int")
 
-        several = F.zip_with(side(x["a_ids"], False, 1), side(x["b_ids"], True, -1), lambda a, b: F.when(a != "", F.concat(a, F.lit("|"), b)))
-        whole = F.concat(F.array_join(x["a_ids"].cast("array<string>"), ","), F.lit("|"), F.array_join(x["b_ids"].cast("array<string>"), ","))
-        groups = F.when(n_shared == 1, whole).otherwise(F.array_join(several, ";"))
-        return F.struct(groups.alias("groups"), F.array_compact(F.transform(merged, link)).alias("links"))
+            def right(t):
+                return (-1 - t).bitwiseAND(0xFFFFFFFF).cast("int")
+
+            return F.array_join(F.transform(at["both"], lambda _, g: F.concat(side(at["a"], g, left), F.lit("|"), side(at["b"], g, right))), ";")
+
+        at = F.struct(F.filter(entries, lambda v: v < 0).alias("both"), x["a_ids"].cast("array<string>").alias("a"), x["b_ids"].cast("array<string>").alias("b"))
+        return F.struct(_let(at, groups).alias("groups"), F.filter(entries, lambda v: v >= 0).alias("links"))
 
     n_a, n_b, n_shared = F.size(x["a_ids"]), F.size(x["b_ids"]), F.size(F.array_intersect(x["a_ends"], x["b_ends"]))
     one = F.struct(F.concat(x["a_ids"][0].cast("string"), F.lit("|"), x["b_ids"][0].cast("string")).alias("groups"), F.array(F.shiftleft(x["a_ids"][0].cast("long"), 32) + x["b_ids"][0]).alias("links"))
-    value = F.when((n_a == 1) & (n_b == 1), one).otherwise(_let(_merged(x), built))
+    value = F.when((n_a == 1) & (n_b == 1), one).otherwise(_let(_let(_merged(x), entry), built))
     counts = F.array(*[n.cast("long") for n in (n_a, n_b, n_shared)])
     return F.struct(counts.alias("counts"), value.alias("value"))
 
