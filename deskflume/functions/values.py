@@ -3,21 +3,18 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Seniority levels, lowest first.
-LEVELS = ("JUNIOR", "MID", "SENIOR", "LEAD")
+#: Seniority levels, lowest first; outside of them stands STANDALONE.
+LEVELS = ("JUNIOR", "MID", "SENIOR")
+#: White space as the texts' tools see it, beyond ASCII as well (the body of a character class).
+SPACES = r"\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def shape(text: Column) -> Column:
-    """Letters as A, digits as N, runs with their length: AB-0123 gives A{2}-N{4}. Other characters stay."""
-    kinds = F.regexp_replace(F.regexp_replace(text, r"\p{L}", "A"), "[0-9]", "N")
-    runs = F.regexp_extract_all(kinds, F.lit("A+|N+|[^AN]+"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^(AA+|NN+)$"), F.concat(F.substring(r, 1, 1), F.lit("{"), F.length(r), F.lit("}"))).otherwise(r)), "")
-
-
-def identifier(name: Column) -> Column:
-    """Lower-case words joined by one underscore: camel case and other signs are cut."""
-    cut = F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2")
-    return F.regexp_replace(F.regexp_replace(F.lower(cut), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    """Capitals as A and figures as N, each; runs of lower-case letters as a with their length, one letter
+    as a: ana-X1 gives a{3}-AN. Other characters stay."""
+    runs = F.regexp_extract_all(text, F.lit("[a-z]+|[^a-z]+"), F.lit(0))
+    masked = F.transform(runs, lambda r: F.when(~r.rlike("^[a-z]"), F.regexp_replace(F.regexp_replace(r, "[A-Z]", "A"), "[0-9]", "N")).when(F.length(r) == 1, "a").otherwise(F.concat(F.lit("a{"), F.length(r), F.lit("}"))))
+    return F.array_join(masked, "")
 
 
 def retreat(text: Column, n: int) -> Column:
@@ -28,15 +25,28 @@ def retreat(text: Column, n: int) -> Column:
 
 
 def sample_text(text: Column, n: int) -> Column:
-    """Of longer texts 60 % of ``n`` characters from the head, 20 % from the middle, 20 % from the tail."""
+    """Of texts over ``n`` characters 60 % of these from the head, 20 % from the middle, the rest from the tail.
+    White space before line ends goes first."""
+    text = F.regexp_replace(text, f"[{SPACES}]+\n", "\n")
     a, b = n * 6 // 10, n * 2 // 10
     middle = F.substring(text, F.floor((F.length(text) - b) / 2).cast("int") + 1, F.lit(b))
-    return F.when(F.length(text) <= n, text).otherwise(F.concat_ws("\n…\n", F.substring(text, 1, a), middle, F.substring(text, -b, b)))
+    return F.when(F.length(text) <= n, text).otherwise(F.concat_ws("\n\n[…]\n\n", F.substring(text, 1, a), middle, F.substring(text, -(n - a - b), n - a - b)))
+
+
+def reply_subject(number: Column, title: Column, desk: str = "Desk", most: int = 80) -> Column:
+    """Re: [desk] #number title, by which an answer finds its ticket again; long titles are cut."""
+    flat = F.regexp_replace(F.regexp_replace(title, f"[{SPACES}]+", " "), "^ | $", "")
+    short = F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most - 1), F.lit("…"))).otherwise(flat)
+    return F.rtrim(F.concat(F.lit(f"Re: [{desk}] #"), number.cast("string"), F.lit(" "), short))
 
 
-def reply_subject(subject: Column) -> Column:
-    """With one Re: in front."""
-    return F.concat(F.lit("Re: "), F.regexp_replace(F.trim(subject), r"(?i)^(?:(?:re|fwd?):\s*)+", ""))
+def edited(original: Column, sent: Column) -> Column:
+    """Whether a reply was changed before it was sent, but for line ends and outer white space."""
+
+    def plain(x):
+        return F.regexp_replace(F.replace(x, F.lit("\r\n"), F.lit("\n")), f"^[{SPACES}]+|[{SPACES}]+$", "")
+
+    return plain(original) != plain(sent)
 
 
 def ticket_number(subject: Column) -> Column:
@@ -70,20 +80,47 @@ def epoch_millis(day: Column) -> Column:
     return F.unix_date(day).cast("long") * 86_400_000
 
 
+def _two(n: Column) -> Column:
+    return F.lpad(n.cast("string"), 2, "0")
+
+
 def duration_label(millis: Column) -> Column:
-    s = F.floor(millis / 1000)
-    return F.when(millis < 1000, F.concat(millis.cast("string"), F.lit(" ms"))).when(s < 60, F.concat(s, F.lit(" s"))).otherwise(F.concat(F.floor(s / 60), F.lit(" min "), s % 60, F.lit(" s")))
+    """<1s, 42s, 3m 05s, 1h 12m: seconds rounded, hours without an end."""
+    s = F.floor(millis / 1000 + 0.5)
+    m = F.floor(s / 60)
+    return (
+        F.when(millis < 1000, "<1s").when(s < 60, F.concat(s, F.lit("s")))
+        .when(m < 60, F.concat(m, F.lit("m "), _two(s % 60), F.lit("s"))).otherwise(F.concat(F.floor(m / 60), F.lit("h "), _two(m % 60), F.lit("m")))
+    )
+
+
+def gap_label(millis: Column) -> Column:
+    """+0.4s below ten seconds, else + and the duration; never negative."""
+    millis = F.greatest(millis, F.lit(0))
+    return F.when(millis < 10_000, F.concat(F.lit("+"), F.floor((millis + 50) / 1000).cast("string"), F.lit("."), F.pmod(F.floor((millis + 50) / 100), F.lit(10)).cast("string"), F.lit("s"))).otherwise(F.concat(F.lit("+"), duration_label(millis)))
+
 
+def elapsed_millis(created: Column, completed: Column, now: Column) -> Column:
+    """Until the end, or until now while it runs; null if now is not known; never negative."""
+    return F.greatest(F.timestamp_diff("MILLISECOND", created, F.coalesce(completed, now)), F.lit(0))
 
-def sla_label(minutes: Column) -> Column:
-    """Time left, or time over, in the largest whole unit."""
-    size = F.abs(minutes)
-    text = F.when(size >= 1440, F.concat(F.floor(size / 1440), F.lit("d"))).when(size >= 60, F.concat(F.floor(size / 60), F.lit("h"))).otherwise(F.concat(F.floor(size), F.lit("m")))
-    return F.concat(text, F.when(minutes < 0, " overdue").otherwise(" left"))
 
+def sla_label(state: Column, seconds: Column) -> Column:
+    """Time left until a due time, or time over, in the largest unit, rounded; a dash without one, Met for kept ones."""
+    delta = F.floor(seconds / 60 + 0.5)
+    size = F.abs(delta)
+    text = (
+        F.when(size >= 1440, F.concat(F.floor(size / 1440 + 0.5), F.lit("d"))).when(size >= 60, F.concat(F.floor(size / 60 + 0.5), F.lit("h")))
+        .otherwise(F.concat(size, F.lit("m")))
+    )
+    return F.when((state == "none") | seconds.isNull(), "—").when(state == "met", "Met").otherwise(F.concat(text, F.when(delta >= 0, " left").otherwise(" over")))
 
-def staleness(days: Column) -> Column:
-    return F.when(days < 1, "today").when(days < 2, "yesterday").when(days < 30, F.concat(days.cast("string"), F.lit(" days ago"))).when(days < 365, F.concat(F.floor(days / 30), F.lit(" months ago"))).otherwise(F.concat(F.floor(days / 365), F.lit(" years ago")))
+
+def staleness(state: Column, complete: Column, latest: Column, now: Column) -> Column:
+    """How old a source's last whole crawl is; null where it is as new as the latest one, or none is known."""
+    hours = F.floor(F.timestamp_diff("SECOND", complete, now) / 3600)
+    age = F.when(hours < 1, "less than an hour ago").when(hours < 24, F.concat(hours, F.lit("h ago"))).otherwise(F.concat(F.floor(hours / 24), F.lit("d ago")))
+    return F.when(state == "UNREACHABLE", "unavailable now").when(complete < latest, age)
 
 
 def freshness(hours: Column) -> Column:
@@ -100,7 +137,8 @@ def third(x: Column, low: float, high: float) -> Column:
 
 
 def rank_of(level: Column) -> Column:
-    return F.array_position(F.array(*map(F.lit, LEVELS)), level).cast("int") - 1
+    """0 for the lowest level and for unknown ones."""
+    return F.greatest(F.array_position(F.array(*map(F.lit, LEVELS)), level).cast("int") - 1, F.lit(0))
 
 
 def least_level(priority: Column) -> Column:
@@ -108,9 +146,15 @@ def least_level(priority: Column) -> Column:
 
 
 def next_level(level: Column) -> Column:
+    """The level above; null above the highest."""
     return F.get(F.array(*map(F.lit, LEVELS)), rank_of(level) + 1)
 
 
+def eligible(tier: Column, level: Column) -> Column:
+    """Whether a member may take what stands at a level."""
+    return (tier == "STANDALONE") | (rank_of(tier) >= rank_of(level))
+
+
 def hashed_vector(text: Column, size: int, padded: int) -> Column:
     """Word counts in ``size`` places by the first two bytes of the words' SHA-256, of length 1, padded with zeros."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9][a-z0-9-]+"), F.lit(0))

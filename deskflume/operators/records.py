@@ -86,12 +86,17 @@ def best_guess(guesses: DataFrame, key: str) -> DataFrame:
     return guesses.groupBy(key).agg(F.min_by(F.struct("kind", "confidence"), F.struct(-F.col("confidence"), "kind")).alias("b")).select(key, "b.kind", "b.confidence")
 
 
-def open_circuits(events: DataFrame, key: str, failed: Column, ts: str, failures: int = 3, minutes: int = 10) -> DataFrame:
-    """(key, openings): failures that close a run of ``failures`` within the last ``minutes``."""
-    before = Window.partitionBy(key).orderBy(ts, "event_id")
-    hits = events.where(failed).withColumn("__then", F.lag(ts, failures - 1).over(before))
-    close = hits.where(F.timestamp_diff("SECOND", F.col("__then"), F.col(ts)) <= 60 * minutes)
-    return close.groupBy(key).agg(F.count("*").alias("openings"))
+def open_circuits(calls: DataFrame, key: str, failed: Column, ts: str, order: list[str], failures: int = 3, minutes: int = 10) -> DataFrame:
+    """(key, opened_at, until): each time that ``failures`` calls in a row have failed. A success sets the count back
+    and closes at once; else the circuit stays closed to calls for ``minutes``. Further failures open nothing."""
+    rows = calls.select(key, F.col(ts).alias("__at"), failed.alias("__failed"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)])
+    upto = Window.partitionBy(key).orderBy(*[f"__o{i}" for i in range(len(order))])
+    rows = rows.withColumn("__run", F.count_if(~F.col("__failed")).over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("__next", F.min(F.when(~F.col("__failed"), F.col("__at"))).over(upto.rowsBetween(1, Window.unboundedFollowing)))
+    nth = F.count_if("__failed").over(Window.partitionBy(key, "__run").orderBy(*[f"__o{i}" for i in range(len(order))]))
+    opened = rows.withColumn("__nth", nth).where(F.col("__failed") & (F.col("__nth") == failures))
+    until = F.least(F.col("__at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes), F.lit(0)), F.col("__next"))
+    return opened.select(key, F.col("__at").alias("opened_at"), until.alias("until"))
 
 
 def rolled_up(edges: DataFrame) -> DataFrame:

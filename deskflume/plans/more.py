@@ -70,7 +70,7 @@ QUERIES = {
     "F4_classified": lambda s, d: N.classified(rates(s, d)),
     "F1_column_cards": lambda s, d: rates(s, d).select("name", "numeric", "temporal", "rows", "distinct_values", "shortest", "longest", F.round("mean_length", 4).alias("mean_length"), F.round("top_share", 6).alias("top_share")),
     "S13_external_entities": lambda s, d: table(s, d, "pages").select("page_id", V.external_entity(F.concat(F.when(C("page_id") % 3 == 0, '<!doctype x [<!ENTITY e SYSTEM "f">]>').otherwise("<!DOCTYPE x>"), "html")).alias("refused")),
-    "Fs3_stems": lambda s, d: table(s, d, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{5,12}"), F.lit(0)))).alias("word")).distinct().select("word", T.stem(C("word")).alias("stem")),
+    "Fs3_stems": lambda s, d: table(s, d, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("word")).distinct().select("word", T.stem(C("word")).alias("stem")),
     "Fs4_search_terms": lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(T.search_terms(C("text")), " ").alias("terms")),
     "Fs15_locators": locators,
     "Fs20_draft_query": lambda s, d: table(s, d, "documents").select("doc_id", V.draft_query(C("text"), T.STOPWORDS).alias("query")),
@@ -119,18 +119,19 @@ def _named(kind):
 
 _GUESSES = " UNION ALL ".join(f"SELECT name, '{k}' AS type, round({base}::DOUBLE + CASE WHEN {_named(k)} THEN {bonus}::DOUBLE ELSE 0 END, 2) AS confidence FROM rates WHERE {test.replace('named', _named(k))}" for k, (base, bonus, test) in N.RULES.items())
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
-_STEM = "CASE WHEN c <> w AND regexp_matches(c, '[b-df-hj-np-tv-z]$') AND c[-1] = c[-2] THEN c[:-2] ELSE c END"
-_CUT = "regexp_replace({w}, '^(.{{4,}}?)(?:ing|ed|es|s)$', '\\1')"
+_STEM = """CASE WHEN ends_with({w}, 'ing') AND length({w}) >= 7 THEN CASE WHEN {w}[-4] = {w}[-5] THEN left({w}, length({w}) - 4) ELSE left({w}, length({w}) - 3) END
+  WHEN ends_with({w}, 'ed') AND length({w}) >= 6 THEN CASE WHEN {w}[-3] = {w}[-4] THEN left({w}, length({w}) - 3) ELSE left({w}, length({w}) - 2) END
+  WHEN ends_with({w}, 'es') AND length({w}) >= 6 THEN left({w}, length({w}) - 2) WHEN ends_with({w}, 's') AND length({w}) >= 5 THEN left({w}, length({w}) - 1) ELSE {w} END"""
+
 
 ORACLES = {
     "F1_column_cards": f"WITH {_RATES} SELECT name, numeric, temporal, rows, distinct_values, shortest, longest, round(mean_length, 4) AS mean_length, round(top_share, 6) AS top_share FROM rates",
     "F4_classified": f"""WITH {_RATES}, g AS ({_GUESSES}), b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY name ORDER BY confidence DESC, type) = 1)
       SELECT name, coalesce(type, 'UNKNOWN') AS type, coalesce(confidence, 0)::DOUBLE AS confidence, coalesce(type IN {N.SHOWN}, false) AS shown FROM rates LEFT JOIN b USING (name)""",
     "S13_external_entities": "SELECT page_id, page_id % 3 = 0 OR regexp_matches(left(html, 4083), '(?i)<!ENTITY[^>]*SYSTEM') AS refused FROM pages",
-    "Fs3_stems": f"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{{5,12}}')) AS w FROM documents), c AS (SELECT w, {_CUT.format(w='w')} AS c FROM w) SELECT w AS word, {_STEM.replace('c[:-2]', 'c[:length(c) - 1]')} AS stem FROM c",
-    "Fs4_search_terms": f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 3 AND x NOT IN ({_STOP})) AS l FROM documents),
-      c AS (SELECT doc_id, list_transform(l, lambda w: {{'w': w, 'c': {_CUT.format(w='w')}}}) AS l FROM w),
-      t AS (SELECT doc_id, list_transform(l, lambda x: CASE WHEN x.c <> x.w AND regexp_matches(x.c, '[b-df-hj-np-tv-z]$') AND x.c[-1] = x.c[-2] THEN x.c[:length(x.c) - 1] ELSE x.c END) AS l FROM c),
+    "Fs3_stems": f"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents) SELECT w AS word, {_STEM.format(w='w')} AS stem FROM w",
+    "Fs4_search_terms": f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 3 AND x NOT IN {T.QUERY_STOPWORDS}) AS l FROM documents),
+      t AS (SELECT doc_id, list_transform(l, lambda w: {_STEM.format(w='w')}) AS l FROM w),
       u AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM t), f AS (SELECT doc_id, t, min(i) AS i FROM u GROUP BY doc_id, t QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) <= 8)
       SELECT doc_id, coalesce(string_agg(t, ' ' ORDER BY i), '') AS terms FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id""",
     "Fs15_locators": """SELECT l_orderkey, l_linenumber, CASE l_orderkey % 4 WHEN 0 THEN 'sheet S' || l_linenumber || ' A1:C9'

@@ -54,6 +54,34 @@ def _per_order():
     return Window.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"), "l_linenumber")
 
 
+def millis():
+    return F.when(C("event_id") % 2 == 0, C("event_id") * 7919 % 20_000_000).otherwise(C("event_id") * 37 % 90_000)
+
+
+def complete():
+    return now() - F.make_dt_interval(F.lit(0), F.lit(0), (C("id") % 4000).cast("int"))
+
+
+def tier(k):
+    """A member's tier, by arithmetic; one in five has a name that is none."""
+    return F.get(F.array(*map(F.lit, ("JUNIOR", "MID", "SENIOR", "STANDALONE", "TRAINEE"))), (k % 5).cast("int"))
+
+
+def replies(s, d):
+    k = C("o_orderkey")
+    title = F.concat(F.lit("  About\t"), F.repeat(F.lit("long  \n"), (k % 30).cast("int")), F.lit("end "))
+    sent = F.when(k % 3 == 0, "Dear\r\nall").when(k % 3 == 1, "\u00a0Dear\nall \n").otherwise("Dear  all")
+    return table(s, d, "orders").select(k.alias("id"), V.reply_subject(k, title).alias("subject"), V.edited(F.lit("Dear\nall"), sent).alias("edited"))
+
+
+def idf(s, d):
+    """Values of three columns of line items, by their share of the rows."""
+    values = F.array(F.concat(F.lit("q"), C("l_quantity").cast("int")), F.concat(F.lit("f"), C("l_returnflag")), F.concat(F.lit("n"), C("l_linenumber")))
+    items = table(s, d, "lineitem")
+    counted = items.select(F.explode(values).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    return counted.join(F.broadcast(items.agg(F.count("*").alias("rows")))).select("value", V.idf_bucket(C("n") / C("rows")).alias("bucket"))
+
+
 def mails(s, d):
     k = C("o_orderkey")
     subject = F.format_string("%sAbout #%d again", F.when(k % 2 == 0, "RE: Fwd: ").otherwise(""), k)
@@ -93,7 +121,7 @@ QUERIES = {
     "P17_no_principal": lambda s, d: library(s, d).where((C("owner") == F.lit(None).cast("long")) | (F.lit(None).cast("long").isNotNull() & C("visibility").isin("PUBLIC", "STAFF"))).groupBy().agg(F.count("*").alias("n")),
     "P19_delivery_gate": gate,
     "P20_discarded": lambda s, d: library(s, d).select("id").join(table(s, d, "labels").where("toxic = 1").select(C("doc_id").alias("id")), "id", "left_anti"),
-    "P21_seniority": lambda s, d: tickets(s, d).select("id", V.least_level(C("priority")).alias("level"), V.next_level(V.least_level(C("priority"))).alias("next"), (V.rank_of(V.least_level(C("priority"))) <= 1).alias("mid_can")),
+    "P21_seniority": lambda s, d: tickets(s, d).select("id", V.least_level(C("priority")).alias("level"), V.next_level(V.least_level(C("priority"))).alias("next"), V.eligible(tier(C("id")), V.least_level(C("priority"))).alias("may_take")),
     "P22_subscribed": lambda s, d: profiles(s, d).where(F.array_contains("categories", "*") | F.array_contains("categories", "EMAIL")).select("id"),
     "P23_failed_steps": lambda s, d: events(s, d).where(C("event_type").startswith("error") | F.contains("props", F.lit('"error"'))).select("event_id"),
     "J2_compound_outer": lambda s, d: customers(s, d).join(tickets(s, d).where("status = 'PENDING'"), "requester", "left").groupBy("requester").agg(F.count("id").alias("pending")),
@@ -125,22 +153,22 @@ QUERIES = {
     "T7_next_page": lambda s, d: table(s, d, "lineitem").where("l_orderkey > 40 OR (l_orderkey = 40 AND l_linenumber > 1)").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").limit(3),
     "T8_admitted": lambda s, d: table(s, d, "part").select("p_partkey", (C("p_size") % 2 == 0).alias("sampled")).orderBy("sampled", "p_partkey").limit(40),
     "T10_skills": lambda s, d: table(s, d, "part").select("p_partkey", C("p_type").startswith("ECONOMY").alias("applies")).orderBy(F.desc("applies"), "p_partkey").limit(40),
-    "Fs7_identifiers": lambda s, d: table(s, d, "part").select("p_partkey", V.identifier(C("p_type")).alias("name")),
-    "Fs8_shapes": lambda s, d: table(s, d, "customer").select("c_custkey", V.shape(C("c_name")).alias("shape")),
+    "Fs7_identifiers": lambda s, d: table(s, d, "part").select("p_partkey", K.normal_identifier(F.concat("p_brand", F.lit("_/"), "p_type", F.lit(" é"))).alias("name")),
+    "Fs8_shapes": lambda s, d: table(s, d, "customer").select("c_custkey", V.shape(F.concat("c_name", F.lit(" "), F.lower("c_mktsegment"), F.lit("@x.Ü"))).alias("shape")),
     "Fs11_mail": lambda s, d: mails(s, d).select("id", V.ticket_number(C("subject")).alias("number"), V.without_quote(C("body")).alias("body")),
-    "Fs12_reply_subject": lambda s, d: mails(s, d).select("id", V.reply_subject(C("subject")).alias("subject")),
+    "Fs12_reply_subject": lambda s, d: replies(s, d),
     "Fs13_retreat": lambda s, d: library(s, d).select("id", V.retreat(C("text"), 200).alias("head")),
-    "Fs17_sample": lambda s, d: library(s, d).select("id", F.sha2(V.sample_text(C("text"), 500), 256).alias("sample")),
+    "Fs17_sample": lambda s, d: library(s, d).select("id", F.sha2(V.sample_text(C("text"), 502), 256).alias("sample")),
     "Fs18_model_json": model_json,
     "R8_mail_threads": threads,
     "Fd1_epoch_millis": lambda s, d: table(s, d, "orders").select("o_orderkey", V.epoch_millis(F.to_date("o_orderdate")).alias("millis")),
     "Fd2_quarters": lambda s, d: table(s, d, "orders").select("o_orderkey", V.quarter_label(C("o_orderdate"), -1).alias("label")),
-    "Fd5_sla_labels": lambda s, d: tickets(s, d).select("id", V.sla_label(F.floor(F.timestamp_diff("MINUTE", now(), C("resolution_due")) / F.lit(1))).alias("label")),
-    "Fd8_durations": lambda s, d: events(s, d).select("event_id", V.duration_label(C("event_id") * 37).alias("label")),
-    "Fd9_staleness": lambda s, d: tickets(s, d).where(C("created") <= now()).select("id", V.staleness(F.date_diff(now(), C("created"))).alias("age")),
+    "Fd5_sla_labels": lambda s, d: tickets(s, d).select("id", V.sla_label(F.when(C("id") % 11 == 0, "none").when(C("resolved").isNotNull(), "met").otherwise("ok"), F.timestamp_diff("SECOND", now(), C("resolution_due"))).alias("label")),
+    "Fd8_durations": lambda s, d: table(s, d, "events").select("event_id", V.duration_label(millis()).alias("label"), V.gap_label(millis() - 500).alias("gap")),
+    "Fd9_staleness": lambda s, d: tickets(s, d).where(C("created") <= now()).select("id", V.staleness(F.when(C("id") % 7 == 0, "UNREACHABLE").otherwise("READY"), complete(), complete() + F.make_dt_interval(F.lit(0), (C("id") % 3 - 1).cast("int")), now()).alias("age")),
     "Fd10_freshness": lambda s, d: tickets(s, d).where(C("created") <= now()).select("id", V.freshness(F.timestamp_diff("HOUR", C("created"), now())).alias("f")).select("id", "f.*"),
     "Fm2_hashed_vectors": lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(F.transform(V.hashed_vector(C("p_name"), 8, 12), lambda x: F.round(x, 4).cast("decimal(10,4)")), ",").alias("v")),
-    "Fm7_idf": lambda s, d: table(s, d, "lineitem").groupBy("l_shipdate").agg(F.count("*").alias("n")).join(F.broadcast(table(s, d, "lineitem").agg(F.count("*").alias("rows")))).select("l_shipdate", V.idf_bucket(C("n") / C("rows") * 100).alias("bucket")),
+    "Fm7_idf": idf,
     "Fm9_thirds": lambda s, d: table(s, d, "part").select("p_partkey", V.third(C("p_size").cast("double"), 15.0, 35.0).alias("third")),
     "E8_summaries": lambda s, d: library(s, d).select("id", F.substring("text", 1, 300).alias("summary")),
     "E3_sheet_chunks": sheets,
@@ -148,7 +176,7 @@ QUERIES = {
     "F10_rolled_up": lambda s, d: R.rolled_up(table(s, d, "lineitem").select(C("l_partkey").alias("a"), C("l_suppkey").alias("b"), F.when(C("l_returnflag") == "N", "TEMPORAL").otherwise("KEYS").alias("kind"), C("l_discount").alias("weight"))),
     "F13_retention": lambda s, d: R.missing(library(s, d).select("id"), library(s, d).where("gone").select("id"), "id"),
     "R5_purge": lambda s, d: R.purged(library(s, d), "id", C("gone"), table(s, d, "labels").select(C("doc_id").alias("id"))),
-    "R11_circuits": lambda s, d: R.open_circuits(events(s, d), "event_type", C("value") > 80, "ts", 3, 240),
+    "R11_circuits": lambda s, d: R.open_circuits(table(s, d, "events"), "user_id", C("value") > 30, "ts", ["ts", "event_id"], 3, 60 * 24),
     "R14_may_run": lambda s, d: events(s, d).groupBy("user_id").agg((F.max(F.when(C("event_type") == "click", C("ts"))) <= F.lit("2024-01-30 00:00:00").cast("timestamp_ntz") - F.expr("INTERVAL 15 MINUTES")).alias("may")),
     "S21_fact_upsert": lambda s, d: R.replaced(table(s, d, "orders").select("o_orderkey", "o_totalprice"), table(s, d, "orders").where("o_orderkey % 9 = 0").select("o_orderkey", (C("o_totalprice") + 1).alias("o_totalprice")), "o_orderkey"),
     "S27_backfill": lambda s, d: R.missing(library(s, d).select("id"), table(s, d, "labels").select(C("doc_id").alias("id")), "id"),
@@ -163,6 +191,8 @@ _MIN = f"date_diff('second', {TS}, resolution_due)"
 _LEFT = f"(CASE WHEN {_MIN} >= 0 THEN floor({_MIN} / 60.0) ELSE ceil({_MIN} / 60.0) END)::BIGINT"
 _DAYS = f"date_diff('day', created::DATE, {TS}::DATE)"
 _HOURS = f"floor((epoch({TS}) - epoch(created)) / 3600)"
+_LABEL = """CASE WHEN {m} < 1000 THEN '<1s' WHEN ({m} + 500) // 1000 < 60 THEN ({m} + 500) // 1000 || 's' WHEN ({m} + 500) // 60000 < 60 THEN ({m} + 500) // 60000 || 'm ' || lpad((({m} + 500) // 1000 % 60)::VARCHAR, 2, '0') || 's'
+  ELSE ({m} + 500) // 3600000 || 'h ' || lpad((({m} + 500) // 60000 % 60)::VARCHAR, 2, '0') || 'm' END"""
 _KEYS = "SELECT p_partkey, p_type FROM part"
 
 ORACLES = {
@@ -177,7 +207,8 @@ ORACLES = {
     "P17_no_principal": "SELECT 0::BIGINT AS n",
     "P19_delivery_gate": f"WITH {TICKETS_SQL} SELECT id FROM tickets WHERE category IN ('ACCESS', 'EMAIL') AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = id AND l_linestatus = 'F') AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = id AND l_returnflag = 'R')",
     "P20_discarded": "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
-    "P21_seniority": f"WITH {TICKETS_SQL}, l AS (SELECT id, {_LEVEL} AS level FROM tickets) SELECT id, level, CASE level WHEN 'JUNIOR' THEN 'MID' WHEN 'MID' THEN 'SENIOR' ELSE 'LEAD' END AS next, level <> 'SENIOR' AS mid_can FROM l",
+    "P21_seniority": f"""WITH {TICKETS_SQL}, l AS (SELECT id, {_LEVEL} AS level, id % 5 AS t FROM tickets)
+      SELECT id, level, CASE level WHEN 'JUNIOR' THEN 'MID' WHEN 'MID' THEN 'SENIOR' END AS next, CASE t WHEN 3 THEN true WHEN 2 THEN true WHEN 1 THEN level <> 'SENIOR' ELSE level = 'JUNIOR' END AS may_take FROM l""",
     "P22_subscribed": f"WITH {_PROFILES} SELECT id FROM p WHERE list_contains(categories, 'EMAIL')",
     "P23_failed_steps": "SELECT event_id FROM events WHERE starts_with(event_type, 'error') OR contains(props, '\"error\"')",
     "J2_compound_outer": f"WITH {TICKETS_SQL} SELECT c_custkey AS requester, count(id)::BIGINT AS pending FROM customer LEFT JOIN tickets ON requester = c_custkey AND status = 'PENDING' GROUP BY 1",
@@ -212,24 +243,31 @@ ORACLES = {
     "T7_next_page": "SELECT l_orderkey, l_linenumber, l_quantity, l_partkey FROM lineitem WHERE (l_orderkey, l_linenumber) > (40, 1) ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity LIMIT 3",
     "T8_admitted": "SELECT p_partkey, p_size % 2 = 0 AS sampled FROM part ORDER BY sampled, p_partkey LIMIT 40",
     "T10_skills": "SELECT p_partkey, starts_with(p_type, 'ECONOMY') AS applies FROM part ORDER BY applies DESC, p_partkey LIMIT 40",
-    "Fs7_identifiers": f"WITH k AS ({_KEYS}) SELECT p_partkey, regexp_replace(regexp_replace(lower(regexp_replace(p_type, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS name FROM k",
-    "Fs8_shapes": "SELECT c_custkey, 'A{' || length(regexp_extract(c_name, '^[A-Za-z]+')) || '}' || '#' || 'N{' || length(regexp_extract(c_name, '[0-9]+$')) || '}' AS shape FROM customer",
+    "Fs7_identifiers": "SELECT p_partkey, lower(replace(replace(p_brand, '#', ''), ' ', '') || replace(p_type, ' ', '')) AS name FROM part",
+    "Fs8_shapes": "SELECT c_custkey, 'Aa{7}#' || repeat('N', length(c_name) - 9) || ' a{' || length(c_mktsegment) || '}@a.Ü' AS shape FROM customer",
     "Fs11_mail": f"WITH {_MAIL} SELECT id, CASE WHEN id >= 100 THEN id END::BIGINT AS number, 'Dear all' || chr(10) || 'it works' AS body FROM m",
-    "Fs12_reply_subject": f"WITH {_MAIL} SELECT id, 'Re: About #' || id || ' again' AS subject FROM m",
+    "Fs12_reply_subject": """WITH t AS (SELECT o_orderkey AS id, 'About ' || repeat('long ', (o_orderkey % 30)::INT) || 'end' AS t FROM orders)
+      SELECT id, 'Re: [Desk] #' || id || ' ' || CASE WHEN length(t) > 80 THEN left(t, 79) || '…' ELSE t END AS subject, id % 3 = 2 AS edited FROM t""",
     "Fs13_retreat": f"WITH {LIBRARY_SQL}, h AS (SELECT id, text, left(text, 200) AS head FROM library), b AS (SELECT *, regexp_extract(head, '(?s)^(.*[.\\n])', 1) AS back FROM h) SELECT id, CASE WHEN length(text) <= 200 THEN text WHEN back <> '' THEN back ELSE head END AS head FROM b",
-    "Fs17_sample": f"WITH {LIBRARY_SQL} SELECT id, sha256(CASE WHEN length(text) <= 500 THEN text ELSE left(text, 300) || chr(10) || '…' || chr(10) || substr(text, (length(text) - 100) // 2 + 1, 100) || chr(10) || '…' || chr(10) || right(text, 100) END) AS sample FROM library",
+    "Fs17_sample": rf"""WITH t AS (SELECT doc_id AS id, regexp_replace(text, '[\t-\r \x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x{{feff}}]+\n', chr(10), 'g') AS t FROM documents), g AS (SELECT chr(10) || chr(10) || '[…]' || chr(10) || chr(10) AS gap)
+      SELECT id, sha256(CASE WHEN length(t) <= 502 THEN t ELSE left(t, 301) || gap || substr(t, (length(t) - 100) // 2 + 1, 100) || gap || right(t, 101) END) AS sample FROM t CROSS JOIN g""",
     "Fs18_model_json": "SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN 'part ' || p_partkey END AS summary, CASE WHEN p_partkey % 5 <> 0 THEN 'A,b' END AS topics FROM part",
     "R8_mail_threads": f"WITH {_MAIL} SELECT id, CASE WHEN id >= 100 THEN id END::BIGINT AS number, CASE WHEN id >= 100 AND id % 4 <> 0 THEN 'comment' ELSE 'ticket' END AS becomes FROM m",
     "Fd1_epoch_millis": "SELECT o_orderkey, (epoch(o_orderdate::DATE) * 1000)::BIGINT AS millis FROM orders",
     "Fd2_quarters": "WITH q AS (SELECT o_orderkey, date_trunc('quarter', o_orderdate) - INTERVAL 3 MONTH AS m FROM orders) SELECT o_orderkey, 'Q' || quarter(m) || ' ' || year(m) AS label FROM q",
-    "Fd5_sla_labels": f"WITH {TICKETS_SQL}, m AS (SELECT id, {_LEFT} AS m FROM tickets) SELECT id, CASE WHEN abs(m) >= 1440 THEN abs(m) // 1440 || 'd' WHEN abs(m) >= 60 THEN abs(m) // 60 || 'h' ELSE abs(m) || 'm' END || CASE WHEN m < 0 THEN ' overdue' ELSE ' left' END AS label FROM m",
-    "Fd8_durations": "WITH m AS (SELECT event_id, event_id * 37 AS m FROM events) SELECT event_id, CASE WHEN m < 1000 THEN m || ' ms' WHEN m < 60000 THEN m // 1000 || ' s' ELSE m // 60000 || ' min ' || m // 1000 % 60 || ' s' END AS label FROM m",
-    "Fd9_staleness": f"WITH {TICKETS_SQL}, a AS (SELECT id, {_DAYS} AS d FROM tickets WHERE created <= {TS}) SELECT id, CASE WHEN d < 1 THEN 'today' WHEN d < 2 THEN 'yesterday' WHEN d < 30 THEN d || ' days ago' WHEN d < 365 THEN d // 30 || ' months ago' ELSE d // 365 || ' years ago' END AS age FROM a",
+    "Fd5_sla_labels": f"""WITH {TICKETS_SQL}, m AS (SELECT id, resolved, floor((epoch(resolution_due) - epoch({TS})) / 60.0 + 0.5)::BIGINT AS m FROM tickets), a AS (SELECT *, abs(m) AS a FROM m)
+      SELECT id, CASE WHEN id % 11 = 0 THEN '—' WHEN resolved IS NOT NULL THEN 'Met' ELSE CASE WHEN a >= 1440 THEN (a + 720) // 1440 || 'd' WHEN a >= 60 THEN (a + 30) // 60 || 'h' ELSE a || 'm' END || CASE WHEN m >= 0 THEN ' left' ELSE ' over' END END AS label FROM a""",
+    "Fd8_durations": f"""WITH m AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id * 7919 % 20000000 ELSE event_id * 37 % 90000 END AS m FROM events),
+      g AS (SELECT event_id, m, greatest(m - 500, 0) AS g FROM m)
+      SELECT event_id, {_LABEL.format(m="m")} AS label, '+' || CASE WHEN g < 10000 THEN (g + 50) // 1000 || '.' || (g + 50) // 100 % 10 || 's' ELSE {_LABEL.format(m="g")} END AS gap FROM g""",
+    "Fd9_staleness": f"""WITH {TICKETS_SQL}, a AS (SELECT id, floor((epoch({TS}) - epoch({TS} - to_minutes((id % 4000)::INT))) / 3600)::BIGINT AS h FROM tickets WHERE created <= {TS})
+      SELECT id, CASE WHEN id % 7 = 0 THEN 'unavailable now' WHEN id % 3 < 2 THEN NULL WHEN h < 1 THEN 'less than an hour ago' WHEN h < 24 THEN h || 'h ago' ELSE h // 24 || 'd ago' END AS age FROM a""",
     "Fd10_freshness": f"WITH {TICKETS_SQL}, h AS (SELECT id, {_HOURS} AS h FROM tickets WHERE created <= {TS}) SELECT id, h >= 24 AS tier1_due, h >= 720 AS resample_due, h > 2160 AS expired FROM h",
     "Fm2_hashed_vectors": """WITH w AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[a-z0-9][a-z0-9-]+') AS w FROM part), i AS (SELECT p_partkey, list_transform(w, lambda x: ('0x' || left(sha256(x), 4))::INT % 8) AS i FROM w),
       c AS (SELECT p_partkey, [len(list_filter(i, lambda x: x = k)) for k in range(8)] AS c FROM i), n AS (SELECT p_partkey, c, sqrt(list_sum([x * x for x in c])) AS n FROM c)
       SELECT p_partkey, array_to_string(list_concat([CASE WHEN n > 0 THEN format('{:.4f}', x / n) ELSE '0.0000' END for x in c], ['0.0000', '0.0000', '0.0000', '0.0000']), ',') AS v FROM n""",
-    "Fm7_idf": "WITH n AS (SELECT l_shipdate, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT l_shipdate, n::DOUBLE / (SELECT count(*) FROM lineitem) * 100 AS s FROM n) SELECT l_shipdate, CASE WHEN s <= 0.05 THEN 'rare' WHEN s <= 0.25 THEN 'uncommon' ELSE 'common' END AS bucket FROM s",
+    "Fm7_idf": """WITH v AS (SELECT unnest(['q' || l_quantity::INT, 'f' || l_returnflag, 'n' || l_linenumber]) AS value FROM lineitem), n AS (SELECT value, count(*)::DOUBLE / (SELECT count(*) FROM lineitem) AS s FROM v GROUP BY value)
+      SELECT value, CASE WHEN s <= 0.05 THEN 'rare' WHEN s <= 0.25 THEN 'uncommon' ELSE 'common' END AS bucket FROM n""",
     "Fm9_thirds": "SELECT p_partkey, CASE WHEN p_size < 15 THEN 'low' WHEN p_size < 35 THEN 'medium' ELSE 'high' END AS third FROM part",
     "E8_summaries": "SELECT doc_id AS id, left(text, 300) AS summary FROM documents",
     "E3_sheet_chunks": "SELECT n_regionkey AS sheet, n_nationkey // 10 AS window, min(n_nationkey)::BIGINT AS first_row, max(n_nationkey)::BIGINT AS last_row, string_agg(n_name, chr(10) ORDER BY n_nationkey) AS lines FROM nation GROUP BY 1, 2",
@@ -237,7 +275,11 @@ ORACLES = {
     "F10_rolled_up": "SELECT l_partkey AS a, l_suppkey AS b, coalesce(max(CASE WHEN l_returnflag <> 'N' THEN l_discount END), 0.0) AS weight FROM lineitem GROUP BY 1, 2",
     "F13_retention": "SELECT doc_id AS id FROM documents WHERE doc_id % 17 <> 0",
     "R5_purge": "SELECT doc_id AS id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'tombstone' ELSE 'purge' END AS action FROM documents WHERE doc_id % 17 = 0",
-    "R11_circuits": "WITH h AS (SELECT event_type, ts, lag(ts, 2) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS then_ FROM events WHERE value > 80) SELECT event_type, count(*)::BIGINT AS openings FROM h WHERE epoch_us(ts) - epoch_us(then_) < 14401000000 GROUP BY 1",
+    "R11_circuits": """WITH f AS (SELECT user_id, ts, event_id, value > 30 AS failed FROM events),
+      w AS (SELECT *, lag(failed, 1, false) OVER u AS f1, lag(failed, 2, false) OVER u AS f2, lag(failed, 3, false) OVER u AS f3 FROM f WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)),
+      r AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM w),
+      o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, run, failed ORDER BY ts, event_id) AS nth FROM r) WHERE failed AND f1 AND f2 AND nth = 3)
+      SELECT o.user_id, o.ts AS opened_at, least(o.ts + INTERVAL 24 HOUR, (SELECT min(g.ts) FROM f g WHERE g.user_id = o.user_id AND NOT g.failed AND (g.ts, g.event_id) > (o.ts, o.event_id))) AS until FROM o""",
     "R14_may_run": "SELECT user_id, max(ts) FILTER (event_type = 'click') <= TIMESTAMP '2024-01-29 23:45:00' AS may FROM events GROUP BY user_id",
     "S21_fact_upsert": "SELECT o_orderkey, o_totalprice + CASE WHEN o_orderkey % 9 = 0 THEN 1 ELSE 0 END AS o_totalprice FROM orders",
     "S27_backfill": "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from deskflume.functions import facts, text
+from deskflume.functions import facts, text, values
 from deskflume.operators import access, catalog, desk, search
 from deskflume.plans import QUERIES
 from deskflume.sources import snapshots
@@ -17,12 +17,33 @@ def one(spark, column, *values, kind="string"):
 
 
 def test_stems_terms_entities(spark):
-    assert one(spark, text.stem, "printing", "stopped", "boxes", "sing", "cars") == ["print", "stop", "boxe", "sing", "cars"]
+    assert one(spark, text.stem, "printing", "stopped", "boxes", "sing", "cars", "classes", "passes", "resetting", "uses", "missed") == ["print", "stop", "boxe", "sing", "cars", "class", "pass", "reset", "uses", "mis"]
     assert one(spark, text.search_terms, "The printers, printing & PRINTED pages!") == [["printer", "print", "page"]]
     assert one(spark, text.entities, "ask Mary Ann Smith (m.smith@example.org) on INV-2024-113; m.smith@example.org") == [["m.smith@example.org", "INV-2024-113", "Mary Ann Smith"]]
     assert one(spark, lambda c: text.squeeze(c, 10), "a  b\n c", "abcdefghijkl", None) == ["a b c", "abcdefghi…", None]
 
 
+def test_labels(spark):
+    assert one(spark, values.shape, "ana@servo.ai", "INV-2024-113", "aB1 é", "") == ["a{3}@a{5}.a{2}", "AAA-NNNN-NNN", "aAN é", ""]
+    assert one(spark, facts.normal_identifier, "INV-2024-113", "inv_2024_113") == ["inv2024113"] * 2
+    assert one(spark, values.duration_label, 37, 1499, 59_400, 59_500, 185_000, 4_000_000, kind="long") == ["<1s", "1s", "59s", "1m 00s", "3m 05s", "1h 06m"]
+    assert one(spark, values.gap_label, -5, 420, 9_990, 12_000, 65_000, kind="long") == ["+0.0s", "+0.4s", "+10.0s", "+12s", "+1m 05s"]
+    assert one(spark, lambda c: values.sla_label(F.lit("ok"), c), -6000, 5400, 29, -31, 90_000 * 2, None, kind="long") == ["2h over", "2h left", "0m left", "1m over", "2d left", "—"]
+    assert one(spark, values.next_level, "JUNIOR", "MID", "SENIOR", "other") == ["MID", "SENIOR", None, "MID"]
+    assert one(spark, lambda c: values.eligible(c, F.lit("MID")), "JUNIOR", "MID", "SENIOR", "STANDALONE") == [False, True, True, True]
+    assert one(spark, lambda c: values.reply_subject(F.lit(7), c), " a\n b ", "x" * 90, "") == ["Re: [Desk] #7 a b", "Re: [Desk] #7 " + "x" * 79 + "…", "Re: [Desk] #7"]
+    assert one(spark, lambda c: values.sample_text(c, 10), "short  \nx", "abcdefghijklmnopqrst") == ["short\nx", "abcdef\n\n[…]\n\njk\n\n[…]\n\nst"]
+
+
+def test_circuit_opens_after_failures_in_a_row(spark):
+    from deskflume.operators import records
+
+    calls = [(1, 1, True), (1, 2, False), (1, 3, True), (1, 4, True), (1, 5, False), (1, 6, True), (2, 1, True), (2, 2, True), (2, 3, True), (2, 4, True), (2, 300, True), (2, 301, False), (2, 302, True), (2, 303, True), (2, 304, True), (2, 306, False)]
+    rows = spark.createDataFrame(calls, "k long, m long, failed boolean").withColumn("ts", F.timestamp_seconds(F.col("m") * 60))
+    got = records.open_circuits(rows, "k", F.col("failed"), "ts", ["ts"]).select("k", F.unix_seconds("opened_at") / 60, F.unix_seconds("until") / 60).collect()
+    assert sorted(map(tuple, got)) == [(2, 3, 13), (2, 304, 306)]
+
+
 def test_chunks_and_pages(spark):
     para = "word " * 60
     body = f"intro\n\n# One\n{para}\n\n```\n# not a heading\n```\n{para * 4}\n\nlast"
