@@ -41,7 +41,7 @@ RIGHT = public_tokenizers.path("piece_bpe_32k.model")
 #: Pairs of ids up to which their counts are broadcast.
 SMALL = 1 << 20
 #: Words of texts in a block; a longer text is a block of its own.
-BLOCK_WORDS = 1 << 19
+BLOCK_WORDS = 1 << 18
 #: Distinct words that a task remembers.
 KNOWN_WORDS = 400_000
 SIDES = ("a_ids", "a_ends", "b_ids", "b_ends")
@@ -225,13 +225,13 @@ def _word(x: Column) -> Column:
         return F.transform(merged, one)
 
     def built(entries):
-        def groups(at):
-            """at: places where both sides end, and both sides' ids as text."""
+        def groups(both):
+            """both: places where both sides end."""
 
             def side(ids, g, place):
-                last = place(at["both"][g])
-                first = F.when(g > 0, place(at["both"][g - 1]) + 1).otherwise(0)
-                return F.when(last == first, ids[last]).otherwise(F.array_join(F.slice(ids, first + 1, last - first + 1), ","))
+                last = place(both[g])
+                first = F.when(g > 0, place(both[g - 1]) + 1).otherwise(0)
+                return F.when(last == first, ids[last].cast("string")).otherwise(F.array_join(F.slice(ids, first + 1, last - first + 1).cast("array<string>"), ","))
 
             def left(t):
                 return F.shiftright(-1 - t, 32).cast("int")
@@ -239,10 +239,9 @@ def _word(x: Column) -> Column:
             def right(t):
                 return (-1 - t).bitwiseAND(0xFFFFFFFF).cast("int")
 
-            return F.array_join(F.transform(at["both"], lambda _, g: F.concat(side(at["a"], g, left), F.lit("|"), side(at["b"], g, right))), ";")
+            return F.array_join(F.transform(both, lambda _, g: F.concat(side(x["a_ids"], g, left), F.lit("|"), side(x["b_ids"], g, right))), ";")
 
-        at = F.struct(F.filter(entries, lambda v: v < 0).alias("both"), x["a_ids"].cast("array<string>").alias("a"), x["b_ids"].cast("array<string>").alias("b"))
-        return F.struct(_let(at, groups).alias("groups"), F.filter(entries, lambda v: v >= 0).alias("links"))
+        return F.struct(_let(F.filter(entries, lambda v: v < 0), groups).alias("groups"), F.filter(entries, lambda v: v >= 0).alias("links"))
 
     n_a, n_b, n_shared = F.size(x["a_ids"]), F.size(x["b_ids"]), F.size(F.array_intersect(x["a_ends"], x["b_ends"]))
     one = F.struct(F.concat(x["a_ids"][0].cast("string"), F.lit("|"), x["b_ids"][0].cast("string")).alias("groups"), F.array(F.shiftleft(x["a_ids"][0].cast("long"), 32) + x["b_ids"][0]).alias("links"))
