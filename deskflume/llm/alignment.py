@@ -41,9 +41,9 @@ RIGHT = public_tokenizers.path("piece_bpe_32k.model")
 #: Pairs of ids up to which their counts are broadcast.
 SMALL = 1 << 20
 #: Words of texts in a block; a longer text is a block of its own.
-BLOCK_WORDS = 1 << 18
+BLOCK_WORDS = 1 << 16
 #: Distinct words that a task remembers.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 SIDES = ("a_ids", "a_ends", "b_ids", "b_ends")
 BLOCKS = "doc_ids array<long>, texts array<array<int>>, uses array<int>, " + ", ".join(f"{c} array<array<int>>" for c in SIDES)
 SPACE = "▁"
