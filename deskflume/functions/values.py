@@ -49,18 +49,6 @@ def edited(original: Column, sent: Column) -> Column:
     return plain(original) != plain(sent)
 
 
-def ticket_number(subject: Column) -> Column:
-    """The number behind the first # with three digits or more; null without one."""
-    return F.nullif(F.regexp_extract(subject, r"#([0-9]{3,})", 1), F.lit("")).cast("long")
-
-
-def without_quote(body: Column) -> Column:
-    """The lines before the first quoted one."""
-    lines = F.split(body, "\n", -1)
-    first = F.array_position(F.transform(lines, lambda x: x.rlike(r"^(>|On .* wrote:$|-----Original Message-----)")), True)
-    return F.rtrim(F.array_join(F.when(first > 0, F.slice(lines, F.lit(1), first.cast("int") - 1)).otherwise(lines), "\n"))
-
-
 def distinct_topics(topics: Column) -> Column:
     """Without repeats in another case; the first spelling stays, in order."""
     return F.aggregate(topics, F.array().cast("array<string>"), lambda kept, x: F.when(F.exists(kept, lambda y: F.lower(y) == F.lower(x)), kept).otherwise(F.array_append(kept, x)))

@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, and the same rows as SQL."""
 
-from . import desk, edges, knowledge, more, rest, retrieval
+from . import desk, edges, knowledge, more, rest, retrieval, streams
 
-QUERIES = desk.QUERIES | knowledge.QUERIES | rest.QUERIES | edges.QUERIES | more.QUERIES | retrieval.QUERIES
-ORACLES = desk.ORACLES | knowledge.ORACLES | rest.ORACLES | edges.ORACLES | more.ORACLES | retrieval.ORACLES
+QUERIES = desk.QUERIES | knowledge.QUERIES | rest.QUERIES | edges.QUERIES | more.QUERIES | retrieval.QUERIES | streams.QUERIES
+ORACLES = desk.ORACLES | knowledge.ORACLES | rest.ORACLES | edges.ORACLES | more.ORACLES | retrieval.ORACLES | streams.ORACLES

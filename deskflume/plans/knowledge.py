@@ -295,8 +295,9 @@ ORACLES = {
     "A16_readable_per_collection": f"WITH {_ACCESS} SELECT collection, count(*)::BIGINT AS readable FROM library WHERE id IN (SELECT id FROM readable) GROUP BY collection",
     "Fs1_keywords": f"WITH {_KEYWORDS} SELECT * FROM top",
     "A23_keyword_profile": f"WITH {_KEYWORDS} SELECT term, count(DISTINCT id)::BIGINT AS documents FROM top GROUP BY term ORDER BY documents DESC, term LIMIT 12",
-    "Fs2_entities": rf"""WITH e AS (SELECT doc_id AS id, list_concat(regexp_extract_all(text, '{T.ENTITIES[0]}'), regexp_extract_all(text, '{T.ENTITIES[1]}'),
-      list_filter(regexp_extract_all(text, '{T.ENTITIES[2]}'), lambda x: lower(split_part(x, ' ', 1)) NOT IN ({_STOP}))) AS e FROM documents),
+    "Fs2_entities": rf"""WITH t AS (SELECT doc_id AS id, replace(text, chr(13) || chr(10), chr(10)) AS text FROM documents),
+      e AS (SELECT id, list_concat(regexp_extract_all(text, '{T.ENTITIES[0]}'), regexp_extract_all(text, '{T.ENTITIES[1]}'),
+        list_filter(regexp_extract_all(text, '{T.ENTITIES[2]}'), lambda x: lower(regexp_extract(x, '^[A-Za-z]+')) NOT IN ({_STOP})), list_transform(regexp_extract_all(text, '{T.ENTITIES[3]}', 1), lambda x: trim(x))) AS e FROM t),
       f AS (SELECT id, array_to_string(list_filter(e, lambda x, i: list_position(e, x) = i)[1:16], '|') AS entities FROM e) SELECT * FROM f WHERE entities <> ''""",
     "Fs6_squeeze": r"WITH f AS (SELECT doc_id AS id, trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')) AS t FROM documents) SELECT id, CASE WHEN length(t) > 80 THEN rtrim(left(t, 79)) || '…' ELSE t END AS head FROM f",
     "Fs16_content_types": _TYPES,

@@ -1,9 +1,12 @@
 """Desk, library, run and catalogue queries made of few built-in functions each, and the same rows as SQL."""
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import facts as K
+from ..functions import mail as M
 from ..functions import values as V
+from ..operators import mailbox as B
 from ..operators import records as R
 from ..tables import LIBRARY_SQL, NOW, TICKETS_SQL, library, now, table, tickets
 from .desk import events
@@ -83,17 +86,32 @@ def idf(s, d):
 
 
 def mails(s, d):
+    """Orders as mail of twelve kinds, by their key: (id, sender, subject, body, headers)."""
+    k, kind = C("o_orderkey"), (C("o_orderkey") % 12).cast("int")
+
+    def one_of(*values):
+        return F.get(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]), kind)
+
+    about, none = F.format_string("RE: Fwd: About #%d again", k), F.lit(None).cast("string")
+    sender = one_of("Ann Lee <Ann.Lee@Example.org>", "bob.j-smith@x.io", "no address", "Desk <desk@example.org>", "MAILER-DAEMON@mx.org", "news@x.org", "p@x.org", "relay@x.org", "q@x.org", "r_s@x.org", "t@x.org", ' "Eva M" <e@m.de>')
+    subject = one_of(about, "fwd: Hello", about, about, "Failure", about, "Out of Office: gone", about, about, about, none, F.format_string(" rv : About #%d", k))
+    failed = F.format_string("Sorry.\nFinal-Recipient: rfc822; Buyer%d@example.org.\nend", "o_custkey")
+    body = one_of("Dear all\nit works\n> old", "Hi\n\nOn Monday X wrote:\nold", "x", "x", failed, none, "away", "It wasn't delivered to **nobody@example.org**", " \n ", "> only quotes", "Fine.\n-- \nT", "new\r\n----- Original Message -----\r\nold")
+    header = one_of(none, none, none, none, none, "precedence", none, "return-path", none, none, "auto-submitted", none)
+    value = one_of("", "", "", "", "", "Bulk", "", " < > ", "", "", "no", "")
+    headers = F.when(header.isNotNull(), F.create_map(header, value))
+    return table(s, d, "orders").select(k.alias("id"), sender.alias("sender"), subject.alias("subject"), body.alias("body"), headers.alias("headers"))
+
+
+def mail_tickets(s, d):
     k = C("o_orderkey")
-    subject = F.format_string("%sAbout #%d again", F.when(k % 2 == 0, "RE: Fwd: ").otherwise(""), k)
-    body = F.concat(F.lit("Dear all\nit works"), F.when(k % 3 == 0, F.lit("\n> old text\n> more")).when(k % 3 == 1, F.lit("\nOn Monday X wrote:\nold")).otherwise(""))
-    return table(s, d, "orders").select(k.alias("id"), subject.alias("subject"), body.alias("body"))
+    return table(s, d, "orders").select(k.alias("number"), F.when(k % 4 == 0, "CLOSED").otherwise("OPEN").alias("status"), F.format_string("buyer%d@example.org", "o_custkey").alias("requester_address"), C("o_orderdate").alias("updated"))
 
 
-def threads(s, d):
-    """Mails by the ticket that their subject names; those of an unknown one begin a ticket."""
-    m = mails(s, d).select("id", V.ticket_number(C("subject")).alias("number"))
-    known = tickets(s, d).where("id % 4 <> 0").select(C("id").alias("number"))
-    return R.flagged(m, known, "number", "known").select("id", "number", F.when(C("known"), "comment").otherwise("ticket").alias("becomes"))
+def mail_ladder(s, d):
+    rows = B.placed(mails(s, d), mail_tickets(s, d), F.lit("desk@example.org"))
+    kept = C("action").isin("comment", "created")
+    return rows.select("id", "action", "ticket", "reason", F.when(kept, C("name")).alias("name"), "title", F.when(kept, C("words")).alias("words"))
 
 
 def model_json(s, d):
@@ -155,12 +173,12 @@ QUERIES = {
     "T10_skills": lambda s, d: table(s, d, "part").select("p_partkey", C("p_type").startswith("ECONOMY").alias("applies")).orderBy(F.desc("applies"), "p_partkey").limit(40),
     "Fs7_identifiers": lambda s, d: table(s, d, "part").select("p_partkey", K.normal_identifier(F.concat("p_brand", F.lit("_/"), "p_type", F.lit(" é"))).alias("name")),
     "Fs8_shapes": lambda s, d: table(s, d, "customer").select("c_custkey", V.shape(F.concat("c_name", F.lit(" "), F.lower("c_mktsegment"), F.lit("@x.Ü"))).alias("shape")),
-    "Fs11_mail": lambda s, d: mails(s, d).select("id", V.ticket_number(C("subject")).alias("number"), V.without_quote(C("body")).alias("body")),
+    "Fs11_mail": lambda s, d: mails(s, d).select("id", M.sender(C("sender")).alias("address"), M.ticket_number(C("subject")).alias("number"), M.own_words(F.coalesce("body", F.lit(""))).alias("words")),
     "Fs12_reply_subject": lambda s, d: replies(s, d),
     "Fs13_retreat": lambda s, d: library(s, d).select("id", V.retreat(C("text"), 200).alias("head")),
     "Fs17_sample": lambda s, d: library(s, d).select("id", F.sha2(V.sample_text(C("text"), 502), 256).alias("sample")),
     "Fs18_model_json": model_json,
-    "R8_mail_threads": threads,
+    "R8_mail_threads": mail_ladder,
     "Fd1_epoch_millis": lambda s, d: table(s, d, "orders").select("o_orderkey", V.epoch_millis(F.to_date("o_orderdate")).alias("millis")),
     "Fd2_quarters": lambda s, d: table(s, d, "orders").select("o_orderkey", V.quarter_label(C("o_orderdate"), -1).alias("label")),
     "Fd5_sla_labels": lambda s, d: tickets(s, d).select("id", V.sla_label(F.when(C("id") % 11 == 0, "none").when(C("resolved").isNotNull(), "met").otherwise("ok"), F.timestamp_diff("SECOND", now(), C("resolution_due"))).alias("label")),
@@ -186,7 +204,7 @@ _SCORES = "s AS (SELECT l_partkey AS doc, max(l_discount * 10) AS best_rank, max
 _PROFILES = "p AS (SELECT s_suppkey AS id, (['HARDWARE', 'SOFTWARE', 'NETWORK', 'ACCESS', 'EMAIL', 'SECURITY', 'OTHER'])[s_suppkey % 5 + 1 : s_suppkey % 5 + 2] AS categories, s_suppkey * 7 % 101 AS made FROM supplier WHERE s_acctbal > 0)"
 _GUESS = "g AS (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS kind FROM part), b AS (SELECT p_partkey, kind, length(kind) / 10.0::DOUBLE AS confidence FROM g QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY length(kind) DESC, kind) = 1)"
 _LEVEL = "CASE priority WHEN 'URGENT' THEN 'SENIOR' WHEN 'HIGH' THEN 'MID' ELSE 'JUNIOR' END"
-_MAIL = "m AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'RE: Fwd: ' ELSE '' END || 'About #' || o_orderkey || ' again' AS subject FROM orders)"
+_MAIL = "m AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS made, o_orderkey % 12 AS s FROM orders)"
 _MIN = f"date_diff('second', {TS}, resolution_due)"
 _LEFT = f"(CASE WHEN {_MIN} >= 0 THEN floor({_MIN} / 60.0) ELSE ceil({_MIN} / 60.0) END)::BIGINT"
 _DAYS = f"date_diff('day', created::DATE, {TS}::DATE)"
@@ -245,14 +263,23 @@ ORACLES = {
     "T10_skills": "SELECT p_partkey, starts_with(p_type, 'ECONOMY') AS applies FROM part ORDER BY applies DESC, p_partkey LIMIT 40",
     "Fs7_identifiers": "SELECT p_partkey, lower(replace(replace(p_brand, '#', ''), ' ', '') || replace(p_type, ' ', '')) AS name FROM part",
     "Fs8_shapes": "SELECT c_custkey, 'Aa{7}#' || repeat('N', length(c_name) - 9) || ' a{' || length(c_mktsegment) || '}@a.Ü' AS shape FROM customer",
-    "Fs11_mail": f"WITH {_MAIL} SELECT id, CASE WHEN id >= 100 THEN id END::BIGINT AS number, 'Dear all' || chr(10) || 'it works' AS body FROM m",
+    "Fs11_mail": f"""WITH {_MAIL} SELECT k AS id, ['ann.lee@example.org', 'bob.j-smith@x.io', '', 'desk@example.org', 'mailer-daemon@mx.org', 'news@x.org', 'p@x.org', 'relay@x.org', 'q@x.org', 'r_s@x.org', 't@x.org', 'e@m.de'][s + 1] AS address,
+      CASE WHEN k >= 100 AND s NOT IN (1, 4, 6, 10) THEN k END AS number,
+      ['Dear all' || chr(10) || 'it works', 'Hi', 'x', 'x', 'Sorry.' || chr(10) || 'Final-Recipient: rfc822; Buyer' || c || '@example.org.' || chr(10) || 'end', '', 'away', 'It wasn''t delivered to **nobody@example.org**', '', '> only quotes', 'Fine.', 'new'][s + 1] AS words FROM m""",
     "Fs12_reply_subject": """WITH t AS (SELECT o_orderkey AS id, 'About ' || repeat('long ', (o_orderkey % 30)::INT) || 'end' AS t FROM orders)
       SELECT id, 'Re: [Desk] #' || id || ' ' || CASE WHEN length(t) > 80 THEN left(t, 79) || '…' ELSE t END AS subject, id % 3 = 2 AS edited FROM t""",
     "Fs13_retreat": f"WITH {LIBRARY_SQL}, h AS (SELECT id, text, left(text, 200) AS head FROM library), b AS (SELECT *, regexp_extract(head, '(?s)^(.*[.\\n])', 1) AS back FROM h) SELECT id, CASE WHEN length(text) <= 200 THEN text WHEN back <> '' THEN back ELSE head END AS head FROM b",
     "Fs17_sample": rf"""WITH t AS (SELECT doc_id AS id, regexp_replace(text, '[\t-\r \x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x{{feff}}]+\n', chr(10), 'g') AS t FROM documents), g AS (SELECT chr(10) || chr(10) || '[…]' || chr(10) || chr(10) AS gap)
       SELECT id, sha256(CASE WHEN length(t) <= 502 THEN t ELSE left(t, 301) || gap || substr(t, (length(t) - 100) // 2 + 1, 100) || gap || right(t, 101) END) AS sample FROM t CROSS JOIN g""",
     "Fs18_model_json": "SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN 'part ' || p_partkey END AS summary, CASE WHEN p_partkey % 5 <> 0 THEN 'A,b' END AS topics FROM part",
-    "R8_mail_threads": f"WITH {_MAIL} SELECT id, CASE WHEN id >= 100 THEN id END::BIGINT AS number, CASE WHEN id >= 100 AND id % 4 <> 0 THEN 'comment' ELSE 'ticket' END AS becomes FROM m",
+    "R8_mail_threads": f"""WITH {_MAIL}, t AS (SELECT c, k AS number FROM m WHERE k % 4 <> 0 QUALIFY row_number() OVER (PARTITION BY c ORDER BY made DESC, k DESC) = 1),
+      a AS (SELECT m.*, t.number AS bounced, CASE WHEN s IN (0, 1, 10) THEN 'created' WHEN s IN (9, 11) THEN CASE WHEN k >= 100 THEN 'comment' ELSE 'created' END WHEN s = 4 AND t.number IS NOT NULL THEN 'bounce' ELSE 'ignored' END AS action FROM m LEFT JOIN t USING (c))
+      SELECT k AS id, action, CASE action WHEN 'comment' THEN k WHEN 'bounce' THEN bounced END AS ticket,
+        CASE WHEN action = 'ignored' THEN CASE s WHEN 2 THEN 'Unparseable sender address.' WHEN 3 THEN 'Own notification address.' WHEN 4 THEN 'Automated mail — Automated sender (mailer-daemon).' WHEN 5 THEN 'Automated mail — Precedence: bulk.'
+          WHEN 6 THEN 'Automated mail — Automated subject line.' WHEN 7 THEN 'Automated mail — Empty return path (bounce).' ELSE 'Empty message body.' END END AS reason,
+        CASE WHEN action IN ('comment', 'created') THEN CASE s WHEN 0 THEN 'Ann Lee' WHEN 1 THEN 'Bob J Smith' WHEN 9 THEN 'R S' WHEN 10 THEN 'T' ELSE 'Eva M' END END AS name,
+        CASE WHEN action = 'created' THEN CASE s WHEN 0 THEN 'Fwd: About #' || k || ' again' WHEN 1 THEN 'Hello' WHEN 9 THEN 'Fwd: About #' || k || ' again' WHEN 10 THEN '(no subject)' ELSE 'About #' || k END END AS title,
+        CASE WHEN action IN ('comment', 'created') THEN CASE s WHEN 0 THEN 'Dear all' || chr(10) || 'it works' WHEN 1 THEN 'Hi' WHEN 9 THEN '> only quotes' WHEN 10 THEN 'Fine.' ELSE 'new' END END AS words FROM a""",
     "Fd1_epoch_millis": "SELECT o_orderkey, (epoch(o_orderdate::DATE) * 1000)::BIGINT AS millis FROM orders",
     "Fd2_quarters": "WITH q AS (SELECT o_orderkey, date_trunc('quarter', o_orderdate) - INTERVAL 3 MONTH AS m FROM orders) SELECT o_orderkey, 'Q' || quarter(m) || ' ' || year(m) AS label FROM q",
     "Fd5_sla_labels": f"""WITH {TICKETS_SQL}, m AS (SELECT id, resolved, floor((epoch(resolution_due) - epoch({TS})) / 60.0 + 0.5)::BIGINT AS m FROM tickets), a AS (SELECT *, abs(m) AS a FROM m)
