@@ -152,11 +152,6 @@ def hashed_vector(text: Column, size: int, padded: int) -> Column:
     return F.concat(F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0)), F.array_repeat(F.lit(0.0), padded - size))
 
 
-def page_pieces(text: Column, n: int) -> Column:
-    """The text in pieces of at most ``n`` characters, cut behind blank lines where a piece holds one."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)(?:.{{1,{n - 2}}}\n\n)|.{{1,{n}}}"), F.lit(0)), F.trim), lambda p: p != "")
-
-
 def locator(sheet: Column, cells: Column, page: Column, page_end: Column, lines: Column) -> Column:
     """Where a passage stands, for readers: a sheet with its cells, a page or a span of pages, or lines."""
     span = F.when(page_end > page, F.concat(F.lit("-"), page_end)).otherwise("")
