@@ -64,6 +64,8 @@ RULES = (
     ("URL", "link", r"(?i)\bhttps?://[^<>\"')\]" + _S[1:-1] + "]+"),
     ("QUANTITY", "unit", rf"(?i)(?<!\d)(\d++(?:[.,]\d++)?+){_S}?({'|'.join(UNITS)})(?=[^a-z0-9]|$)"),
 )
+#: What a text must hold for a pattern to be tried.
+GATES = {"iso": "-", "figures": "./", "quarter": "Qq", "coded": "P", "address": "@", "link": ("://",), "sign": [s for s, _ in CURRENCIES.values()], "before": list(CURRENCIES), "behind": list(CURRENCIES)}
 _READ = [how for _, how, _ in RULES]
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _GROUPS = "abcde"
@@ -88,22 +90,29 @@ def _addresses(text: str, domain: re.Pattern):
 
 
 def candidates(text: Column) -> Column:
-    """Array of candidates by rule and place: rule, start, text, the 8 characters before, groups."""
+    """Array of candidates by rule and place: rule, start, text, groups, and for months the 8 characters before."""
 
     @F.arrow_udf("array<struct<rule:int,start:int,text:string,before:string,a:string,b:string,c:string,d:string,e:string>>")
     def scan(texts: pa.Array) -> pa.Array:
-        rules = [re.compile(p, re.A) for _, _, p in RULES]
-        found, offsets = [], [0]
+        rules = [(k, how, re.compile(p, re.A), GATES.get(how)) for k, (_, how, p) in enumerate(RULES)]
+        month = re.compile(f"(?i){_NAME}", re.A)
+        columns, offsets = [[] for _ in _CANDIDATE], [0]
         for t in texts.to_pylist():
-            for k, rule in enumerate(rules) if t else ():
-                if _READ[k] == "address":
+            named = bool(t) and month.search(t) is not None
+            for k, how, rule, gate in rules if t else ():
+                if gate and not any(x in t for x in gate) or not named and how in ("named", "month"):
+                    continue
+                if how == "address":
                     spans = ((a, b, ()) for a, b in _addresses(t, rule))
                 else:
-                    spans = ((*m.span(), [g for g in m.groups() if g is not None] if _READ[k] == "named" else m.groups()) for m in rule.finditer(t))
+                    spans = ((*m.span(), [g for g in m.groups() if g is not None] if how == "named" else m.groups()) for m in rule.finditer(t))
                 for a, b, groups in spans:
-                    found.append({"rule": k, "start": a, "text": t[a:b], "before": t[max(0, a - 8) : a], **dict(zip(_GROUPS, groups, strict=False))})
-            offsets.append(len(found))
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, _CANDIDATE))
+                    row = (k, a, t[a:b], t[max(0, a - 8) : a] if how == "month" else None, *groups, *[None] * (len(_GROUPS) - len(groups)))
+                    for column, value in zip(columns, row, strict=True):
+                        column.append(value)
+            offsets.append(len(columns[0]))
+        rows = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CANDIDATE, strict=True)], fields=list(_CANDIDATE))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
 
     return scan(text)
 

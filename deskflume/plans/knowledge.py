@@ -74,16 +74,19 @@ def benchmark_overlap(spark, sf):
     docs, items = held("documents", "doc_id"), held("benchmark", "item_id").where(F.size("w") > 0)
     longest = F.transform(F.array_sort(F.transform("w", lambda w: F.struct((-F.length(w)).alias("k"), w.alias("w")))), lambda x: x["w"])
     waiting = items.select("item_id", F.explode(F.slice(longest, F.lit(1), F.floor(F.size("w") / 2).cast("int") + 1)).alias("word"))
+    wanted = items.select("item_id", F.col("w").alias("asked"))
     met = docs.select("doc_id", F.explode("w").alias("word")).join(waiting, "word").select("doc_id", "item_id").distinct()
-    pairs = met.join(docs, "doc_id").join(items.withColumnRenamed("w", "asked"), "item_id")
-    common, n = F.size(F.array_intersect("asked", "w")).cast("long"), F.size("asked")
-    return pairs.select("doc_id", "item_id", common.alias("common"), F.round(common / n, 6).alias("containment")).where(F.col("containment") >= 0.5)
+    lists = met.join(wanted, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "asked")).alias("items"))  # items that a text may hold
+    found = F.filter(F.transform("items", lambda x: F.struct(x["item_id"].alias("item_id"), F.size(F.array_intersect(x["asked"], F.col("w"))).cast("long").alias("common"), F.size(x["asked"]).alias("n"))), lambda x: F.round(x["common"] / x["n"], 6) >= 0.5)
+    pairs = docs.join(lists, "doc_id").select("doc_id", F.explode(found).alias("x"))
+    return pairs.select("doc_id", "x.item_id", "x.common", F.round(F.col("x.common") / F.col("x.n"), 6).alias("containment"))
 
 
 def rendered_orders(spark, sf):
     o = table(spark, sf, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
     text = F.format_string("Invoice INV-2024-%05d for USD %.2f dated %s, due in %d days, mail buyer%d@example.org", F.col("o_orderkey"), F.floor("o_totalprice").cast("double"), "day", F.col("o_orderkey") % 60 + 2, "o_custkey")
-    return o.select(F.col("o_orderkey").alias("id"), text.alias("text"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return o.select(F.col("o_orderkey").alias("id"), text.alias("text")).repartition(n, "id")  # facts cost far more than moving the rows of one small file
 
 
 def rendered_parts(spark, sf, what):

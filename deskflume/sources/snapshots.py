@@ -25,11 +25,15 @@ def changes(stored: DataFrame, crawl: DataFrame, complete: bool = True) -> DataF
 
 
 def upserted(stored: DataFrame, crawl: DataFrame, complete: bool = True) -> DataFrame:
-    """The stored table after a crawl; to be written to a new path."""
+    """The stored table after a crawl, by one join; to be written to a new path. Rows of the same version stay as
+    they were stored; after a complete crawl those that it lacks go."""
     if crawl.isEmpty():
         raise EmptyCrawl("the crawl has no rows")
-    kept = stored.join(crawl.select("key"), "key", "left_semi" if complete else "left_outer").join(crawl.select("key"), "key", "left_anti")
-    return kept.unionByName(crawl)
+    columns = stored.columns
+    old, new = (df.select("key", F.struct(*columns).alias(n)) for df, n in ((stored, "old"), (crawl, "new")))
+    both = old.join(new, "key", "right" if complete else "full_outer")
+    same = F.col("new").isNull() | F.coalesce(F.col("old.version") == F.col("new.version"), F.lit(False))
+    return both.select(F.when(same, F.col("old")).otherwise(F.col("new")).alias("row")).select("row.*")
 
 
 def numbered(rows: DataFrame, order: list[str], above: int) -> DataFrame:
