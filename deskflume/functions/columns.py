@@ -110,3 +110,28 @@ def _guess(kind: str, base: float, bonus: float, test: str) -> Column:
     plain = F.expr(test.replace("named", "true"))
     holds = plain & named if "named" in test else plain
     return F.when(holds, F.struct((-F.round(base + F.when(named, bonus).otherwise(0.0), 2)).alias("back"), F.lit(kind).alias("type")))
+
+
+def exemplars(cells: DataFrame, classes: DataFrame, floor: int = 5, most: int = 10) -> DataFrame:
+    """(name, place, value, n): the most frequent values of columns whose values may be shown (classes: name,
+    shown), held by ``floor`` rows at least. Of all other columns nothing."""
+    from pyspark.sql import Window
+
+    counted = cells.where("value IS NOT NULL").groupBy("name", "value").agg(F.count("*").alias("n")).where(F.col("n") >= floor)
+    open_ = counted.join(F.broadcast(classes.where("shown").select("name")), "name", "left_semi")  # a row a column
+    order = [F.desc("n"), F.asc("value")]
+    few = open_.withColumn("place", F.row_number().over(Window.partitionBy("name", F.pmod(F.xxhash64("value"), F.lit(64))).orderBy(*order))).where(F.col("place") <= most)
+    return few.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy(*order))).where(F.col("place") <= most).select("name", "place", "value", "n")
+
+
+def bounds(cells: DataFrame, classes: DataFrame) -> DataFrame:
+    """(name, kind, low, high) of columns of numbers and times: their bounds where values may be shown, else
+    how many characters they have; kind none for others and for columns without values."""
+    number = F.col("value").try_cast("double")
+    least, most = (F.when(F.first("numeric"), by("value", number)).otherwise(plain("value")) for by, plain in ((F.min_by, F.min), (F.max_by, F.max)))
+    shapes = cells.groupBy("name", "numeric", "temporal").agg(least.alias("least"), most.alias("most"), F.min(F.char_length("value")).alias("shortest"), F.max(F.char_length("value")).alias("longest"))
+    rows = shapes.join(classes.select("name", "shown", "type"), "name")
+    told = F.col("numeric") | F.col("temporal") | (F.col("type") == "TEMPORAL")
+    kind = F.when(~told, "none").when(~F.col("shown"), "digits").when(F.col("least").isNull(), "none").otherwise("bounds")
+    low, high = (F.when(kind == "bounds", F.col(v)).when(kind == "digits", F.col(n).cast("string")) for v, n in (("least", "shortest"), ("most", "longest")))
+    return rows.select("name", kind.alias("kind"), low.alias("low"), high.alias("high"))

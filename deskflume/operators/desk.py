@@ -42,6 +42,12 @@ def top_requesters(tickets: DataFrame, names: DataFrame, k: int) -> DataFrame:
     return per.groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "name").limit(k)
 
 
+def within(ts: str, today: Column, days: int) -> Column:
+    """Whether a time lies on one of the last ``days`` days: a range on the bare column, which scans can skip by."""
+    first, behind = (F.date_add(today, n).cast("timestamp_ntz") for n in (1 - days, 1))
+    return (F.col(ts) >= first) & (F.col(ts) < behind)
+
+
 def window_kpis(tickets: DataFrame, now: Column, days: int = 30) -> DataFrame:
     """One row for the current and one for the previous window of ``days``: created, responded,
     mean minutes to the first response, resolved, mean hours to the resolution, share resolved by AI."""
@@ -51,9 +57,9 @@ def window_kpis(tickets: DataFrame, now: Column, days: int = 30) -> DataFrame:
         age = F.date_diff(today, F.to_date(ts))
         return F.when(age.between(0, days - 1), "current").when(age.between(days, 2 * days - 1), "previous")
 
-    made = tickets.withColumn("period", tag(F.col("created"))).where("period IS NOT NULL").groupBy("period")
+    made = tickets.where(within("created", today, 2 * days)).withColumn("period", tag(F.col("created"))).where("period IS NOT NULL").groupBy("period")
     made = made.agg(F.count("*").alias("created"), F.count("first_response").alias("responded"), half_up(F.avg(minutes_between(F.col("first_response"), F.col("created")))).alias("response_min"))
-    done = tickets.withColumn("period", tag(F.col("resolved"))).where("period IS NOT NULL").groupBy("period")
+    done = tickets.where(within("resolved", today, 2 * days)).withColumn("period", tag(F.col("resolved"))).where("period IS NOT NULL").groupBy("period")
     hours = F.avg(minutes_between(F.col("resolved"), F.col("created")) / 60)
     done = done.agg(F.count("*").alias("resolved"), (half_up(hours * 10) / 10).alias("resolution_h"), F.round(F.avg(F.col("by_ai").cast("int")), 6).alias("ai_rate"))
     periods = tickets.sparkSession.createDataFrame([("current",), ("previous",)], "period string")
@@ -75,8 +81,8 @@ def daily_series(tickets: DataFrame, now: Column, days: int = 30) -> DataFrame:
     """Created and resolved (by AI, by people) on each of the last ``days`` days, zero-filled."""
     spark, today = tickets.sparkSession, F.to_date(now)
     span = spark.range(1).select(F.explode(F.sequence(F.date_sub(today, days - 1), today)).alias("day"))
-    made = tickets.groupBy(F.to_date("created").alias("day")).agg(F.count("*").alias("created"))
-    done = tickets.where("resolved IS NOT NULL").groupBy(F.to_date("resolved").alias("day")).agg(F.count_if("by_ai").alias("by_ai"), F.count_if(~F.col("by_ai")).alias("by_people"))
+    made = tickets.where(within("created", today, days)).groupBy(F.to_date("created").alias("day")).agg(F.count("*").alias("created"))
+    done = tickets.where(within("resolved", today, days)).groupBy(F.to_date("resolved").alias("day")).agg(F.count_if("by_ai").alias("by_ai"), F.count_if(~F.col("by_ai")).alias("by_people"))
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("created", "by_ai", "by_people")]
     return F.broadcast(span).join(made, "day", "left").join(done, "day", "left").select(F.date_format("day", "yyyy-MM-dd").alias("day"), *counts)
 

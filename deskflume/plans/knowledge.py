@@ -161,10 +161,17 @@ def furniture(spark, sf):
     return T.furniture(lines, share=0.01)
 
 
+def listed_columns(spark, sf, keep, shift):
+    """A listing of columns (fqn, name, type): containers of parts as columns of their brands, the largest size
+    as their type; parts left out, or larger, make the difference between two listings."""
+    types = F.array(*map(F.lit, ("text", "integer", "numeric", "date")))
+    largest = F.max(F.col("p_size") + F.when(F.col("p_partkey") % 10 == 3, shift).otherwise(0))
+    p = table(spark, sf, "part").where(keep).groupBy(F.col("p_brand").alias("fqn"), F.col("p_type").alias("name")).agg(largest.alias("m"))
+    return p.select("fqn", "name", F.get(types, (F.col("m") % 4).cast("int")).alias("type"))
+
+
 def tier_drift(spark, sf):
-    old = C.schema_fields(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance")))
-    new = C.schema_fields(table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").cast("string").alias("balance"), F.col("c_mktsegment").alias("segment")))
-    return C.drift(old, new)
+    return C.drift(listed_columns(spark, sf, "p_partkey % 10 > 0 AND p_brand <> 'Brand#3'", 0), listed_columns(spark, sf, "p_partkey % 10 < 9 AND p_brand <> 'Brand#11'", 1))
 
 
 def minhash_pairs(spark, sf):
@@ -326,7 +333,10 @@ ORACLES = {
     "A20_column_shapes": _SHAPES,
     "A21_frequent_values": "SELECT l_returnflag AS value, count(*)::BIGINT AS n FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1 HAVING count(*) >= 5 ORDER BY n DESC, value LIMIT 3",
     "A22_prefix_rollup": "WITH k AS (SELECT string_split(regexp_replace(url, '^https?://', ''), '/') AS p, length(html)::BIGINT AS size FROM pages) SELECT prefix, count(*)::BIGINT AS objects, sum(size)::BIGINT AS bytes FROM (SELECT unnest(list_distinct([array_to_string(p[1:i], '/') for i in range(1, greatest(len(p) - 1, 1) + 1)])) AS prefix, size FROM k) GROUP BY prefix",
-    "U4_schema_drift": "SELECT * FROM (VALUES ('segment', 'added'), ('balance', 'retyped')) AS t(name, change)",
+    "U4_schema_drift": """WITH o AS (SELECT p_brand AS fqn, p_type AS name, ['text', 'integer', 'numeric', 'date'][max(p_size)::INT % 4 + 1] AS type FROM part WHERE p_partkey % 10 > 0 AND p_brand <> 'Brand#3' GROUP BY p_brand, p_type),
+      n AS (SELECT p_brand AS fqn, p_type AS name, ['text', 'integer', 'numeric', 'date'][max(p_size + CASE WHEN p_partkey % 10 = 3 THEN 1 ELSE 0 END)::INT % 4 + 1] AS type FROM part WHERE p_partkey % 10 < 9 AND p_brand <> 'Brand#11' GROUP BY p_brand, p_type)
+      SELECT fqn, NULL AS name, 'added' AS change FROM n WHERE fqn NOT IN (SELECT fqn FROM o) GROUP BY fqn UNION ALL SELECT fqn, NULL, 'removed' FROM o WHERE fqn NOT IN (SELECT fqn FROM n) GROUP BY fqn
+      UNION ALL SELECT fqn, name, 'retyped' FROM o JOIN n USING (fqn, name) WHERE o.type <> n.type""",
     "Fm6_power_of_two": "SELECT o_orderkey, CASE WHEN o_custkey <= 0 THEN 0 ELSE (1::BIGINT << (length(bin(o_custkey)) - 1)::BIGINT) END::BIGINT AS bucket FROM orders",
     "Fm8_interval_overlap": "SELECT p_partkey, round(greatest(least(p_size + 10, 35) - greatest(p_size, 20), 0)::DOUBLE / (greatest(p_size + 10, 35) - least(p_size, 20)), 6) AS overlap FROM part",
     "J15_keyword_edges": f"""WITH {_KEYWORDS}, s AS (SELECT id, list_sort(list(term)) AS ks FROM top GROUP BY id), o AS (SELECT min(id) AS id, unnest(ks) AS term FROM s GROUP BY ks)

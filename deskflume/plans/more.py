@@ -20,12 +20,16 @@ TS = f"TIMESTAMP '{NOW}'"
 CLASSIFIED = ("customer", "supplier", "part", "orders", "events", "nation")
 
 
-def rates(s, d):
+def cells(s, d):
     def one(name):
         df = table(s, d, name)
         return N.cells(df.toDF(*[f"{name}_{c}" for c in df.columns]))
 
-    return N.column_rates(reduce(DataFrame.union, map(one, CLASSIFIED)))
+    return reduce(DataFrame.union, map(one, CLASSIFIED))
+
+
+def rates(s, d):
+    return N.column_rates(cells(s, d))
 
 
 def locators(s, d):
@@ -68,6 +72,8 @@ def key_columns(s, d):
 
 QUERIES = {
     "F4_classified": lambda s, d: N.classified(rates(s, d)),
+    "F5_exemplars": lambda s, d: N.exemplars(cells(s, d), N.classified(rates(s, d))),
+    "F5_bounds": lambda s, d: N.bounds(cells(s, d), N.classified(rates(s, d))),
     "F1_column_cards": lambda s, d: rates(s, d).select("name", "numeric", "temporal", "rows", "distinct_values", "shortest", "longest", F.round("mean_length", 4).alias("mean_length"), F.round("top_share", 6).alias("top_share")),
     "S13_external_entities": lambda s, d: table(s, d, "pages").select("page_id", V.external_entity(F.concat(F.when(C("page_id") % 3 == 0, '<!doctype x [<!ENTITY e SYSTEM "f">]>').otherwise("<!DOCTYPE x>"), "html")).alias("refused")),
     "Fs3_stems": lambda s, d: table(s, d, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("word")).distinct().select("word", T.stem(C("word")).alias("stem")),
@@ -123,8 +129,15 @@ _STEM = """CASE WHEN ends_with({w}, 'ing') AND length({w}) >= 7 THEN CASE WHEN {
   WHEN ends_with({w}, 'ed') AND length({w}) >= 6 THEN CASE WHEN {w}[-3] = {w}[-4] THEN left({w}, length({w}) - 3) ELSE left({w}, length({w}) - 2) END
   WHEN ends_with({w}, 'es') AND length({w}) >= 6 THEN left({w}, length({w}) - 2) WHEN ends_with({w}, 's') AND length({w}) >= 5 THEN left({w}, length({w}) - 1) ELSE {w} END"""
 
+_CLASSES = f"""g AS ({_GUESSES}), b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY name ORDER BY confidence DESC, type) = 1),
+classes AS (SELECT name, coalesce(type, 'UNKNOWN') AS type, coalesce(type IN {N.SHOWN}, false) AS shown FROM rates LEFT JOIN b USING (name))"""
 
 ORACLES = {
+    "F5_exemplars": f"""WITH {_RATES}, {_CLASSES} SELECT name, row_number() OVER (PARTITION BY name ORDER BY n DESC, value)::INT AS place, value, n::BIGINT AS n FROM counted JOIN classes USING (name) WHERE shown AND n >= 5 QUALIFY place <= 10""",
+    "F5_bounds": f"""WITH {_RATES}, {_CLASSES}, s AS (SELECT name, numeric, temporal, CASE WHEN numeric THEN arg_min(value, TRY_CAST(value AS DOUBLE)) ELSE min(value) END AS least, CASE WHEN numeric THEN arg_max(value, TRY_CAST(value AS DOUBLE)) ELSE max(value) END AS most,
+        min(length(value)) AS shortest, max(length(value)) AS longest FROM cells GROUP BY name, numeric, temporal),
+      k AS (SELECT s.*, CASE WHEN NOT (numeric OR temporal OR type = 'TEMPORAL') THEN 'none' WHEN NOT shown THEN 'digits' WHEN least IS NULL THEN 'none' ELSE 'bounds' END AS kind FROM s JOIN classes USING (name))
+      SELECT name, kind, CASE kind WHEN 'bounds' THEN least WHEN 'digits' THEN shortest::VARCHAR END AS low, CASE kind WHEN 'bounds' THEN most WHEN 'digits' THEN longest::VARCHAR END AS high FROM k""",
     "F1_column_cards": f"WITH {_RATES} SELECT name, numeric, temporal, rows, distinct_values, shortest, longest, round(mean_length, 4) AS mean_length, round(top_share, 6) AS top_share FROM rates",
     "F4_classified": f"""WITH {_RATES}, g AS ({_GUESSES}), b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY name ORDER BY confidence DESC, type) = 1)
       SELECT name, coalesce(type, 'UNKNOWN') AS type, coalesce(confidence, 0)::DOUBLE AS confidence, coalesce(type IN {N.SHOWN}, false) AS shown FROM rates LEFT JOIN b USING (name)""",
