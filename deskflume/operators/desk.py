@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import next_level
+
 from ..tables import CATEGORIES, PRIORITIES, minutes_between
 
 OPEN = ("OPEN", "PENDING")
@@ -102,11 +104,39 @@ def sla_counts(tickets: DataFrame, now: Column) -> DataFrame:
     return sla_state(tickets, now).groupBy("priority", "sla").agg(F.count("*").alias("n"))
 
 
-def breach_scan(tickets: DataFrame, now: Column) -> DataFrame:
-    """Open tickets past their live due time, and whether the policy escalates them (not LOW)."""
+def breach_scan(tickets: DataFrame, now: Column, policies: DataFrame) -> DataFrame:
+    """``tickets`` with breached and to: open ones that no scan has escalated yet, whether their live due time
+    is over, and the level above that they go to where the policy (priority, escalates) of their priority wants it
+    and a group has them; null above the highest. ``escalated`` writes it down."""
     due = F.when(F.col("first_response").isNull(), F.col("response_due")).otherwise(F.col("resolution_due"))
-    late = tickets.where(F.col("status").isin(*OPEN) & (now > due))
-    return late.groupBy("priority").agg(F.count("*").alias("breached"), F.count_if(F.col("priority") != "LOW").alias("escalated"))
+    rows = tickets.where(F.col("status").isin(*OPEN) & F.col("escalated_at").isNull()).join(F.broadcast(policies), "priority", "left")
+    late = F.coalesce(now > due, F.lit(False))
+    return rows.withColumn("breached", late).withColumn("to", F.when(late & F.coalesce("escalates", F.lit(False)) & F.col("group").isNotNull(), next_level(F.col("level")))).drop("escalates")
+
+
+def scan_counts(scanned: DataFrame) -> DataFrame:
+    """One row for each priority: rows scanned, breached, escalated."""
+    return scanned.groupBy("priority").agg(F.count("*").alias("scanned"), F.count_if("breached").alias("breached"), F.count("to").alias("escalated"))
+
+
+def escalated(tickets: DataFrame, now: Column, policies: DataFrame) -> DataFrame:
+    """``tickets`` after a scan: a second scan finds none of them again."""
+    moved = breach_scan(tickets, now, policies).where("to IS NOT NULL").select("id", "to")
+    rows = tickets.join(moved, "id", "left")
+    done = F.col("to").isNotNull()
+    return rows.withColumns({"level": F.coalesce("to", "level"), "escalated_at": F.when(done, now).otherwise(F.col("escalated_at"))}).select(*tickets.columns)
+
+
+def deliverable(drafts: DataFrame, opted: list[str], failed: DataFrame, sent: DataFrame, now: Column, cap: int = 20) -> DataFrame:
+    """(id, place) of drafts that go out by themselves, in their order, while the cap of a day allows: ticket not
+    closed, category opted in, cited, every citation still good (refusal null), no failed check.
+
+    drafts: id, status, category, cited, refusal; failed: id; sent: decided_at of those sent so before."""
+    recent = sent.where(F.col("decided_at") >= now - F.expr("INTERVAL 24 HOURS")).agg(F.count("*").alias("sent"))
+    good = drafts.where((F.col("status") != "CLOSED") & F.col("category").isin(*opted) & F.col("cited") & F.col("refusal").isNull()).join(failed, "id", "left_anti")
+    first = good.select("id").orderBy("id").limit(cap)  # no more can go out
+    placed = first.withColumn("place", F.row_number().over(Window.orderBy("id")))
+    return placed.join(F.broadcast(recent)).where(F.col("place") + F.col("sent") <= cap).select("id", "place")
 
 
 def usage(events: DataFrame, until: Column, keys: list[str], days: int = 7) -> DataFrame:
@@ -120,10 +150,10 @@ def pivot_counts(rows: DataFrame, key: str, column: str, domain: list[str]) -> D
     return rows.groupBy(key).agg(*[F.count_if(F.col(column) == v).alias(v) for v in domain])
 
 
-def step_gaps(steps: DataFrame, run: str, order: list[str], ts: str) -> DataFrame:
-    """Seconds since the step before, 0 for the first and never negative."""
+def step_gaps(steps: DataFrame, run: str, order: list[str], ts: str, begun: str | None = None) -> DataFrame:
+    """Seconds since the step before, for the first one since the run began (a column; 0 without it), never negative."""
     before = F.lag(ts).over(Window.partitionBy(run).orderBy(*order))
-    gap = F.greatest(F.lit(0.0), minutes_between(F.col(ts), F.coalesce(before, F.col(ts))) * 60)
+    gap = F.greatest(F.lit(0.0), minutes_between(F.col(ts), F.coalesce(before, F.col(begun or ts))) * 60)
     return steps.withColumn("gap", F.round(gap, 3))
 
 

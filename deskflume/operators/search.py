@@ -108,7 +108,9 @@ def blend(keyword: DataFrame, vector: DataFrame, k: int) -> DataFrame:
 
 
 def history(tickets: DataFrame, terms: list[str], k: int, window: int = 60) -> DataFrame:
-    """Ticket search: the newest ``window`` rows that hold any term, scored title 3, outcome 2, body 1."""
+    """Ticket search: the newest ``window`` rows that hold any term, scored title 3, outcome 2, body 1 for each
+    term, and 2 more where something counts and the ticket is settled; ties by the time of resolution, or of creation.
+    tickets: id, title, outcome, body, status, created, resolved."""
 
     def held(c, t):
         return F.coalesce(F.contains(F.lower(c), F.lit(t)), F.lit(False))
@@ -117,6 +119,8 @@ def history(tickets: DataFrame, terms: list[str], k: int, window: int = 60) -> D
         return [weight * held(c, t).cast("int") for t in terms]
 
     candidate = F.exists(F.array(*[held("title", t) | held("body", t) for t in terms]), lambda x: x)
-    pool = tickets.where(candidate).orderBy(F.desc("id")).limit(window)
+    pool = tickets.where(candidate).orderBy(F.desc("created"), F.desc("id")).limit(window)
     score = sum(points("title", 3) + points("outcome", 2) + points("body", 1), F.lit(0))
-    return pool.select("id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), F.desc("id")).limit(k)
+    settled = F.when((score > 0) & F.col("status").isin("RESOLVED", "CLOSED"), 2).otherwise(0)
+    recent = F.coalesce("resolved", "created")
+    return pool.select("id", (score + settled).alias("score"), recent.alias("recent")).where("score > 0").orderBy(F.desc("score"), F.desc("recent"), F.desc("id")).limit(k).drop("recent")

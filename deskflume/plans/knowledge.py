@@ -226,7 +226,7 @@ QUERIES = {
     "P10_fact_windows": lambda s, d: K.overlapping(part_dates(s, d), order_months(s, d)),
     "E1_markdown_chunks": lambda s, d: words(s, d).select("id", F.explode(T.markdown_chunks("text")).alias("c")).select("id", "c.*"),
     "E9_html_text": lambda s, d: table(s, d, "pages").select("page_id", T.html_text("html").alias("text"), T.title(F.col("html")).alias("title")),
-    "A20_column_shapes": lambda s, d: C.column_shapes(table(s, d, "customer").drop("c_acctbal")),
+    "A20_column_shapes": lambda s, d: C.column_shapes(table(s, d, "customer")),
     "A21_frequent_values": lambda s, d: C.frequent_values(table(s, d, "lineitem"), "l_returnflag", 3, 5),
     "A22_prefix_rollup": url_prefixes,
     "U4_schema_drift": tier_drift,
@@ -285,7 +285,7 @@ def _snap(keep, shift):
 _MOVED = "CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END"
 _SHAPES = " UNION ALL ".join(
     f"SELECT '{c}' AS name, count({c})::BIGINT AS filled, count(DISTINCT {c}::VARCHAR)::BIGINT AS distinct_values, min(length({c}::VARCHAR))::INT AS shortest, max(length({c}::VARCHAR))::INT AS longest, round(avg(length({c}::VARCHAR)), 4) AS mean_length, min({c}::VARCHAR) AS least, max({c}::VARCHAR) AS greatest, count(*)::BIGINT AS rows FROM customer"
-    for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 )
 
 _TYPE_NAMES = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in R.TYPES.items()) + "}"

@@ -54,7 +54,11 @@ def files(spark, folder: str, pattern: str, most_bytes: int = 25 << 20) -> DataF
 
 
 #: Content types by extension.
-TYPES = {"csv": "text/csv", "html": "text/html", "json": "application/json", "md": "text/markdown", "pdf": "application/pdf", "txt": "text/plain", "xml": "application/xml"}
+TYPES = {
+    "csv": "text/csv", "tsv": "text/tab-separated-values", "json": "application/json", "jsonl": "application/jsonl", "ndjson": "application/jsonl", "txt": "text/plain", "md": "text/markdown", "pdf": "application/pdf",
+    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "xlsm": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "xls": "application/vnd.ms-excel",
+    "parquet": "application/vnd.apache.parquet", "gz": "application/gzip", "zip": "application/zip", "html": "text/html", "xml": "application/xml",
+}
 
 
 def extension(name: Column) -> Column:
