@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import next_level
+from ..functions.values import eligible, next_level, rank_of
 
 from ..tables import CATEGORIES, PRIORITIES, minutes_between
 
@@ -184,6 +184,17 @@ def least_loaded(members: DataFrame, loads: DataFrame, group: str) -> DataFrame:
     return loaded.groupBy(group).agg(F.min(F.struct("load", "rank", "member")).alias("best")).select(group, "best.member", "best.load")
 
 
+def assignees(wanted: DataFrame, members: DataFrame, loads: DataFrame) -> DataFrame:
+    """(group, level, member, load) for each wanted (group, level): the person with the fewest open tickets of
+    those whose tier may take the level; ties by tier, people outside the ladder last, then by id. Groups without
+    one have null. members: group, member, tier, role."""
+    rank = F.when(F.col("tier") == "STANDALONE", F.lit(1 << 30)).otherwise(rank_of(F.col("tier")))
+    loaded = members.where("role <> 'AI_AGENT'").join(loads, "member", "left").select("group", "tier", F.struct(F.coalesce("load", F.lit(0)).alias("load"), rank.alias("rank"), "member").alias("who"))
+    able = wanted.join(loaded, "group").where(eligible(F.col("tier"), F.col("level")))
+    best = able.groupBy("group", "level").agg(F.min("who").alias("who"))
+    return wanted.join(best, ["group", "level"], "left").select("group", "level", "who.member", "who.load")
+
+
 def coverage(profiles: DataFrame, categories: str, domain: list[str]) -> DataFrame:
     """Share of the domain that the profiles' category lists cover; an empty list covers all."""
     every = F.array(*map(F.lit, domain))

@@ -48,6 +48,16 @@ def policies(spark, sf):
     return table(spark, sf, "orders").select(level.alias("priority")).distinct().select("priority", F.col("priority").isin("URGENT", "HIGH", "MEDIUM").alias("escalates"))
 
 
+def assigned(spark, sf):
+    """Suppliers as members of nations' groups, one tier in four outside the ladder, agents among them."""
+    k = F.col("s_suppkey")
+    tiers = F.array(*map(F.lit, ("JUNIOR", "MID", "SENIOR", "STANDALONE")))
+    members = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("group"), k.alias("member"), F.get(tiers, (k % 4).cast("int")).alias("tier"), F.when(k % 6 == 0, "AI_AGENT").otherwise("AGENT").alias("role"))
+    loads = table(spark, sf, "lineitem").where("l_linestatus = 'O'").groupBy(F.col("l_suppkey").alias("member")).agg((F.count("*") % 5).alias("load"))
+    wanted = table(spark, sf, "nation").select(F.col("n_nationkey").alias("group"), F.explode(F.slice(tiers, 1, 3)).alias("level"))
+    return D.assignees(wanted, members, loads)
+
+
 def escalations(spark, sf):
     found = D.breach_scan(desk_tickets(spark, sf), now(), policies(spark, sf))
     return found.where("to IS NOT NULL").select("id", F.col("level").alias("from_level"), F.col("to").alias("to_level"))
@@ -117,6 +127,7 @@ QUERIES = {
     "W8_newest_per_user": newest_per_user,
     "T6_page_with_flag": lambda s, d: D.page(tickets(s, d).select("id", "priority"), ["id"], 50),
     "W6_least_loaded": loads,
+    "W6_assignees": assigned,
     "A12_coverage": coverage,
     "T4_ticket_history": history,
 }
@@ -161,6 +172,10 @@ ORACLES = {
     "R15_last_status": "SELECT user_id, arg_max(event_type, event_id) AS status, count(*)::BIGINT AS steps FROM events GROUP BY user_id",
     "W8_newest_per_user": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INT AS place FROM events QUALIFY place <= 3",
     "T6_page_with_flag": f"WITH {TICKETS_SQL} SELECT id, priority, (SELECT count(*) > 50 FROM tickets) AS truncated FROM tickets ORDER BY id LIMIT 50",
+    "W6_assignees": """WITH l AS (SELECT l_suppkey, count(*) % 5 AS load FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1), w AS (SELECT n_nationkey AS g, unnest([0, 1, 2]) AS r FROM nation),
+      m AS (SELECT s_nationkey AS g, s_suppkey AS member, s_suppkey % 4 AS t, coalesce(load, 0)::BIGINT AS load FROM supplier LEFT JOIN l ON l_suppkey = s_suppkey WHERE s_suppkey % 6 <> 0),
+      b AS (SELECT w.g, r, member, load FROM w JOIN m ON m.g = w.g AND t >= r QUALIFY row_number() OVER (PARTITION BY w.g, r ORDER BY load, t, member) = 1)
+      SELECT g AS "group", ['JUNIOR', 'MID', 'SENIOR'][r + 1] AS level, member, load FROM w LEFT JOIN b USING (g, r)""",
     "W6_least_loaded": "WITH l AS (SELECT l_suppkey, count(*)::BIGINT AS load FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1) SELECT s_nationkey AS grp, s_suppkey AS member, coalesce(load, 0)::BIGINT AS load FROM supplier LEFT JOIN l ON l_suppkey = s_suppkey QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY coalesce(load, 0), s_suppkey % 3, s_suppkey) = 1",
     "A12_coverage": f"SELECT round(count(DISTINCT c) / 7.0, 6)::DOUBLE AS coverage FROM (SELECT unnest(({CATEGORIES!r})[n_nationkey % 3 + 1 : n_nationkey % 3 + 2]) AS c FROM nation)",
     "T4_ticket_history": """WITH h AS (SELECT conv_id AS id, arg_min(text, turn) FILTER (role = 'user') AS body, arg_max(text, turn) FILTER (role = 'assistant') AS outcome FROM conversations GROUP BY conv_id),

@@ -58,6 +58,16 @@ def keyword_sets(spark, sf):
     return top.groupBy("id").agg(F.array_sort(F.collect_set("term")).alias("tokens"))
 
 
+def shelf(spark, sf):
+    """Public documents without a collection whose name, keywords or topics hold a text."""
+    d = F.col("id")
+    topics = F.array(F.concat(F.lit("Topic "), d % 10), F.when(d % 8 == 0, "Erst"))
+    lib = library(spark, sf).join(keyword_sets(spark, sf).withColumnRenamed("tokens", "keywords"), "id", "left")
+    rows = lib.withColumns({"collection": F.when(d % 3 > 0, F.col("collection")), "name": F.concat(F.lit("Doc "), d, F.lit(".ER")), "topics": F.array_compact(topics)})
+    found = [A.filed(rows, text, seen, where).select("id", F.lit(text).alias("asked")) for text, seen, where in ((" ER ", "PUBLIC", "NONE"), ("erst", "ALL", "ALL"), ("topic 7", "STAFF", "1"), ("", "PRIVATE", "NONE"))]
+    return found[0].union(found[1]).union(found[2]).union(found[3])
+
+
 def keyword_edges(spark, sf):
     """Documents with two keywords in common or more, by classes of equal keywords (see J15_keyword_classes)."""
     return C.sharing_two(keyword_sets(spark, sf), lambda n: n / 10)
@@ -208,6 +218,7 @@ QUERIES = {
     "G6_readable": readable,
     "G6_readable_by_agent": lambda s, d: readable(s, d, AGENT),
     "A16_readable_per_collection": per_collection,
+    "P8_shelf": shelf,
     "Fs1_keywords": lambda s, d: T.keywords(words(s, d), 8),
     "A23_keyword_profile": lambda s, d: T.profile(T.keywords(words(s, d), 8), 12),
     "Fs2_entities": lambda s, d: words(s, d).select("id", F.array_join(T.entities(F.col("text")), "|").alias("entities")).where("entities <> ''"),
@@ -303,6 +314,10 @@ ORACLES = {
     "G6_readable": f"WITH {_ACCESS} SELECT id FROM readable",
     "G6_readable_by_agent": f"WITH {_ACCESS} SELECT id FROM by_agent",
     "A16_readable_per_collection": f"WITH {_ACCESS} SELECT collection, count(*)::BIGINT AS readable FROM library WHERE id IN (SELECT id FROM readable) GROUP BY collection",
+    "P8_shelf": rf"""WITH {LIBRARY_SQL}, {_KEYWORDS}, r AS (SELECT id, visibility, CASE WHEN id % 3 > 0 THEN collection::VARCHAR ELSE 'NONE' END AS shelf, 'doc ' || id || '.er' AS name, 'topic ' || id % 10 || CASE WHEN id % 8 = 0 THEN '|erst' ELSE '' END AS topics FROM library),
+      k AS (SELECT id, string_agg(lower(term), '|') AS words FROM top GROUP BY id), a AS (SELECT r.*, name || '|' || topics || '|' || coalesce(words, '') AS all_ FROM r LEFT JOIN k USING (id))
+      SELECT id, ' ER ' AS asked FROM a WHERE visibility = 'PUBLIC' AND shelf = 'NONE' AND contains(all_, 'er') UNION ALL SELECT id, 'erst' FROM a WHERE contains(all_, 'erst')
+      UNION ALL SELECT id, 'topic 7' FROM a WHERE visibility = 'STAFF' AND shelf = '1' AND contains(all_, 'topic 7') UNION ALL SELECT id, '' FROM a WHERE visibility = 'PRIVATE' AND shelf = 'NONE'""",
     "Fs1_keywords": f"WITH {_KEYWORDS} SELECT * FROM top",
     "A23_keyword_profile": f"WITH {_KEYWORDS} SELECT term, count(DISTINCT id)::BIGINT AS documents FROM top GROUP BY term ORDER BY documents DESC, term LIMIT 12",
     "Fs2_entities": rf"""WITH t AS (SELECT doc_id AS id, replace(text, chr(13) || chr(10), chr(10)) AS text FROM documents),

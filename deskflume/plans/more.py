@@ -72,6 +72,7 @@ def key_columns(s, d):
 
 QUERIES = {
     "F4_classified": lambda s, d: N.classified(rates(s, d)),
+    "A26_type_summary": lambda s, d: N.classified(rates(s, d)).groupBy("type").agg(F.count("*").alias("columns"), F.round(F.avg("confidence"), 6).alias("confidence"), F.count_if("shown").alias("shown")),
     "F5_exemplars": lambda s, d: N.exemplars(cells(s, d), N.classified(rates(s, d))),
     "F5_bounds": lambda s, d: N.bounds(cells(s, d), N.classified(rates(s, d))),
     "F1_column_cards": lambda s, d: rates(s, d).select("name", "numeric", "temporal", "rows", "distinct_values", "shortest", "longest", F.round("mean_length", 4).alias("mean_length"), F.round("top_share", 6).alias("top_share")),
@@ -133,6 +134,8 @@ _CLASSES = f"""g AS ({_GUESSES}), b AS (SELECT * FROM g QUALIFY row_number() OVE
 classes AS (SELECT name, coalesce(type, 'UNKNOWN') AS type, coalesce(type IN {N.SHOWN}, false) AS shown FROM rates LEFT JOIN b USING (name))"""
 
 ORACLES = {
+    "A26_type_summary": f"""WITH {_RATES}, g AS ({_GUESSES}), b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY name ORDER BY confidence DESC, type) = 1)
+      SELECT coalesce(type, 'UNKNOWN') AS type, count(*)::BIGINT AS columns, round(avg(coalesce(confidence, 0))::DOUBLE, 6) AS confidence, count(*) FILTER (coalesce(type IN {N.SHOWN}, false))::BIGINT AS shown FROM rates LEFT JOIN b USING (name) GROUP BY 1""",
     "F5_exemplars": f"""WITH {_RATES}, {_CLASSES} SELECT name, row_number() OVER (PARTITION BY name ORDER BY n DESC, value)::INT AS place, value, n::BIGINT AS n FROM counted JOIN classes USING (name) WHERE shown AND n >= 5 QUALIFY place <= 10""",
     "F5_bounds": f"""WITH {_RATES}, {_CLASSES}, s AS (SELECT name, numeric, temporal, CASE WHEN numeric THEN arg_min(value, TRY_CAST(value AS DOUBLE)) ELSE min(value) END AS least, CASE WHEN numeric THEN arg_max(value, TRY_CAST(value AS DOUBLE)) ELSE max(value) END AS most,
         min(length(value)) AS shortest, max(length(value)) AS longest FROM cells GROUP BY name, numeric, temporal),
