@@ -111,7 +111,7 @@ def rendered_parts(spark, sf, what):
         "duration": F.format_string("%d days, PT%dH30M, P%dW2D, %d semanas y %dm; 2 months", k % 50 + 2, k % 20 + 1, k % 5 + 1, k % 9 + 2, k % 55),
         "quantity": F.format_string("%d kg, %d.50 GB, %d%% and %d,5 km but not v%d.%dm or %d kwh", k % 50, k % 16, k % 100, k % 70, k, k, k),
     }
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), shapes[what].alias("text"), F.date_add(F.lit("2024-01-01").cast("date"), k % 365).alias("day"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), shapes[what].alias("text"), F.date_add(F.lit("2026-01-01").cast("date"), k % 365).alias("day"))
 
 
 def part_dates(spark, sf):
@@ -284,7 +284,7 @@ spans AS (
     {'lo': make_date(y + 200, m, d), 'hi': make_date(y + 200, m, d) + INTERVAL 1 DAY, 'confidence': 'EXACT'},
     {'lo': make_date(y + 240, m, 1), 'hi': make_date(y + 240, m, 1) + INTERVAL 1 MONTH, 'confidence': 'EXACT'},
     {'lo': make_date(y + 280, k % 4 * 3 + 1, 1), 'hi': make_date(y + 280, k % 4 * 3 + 1, 1) + INTERVAL 3 MONTH, 'confidence': 'EXACT'},
-    {'lo': DATE '2024-01-01' + k % 365 - 1, 'hi': (DATE '2024-01-01' + k % 365)::TIMESTAMP, 'confidence': 'ASSUMED'}], recursive := true) FROM k),
+    {'lo': DATE '2026-01-01' + k % 365 - 1, 'hi': (DATE '2026-01-01' + k % 365)::TIMESTAMP, 'confidence': 'ASSUMED'}], recursive := true) FROM k),
 dated AS (SELECT id, strftime(lo, '%Y-%m-%d') || '/' || strftime(hi, '%Y-%m-%d') AS norm, epoch_ms(lo::TIMESTAMP) AS ts, epoch_ms(hi::TIMESTAMP) AS ts_end, confidence FROM spans)"""
 
 

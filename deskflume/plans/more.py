@@ -159,7 +159,7 @@ ORACLES = {
     "Fs22_line_hash": "WITH l AS (SELECT l_orderkey, l_linenumber || ':' || l_partkey || ':' || l_returnflag AS x FROM lineitem) SELECT l_orderkey, sha256(string_agg(x, chr(10) ORDER BY x)) AS hash FROM l GROUP BY l_orderkey",
     "Fd3_magnitudes": """WITH k AS (SELECT p_partkey, p_size::VARCHAR AS whole, (p_partkey % 1000)::VARCHAR AS rest, [3, 6, 0, 2][p_partkey % 4 + 1] AS zeros FROM part)
       SELECT p_partkey, CASE WHEN length(rest) <= zeros THEN whole || rest || repeat('0', zeros - length(rest)) END AS figures FROM k""",
-    "C10_notes": """WITH p AS (SELECT p_partkey AS id, p_partkey % 28 + 1 AS d, (DATE '2024-01-01' + (p_partkey % 365)::INT)::VARCHAR AS day FROM part)
+    "C10_notes": """WITH p AS (SELECT p_partkey AS id, p_partkey % 28 + 1 AS d, (DATE '2026-01-01' + (p_partkey % 365)::INT)::VARCHAR AS day FROM part)
       SELECT id, 'Day/month order assumed: dateOrder = DMY.' AS note FROM p CROSS JOIN range(2) WHERE d <= 12 UNION ALL SELECT id, 'Relative to the document''s day, ' || day || '.' FROM p""",
     "X9_policies": "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'low' ELSE 'high' END AS risk, event_type NOT IN ('click', 'view') AS approval FROM events",
     "Fj1_fields": "SELECT event_id, json_extract_string(props, '$.k') AS k, '' AS \"none\" FROM events",
