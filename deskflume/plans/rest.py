@@ -156,7 +156,7 @@ QUERIES = {
     "J9_siblings": lambda s, d: R.siblings(table(s, d, "supplier").where("s_suppkey IN (1, 5, 9)").select("s_suppkey"), table(s, d, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey", "s_suppkey"),
     "J10_outranked": lambda s, d: R.outranked(table(s, d, "part").select("p_partkey", "p_brand", "p_retailprice"), "p_brand", "p_retailprice", "p_partkey").select("p_partkey", "outranked"),
     "J12_one_user": lambda s, d: tickets(s, d).join(F.broadcast(customers(s, d).where("requester = 7").limit(1).select(C("requester").alias("u"), "nation"))).where("requester = u").select("id", "nation"),
-    "J17_missing_policies": lambda s, d: R.missing(customers(s, d).select("requester"), tickets(s, d), "requester"),
+    "J17_missing_policies": lambda s, d: R.missing(customers(s, d).select("requester"), tickets(s, d).where("priority = 'URGENT' AND by_ai"), "requester"),
     "J18_newest_open": lambda s, d: R.latest(tickets(s, d).where("status <> 'RESOLVED'"), "requester", F.struct("created", "id"), "id"),
     "J19_note_of_record": lambda s, d: R.of_record(table(s, d, "conversations"), "conv_id", "(?i)resolv|solution|tion").select("conv_id", F.sha2("note", 256).alias("note")),
     "J21_update_from": lambda s, d: R.with_defaults(table(s, d, "supplier").select("s_suppkey", "s_acctbal"), table(s, d, "supplier").where("s_nationkey < 5").select("s_suppkey", F.lit(0.0).alias("s_acctbal")), "s_suppkey", "s_acctbal"),
@@ -242,7 +242,7 @@ ORACLES = {
     "J9_siblings": "SELECT a.s_suppkey AS seed, b.s_suppkey AS sibling FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey WHERE a.s_suppkey IN (1, 5, 9)",
     "J10_outranked": "SELECT p_partkey, EXISTS (SELECT 1 FROM part q WHERE q.p_brand = p.p_brand AND (q.p_retailprice > p.p_retailprice OR q.p_retailprice = p.p_retailprice AND q.p_partkey < p.p_partkey)) AS outranked FROM part p",
     "J12_one_user": "SELECT o_orderkey AS id, c_nationkey AS nation FROM orders JOIN customer ON c_custkey = 7 AND o_custkey = c_custkey",
-    "J17_missing_policies": "SELECT c_custkey AS requester FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "J17_missing_policies": "SELECT c_custkey AS requester FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE left(o_orderpriority, 1) = '1' AND o_orderkey % 3 = 0)",
     "J18_newest_open": f"WITH {TICKETS_SQL} SELECT requester, id FROM tickets WHERE status <> 'RESOLVED' QUALIFY row_number() OVER (PARTITION BY requester ORDER BY created DESC, id DESC) = 1",
     "J19_note_of_record": "SELECT conv_id, sha256(coalesce(arg_max(text, turn) FILTER (regexp_matches(text, '(?i)resolv|solution|tion')), arg_max(text, turn))) AS note FROM conversations GROUP BY conv_id",
     "J21_update_from": "SELECT s_suppkey, CASE WHEN s_nationkey < 5 THEN 0.0::DOUBLE ELSE s_acctbal END AS s_acctbal FROM supplier",

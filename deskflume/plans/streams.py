@@ -18,7 +18,7 @@ def run_events(s, d):
 
 
 def run_states(s, d):
-    return S.final_states(S.folded(run_events(s, d), "run", "ts", ["event_id"], S.run_step, S.RUN_ROW), "run", "ts", ["event_id"])
+    return S.run_states(run_events(s, d), "run", "ts", ["event_id"])
 
 
 def charges(s, d):

@@ -143,3 +143,16 @@ def final_states(rows: DataFrame, key: str, ts: str, order: list[str]) -> DataFr
     """(key, status, changes, refused) from the rows of ``run_step``."""
     last = F.max_by("after", F.struct(ts, *order))
     return rows.groupBy(key).agg(last.alias("status"), F.count_if(~F.col("refused")).alias("changes"), F.count_if("refused").alias("refused"))
+
+
+def run_states(events: DataFrame, key: str, ts: str, order: list[str]) -> DataFrame:
+    """``final_states`` of a table (kind), by Spark's functions alone: each run's events, in order, in one array."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(ts, *order, "kind"))), lambda x: x["kind"])
+    begin = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).cast("long").alias("changes"), F.lit(0).cast("long").alias("refused"))
+
+    def step(acc, kind):
+        after = F.coalesce(*[F.when(acc["status"].eqNullSafe(F.lit(before)) & (kind == event), F.lit(to)) for (before, event), to in RUNS.items()])
+        legal = after.isNotNull().cast("long")
+        return F.struct(F.coalesce(after, acc["status"]).alias("status"), (acc["changes"] + legal).alias("changes"), (acc["refused"] + 1 - legal).alias("refused"))
+
+    return events.groupBy(key).agg(F.aggregate(listed, begin, step).alias("s")).select(key, "s.*")
