@@ -24,7 +24,7 @@ def test_stems_terms_entities(spark):
 
 
 def test_labels(spark):
-    assert one(spark, values.shape, "ana@servo.ai", "INV-2024-113", "aB1 é", "") == ["a{3}@a{5}.a{2}", "AAA-NNNN-NNN", "aAN é", ""]
+    assert one(spark, values.shape, "ana@quill.ai", "INV-2024-113", "aB1 é", "") == ["a{3}@a{5}.a{2}", "AAA-NNNN-NNN", "aAN é", ""]
     assert one(spark, facts.normal_identifier, "INV-2024-113", "inv_2024_113") == ["inv2024113"] * 2
     assert one(spark, values.duration_label, 37, 1499, 59_400, 59_500, 185_000, 4_000_000, kind="long") == ["<1s", "1s", "59s", "1m 00s", "3m 05s", "1h 06m"]
     assert one(spark, values.gap_label, -5, 420, 9_990, 12_000, 65_000, kind="long") == ["+0.0s", "+0.4s", "+10.0s", "+12s", "+1m 05s"]
