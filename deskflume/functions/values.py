@@ -9,6 +9,12 @@ LEVELS = ("JUNIOR", "MID", "SENIOR")
 SPACES = r"\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A double rounded as DuckDB does: its product with the power of ten decides, not its shortest decimal
+    form, so 1.03625 gives 1.0362 (the product is below 10362.5) where Spark's own round gives 1.0363."""
+    return F.round(x * float(10**places)) / float(10**places)
+
+
 def shape(text: Column) -> Column:
     """Capitals as A and figures as N, each; runs of lower-case letters as a with their length, one letter
     as a: ana-X1 gives a{3}-AN. Other characters stay."""
