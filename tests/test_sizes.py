@@ -5,8 +5,11 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from deskflume.functions import facts, values
 from deskflume.plans import ORACLES, QUERIES
+from deskflume.plans.knowledge import rendered_parts
 from deskflume.plans.more import CLASSIFIED
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +35,17 @@ def test_means_between_two_roundings(spark, halfway, query):
     want = con.execute(f"SELECT name, mean_length FROM ({ORACLES[query]}) ORDER BY name").fetchall()
     got = sorted((r.name, r.mean_length) for r in QUERIES[query](spark, halfway).collect())
     assert got == want and dict(got)["c_name" if query[0] == "A" else "customer_c_name"] == 1.0362
+
+
+def test_facts_compute_their_functions_once(spark):
+    plan = facts.facts(spark.createDataFrame([(1, "in 5 days")], "id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("[scan(") == 1 and plan.count("[_standing(") == 1
+
+
+def test_parts_are_dealt_out_before_they_are_read(spark):
+    assert rendered_parts(spark, SF, "date").rdd.getNumPartitions() > 1
+
+
+def test_hashed_vector_hashes_its_words_once(spark):
+    plan = spark.range(1).select(values.hashed_vector(F.lit("a bc d"), 8, 12).alias("v"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("sha2(") == 1
