@@ -149,13 +149,25 @@ def eligible(tier: Column, level: Column) -> Column:
     return (tier == "STANDALONE") | (rank_of(tier) >= rank_of(level))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def hashed_vector(text: Column, size: int, padded: int) -> Column:
     """Word counts in ``size`` places by the first two bytes of the words' SHA-256, of length 1, padded with zeros."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9][a-z0-9-]+"), F.lit(0))
     places = F.transform(words, lambda w: F.conv(F.substring(F.sha2(w, 256), 1, 4), 16, 10).cast("int") % size)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.concat(F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0)), F.array_repeat(F.lit(0.0), padded - size))
+
+    def counted(places):
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))
+
+    def unit(x):
+        return F.transform(x["counts"], lambda n: F.when(x["norm"] > 0, n / x["norm"]).otherwise(0.0))
+
+    counts = _once(places, counted)
+    normed = _once(counts, lambda c: F.struct(c.alias("counts"), F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)).alias("norm")))
+    return F.concat(_once(normed, unit), F.array_repeat(F.lit(0.0), padded - size))
 
 
 def locator(sheet: Column, cells: Column, page: Column, page_end: Column, lines: Column) -> Column:
