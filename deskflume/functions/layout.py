@@ -40,9 +40,12 @@ def table_pieces(rows: Column, cells: int = CELLS) -> Column:
     def shown(row):
         return F.concat(F.lit("| "), F.array_join(row, " | ", ""), F.lit(" |"))
 
-    lines = F.transform(rows, shown)
     starts = F.sequence(F.lit(1), F.greatest(F.size(rows) - 1, F.lit(1)), per)
-    pieces = F.transform(starts, lambda k: F.array_join(F.concat(F.slice(lines, 1, 1), F.slice(lines, k + 1, per)), "\n"))
+
+    def cut(lines):
+        return F.transform(starts, lambda k: F.array_join(F.concat(F.slice(lines, 1, 1), F.slice(lines, k + 1, per)), "\n"))
+
+    pieces = F.get(F.transform(F.array(F.transform(rows, shown)), cut), F.lit(0))  # the lines are made once, not for each piece
     return F.when((F.size(rows) > 0) & (wide > 0), pieces).otherwise(F.array().cast("array<string>"))
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from deskflume.functions import facts, values
+from deskflume.functions import facts, layout, values
 from deskflume.plans import ORACLES, QUERIES
 from deskflume.plans.knowledge import rendered_parts
 from deskflume.plans.more import CLASSIFIED
@@ -49,3 +49,9 @@ def test_parts_are_dealt_out_before_they_are_read(spark):
 def test_hashed_vector_hashes_its_words_once(spark):
     plan = spark.range(1).select(values.hashed_vector(F.lit("a bc d"), 8, 12).alias("v"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("sha2(") == 1
+
+
+def test_table_pieces_make_their_lines_once(spark):
+    rows = spark.createDataFrame([(1, [["a"]])], "id long, t array<array<string>>")
+    plan = rows.select(layout.table_pieces(F.col("t"), 8).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_join(") == 2  # the cells of a line, the lines of a piece
