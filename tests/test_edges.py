@@ -114,3 +114,13 @@ def test_whole_refuses(spark):
 def test_strings_only(spark):
     df = spark.createDataFrame([('["a", 1, "b", null]',), ("{}",), ("no",), (None,), ("[]",)], "t string")
     assert [r[0] for r in df.select(values.strings_only(F.col("t"))).collect()] == [["a", "b"], [], [], [], []]
+
+
+def test_sharing_two_deals_out_frequent_pairs(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "POSTED", 4)
+    sets = {k: sorted({"a", "b", f"c{k % 3}", f"d{k % 5}", f"e{k}"}) for k in range(40)}
+    found = catalog.sharing_two(spark.createDataFrame(list(sets.items()), "id long, tokens array<string>"), lambda n: n / 10)
+    got = [(r.a, r.b, r.common) for r in found.collect()]
+    assert sorted(got) == [(i, j, len(set(sets[i]) & set(sets[j]))) for i, j in itertools.combinations(sets, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "part#" in plan and plan.count("array_intersect(") == 1  # in parts, and counted once
