@@ -1,21 +1,23 @@
 """Operator 13: alignment of two tokenizers' tokens over the same bytes.
 
-Python only tokenises: a task cuts texts into words at spaces after a visible character, which no token
-of either vocabulary reaches over (checked when the vocabularies are read), and packs texts into blocks of
-about ``BLOCK_WORDS`` words. A block has the tokens (ids and byte ends of both sides) of its distinct words
-once, and its texts as the words' numbers.
-
-All else is done by Spark's higher-order functions inside the block's row. For each distinct word,
-``array_intersect`` of the ends counts the groups; the ends of both sides, each with its side and number, are merged
-into one sorted array, in which an entry's place tells how many tokens of the other side ended before: so
-``transform`` over it gives links and groups in time linear in the word. As both sides cut at words,
-a text's groups are its words' groups one after another, and its counts are sums over its words.
-
-How often a pair of ids is linked is summed over the corpus from the distinct words of blocks and their
-uses. The counts (at most the product of the vocabularies, mostly far fewer) go back to the words' links by
-broadcast where ``SMALL`` pairs hold them all, counted first; else the links are shuffled by pair, and pairs with
-more than a partition's share are broadcast. Sums of words go back to their block, and from there to texts.
-Blocks are stored once in the shared folder; a lost executor costs the blocks that its tasks had read.
+A task cuts texts into words at spaces after a visible character, which no token of either vocabulary
+reaches over (checked when the vocabularies are read), and packs texts into blocks: the distinct words of a
+block with their uses, and its texts as the words' numbers. Blocks are stored once in the shared folder; a
+lost executor costs the blocks that its tasks had read.
+
+Distinct words of the corpus are grouped by Spark and tokenised and aligned once each: both sides' ends are
+sorted places in one array of a batch, so links are runs between searched places and groups end where both
+sides do. As both sides cut at words, a text's groups are its words' groups one after another, and its counts
+are sums over its words.
+
+How often a pair of ids is linked is summed over the corpus from the distinct words' uses. The counts (at most
+the product of the vocabularies, mostly far fewer) go back to the words' links by broadcast where ``SMALL``
+pairs hold them all, counted first; else the links are shuffled by pair, and pairs with more than a partition's
+share are broadcast. A word keeps its places (block and number in one value), at most one a block. Its row goes there, packed
+with the others of a task for the same block, and a task sums them up for each text.
+
+A word that a side does not give back takes the tokens of all its text; then the other words of these texts
+lose their uses there, which takes another join of the blocks that hold such words.
 
 Defined results: a text that is null or empty, or that a side does not give back byte by byte (U+2581 in
 it), has no tokens; special tokens' strings are ordinary text; rows of one doc_id and those without are
@@ -24,16 +26,17 @@ aligned each; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import CUT, Slots
+from .bpe import CUT, Slots, pack, unpack
 from .common import documents, joined_by_rows, lean, shared_folder, stored
 
 LEFT = public_tokenizers.path("byte_bpe_50k.json")
@@ -41,11 +44,16 @@ RIGHT = public_tokenizers.path("piece_bpe_32k.model")
 #: Pairs of ids up to which their counts are broadcast.
 SMALL = 1 << 20
 #: Words of texts in a block; a longer text is a block of its own.
-BLOCK_WORDS = 1 << 16
-#: Distinct words that a task remembers.
+BLOCK_WORDS = 1 << 20
+#: Distinct words from which on a block ends.
 KNOWN_WORDS = 200_000
-SIDES = ("a_ids", "a_ends", "b_ids", "b_ends")
-BLOCKS = "doc_ids array<long>, texts array<array<int>>, uses array<int>, " + ", ".join(f"{c} array<array<int>>" for c in SIDES)
+BLOCKS = "doc_ids array<long>, lengths array<int>, body binary, words array<string>, uses array<long>"
+ALIGNED = "uses long, places array<long>, good boolean, n_a int, n_b int, n_groups int, n_links int, groups string, links array<long>"
+NAMES = ["uses", "places", "good", "n_a", "n_b", "n_groups", "n_links", "groups", "links"]
+#: Sums over a text's words.
+SUMS = ("n_a", "n_b", "n_groups", "n_links", "best", "n")
+PACKED = "block long, last boolean, body binary, doc_ids array<long>, lengths array<int>, held int"
+RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 SPACE = "▁"
 
 
@@ -95,207 +103,243 @@ class Pair:
         return self.encode_left(words), [x if len(w) > 1 else alone for w, x in zip(words, right, strict=True)]
 
 
-def _runs(flat, counts: np.ndarray, kind) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat, kind))
-
-
-class _Words:
-    """Numbers of the words that a task has met, with their tokens one after another.
+class _Block:
+    """Distinct words of some texts, and the texts as the words' numbers.
 
     A text cut at its spaces is its words where each is cut off from the next (``Slots`` refuses others);
     texts with other runs of white space are cut by the rule."""
 
-    def __init__(self, pair: Pair):
-        self.pair, self.lengths = pair, [np.array(list(map(len, t)), np.int32) for t in pair.tables]
-        self.clear()
-
-    def clear(self):
+    def __init__(self):
         self.words: list[str] = []
         self.spaced, self.plain = Slots(self.words, " "), Slots(self.words, "")
-        self.good = np.empty(0, bool)
-        self.starts = [np.zeros(1, np.int64) for _ in range(2)]
-        self.ids, self.ends = ([np.empty(0, np.int32) for _ in range(2)] for _ in range(2))
+        self.ids, self.texts, self.held = [], [], 0
 
-    def numbers(self, text: str) -> np.ndarray:
+    def add(self, doc_id: int | None, text: str | None) -> None:
         """The words of a space and the text."""
-        pieces = text.split(" ")
+        pieces = text.split(" ") if text else []
         try:
-            return np.fromiter(map(self.spaced.__getitem__, pieces), np.int64, len(pieces))
+            numbers = np.fromiter(map(self.spaced.__getitem__, pieces), np.int64, len(pieces))
         except LookupError:
             own = CUT.split(" " + text)
-            return np.fromiter(map(self.plain.__getitem__, own), np.int64, len(own))
-
-    def tokenise(self) -> None:
-        """The tokens of the words that are new."""
-        words = self.words[len(self.good) :]
-        if not words:
-            return
-        raw = [w.encode() for w in words]
-        good = np.ones(len(words), bool)
-        for s, found in enumerate(self.pair.encode(words)):
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
-            table, last = self.pair.tables[s], np.cumsum(counts)
-            if b"".join(map(table.__getitem__, flat.tolist())) != b"".join(raw) or (counts == 0).any():
-                good &= np.array([b"".join(map(table.__getitem__, x)) == w for x, w in zip(found, raw, strict=True)], bool)
-            upto = np.cumsum(self.lengths[s][flat], dtype=np.int64)
-            before = np.where(last - counts > 0, upto[np.maximum(last - counts, 1) - 1], 0) if len(upto) else np.zeros(len(counts), np.int64)
-            good &= np.where(counts > 0, upto[np.maximum(last, 1) - 1] - before if len(upto) else 0, 0) == np.fromiter(map(len, raw), np.int64, len(raw))
-            self.starts[s] = np.concatenate([self.starts[s], self.starts[s][-1] + last])
-            self.ids[s] = np.concatenate([self.ids[s], flat])
-            self.ends[s] = np.concatenate([self.ends[s], (upto - np.repeat(before, counts)).astype(np.int32)])
-        self.good = np.concatenate([self.good, good])
-
-    def block(self, ids: list, texts: list[np.ndarray]) -> pa.RecordBatch:
-        """One row of BLOCKS; texts: their words' numbers."""
-        self.tokenise()
-        texts = [t if self.good[t].all() else t[:0] for t in texts]
-        sizes = np.array([len(t) for t in texts], np.int64)
-        used, number, uses = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
-        columns = [_runs(ids, [len(ids)], pa.int64()), _lists(_runs(number.astype(np.int32), sizes, pa.int32())), _runs(uses.astype(np.int32), [len(used)], pa.int32())]
-        for s in range(2):
-            counts = self.starts[s][used + 1] - self.starts[s][used]
-            last = np.cumsum(counts)
-            at = np.arange(last[-1] if len(last) else 0) + np.repeat(self.starts[s][used] - (last - counts), counts)
-            columns += [_lists(_runs(x[s][at], counts, pa.int32())) for x in (self.ids, self.ends)]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_ids", "texts", "uses", *SIDES])
-
-
-def _lists(inner: pa.ListArray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array([0, len(inner)], pa.int32()), inner)
-
-
-def tokenised(docs: DataFrame, doc_id="doc_id", text="text", left=LEFT, right=RIGHT) -> DataFrame:
-    """BLOCKS of ``docs``: each text, as a space and the text, is an array of word numbers (none where it has
-    no tokens); words have ids of both sides and the byte of the word where each token ends."""
-    models = []
-    for path in (left, right):
-        with open(path, "rb") as f:
-            models.append(f.read())
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+            numbers = np.fromiter(map(self.plain.__getitem__, own), np.int64, len(own))
+        self.ids.append(doc_id)
+        self.texts.append(numbers)
+        self.held += len(numbers)
+
+    def row(self) -> pa.RecordBatch:
+        """One row of BLOCKS. Words of both tables of slots may be equal; those of no use are of a text that was cut anew."""
+        names, number = {}, np.empty(len(self.words), np.int64)
+        for k, w in enumerate(self.words):
+            number[k] = names.setdefault(w, len(names))
+        flat = number[np.concatenate(self.texts)] if self.texts else np.empty(0, np.int64)
+        uses = np.bincount(flat, minlength=len(names)).astype(np.int64)
+        kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()))
+        columns = (self.ids, list(map(len, self.texts)), pack(flat), list(names), uses)
+        return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(columns, kinds, strict=True)], names=["doc_ids", "lengths", "body", "words", "uses"])
+
+
+def blocks_of(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
+    """BLOCKS of ``docs``; a null or empty text has no words."""
 
     def run(batches):
-        words, ids, texts, held = _Words(Pair(*shared.value)), [], [], 0
+        block = _Block()
         for b in batches:
             for i in range(b.num_rows):
-                text = b.column(1)[i].as_py()
-                texts.append(words.numbers(text) if text else np.empty(0, np.int64))
-                ids.append(b.column(0)[i].as_py())
-                held += len(texts[-1])
-                if held >= BLOCK_WORDS:
-                    yield words.block(ids, texts)
-                    ids, texts, held = [], [], 0
-                    if len(words.words) > KNOWN_WORDS:
-                        words.clear()
-        if ids:
-            yield words.block(ids, texts)
+                block.add(b.column(0)[i].as_py(), b.column(1)[i].as_py())
+                if block.held >= BLOCK_WORDS or len(block.words) >= KNOWN_WORDS:
+                    yield block.row()
+                    block = _Block()
+        if block.ids:
+            yield block.row()
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(lean(run), BLOCKS)
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), where value is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _merged(x: Column) -> Column:
-    """Ends of both sides in order, the left first where both end: end * 2^33 + side * 2^32 + number."""
-
-    def placed(ends, side):
-        return F.transform(ends, lambda e, k: F.shiftleft(e.cast("long"), 33) + (k + side * (1 << 32)))
-
-    return F.sort_array(F.concat(placed(x["a_ends"], 0), placed(x["b_ends"], 1)))
-
-
-def _word(x: Column) -> Column:
-    """Of a word's tokens: groups as ``a1,a2|b1;a3|b2``, links as a * 2^32 + b, counts."""
-
-    def entry(merged):
-        """Of each end a link, or below 0 where both sides end: the numbers of both tokens, instead of a second link."""
-
-        def one(v, m):
-            k, right = v.bitwiseAND(0xFFFFFFFF).cast("int"), v.bitwiseAND(1 << 32) != 0
-            tied = F.shiftright(v, 33) == F.shiftright(F.get(merged, m - 1), 33)
-            return (
-                F.when(~right, F.shiftleft(x["a_ids"][k].cast("long"), 32) + x["b_ids"][m - k])
-                .when(tied, -1 - (F.shiftleft((m - k - 1).cast("long"), 32) + k))
-                .otherwise(F.shiftleft(x["a_ids"][m - k].cast("long"), 32) + x["b_ids"][k])
-            )
-
-        return F.transform(merged, one)
-
-    def built(entries):
-        def groups(both):
-            """both: places where both sides end."""
-
-            def side(ids, g, place):
-                last = place(both[g])
-                first = F.when(g > 0, place(both[g - 1]) + 1).otherwise(0)
-                return F.when(last == first, ids[last].cast("string")).otherwise(F.array_join(F.slice(ids, first + 1, last - first + 1).cast("array<string>"), ","))
-
-            def left(t):
-                return F.shiftright(-1 - t, 32).cast("int")
-
-            def right(t):
-                return (-1 - t).bitwiseAND(0xFFFFFFFF).cast("int")
-
-            return F.array_join(F.transform(both, lambda _, g: F.concat(side(x["a_ids"], g, left), F.lit("|"), side(x["b_ids"], g, right))), ";")
-
-        return F.struct(_let(F.filter(entries, lambda v: v < 0), groups).alias("groups"), F.filter(entries, lambda v: v >= 0).alias("links"))
-
-    n_a, n_b, n_shared = F.size(x["a_ids"]), F.size(x["b_ids"]), F.size(F.array_intersect(x["a_ends"], x["b_ends"]))
-    one = F.struct(F.concat(x["a_ids"][0].cast("string"), F.lit("|"), x["b_ids"][0].cast("string")).alias("groups"), F.array(F.shiftleft(x["a_ids"][0].cast("long"), 32) + x["b_ids"][0]).alias("links"))
-    value = F.when((n_a == 1) & (n_b == 1), one).otherwise(_let(_let(_merged(x), entry), built))
-    counts = F.array(*[n.cast("long") for n in (n_a, n_b, n_shared)])
-    return F.struct(counts.alias("counts"), value.alias("value"))
-
-
-def aligned(docs: DataFrame, **how) -> DataFrame:
-    """Blocks: texts (array of doc_id, words, n_a, n_b, n_groups, n_links, groups_sha256) and words (array of uses and links)."""
-    t = tokenised(docs, **how)
-    words = F.transform(F.arrays_zip("a_ids", "a_ends", "b_ids", "b_ends"), _word)
-
-    def text_of(ws):
-        def shown(at, i):
-            sums = F.aggregate(at, F.array(*[F.lit(0).cast("long")] * 4), lambda s, w: F.zip_with(s, ws[w]["counts"], lambda a, b: a + b))
-            groups = F.array_join(F.transform(at, lambda w: ws[w]["groups"]), ";")
-            return F.struct(F.col("doc_ids")[i].alias("doc_id"), at.alias("words"), sums.alias("sums"), F.when(F.size(at) > 0, F.sha2(groups, 256)).otherwise("").alias("groups_sha256"))
-
-        return F.transform("texts", shown)
-
-    def block(ws):
-        flat = F.transform(ws, lambda w: F.struct(F.array_append(w["counts"], F.size(w["value"]["links"]).cast("long")).alias("counts"), w["value"]["groups"].alias("groups")))
-        links = F.transform(ws, lambda w, i: F.struct(F.col("uses")[i].alias("uses"), w["value"]["links"].alias("links")))
-        return F.struct(_let(flat, text_of).alias("texts"), links.alias("words"))
-
-    return t.select(_let(words, block).alias("x")).select("x.texts", "x.words")
-
+def _side(found: list[list[int]], table: list[bytes], raw: list[bytes]):
+    """Ids one after another, their number for each word, the lengths of their bytes, and whether these are the word."""
+    counts = np.fromiter(map(len, found), np.int64, len(found))
+    flat = np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum()))
+    good = np.array([b"".join(map(table.__getitem__, x)) == w for x, w in zip(found, raw, strict=True)], bool)
+    sizes = np.fromiter(map(len, map(table.__getitem__, flat.tolist())), np.int64, len(flat))
+    return flat, counts, sizes, good
+
+
+def aligned_words(pair: Pair, words: list[str]):
+    """Columns of ALIGNED from good on; the words' tokens of both sides stand on one line of bytes."""
+    raw = [w.encode() for w in words]
+    sides = [_side(x, t, raw) for x, t in zip(pair.encode(words), pair.tables, strict=True)]
+    good = sides[0][3] & sides[1][3]
+    flat, ends, of, counts = [], [], [], []
+    for ids, n, sizes, _ in sides:
+        word = np.repeat(np.arange(len(words)), n)
+        kept = good[word] & (sizes > 0)
+        flat.append(ids[kept])
+        ends.append(np.cumsum(sizes[kept]))
+        of.append(word[kept])
+        counts.append(np.bincount(of[-1], minlength=len(words)))
+    (a, b), (ea, eb) = flat, ends
+    first = np.searchsorted(eb, np.concatenate([[0], ea[:-1]]), "right") if len(ea) else np.empty(0, np.int64)
+    run = np.searchsorted(eb, ea, "left") - first + 1  # tokens of the right side that each of the left meets
+    at = np.repeat(first - (np.cumsum(run) - run), run) + np.arange(run.sum())
+    links = (np.repeat(a, run) << 32) + b[at]
+    n_links = np.bincount(np.repeat(of[0], run), minlength=len(words))
+    group = [np.searchsorted(both, e, "left") for both in [np.intersect1d(ea, eb, assume_unique=True)] for e in ends]  # of each token
+    closes = np.concatenate([group[0][1:] != group[0][:-1], [True]]) if len(a) else np.empty(0, bool)
+    n_groups = np.bincount(of[0][closes], minlength=len(words))
+    pieces, keys = [], []
+    for s in range(2):
+        g = group[s]
+        new = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.empty(0, bool)
+        begins = np.concatenate([[True], of[s][1:] != of[s][:-1]]) if len(g) else new
+        before = np.where(new, "|" if s else np.where(begins, "", ";"), ",").tolist()
+        pieces += [x + str(i) for x, i in zip(before, flat[s].tolist(), strict=True)]
+        keys.append(2 * g + s)
+    order = np.argsort(np.concatenate(keys), kind="stable").tolist()
+    pieces = [pieces[k] for k in order]
+    upto = np.concatenate([[0], np.cumsum(counts[0] + counts[1])]).tolist()
+    groups = ["".join(pieces[lo:hi]) for lo, hi in zip(upto, upto[1:])]
+    offsets = np.concatenate([[0], np.cumsum(n_links)]).astype(np.int32)
+    return [pa.array(good), *(pa.array(x.astype(np.int32)) for x in (*counts, n_groups, n_links)), pa.array(groups, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(links))]
+
+
+def aligned(words: DataFrame, left=LEFT, right=RIGHT) -> DataFrame:
+    """ALIGNED of distinct words (word, uses, places)."""
+    models = []
+    for path in (left, right):
+        with open(path, "rb") as f:
+            models.append(f.read())
+    shared = words.sparkSession.sparkContext.broadcast(models)
 
-def alignment(docs: DataFrame, **how) -> DataFrame:
+    def run(batches):
+        pair = None
+        for b in batches:
+            if b.num_rows:
+                pair = pair or Pair(*shared.value)
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], *aligned_words(pair, b.column(0).to_pylist())], names=NAMES)
+
+    return words.select("word", "uses", "places").mapInArrow(lean(run), ALIGNED)
+
+
+def _texts(numbers: np.ndarray, lengths: list[int]) -> np.ndarray:
+    """Which text each of the words is of."""
+    return np.repeat(np.arange(len(lengths)), lengths)
+
+
+def _lost(batches):
+    """(block, slot, less): the uses of words in texts with a bad word; bad: the numbers of these in the block."""
+    for b in batches:
+        for row in b.to_pylist():
+            numbers, lengths, words = unpack(row["body"]).astype(np.int64), row["lengths"], row["words"]
+            marked = np.zeros(words, bool)
+            marked[row["bad"]] = True
+            text = _texts(numbers, lengths)
+            dropped = np.zeros(len(lengths), bool)
+            dropped[text[marked[numbers]]] = True
+            less = np.bincount(numbers[dropped[text]], minlength=words)
+            held = np.flatnonzero(less)
+            block = np.full(len(held), row["block"], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(held.astype(np.int32)), pa.array(less[held].astype(np.int64))], names=["block", "slot", "less"])
+
+
+def _packed(batches):
+    """PACKED of rows (block, slot, SUMS, groups) that come sorted by block: one for each block, its columns compressed."""
+    option = pa.ipc.IpcWriteOptions(compression="zstd")
+
+    def row(block, held):
+        sink = pa.BufferOutputStream()
+        whole = pa.Table.from_batches(held).combine_chunks()
+        with pa.ipc.new_stream(sink, whole.schema, options=option) as out:
+            out.write_table(whole)
+        columns = zip([block, False, sink.getvalue().to_pybytes(), None, None, None], (pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32()), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in columns], names=["block", "last", "body", "doc_ids", "lengths", "held"])
+
+    at, held = None, []
+    for b in batches:
+        blocks = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi > lo:
+                if held and blocks[lo] != at:
+                    yield row(at, held)
+                    held = []
+                at = int(blocks[lo])
+                held.append(pa.RecordBatch.from_arrays([c.slice(lo, hi - lo) for c in b.columns[1:]], names=["slot", *SUMS, "groups"]))
+    if held:
+        yield row(at, held)
+
+
+def _summed(batches):
+    """RESULT of PACKED rows that come sorted by (block, last): the words of a block, then its texts."""
+    held = []
+    for b in batches:
+        for k in range(b.num_rows):
+            if not b.column("last")[k].as_py():
+                held.append(pa.ipc.open_stream(b.column("body")[k].as_buffer()).read_all())
+                continue
+            row = b.slice(k, 1).to_pylist()[0]
+            if sum(t.num_rows for t in held) != row["held"]:
+                raise ValueError("a block's words are not all there")
+            facts = pa.concat_tables(held).sort_by("slot") if held else None
+            values = np.stack([facts.column(c).to_numpy() for c in SUMS]) if held else np.empty((len(SUMS), 0), np.int64)
+            yield _rows(row, values, facts.column("groups").to_pylist() if held else [])
+            held = []
+
+
+def _rows(row: dict, values: np.ndarray, groups: list) -> pa.RecordBatch:
+    numbers, lengths = unpack(row["body"]).astype(np.int64), row["lengths"]
+    upto = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    good = values[0] >= 0  # a bad word has -1
+    bad = np.concatenate([[0], np.cumsum(~good[numbers])])
+    kept = bad[upto[1:]] == bad[upto[:-1]]
+    sums = []
+    for v in values:
+        total = np.concatenate([[0], np.cumsum(v[numbers])])
+        sums.append(np.where(kept, total[upto[1:]] - total[upto[:-1]], 0))
+    shas, show = [], groups.__getitem__
+    for lo, hi, good in zip(upto.tolist(), upto[1:].tolist(), kept.tolist()):
+        shas.append(hashlib.sha256(";".join(map(show, numbers[lo:hi].tolist())).encode()).hexdigest() if good and hi > lo else "")
+    return pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), *map(pa.array, sums), pa.array(shas, pa.string())], names=[c.split()[0] for c in RESULT.split(", ")])
+
+
+def placed(words: DataFrame, *columns) -> DataFrame:
+    """(block, slot) of each place of ``words``, and columns."""
+    spread = words.select(F.explode("places").alias("place"), *columns)
+    return spread.select(F.shiftright("place", 32).alias("block"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("slot"), *columns)
+
+
+def alignment(docs: DataFrame, doc_id="doc_id", text="text", **how) -> DataFrame:
     """One row a text: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    folder = shared_folder(docs.sparkSession)
-    blocks = stored(aligned(docs, **how).withColumn("block", F.monotonically_increasing_id()), folder, "blocks")
-    words = blocks.select("block", F.posexplode("words").alias("word", "w"))
-    each = words.select("block", "word", "w.uses", F.explode("w.links").alias("pair"))
+    spark = docs.sparkSession
+    folder, parts = shared_folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = stored(blocks_of(docs, doc_id, text).withColumn("block", F.monotonically_increasing_id()), folder, "blocks")
+    numbers = blocks.select("block").withColumn("number", F.row_number().over(Window.orderBy("block")).cast("long"))  # ids of blocks, of a million words each
+    blocks = blocks.join(F.broadcast(numbers), "block").drop("block").withColumnRenamed("number", "block")
+    own = F.transform(F.arrays_zip("words", "uses"), lambda x, i: F.struct(x["words"].alias("word"), x["uses"].alias("uses"), (F.shiftleft("block", 32) + i).alias("place")))
+    used = blocks.select(F.inline(own)).groupBy("word").agg(F.sum("uses").alias("uses"), F.collect_list("place").alias("places"))  # at most one a block
+    words = stored(aligned(used, **how).withColumn("w", F.monotonically_increasing_id()), folder, "words")
+    every, bad = words, words.where("NOT good")
+    if not bad.isEmpty():
+        hit = placed(bad).groupBy("block").agg(F.collect_list("slot").alias("bad"))
+        lost = blocks.join(hit, "block").select("block", "lengths", "body", F.size("words").alias("words"), "bad").mapInArrow(lean(_lost), "block long, slot int, less long")
+        less = placed(words, "w").join(lost, ["block", "slot"]).groupBy("w").agg(F.sum("less").alias("less"))
+        words = words.join(less, "w", "left").withColumn("uses", F.col("uses") - F.coalesce("less", F.lit(0))).drop("less")
+    each = words.where("good AND uses > 0").select("w", "uses", F.explode("links").alias("pair"))
     counts = stored(each.groupBy("pair").agg(F.sum("uses").alias("n"), F.count("*").alias("rows")).withColumn("b", F.col("pair").bitwiseAND(0xFFFFFFFF)), folder, "counts")
     most = counts.groupBy("b").agg(F.max("n").alias("most"))
     known = stored(counts.join(most, "b").select("pair", "n", "rows", (F.col("n") == F.col("most")).cast("long").alias("best")), folder, "pairs")
+    linked = each.select("w", "pair")
     if known.count() <= SMALL:
-        met = each.join(F.broadcast(known.drop("rows")), "pair")
+        met = linked.join(F.broadcast(known.drop("rows")), "pair")
     else:
-        met = joined_by_rows(each, known, "pair", "rows", known.agg(F.sum("rows")).first()[0])
-    sums = met.groupBy("block", "word").agg(F.sum("best").alias("best"), F.sum("n").alias("n"))
-    of_block = sums.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("word", "best", "n"))).alias("sums"))  # the distinct words of a block
-    texts = blocks.select("block", "texts").join(of_block, "block", "left")
-
-    def shown(best, n):
-        return F.transform("texts", lambda t: F.struct(
-            t["doc_id"].alias("doc_id"), *[t["sums"][k].alias(c) for k, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))],
-            *[F.aggregate(t["words"], F.lit(0).cast("long"), lambda s, w: s + x[w]).alias(c) for x, c in ((best, "n_best"), (n, "count_sum"))], t["groups_sha256"].alias("groups_sha256"),
-        ))
-
-    rows = _let(F.struct(F.col("sums.best").alias("best"), F.col("sums.n").alias("n")), lambda x: shown(x["best"], x["n"]))
-    return texts.select(F.explode(rows).alias("r")).select("r.*")
+        met = joined_by_rows(linked, known, "pair", "rows", known.agg(F.sum("rows")).first()[0])
+    sums = met.groupBy("w").agg(F.sum("best").alias("best"), F.sum("n").alias("n"))
+    nil = F.lit(0).cast("long")
+    own = [F.when(F.col("good"), F.col(c)).otherwise(-1 if c == "n_a" else 0).cast("long").alias(c) for c in SUMS[:4]]
+    facts = every.select("w", "places", *own, "groups").join(sums, "w", "left").select("places", *SUMS[:4], *[F.coalesce(c, nil).alias(c) for c in SUMS[4:]], "groups")
+    of_words = placed(facts, *SUMS, "groups").sortWithinPartitions("block").mapInArrow(lean(_packed), PACKED)
+    of_texts = blocks.select("block", F.lit(True).alias("last"), "body", "doc_ids", "lengths", F.size("words").alias("held"))
+    dealt = of_words.unionByName(of_texts).repartition(parts, "block").sortWithinPartitions("block", "last")
+    return dealt.mapInArrow(lean(_summed), RESULT)
 
 
 def op13(spark, sf_dir):
