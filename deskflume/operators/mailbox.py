@@ -22,11 +22,21 @@ def open_tickets(tickets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return live.select("number", F.lit(True).alias("live")), latest
 
 
+def _met(rows: DataFrame, right: DataFrame, key: str, held: Column) -> DataFrame:
+    """Left join by ``key`` of rows that hold one. Most mail holds none: it is spread by a hash of its other columns, not
+    brought to the one task of the empty key, and meets nothing."""
+    spread = F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")])
+    away = F.col(key).isNull() | ~held
+    left = rows.withColumn("_held", ~away).withColumn("_key", F.when(away, spread.cast("string")).otherwise(F.col(key).cast("string")))
+    other = right.withColumn("_key", F.col(key).cast("string")).withColumn("_held", F.lit(True)).drop(key)
+    return left.join(other, ["_key", "_held"], "left").drop("_key", "_held")
+
+
 def placed(mails: DataFrame, tickets: DataFrame, own: Column | None = None) -> DataFrame:
     """``judged`` mails with action (comment, created, bounce, ignored), ticket and reason; works on a
     stream as well, where tickets are a table. tickets: number, status, requester_address, updated."""
     live, latest = open_tickets(tickets)
-    rows = judged(mails).join(live, "number", "left").join(latest, "failed", "left")
+    rows = _met(_met(judged(mails), live, "number", F.col("number").isNotNull()), latest, "failed", F.col("failed") != "")
     loop = F.lit(False) if own is None else F.col("address") == own
     action = (
         F.when((F.col("address") == "") | loop, "ignored").when(F.col("automated").isNotNull(), F.when(F.col("bounced").isNotNull(), "bounce").otherwise("ignored"))
