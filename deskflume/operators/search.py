@@ -64,8 +64,13 @@ def bounded(rank: Column) -> Column:
 
 def term_hits(text: Column, terms: list[str]) -> Column:
     """Array of (place, term) of a text's words that are terms, by place."""
+    return hits_of(words_of(text), terms)
+
+
+def hits_of(words: Column, terms: list[str]) -> Column:
+    """``term_hits`` of a text whose words are there."""
     known = F.array(*map(F.lit, terms))
-    placed = F.transform(words_of(text), lambda w, i: F.struct((i + 1).alias("place"), F.array_position(known, w).cast("int").alias("term")))
+    placed = F.transform(words, lambda w, i: F.struct((i + 1).alias("place"), F.array_position(known, w).cast("int").alias("term")))
     return F.filter(placed, lambda x: x["term"] > 0)
 
 

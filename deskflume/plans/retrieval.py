@@ -47,9 +47,13 @@ def matching_chunks(s, d):
     """Paragraphs of readable documents that hold all terms, or the entity: (doc, section, lex, vec, entity)."""
     lib = library(s, d).join(readable(s, d), "id", "left_semi")
     parts = lib.select("id", F.posexplode(F.split("text", "\n\n", -1)).alias("section", "text"))
-    rank = S.cover_density(S.term_hits(C("text"), TERMS), len(TERMS))
-    entity = F.array_contains(S.words_of(C("text")), ENTITY)
-    found = parts.select("id", "section", F.round(S.bounded(rank), 9).alias("lex"), entity.alias("entity")).where("lex > 0 OR entity")
+    every, entity = (F.lit(True), F.contains(F.lower("text"), F.lit(ENTITY)))
+    for t in TERMS:
+        every = every & F.contains(F.lower("text"), F.lit(t))
+    some = parts.where(every | entity).select("id", "section", F.explode(F.array(S.words_of(C("text")))).alias("w"))  # rows made by explode are made once, before any filter on them
+    rank = S.cover_density(S.hits_of(C("w"), TERMS), len(TERMS))
+    judged = F.struct(F.round(S.bounded(rank), 9).alias("lex"), F.array_contains("w", ENTITY).alias("entity"))
+    found = some.select("id", "section", F.explode(F.array(judged)).alias("x")).select("id", "section", "x.lex", "x.entity").where("lex > 0 OR entity")
     vectors = table(s, d, "embeddings")
     near = S.similarities(vectors, vectors, 3).select(C("vec_id").alias("id"), C("similarity").alias("vec"))
     return found.join(near, "id", "left").select(C("id").alias("doc"), "section", "lex", "vec", "entity")
