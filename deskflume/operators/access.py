@@ -5,7 +5,7 @@ library is read once and the rules are applied before anything is scored. Grants
 or AGENT; subject_id); whether they allow reading or managing does not matter here.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -54,17 +54,19 @@ def per_collection(library: DataFrame, ids: DataFrame) -> DataFrame:
     return library.join(ids, "id", "left_semi").groupBy("collection").agg(F.count("*").alias("readable")).where("readable > 0")
 
 
-def filed(docs: DataFrame, text: str = "", visibility: str = "ALL", collection: str = "ALL") -> DataFrame:
-    """Rows of a library (name, keywords, topics, visibility, collection) that a search of its shelves shows: text
+def filed(text: str = "", visibility: str = "ALL", collection: str = "ALL") -> Column:
+    """Whether a search of its shelves shows a row of a library (name, keywords, topics, visibility, collection): text
     in the name, a keyword or a topic, in any case; NONE is the shelf of what has no collection."""
-    needle = F.lit(text.strip().lower())
+    needle, shown = F.lit(text.strip().lower()), F.lit(True)
 
     def holds(values):
         return F.exists(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.contains(F.lower(x), needle))
 
-    rows = docs if visibility == "ALL" else docs.where(F.col("visibility") == visibility)
-    rows = rows if collection == "ALL" else rows.where(F.coalesce(F.col("collection").cast("string"), F.lit("NONE")) == collection)
-    return rows.where(F.contains(F.lower("name"), needle) | holds(F.col("keywords")) | holds(F.col("topics"))) if text.strip() else rows
+    if visibility != "ALL":
+        shown = shown & (F.col("visibility") == visibility)
+    if collection != "ALL":
+        shown = shown & (F.coalesce(F.col("collection").cast("string"), F.lit("NONE")) == collection)
+    return shown & (F.contains(F.lower("name"), needle) | holds(F.col("keywords")) | holds(F.col("topics"))) if text.strip() else shown
 
 
 #: What can be wrong with a draft's citations, in the order of the checks.
