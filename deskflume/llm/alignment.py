@@ -12,8 +12,8 @@ are sums over its words.
 
 How often a pair of ids is linked is summed over the corpus from the distinct words' uses. The counts (at most
 the product of the vocabularies, mostly far fewer) go back to the words' links by broadcast where ``SMALL``
-pairs hold them all, counted first; else the links are shuffled by pair, and pairs with more than a partition's
-share are broadcast. A word keeps its places (block and number in one value), at most one a block. Its row goes there, packed
+pairs hold them all, counted first, and are summed up there, so that no word's row is shuffled for them; else the
+links are shuffled by pair, and pairs with more than a partition's share are broadcast. A word keeps its places (block and number in one value), at most one a block. Its row goes there, packed
 with the others of a task for the same block, and a task sums them up for each text.
 
 A word that a side does not give back takes the tokens of all its text; then the other words of these texts
@@ -241,6 +241,33 @@ def _lost(batches):
             yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(held.astype(np.int32)), pa.array(less[held].astype(np.int64))], names=["block", "slot", "less"])
 
 
+def _added(batches):
+    """(places, SUMS, groups), one row a word, of rows (w, begins, places, SUMS, groups), one a link: a word's
+    links come one after another, the first with what is the word's own; best and n are summed up over them."""
+
+    def row(own, *sums):
+        columns = [*own.columns[2:-3], *(pa.array(x, pa.int64()) for x in sums), own.columns[-1]]
+        return pa.RecordBatch.from_arrays(columns, names=["places", *SUMS, "groups"])
+
+    last, held = None, np.zeros(2, np.int64)  # the word begun last, and the sums of its links up to here
+    for b in batches:
+        w, begins = b.column(0).to_numpy(), np.flatnonzero(b.column(1).to_numpy(zero_copy_only=False))
+        ends = np.concatenate([begins, [b.num_rows]])
+        before = np.full(ends[0], last.column(0)[0].as_py() if last else -1)
+        if not np.array_equal(w, np.concatenate([before, np.repeat(w[begins], np.diff(ends))])):
+            raise ValueError("a word's links do not follow each other")
+        sums = np.stack([np.concatenate([[0], np.cumsum(b.column(c).to_numpy())]) for c in (-3, -2)])
+        held = held + sums[:, ends[0]]
+        if len(begins):
+            if last:
+                yield row(last, *held[:, None])
+            own, totals = b.take(pa.array(begins)), sums[:, ends[1:]] - sums[:, ends[:-1]]
+            yield row(own.slice(0, len(begins) - 1), *totals[:, :-1])
+            last, held = own.slice(len(begins) - 1), totals[:, -1]
+    if last:
+        yield row(last, *held[:, None])
+
+
 def _packed(batches):
     """PACKED of rows (block, slot, SUMS, groups) that come sorted by block: one for each block, its columns compressed."""
     option = pa.ipc.IpcWriteOptions(compression="zstd")
@@ -311,12 +338,12 @@ def alignment(docs: DataFrame, doc_id="doc_id", text="text", **how) -> DataFrame
     """One row a text: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     spark = docs.sparkSession
     folder, parts = shared_folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = stored(blocks_of(docs, doc_id, text).withColumn("block", F.monotonically_increasing_id()), folder, "blocks")
+    blocks = stored(blocks_of(docs, doc_id, text).withColumn("block", F.monotonically_increasing_id()), folder, "blocks", "zstd")
     numbers = blocks.select("block").withColumn("number", F.row_number().over(Window.orderBy("block")).cast("long"))  # ids of blocks, of a million words each
     blocks = blocks.join(F.broadcast(numbers), "block").drop("block").withColumnRenamed("number", "block")
     own = F.transform(F.arrays_zip("words", "uses"), lambda x, i: F.struct(x["words"].alias("word"), x["uses"].alias("uses"), (F.shiftleft("block", 32) + i).alias("place")))
     used = blocks.select(F.inline(own)).groupBy("word").agg(F.sum("uses").alias("uses"), F.collect_list("place").alias("places"))  # at most one a block
-    words = stored(aligned(used, **how).withColumn("w", F.monotonically_increasing_id()), folder, "words")
+    words = stored(aligned(used, **how).withColumn("w", F.monotonically_increasing_id()), folder, "words", "zstd")
     every, bad = words, words.where("NOT good")
     if not bad.isEmpty():
         hit = placed(bad).groupBy("block").agg(F.collect_list("slot").alias("bad"))
@@ -327,15 +354,18 @@ def alignment(docs: DataFrame, doc_id="doc_id", text="text", **how) -> DataFrame
     counts = stored(each.groupBy("pair").agg(F.sum("uses").alias("n"), F.count("*").alias("rows")).withColumn("b", F.col("pair").bitwiseAND(0xFFFFFFFF)), folder, "counts")
     most = counts.groupBy("b").agg(F.max("n").alias("most"))
     known = stored(counts.join(most, "b").select("pair", "n", "rows", (F.col("n") == F.col("most")).cast("long").alias("best")), folder, "pairs")
-    linked = each.select("w", "pair")
-    if known.count() <= SMALL:
-        met = linked.join(F.broadcast(known.drop("rows")), "pair")
-    else:
-        met = joined_by_rows(linked, known, "pair", "rows", known.agg(F.sum("rows")).first()[0])
-    sums = met.groupBy("w").agg(F.sum("best").alias("best"), F.sum("n").alias("n"))
     nil = F.lit(0).cast("long")
     own = [F.when(F.col("good"), F.col(c)).otherwise(-1 if c == "n_a" else 0).cast("long").alias(c) for c in SUMS[:4]]
-    facts = every.select("w", "places", *own, "groups").join(sums, "w", "left").select("places", *SUMS[:4], *[F.coalesce(c, nil).alias(c) for c in SUMS[4:]], "groups")
+    sums = [F.coalesce(c, nil).alias(c) for c in SUMS[4:]]
+    facts = every.select("w", "places", *own, "groups", "links")
+    if known.count() <= SMALL:
+        links = facts.select(*facts.columns[:-1], F.posexplode_outer("links").alias("at", "pair")).withColumn("begins", F.coalesce("at", F.lit(0)) == 0)
+        met = links.join(F.broadcast(known.drop("rows")), "pair", "left")
+        kept = [F.when(F.col("begins"), F.col(c)).alias(c) for c in ("places", *SUMS[:4], "groups")]
+        facts = met.select("w", "begins", *kept[:-1], *sums, kept[-1]).mapInArrow(lean(_added), f"places array<long>, {', '.join(f'{c} long' for c in SUMS)}, groups string")
+    else:
+        met = joined_by_rows(each.select("w", "pair"), known, "pair", "rows", known.agg(F.sum("rows")).first()[0])
+        facts = facts.join(met.groupBy("w").agg(F.sum("best").alias("best"), F.sum("n").alias("n")), "w", "left").select("places", *SUMS[:4], *sums, "groups")
     of_words = placed(facts, *SUMS, "groups").sortWithinPartitions("block").mapInArrow(lean(_packed), PACKED)
     of_texts = blocks.select("block", F.lit(True).alias("last"), "body", "doc_ids", "lengths", F.size("words").alias("held"))
     dealt = of_words.unionByName(of_texts).repartition(parts, "block").sortWithinPartitions("block", "last")

@@ -28,10 +28,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/deskflume-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
+def stored(df: DataFrame, folder: str, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: its lineage ends there."""
     path = f"{folder}/{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -68,3 +69,29 @@ def test_query_over_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {tuple(r) for r in alignment.op13(spark, sf).collect()}
     assert got == {(i, *x) for (i, _), x in zip(rows, plain([t for _, t in rows]), strict=True)}
+
+
+def test_links_are_summed_where_their_words_lie(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"some words {i} and more of them") for i in range(20)], "doc_id long, text string")
+    plan = alignment.alignment(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(w#" not in plan and "hashpartitioning(block#" in plan
+    monkeypatch.setattr(alignment, "SMALL", -1)
+    assert "hashpartitioning(w#" in alignment.alignment(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_added_over_batches_of_any_size():
+    links = [3, 1, 5, 1, 1, 4]  # of each word
+    names = ["w", "begins", "places", *alignment.SUMS, "groups"]
+    kinds = [pa.int64(), pa.bool_(), pa.list_(pa.int64()), *[pa.int64()] * 6, pa.string()]
+    rows = [(k, i == 0, *(([k, k + 9], 1, 2, 3, k) if i == 0 else [None] * 5), i % 2, 10 * k + i, str(k) if i == 0 else None) for k, n in enumerate(links) for i in range(n)]
+    want = [([k, k + 9], 1, 2, 3, k, n // 2, sum(10 * k + i for i in range(n)), str(k)) for k, n in enumerate(links)]
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=names)
+
+    for size in range(1, len(rows) + 1):
+        got = [tuple(r.values()) for b in alignment._added(batch(rows[k : k + size]) for k in range(0, len(rows), size)) for r in b.to_pylist()]
+        assert got == want
+    assert list(alignment._added([])) == list(alignment._added([batch([])])) == []
+    with pytest.raises(ValueError, match="links"):
+        list(alignment._added([batch(rows[:3] + rows[5:6])]))
