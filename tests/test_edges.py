@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +125,32 @@ def test_sharing_two_deals_out_frequent_pairs(spark, monkeypatch):
     assert sorted(got) == [(i, j, len(set(sets[i]) & set(sets[j]))) for i, j in itertools.combinations(sets, 2)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "part#" in plan and plan.count("array_intersect(") == 1  # in parts, and counted once
+
+
+def test_parts_do_not_grow_with_the_input(spark):
+    """What is sent for frequent tokens, their count times their parts, doubles where the counts do."""
+    counts = [5000, 40000, 90000, 100000]
+    sent = []
+    for times in (1, 2, 16):
+        frequent = spark.createDataFrame([(i, n * times) for i, n in enumerate(counts)], "x long, count long")
+        found = catalog.token_parts(frequent, 16).join(frequent, "x").collect()
+        sent.append(sum(r["count"] * r.parts for r in found) / times)
+    assert len(set(sent)) == 1 and 0 < sent[0] <= sum(counts) * 4  # the root of the tasks
+
+
+def test_sharing_two_posts_a_set_under_all_tokens_but_one(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "POSTED", 1)
+    draw = random.Random(4)
+    sets = {k: sorted(draw.sample("abcdefghijklmnop", 8)) for k in range(60)} | {60: ["a", "b"], 61: ["a"], None: ["a", "b", "c"]}
+    df = spark.createDataFrame(list(sets.items()), "id long, tokens array<string>")
+    seen, inline = [], catalog.F.inline
+    monkeypatch.setattr(catalog.F, "inline", lambda c: seen.append(c) or inline(c))
+    found = catalog.sharing_two(df, lambda n: n / 10)
+    first = {}
+    for k, v in sets.items():
+        if k is not None:
+            first.setdefault(tuple(v), k)
+    want = [(i, j, n) for (s, i), (t, j) in itertools.combinations(first.items(), 2) if (n := len(set(s) & set(t))) >= 2]
+    assert sorted((r.a, r.b, r.common) for r in found.collect()) == sorted(want)
+    posted = spark.createDataFrame([(list(range(8)),)], "ts array<long>").select(inline(seen[0])).collect()
+    assert [r.x for r in posted] == list(range(7)) and all(len(r.before) + len(r.behind) == 7 for r in posted)

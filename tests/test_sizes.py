@@ -1,13 +1,15 @@
 """Cases that showed on larger tables only."""
 
 import os
+import re
+from collections import Counter
 
 import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from deskflume.functions import facts, layout, values
+from deskflume.functions import facts, layout, text, values
 from deskflume.plans import ORACLES, QUERIES
 from deskflume.plans.knowledge import rendered_parts
 from deskflume.plans.more import CLASSIFIED
@@ -72,3 +74,20 @@ def test_table_pieces_make_their_lines_once(spark):
     rows = spark.createDataFrame([(1, [["a"]])], "id long, t array<array<string>>")
     plan = rows.select(layout.table_pieces(F.col("t"), 8).alias("p"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("array_join(") == 2  # the cells of a line, the lines of a piece
+
+
+def test_keywords_are_counted_inside_rows(spark):
+    """Texts of their own ids send no words; those that share an id are counted together, with the same rows."""
+    texts = ["Beta alpha beta, the x ab gamma-2 alpha", "zeta Zeta eta", "", None, "and the", "ñandú 3abc abc ñandú"]
+    words = [[w for w in re.findall(r"[^\W\d_](?:[^\W_]|-){2,}", (t or "").lower()) if w not in text.STOPWORDS] for t in texts]
+    apart = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    shared = spark.createDataFrame([(i % 2, t) for i, t in enumerate(texts)], "id long, text string")
+    for docs, ids in ((apart, range(6)), (shared, (0, 1))):
+        want = []
+        for i in ids:
+            counts = Counter(w for k, ws in enumerate(words) if (k if docs is apart else k % 2) == i for w in ws)
+            want += [(i, w, n) for w, n in sorted(counts.items(), key=lambda e: (-e[1], e[0]))[:2]]
+        found = text.keywords(docs, 2)
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+        assert found.dtypes == [("id", "bigint"), ("term", "string"), ("n", "bigint")]
+        assert ("Exchange" in found._jdf.queryExecution().executedPlan().toString()) == (docs is shared)
