@@ -154,3 +154,14 @@ def test_sharing_two_posts_a_set_under_all_tokens_but_one(spark, monkeypatch):
     assert sorted((r.a, r.b, r.common) for r in found.collect()) == sorted(want)
     posted = spark.createDataFrame([(list(range(8)),)], "ts array<long>").select(inline(seen[0])).collect()
     assert [r.x for r in posted] == list(range(7)) and all(len(r.before) + len(r.behind) == 7 for r in posted)
+
+
+def test_sharing_two_with_frequent_and_rare_tokens(spark):
+    """Frequent tokens are counted by bits, the others by their numbers; sets share some of both."""
+    draw = random.Random(5)
+    sets = {k: sorted({*(f"f{draw.randrange(120):03}" for _ in range(5)), *(f"r{draw.randrange(90):03}" for _ in range(5))}) for k in range(400)}
+    found = catalog.sharing_two(spark.createDataFrame(list(sets.items()), "id long, tokens array<string>"), lambda n: n / 10)
+    want = [(i, j, n) for i, j in itertools.combinations(sets, 2) if (n := len(set(sets[i]) & set(sets[j]))) >= 2]
+    assert sorted((r.a, r.b, r.common) for r in found.collect()) == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("bit_count(") == 2 and plan.count("array_intersect(") == 1
